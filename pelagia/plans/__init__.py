@@ -3,3 +3,4 @@
 
 def load() -> None:
     """Import the modules that register queries."""
+    from pelagia.plans import catalog_queries, pixel_queries  # noqa: F401
