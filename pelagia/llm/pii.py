@@ -126,16 +126,18 @@ def disclosing(rows: DataFrame, window: int = WINDOW, support: int = SUPPORT, ge
 
     rows: key, text, base."""
     n = rows.count()
-    found, _ = materialise(rows.filter(F.size("base") > 0), "entities")
+    # exploding an array of none or one keeps the same rows as a filter, but a filter would move below and find the spans twice
+    one = F.explode(F.when(F.size("base") > 0, F.array(F.struct("key", "text", "base")))).alias("r")
+    found, _ = materialise(rows.select(one).select("r.*"), "entities")
     near = _surroundings(found, window)
-    pairs = near.groupBy("entity", "term").agg(F.approx_count_distinct("around", 0.01).alias("likely"), F.count("*").alias("mentions")).filter(F.col("mentions") >= support)
-    likely = near.join(pairs.filter(F.col("likely") >= max(1, support - 1)).select("entity", "term"), ["entity", "term"], "left_semi")
+    often = near.groupBy("entity", "term").agg(F.count("*").alias("mentions")).filter(F.col("mentions") >= support)
+    likely = near.join(often.select("entity", "term"), ["entity", "term"], "left_semi")
     # distinct surroundings and documents, each by an aggregate of its own, so that a common pair is summed before it moves
     different = likely.select("entity", "term", "around").distinct().groupBy("entity", "term").agg(F.count("*").alias("different")).filter(F.col("different") >= support)
     co = likely.select("entity", "term", "key").distinct().groupBy("entity", "term").agg(F.count("*").alias("co"))
     pairs, _ = materialise(different.join(co, ["entity", "term"]), "pairs")
     if not pairs.head(1):
-        return rows.sparkSession.createDataFrame([], "term string, share double")
+        return pairs.select("term", F.lit(0.0).alias("share"))
     entity = F.explode(F.array_distinct(F.transform("base", lambda s: F.concat_ws(":", s["kind"], F.lower(s["value"]))))).alias("entity")
     df_c = found.select(entity).groupBy("entity").agg(F.count("*").alias("df_c"))
     df_t = _holding(rows, pairs.select("term").distinct(), literal).groupBy("term").agg(F.count("*").alias("df_t"))
