@@ -14,6 +14,7 @@ gives an empty result; the label, source and id are no inputs of a prediction an
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -69,9 +70,15 @@ def centroids(m: np.ndarray, k: int = CENTROIDS, rounds: int = 15) -> np.ndarray
     return c
 
 
-def fit(texts: list[str], langs: list[str]) -> dict | None:
-    got = [(counts(t), x) for t, x in zip(texts, langs, strict=True)]
-    got = [(c, x) for c, x in got if c is not None]
+def _packed(text: pd.Series) -> pd.Series:
+    """Counts as compressed bytes; null without a letter."""
+    got = [counts(t) for t in text]
+    return pd.Series([None if c is None else zlib.compress(c.astype("<i8").tobytes(), 1) for c in got])
+
+
+def fit(found: list[np.ndarray], langs: list[str]) -> dict | None:
+    """found: counts of the sample's texts."""
+    got = list(zip(found, langs, strict=True))
     if not got:
         return None
     c, y = np.stack([c for c, _ in got]), np.array([x for _, x in got])
@@ -111,7 +118,7 @@ def predict(model: dict | None, text: list[str | None]) -> pd.DataFrame:
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample: int = SAMPLE) -> dict | None:
     """Fit on documents outside the held-out fold with a label: at most ``sample`` of each language.
 
-    Hashes choose them without moving a text; only the chosen texts come to the driver."""
+    Hashes choose them without moving a text; what comes to the driver is the chosen texts' counts, DIMS numbers each."""
     rows = docs.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{doc_id}`").alias("id"))
     rows = rows.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & (crc_mod("id", 3) != 1)).withColumn("h", F.xxhash64("id", "text"))
     sizes = rows.groupBy("lang").count().collect()  # a row per language
@@ -126,8 +133,9 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
         limit = test if limit is None else limit | test
     order = Window.partitionBy("lang").orderBy("h", "text")
     chosen = rows.filter(limit).withColumn("n", F.row_number().over(order)).filter(F.col("n") <= sample)
-    found = sorted((r["lang"], r["n"], r["text"]) for r in chosen.select("lang", "n", "text").toLocalIterator())
-    return fit([t for _, _, t in found], [x for x, _, _ in found])
+    packed = chosen.select("lang", "n", F.pandas_udf(_packed, "binary")(F.col("text")).alias("c")).filter("c is not null")
+    found = sorted((r["lang"], r["n"], bytes(r["c"])) for r in packed.toLocalIterator())
+    return fit([np.frombuffer(zlib.decompress(c), "<i8") for _, _, c in found], [x for x, _, _ in found])
 
 
 def identify(docs: DataFrame, model: dict | None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
