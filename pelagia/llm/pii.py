@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pelagia.llm.shared import materialise
+from pelagia.llm.shared import materialise, row_key
 
 #: In the order of the contract. Possessive where a match cannot end earlier; (?:\G|...) starts a run only where it begins.
 PATTERNS = {
@@ -151,7 +151,7 @@ def find(docs: DataFrame, text: str = "text", window: int = WINDOW, support: int
     """keep columns of docs under ``row``, ``text``, ``base`` and ``spans`` (base ones and terms, by start, then kind)."""
     row = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)])
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    rows = docs.select(row.alias("row"), body.alias("text"), F.struct(F.xxhash64(row, body).alias("a"), F.xxhash64(F.lit(2), body, row).alias("b")).alias("key"))
+    rows = docs.select(row.alias("row"), body.alias("text"), row_key(*[f"`{c}`" for c in dict.fromkeys([*(docs.columns if keep is None else keep), text])]).alias("key"))
     rows = base_spans(rows)
     terms, _ = materialise(disclosing(rows.select("key", "text", "base"), window, support, generalise, literal), "terms")
     n = terms.count()

@@ -47,8 +47,9 @@ def crc_mod(col: str, n: int) -> Column:
 
 
 def row_key(*cols: str) -> Column:
-    """128 bits that identify equal rows of these columns, nulls included."""
-    return F.struct(F.xxhash64(*cols, F.lit(1)).alias("a"), F.xxhash64(F.lit(2), *cols).alias("b"))
+    """128 bits that identify equal rows of these columns. Hashes skip nulls, so where they are is hashed too."""
+    nulls = F.concat(*[F.isnull(c).cast("string") for c in cols])
+    return F.struct(F.xxhash64(*cols, nulls).alias("a"), F.xxhash64(F.lit(2), nulls, *cols).alias("b"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

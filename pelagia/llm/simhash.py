@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pelagia.llm.components import components
-from pelagia.llm.shared import materialise
+from pelagia.llm.shared import materialise, row_key
 
 SHINGLE, RADIUS, BITS, SEED = 3, 3, 64, 42
 #: Fingerprints of a bucket that are compared as one block.
@@ -118,18 +118,39 @@ def links(prints: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFr
     return rows.groupBy("task").applyInPandas(compare, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
-    """keep columns of docs under ``row``, ``fp`` and ``component_id``, the smallest id of the component."""
-    row = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)])
-    prints, _ = materialise(docs.select(row.alias("row"), F.col(f"`{doc_id}`").alias("id"), F.pandas_udf(_fingerprints, "long")(F.col(f"`{text}`")).alias("fp")), "prints")
+def _components(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows (id, fp, ...), written, and (fp, component_id) of its distinct fingerprints."""
+    prints, _ = materialise(rows, "prints")
     nodes, _ = materialise(prints.groupBy("fp").agg(F.min("id").alias("id")), "nodes")
     roots = components(links(nodes.select("fp")))
     rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
-    found = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
+    return prints, rooted.select("fp", "root").join(least, "root").select("fp", "component_id", "root")
+
+
+def _print(text: str) -> Column:
+    return F.pandas_udf(_fingerprints, "long")(F.col(f"`{text}`"))
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
+    """keep columns of docs under ``row``, ``fp`` and ``component_id``, the smallest id of the component."""
+    row = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)])
+    prints, found = _components(docs.select(row.alias("row"), F.col(f"`{doc_id}`").alias("id"), _print(text).alias("fp")))
     return prints.join(found, "fp").select("row", "fp", "component_id")
 
 
+def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """One row of each component: that with the smallest id (null last), of several rows with it the one with the smallest key.
+
+    Rows are chosen by a 128-bit key of all their columns; texts move once, to meet the chosen keys."""
+    rows = docs.withColumn("_key", row_key(*[f"`{c}`" for c in docs.columns]))
+    prints, found = _components(rows.select(F.col("_key").alias("key"), F.col(f"`{doc_id}`").alias("id"), _print(text).alias("fp")))
+    first = F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("m")
+    chosen, _ = materialise(prints.join(found, "fp").groupBy("root").agg(first).select(F.col("m.key").alias("_key")), "chosen")
+    # rows equal in every column share a key; the join has dealt them by it already
+    return rows.join(chosen, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
+
+
 def as_hex(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
@@ -142,7 +163,5 @@ def op6(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component: that with the smallest id, of equal ids the one with the smallest row."""
-    found = near_duplicates(docs).filter(F.col("row.doc_id").eqNullSafe(F.col("component_id")))
-    # several rows may bear that id
-    return found.groupBy("component_id").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row.*")
+    """One document of each component: that with the smallest id."""
+    return deduplicated(docs)
