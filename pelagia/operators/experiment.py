@@ -37,7 +37,11 @@ def remaining(wanted: DataFrame, done: DataFrame, files: DataFrame | None = None
 def run(df: DataFrame, seed: int = 42, todo: DataFrame | None = None, methods: list[str] | None = None) -> DataFrame:
     """df (image_id, image in [0, 1], other columns): a row with the seven metrics for each key (each in todo, if given).
 
-    An image makes its 40 results in one task: no shuffle, unless todo is joined."""
+    An image makes its 40 results in one task. Nothing is shuffled unless todo is joined or the table has fewer
+    partitions than there are cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:  # a small table of costly rows; a large one is left where it is
+        df = df.repartition(cores)
     noisy = df.withColumn("n", F.explode(noise.all_models(F.col("image"), F.col("image_id"), seed)))
     noisy = noisy.select(*df.columns, F.col("n.noise_type").alias("noise_type"), F.col("n.image").alias("noisy"))
     if todo is not None:
