@@ -112,9 +112,11 @@ from a3 join a5 using (image_id, pos) join a7 using (image_id, pos)""")
 _pixel_query("denoise_kuan", _kernel("kuan", "noisy"), f"""with {PX}, {near('n', 'ns', 7, 'symmetric')},
 l as (select image_id, pos, any_value(c) as c, avg(v) as m, greatest(avg(v * v) - avg(v) * avg(v), 1e-8) as s2 from n group by 1, 2)
 select image_id, pos, round(least(greatest(m + least(greatest((1 - 0.04::double * m * m / s2) / 1.04::double, 0), 1) * (c - m), 0), 1), 6) as v from l""")
-_pixel_query("anscombe_roundtrip", lambda df: im.apply(df["image"], px.inverse_anscombe), None)
 _pixel_query("denoise_nlm", _kernel("non_local_means", "noisy"), None)
-_pixel_query("denoise_anscombe_wiener", _kernel("anscombe_wiener", "noisy"), None)
+_pixel_query("denoise_anscombe_wiener", _kernel("anscombe_wiener", "noisy"), f"""with {PX}, an as (select image_id, pos, y, x, 2 * sqrt(v * 255 + 0.375::double) as v from ns), {near('n', 'an', 5, 'constant')},
+l as (select image_id, pos, any_value(c) as c, avg(v) as m, avg(v * v) - avg(v) * avg(v) as s2 from n group by 1, 2),
+w as (select image_id, pos, case when s2 < 1 then m else m + (1 - 1 / s2) * (c - m) end as t from l)
+select image_id, pos, round(least(greatest(greatest(t * t / 4 - 0.375::double, 0) / 255, 0), 1), 6) as v from w""")
 
 
 @query("anscombe_transform", f"with {PX} select image_id, pos, round(2 * sqrt(greatest(v * 255, 0) + 0.375::double), 6) as t, round(greatest(power(sqrt(greatest(v * 255, 0) + 0.375::double), 2) - 0.375::double, 0) / 255, 6) as back from px")
@@ -249,3 +251,34 @@ def median_psnr(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = images(spark, sf_dir)
     m = df.withColumn("d", im.apply_named(F.col("noisy"), "median")).select(im.metrics(F.col("image"), F.col("d")).alias("m"))
     return m.agg(F.count("*").alias("images"), F.round(F.avg("m.PSNR"), 6).alias("mean_psnr"), F.round(F.avg("m.MSE"), 6).alias("mean_mse"))
+
+
+@query("stage_chain")
+def stage_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contrast, sharpening, five noises and eight filters of every image: statistics of each result."""
+    from pelagia.operators import stages
+
+    df = images(spark, sf_dir).select(F.col("image_id").cast("string").alias("name"), "image")
+    out = stages.denoise(stages.add_noise(stages.sharpen(stages.contrast(df))))
+    s = im.statistics(F.col("image"))
+    return out.select("name", "noise_type", "denoising_method", "hardware_architecture", "status", F.round(s["mean"], 6).alias("mean"), F.round(s["std"], 6).alias("std"))
+
+
+@query("noise_validation")
+def noise_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether every model's image is realistic."""
+    from pelagia.operators import stages
+
+    df = images(spark, sf_dir).select(F.col("image_id").cast("string").alias("name"), "image")
+    return stages.noise_table(stages.add_noise(df)).select("name", F.to_json("models").alias("models"), "passed")
+
+
+@query("full_preprocessing")
+def full_preprocessing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The long chain over every image, resized to 16 x 16."""
+    from pelagia.operators import stages
+
+    df = images(spark, sf_dir).select("image_id", im.apply_named(F.col("image"), "quantize_u8").alias("image"), F.when(F.col("image_id") % 2 == 0, "BENIGN").otherwise("MALIGNANT").alias("standardized_pathology"))
+    out = stages.full_pipeline(df, (16, 16))
+    s = im.statistics(F.col("image"))
+    return out.select("image_id", "bucket", s["width"].alias("width"), s["height"].alias("height"), F.round(s["mean"], 6).alias("mean"))
