@@ -143,12 +143,13 @@ def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     """One row of each component: that with the smallest id (null last), of several rows with it the one with the smallest key.
 
     Rows are chosen by a 128-bit key of all their columns; texts move once, to meet the chosen keys."""
-    rows = docs.withColumn("_key", row_key(*[f"`{c}`" for c in docs.columns]))
-    prints, found = _components(rows.select(F.col("_key").alias("key"), F.col(f"`{doc_id}`").alias("id"), _print(text).alias("fp")))
+    key = row_key(*[f"`{c}`" for c in docs.columns])
+    rows = docs.withColumns({"_key_a": key["a"], "_key_b": key["b"]})  # plain numbers: the join and the grouping share one exchange
+    prints, found = _components(rows.select(F.struct("_key_a", "_key_b").alias("key"), F.col(f"`{doc_id}`").alias("id"), _print(text).alias("fp")))
     first = F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("m")
-    chosen, _ = materialise(prints.join(found, "fp").groupBy("root").agg(first).select(F.col("m.key").alias("_key")), "chosen")
+    chosen, _ = materialise(prints.join(found, "fp").groupBy("root").agg(first).select("m.key.*"), "chosen")
     # rows equal in every column share a key; the join has dealt them by it already
-    return rows.join(chosen, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
+    return rows.join(chosen, ["_key_a", "_key_b"], "left_semi").dropDuplicates(["_key_a", "_key_b"]).drop("_key_a", "_key_b")
 
 
 def as_hex(fp: Column) -> Column:
