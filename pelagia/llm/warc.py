@@ -256,11 +256,10 @@ def op9(spark, sf_dir: str) -> DataFrame:
 
     pages = table(spark, sf_dir, "pages")
     id_type = pages.schema["page_id"].dataType
-    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    if "://" not in folder:
-        folder = "file://" + folder
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    folder = re.sub(r"^file:/+", "file:///", fs.makeQualified(path).toString())  # the store that Spark means, by its full name
     names = archive(pages, folder)
     # a task per archive: their names are a few bytes, which one partition would hold
     names = names.repartition(max(1, names.count()), "archive")
