@@ -6,8 +6,9 @@ not is bounded by its frontier and its far end; that gives every candidate a low
 Candidates whose upper bound is below the k-th best lower bound are out. When a block's outsiders cannot qualify,
 reading stops, and the scores of those left are resolved.
 
-Queries and candidates are cut into blocks; each pair of blocks is a task of its own. In a block the bounds of all
-queries are two matrix products: a list read down to a value t shows max(x, t) at best.
+Queries and candidates are cut into blocks; each pair of blocks is a task of its own, whose lists are sorted once for all
+its queries. Candidates move once for every block of queries, so those are large; their bounds are made in slices, two
+matrix products each: a list read down to a value t shows max(x, t) at best.
 
 Scores are integers: components become floor(scale * x), below 2 ** 53 in sum, so float64 products are exact.
 
@@ -28,18 +29,28 @@ from pyspark.sql import functions as F
 from pelagia.llm.shared import materialise
 
 K, SCALE, QUERY_MOD = 5, 256, 50
-QUERIES, CANDIDATES = 1024, 4096  # rows of a block
+QUERIES, CANDIDATES = 8192, 4096  # rows of a block
+SLICE = 1024  # queries whose bounds are held at once
 DEPTHS = (0.3, 0.6)  # share of the lists read before each test
 
 
-def nra(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int = K, depths: tuple[float, ...] = DEPTHS) -> list[tuple[int, int, int]]:
+def nra(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int = K, depths: tuple[float, ...] = DEPTHS, slice_: int = SLICE) -> list[tuple[int, int, int]]:
     """(query id, candidate id, score): per query at least its k best among x, by score and then smaller id."""
-    out, n = [], len(x)
-    pos, neg = np.maximum(q, 0.0), np.minimum(q, 0.0)
+    out = []
     lists = np.sort(x, axis=0)  # every column read from either end
+    for a in range(0, len(q), slice_):
+        _sliced(out, q[a : a + slice_], q_ids[a : a + slice_], x, x_ids, lists, k, depths)
+    return out
+
+
+def _sliced(out: list, q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, lists: np.ndarray, k: int, depths: tuple[float, ...]) -> None:
+    n = len(x)
+    if not n:
+        return
+    pos, neg = np.maximum(q, 0.0), np.minimum(q, 0.0)
     low, high = lists[0], lists[-1]
     alive = np.arange(len(q))
-    mine = q_ids[:, None] == x_ids[None, :] if n else None
+    mine = q_ids[:, None] == x_ids[None, :]
     if n > 4 * k:
         for depth in depths:
             h = min(n - 1, int(n * depth))
@@ -56,14 +67,13 @@ def nra(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: i
                 _resolve(out, q[alive[i]], q_ids[alive[i]], x, x_ids, at, k)
             alive = alive[~few]
             if not len(alive):
-                return out
+                return
     scores = q[alive] @ x.T  # the lists are read to their ends
     for s, i in zip(scores, alive, strict=True):
         at = np.flatnonzero(~mine[i])
         if len(at) > k:
             at = at[s[at] >= np.partition(s[at], len(at) - k)[len(at) - k]]
         _resolve(out, q[i], q_ids[i], x, x_ids, at, k)
-    return out
 
 
 def _resolve(out: list, q: np.ndarray, q_id: int, x: np.ndarray, x_ids: np.ndarray, at: np.ndarray, k: int) -> None:

@@ -40,11 +40,11 @@ def test_topk_against_all_pairs(spark):
     assert topk.top_k(df.filter("vec_id in (50, 51, 52)"), F.col("vec_id") == 50).count() == 2
 
 
-@pytest.mark.parametrize("depths", [(0.05, 0.2, 0.5), (0.9,)])
-def test_nra_bounds_lose_nothing(depths):
+@pytest.mark.parametrize(("depths", "size"), [((0.05, 0.2, 0.5), 1024), ((0.9,), 1024), ((0.3, 0.6), 7)])
+def test_nra_bounds_lose_nothing(depths, size):
     rng = np.random.default_rng(4)
     x = np.round(rng.standard_cauchy((400, 5)) * 20)
-    got = topk.nra(x[:20], np.arange(20), x, np.arange(400), 5, depths)
+    got = topk.nra(x[:20], np.arange(20), x, np.arange(400), 5, depths, size)
     for q in range(20):
         s = x @ x[q]
         want = sorted((-int(s[i]), i) for i in range(400) if i != q)[:5]
