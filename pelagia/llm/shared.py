@@ -15,10 +15,13 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset (local tests)."""
+    """The folder in spark.checkpoint.dir. Where that is unset: beside the warehouse's tables on a cluster, a temporary
+    folder in local mode (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_pelagia"
     return _own.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="pelagia-"))
 
 
