@@ -20,20 +20,40 @@ def rates(c: DataFrame) -> DataFrame:
     return c.select("tp", "fp", "fn", "tn", share(tp + tn, tp + tn + fp + fn).alias("accuracy"), share(tp, tp + fn).alias("sensitivity"), share(tn, tn + fp).alias("specificity"), share(tp, tp + fp).alias("precision"), share(tp, tp + fn).alias("recall"), share(2 * tp, 2 * tp + fp + fn).alias("f1"))
 
 
+def _running(by: DataFrame, score: str, sums: list[str], descending: bool, buckets: int = 256) -> DataFrame:
+    """Add to rows of distinct scores, as ``<sum>_upto``, the sums over their own and all earlier scores; null scores come last
+    when descending, else first.
+
+    Approximate quantiles cut the scores into buckets; sums of whole buckets (at most ``buckets`` rows) come before
+    those inside a bucket, so no task holds all scores and the result is exact."""
+    bounds = by.agg(F.percentile_approx(score, [i / buckets for i in range(1, buckets)], 10000).alias("b")).first()["b"] or []
+    cuts = F.array(*[F.lit(float(x)) for x in sorted(set(bounds))]).cast("array<double>")
+    placed = by.withColumn("_b", F.coalesce(F.size(F.filter(cuts, lambda x: x <= F.col(score).cast("double"))), F.lit(0)))
+    placed = placed.withColumn("_b", F.when(F.col(score).isNull(), -1).otherwise(F.col("_b")))
+    turn = F.desc if descending else F.asc
+    earlier = Window.orderBy(turn("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    whole = placed.groupBy("_b").agg(*[F.sum(c).alias(c) for c in sums]).select("_b", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_{c}") for c in sums])
+    own = Window.partitionBy("_b").orderBy(turn(score)).rowsBetween(Window.unboundedPreceding, 0)
+    inside = placed.withColumns({f"{c}_upto": F.sum(c).over(own) for c in sums}).join(F.broadcast(whole), "_b")  # a row per bucket
+    return inside.withColumns({f"{c}_upto": F.col(f"{c}_upto") + F.col(f"_{c}") for c in sums}).drop("_b", *[f"_{c}" for c in sums])
+
+
+def _by_score(df: DataFrame, truth: str, score: str) -> DataFrame:
+    return df.groupBy(F.col(score).alias("threshold")).agg(F.count_if(F.col(truth) == 1).alias("p"), F.count_if(F.col(truth) != 1).alias("n"))
+
+
 def roc_points(df: DataFrame, truth: str, score: str) -> DataFrame:
-    """threshold, tpr and fpr at every distinct score. Counts by score first; the running sums are over distinct scores."""
-    by = df.groupBy(F.col(score).alias("threshold")).agg(F.count_if(F.col(truth) == 1).alias("p"), F.count_if(F.col(truth) != 1).alias("n"))
+    """threshold, tpr and fpr at every distinct score."""
+    by = _by_score(df, truth, score)
     total = by.agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
-    down = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    return by.select("threshold", F.sum("p").over(down).alias("p"), F.sum("n").over(down).alias("n")).crossJoin(total).select("threshold", (F.col("p") / F.col("all_p")).alias("tpr"), (F.col("n") / F.col("all_n")).alias("fpr"))  # total is one row
+    upto = _running(by, "threshold", ["p", "n"], descending=True).crossJoin(total)  # total is one row
+    return upto.select("threshold", (F.col("p_upto") / F.col("all_p")).alias("tpr"), (F.col("n_upto") / F.col("all_n")).alias("fpr"))
 
 
 def auc(df: DataFrame, truth: str, score: str) -> DataFrame:
     """Area by trapezoids; null if a class is missing."""
-    by = df.groupBy(score).agg(F.count_if(F.col(truth) == 1).alias("p"), F.count_if(F.col(truth) != 1).alias("n"))
-    below = Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    parts = by.select("p", "n", F.coalesce(F.sum("n").over(below), F.lit(0)).alias("less"))
-    return parts.agg(F.try_divide(F.sum(F.col("p") * (F.col("less") + F.col("n") / 2)), F.sum("p") * F.sum("n")).alias("auc"))
+    parts = _running(_by_score(df, truth, score), "threshold", ["n"], descending=False)
+    return parts.agg(F.try_divide(F.sum(F.col("p") * (F.col("n_upto") - F.col("n") / 2)), F.sum("p") * F.sum("n")).alias("auc"))
 
 
 def cross_entropy(truth: Column, probability: Column) -> Column:
@@ -45,6 +65,42 @@ def focal_loss(truth: Column, probability: Column, alpha: float = 0.25, gamma: f
     return alpha * F.pow(1 - F.exp(-ce), F.lit(gamma)) * ce
 
 
+def class_weight(truth: Column, weights: dict[int, float]) -> Column:
+    """The weight of a row's class, 1 where it has none."""
+    out = F.lit(1.0)
+    for label, w in weights.items():
+        out = F.when(truth == label, float(w)).otherwise(out)
+    return out
+
+
+def loss(name: str, truth: Column, probability: Column, weights: dict[int, float] | None = None, alpha: float = 0.25, gamma: float = 2.0) -> Column:
+    """A row's loss by name: focal, weighted_ce (by class) or, for any other name, cross-entropy."""
+    if name == "focal":
+        return focal_loss(truth, probability, alpha, gamma)
+    ce = cross_entropy(truth, probability)
+    return class_weight(truth, weights or {}) * ce if name == "weighted_ce" else ce
+
+
+def validate(df: DataFrame, truth: str, probability: str, name: str = "ce", weights: dict[int, float] | None = None) -> DataFrame:
+    """One row: mean loss (of weighted_ce, by weight) and accuracy at 0.5; nulls for no rows."""
+    t, p = F.col(truth), F.col(probability)
+    weight = class_weight(t, weights or {}) if name == "weighted_ce" else F.lit(1.0)
+    rows = df.select(loss(name, t, p, weights).alias("loss"), weight.alias("weight"), ((p >= 0.5) == (t == 1)).cast("double").alias("right"))
+    return rows.agg(F.try_divide(F.sum("loss"), F.sum("weight")).alias("loss"), F.avg("right").alias("accuracy"))
+
+
+def plateau_rates(values: list[float], top: float = 1e-4, factor: float = 0.5, patience: int = 5, threshold: float = 1e-4) -> list[float]:
+    """The rate after each value of a measure that should grow: cut by ``factor`` after more than ``patience`` values in a row
+    without a relative gain of ``threshold``."""
+    rate, best, waited, out = top, float("-inf"), 0, []
+    for v in values:
+        best, waited = (v, 0) if v > best * (1 + threshold) else (best, waited + 1)
+        if waited > patience:
+            rate, waited = rate * factor, 0
+        out.append(rate)
+    return out
+
+
 def cosine_rate(step: int, steps: int, top: float = 1e-4, low: float = 1e-6) -> float:
     return low + (top - low) * (1 + cos(pi * step / steps)) / 2
 
@@ -65,6 +121,16 @@ def build_model(arch: str, features: int, classes: int = 2, seed: int = 42):
     return MultilayerPerceptronClassifier(layers=[features, 16 if "18" in name else 32, classes], maxIter=60, seed=seed)
 
 
+def load_model(path: str):
+    """A model that train() saved."""
+    from pyspark.ml.classification import LogisticRegressionModel, MultilayerPerceptronClassificationModel
+    from pyspark.ml.util import DefaultParamsReader
+    from pyspark.sql import SparkSession
+
+    kind = DefaultParamsReader.loadMetadata(path, SparkSession.active())["class"]
+    return (LogisticRegressionModel if kind.endswith("LogisticRegressionModel") else MultilayerPerceptronClassificationModel).load(path)
+
+
 def features(df: DataFrame, image: str = "image", side: int = 8) -> DataFrame:
     """Add ``features``: the image resized to side x side, as a vector scaled to [-1, 1]."""
     from pyspark.ml.functions import array_to_vector

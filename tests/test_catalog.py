@@ -137,6 +137,7 @@ def test_evaluation(spark, tmp_path):
     assert (r.tp, r.fp, r.fn, r.tn) == (2, 1, 1, 1) and r.accuracy == 0.6 and r.f1 == pytest.approx(2 / 3)
     assert evaluation.auc(df, "t", "s").first().auc == pytest.approx(5 / 6)
     assert evaluation.auc(df.filter("t = 1"), "t", "s").first().auc is None
+    assert evaluation.auc(df.limit(0), "t", "s").first().auc is None and evaluation.roc_points(df.limit(0), "t", "s").count() == 0
     assert evaluation.rates(evaluation.confusion(df.limit(0), "t", "p")).first().f1 == 0
     assert evaluation.cosine_rate(0, 10) == pytest.approx(1e-4) and evaluation.cosine_rate(10, 10) == pytest.approx(1e-6)
     with pytest.raises(ValueError):
@@ -144,8 +145,38 @@ def test_evaluation(spark, tmp_path):
     rng = np.random.default_rng(1)
     stack = [np.clip(rng.normal(0.3 + 0.4 * (i % 2), 0.05, (16, 16)), 0, 1) for i in range(40)]
     data = frame(spark, *stack).withColumn("label", (F.col("image_id") % 2).cast("int")).withColumn("dataset_split", F.when(F.col("image_id") < 30, "train").otherwise("test"))
-    _, found = evaluation.train(data, "resnet18", side=2, path=f"{tmp_path}/model")
+    model, found = evaluation.train(data, "resnet18", side=2, path=f"{tmp_path}/model")
     assert found.first().accuracy > 0.9
+    assert evaluation.load_model(f"{tmp_path}/model").weights == model.weights
+
+
+def test_curves_over_many_scores_match_brute_force(spark):
+    rng = np.random.default_rng(3)
+    s = np.concatenate([rng.normal(size=2000), np.round(rng.normal(size=1000), 1), np.full(1500, 0.25)])  # a third tied
+    t = (rng.random(len(s)) < 0.4).astype(int)
+    df = spark.createDataFrame([(int(a), float(b)) for a, b in zip(t, s, strict=True)], "t int, s double")
+    got = evaluation.roc_points(df, "t", "s").collect()
+    assert len(got) == len(set(s.tolist()))
+    for r in got[:: max(1, len(got) // 40)]:
+        assert r.tpr == pytest.approx((s[t == 1] >= r.threshold).mean()) and r.fpr == pytest.approx((s[t == 0] >= r.threshold).mean())
+    more, less = s[t == 1][:, None], s[t == 0][None, :]
+    assert evaluation.auc(df, "t", "s").first().auc == pytest.approx(((more > less) + 0.5 * (more == less)).mean())
+    with_null = df.unionByName(spark.createDataFrame([(1, None)], "t int, s double"))
+    assert evaluation.roc_points(with_null, "t", "s").filter("threshold is null").first().tpr == 1  # last of all
+
+
+def test_losses_and_rates(spark):
+    df = spark.createDataFrame([(1, 0.9), (0, 0.2), (0, 0.7)], "t int, p double")
+    ce = [-np.log(x) for x in (0.9, 0.8, 0.3)]
+    row = evaluation.validate(df, "t", "p").first()
+    assert row.loss == pytest.approx(np.mean(ce)) and row.accuracy == pytest.approx(2 / 3)
+    weighted = evaluation.validate(df, "t", "p", "weighted_ce", {1: 3.0}).first()
+    assert weighted.loss == pytest.approx((3 * ce[0] + ce[1] + ce[2]) / 5)
+    focal = evaluation.validate(df, "t", "p", "focal").first()
+    assert focal.loss == pytest.approx(np.mean([0.25 * (1 - np.exp(-c)) ** 2 * c for c in ce]))
+    assert evaluation.validate(df.limit(0), "t", "p").first().loss is None
+    assert evaluation.plateau_rates([0.5] * 7, 1.0) == [1, 1, 1, 1, 1, 1, 0.5]
+    assert evaluation.plateau_rates([i / 10 for i in range(1, 9)], 1.0) == [1.0] * 8
 
 
 def test_tables_round_trip(spark, tmp_path):
