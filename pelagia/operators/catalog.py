@@ -231,12 +231,43 @@ def group_to_map(df: DataFrame, group: str, key: str, value: str, order: str) ->
     return one.groupBy(group).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, value)))).alias("map"), F.min(order).alias("first"))
 
 
-def grouped_statistics(df: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
-    """mean, std, median, min and max of the metrics that the table has; null keys are dropped."""
+def spread_medians(df: DataFrame, keys: list[str], metrics: list[str], buckets: int = 64) -> DataFrame:
+    """Exact medians ``<metric>_median`` by keys (without nulls), no task holding all values of a group.
+
+    Approximate quantiles cut each group's values into buckets; counts of buckets tell which ones hold the middle
+    ranks, and only those are ranked, equal values being counted first."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("_m"), F.col(m).cast("double").alias("_v")) for m in metrics])).alias("p")
+    long = df.select(*keys, pairs).select(*keys, "p.*").filter("_v is not null").groupBy(*keys, "_m", "_v").agg(F.count("*").alias("_n"))
+    by = [*keys, "_m"]
+    cuts = long.groupBy(*by).agg(F.array_distinct(F.percentile_approx("_v", [i / buckets for i in range(1, buckets)], 1000)).alias("_cuts"))
+    placed = long.join(cuts, by).select(*by, "_v", "_n", F.size(F.filter("_cuts", lambda x: x <= F.col("_v"))).alias("_b"))
+    sums = placed.groupBy(*by, "_b").agg(F.sum("_n").alias("_in"))  # at most ``buckets`` rows of a group
+    whole, earlier = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*by, "_b", "_in", F.coalesce(F.sum("_in").over(earlier), F.lit(0)).alias("_before"), F.sum("_in").over(whole).alias("_all"))
+    low, high = F.floor((F.col("_all") - 1) / 2), F.floor(F.col("_all") / 2)  # ranks from 0
+    middle = sums.filter((F.col("_before") <= high) & (F.col("_before") + F.col("_in") > low))
+    upto = Window.partitionBy(*by, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = placed.join(middle, [*by, "_b"]).withColumn("_upto", F.col("_before") + F.sum("_n").over(upto))
+    holds = lambda r: (F.col("_upto") > r) & (F.col("_upto") - F.col("_n") <= r)
+    ends = ranked.groupBy(*by).agg(F.max(F.when(holds(low), F.col("_v"))).alias("_low"), F.max(F.when(holds(high), F.col("_v"))).alias("_high"))
+    one = F.when(F.col("_low") == F.col("_high"), F.col("_low")).otherwise((F.col("_low") + F.col("_high")) / 2)
+    return ends.groupBy(*keys).agg(*[F.max(F.when(F.col("_m") == m, one)).alias(f"{m}_median") for m in metrics])
+
+
+def grouped_statistics(df: DataFrame, keys: list[str], metrics: list[str], spread: bool = False) -> DataFrame:
+    """mean, std, median, min and max of the metrics that the table has; null keys are dropped.
+
+    The built-in median holds the distinct values of a group in one task; ``spread`` is for groups too large for that."""
+    metrics, rows = [m for m in metrics if m in df.columns], df.dropna(subset=keys)
+    median = (lambda m: F.lit(None).cast("double")) if spread else F.median
     aggs = []
-    for m in [m for m in metrics if m in df.columns]:
-        aggs += [F.avg(m).alias(f"{m}_mean"), F.stddev_samp(m).alias(f"{m}_std"), F.median(m).alias(f"{m}_median"), F.min(m).alias(f"{m}_min"), F.max(m).alias(f"{m}_max")]
-    return df.dropna(subset=keys).groupBy(*keys).agg(*aggs)
+    for m in metrics:
+        aggs += [F.avg(m).alias(f"{m}_mean"), F.stddev_samp(m).alias(f"{m}_std"), median(m).alias(f"{m}_median"), F.min(m).alias(f"{m}_min"), F.max(m).alias(f"{m}_max")]
+    out = rows.groupBy(*keys).agg(*aggs)
+    if not spread or not metrics:
+        return out
+    names = out.columns
+    return out.drop(*[f"{m}_median" for m in metrics]).join(spread_medians(rows, keys, metrics), keys, "left").select(*names)
 
 
 def pivoted(df: DataFrame, index: str, columns: str, value: str, values: list[str]) -> DataFrame:

@@ -55,9 +55,9 @@ def test_split_sizes_of_the_published_corpus(spark):
 def test_resolvers(spark):
     folders = spark.createDataFrame([("b", "f/b/1.png"), ("c", "f/c/1.png")], "folder string, path string")
     known = spark.createDataFrame([("r/x/y.png",), ("r/z.png",)], "path string")
-    asked = spark.createDataFrame([("a\\c\\b",), ("x/y.png",), ("CBIS/jpeg/z.png",), ("none",), (None,)], "p string")
+    asked = spark.createDataFrame([("a\\c\\b",), ("x/y.png",), ("data/jpeg/z.png",), ("none",), (None,)], "p string")
     got = {r.p: r.resolved for r in catalog.resolve_by_segment(asked, "p", folders, known, "r/").collect()}
-    assert got == {"a\\c\\b": "f/c/1.png", "x/y.png": "r/x/y.png", "CBIS/jpeg/z.png": "r/z.png", "none": None, None: None}
+    assert got == {"a\\c\\b": "f/c/1.png", "x/y.png": "r/x/y.png", "data/jpeg/z.png": "r/z.png", "none": None, None: None}
     there = spark.createDataFrame([("data/a.png",), ("/app/data/b.png",), ("alt/c.png",)], "path string")
     asked = spark.createDataFrame([("/app/data/a.png",), ("data/b.png",), ("q/c.png",), ("z",)], "p string")
     got = {r.p: r.resolved for r in catalog.resolve_candidates(asked, "p", there, roots=("alt",)).collect()}
@@ -165,6 +165,19 @@ def test_curves_over_many_scores_match_brute_force(spark):
     assert evaluation.roc_points(with_null, "t", "s").filter("threshold is null").first().tpr == 1  # last of all
 
 
+def test_spread_medians_match_the_built_in_one(spark):
+    rng = np.random.default_rng(5)
+    rows = [(str(g), float(v)) for g in range(3) for v in np.concatenate([rng.normal(size=700 + g), np.full(400, 0.5)])]
+    rows += [("inf", float("inf")), ("inf", 1.0), ("one", 2.0), ("two", 1.0), ("two", 4.0), ("none", None), (None, 3.0)]
+    df = spark.createDataFrame(rows, "k string, a double").withColumn("b", -F.col("a"))
+    plain = catalog.grouped_statistics(df, ["k"], ["a", "b", "c"])
+    spread = catalog.grouped_statistics(df, ["k"], ["a", "b", "c"], spread=True)
+    assert plain.columns == spread.columns
+    medians = lambda d: sorted(map(repr, d.select("k", "a_median", "b_median").collect()))
+    assert medians(plain) == medians(spread) and spread.count() == 7
+    assert catalog.grouped_statistics(df.limit(0), ["k"], ["a"], spread=True).count() == 0
+
+
 def test_losses_and_rates(spark):
     df = spark.createDataFrame([(1, 0.9), (0, 0.2), (0, 0.7)], "t int, p double")
     ce = [-np.log(x) for x in (0.9, 0.8, 0.3)]
