@@ -21,39 +21,43 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pelagia.llm import jaccard
 from pelagia.llm.components import components
 from pelagia.llm.shared import materialise, row_key
 
-SHINGLE, RADIUS, BITS, SEED = 3, 3, 64, 42
+SHINGLE, RADIUS, BITS, SEED = 3, 3, 64, 42  # the contract of op6
+STAGE_SHINGLE, SIMILARITY = 5, 0.8  # the rule of the pipeline's stage
 #: Fingerprints of a bucket that are compared as one block.
 BLOCK = 1024
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """64 bits, each set if over half of the shingles' hashes have it; as a signed integer."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> list[int]:
+    """Hashes of the text's shingles in order; none without a word."""
     import xxhash
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return []
     line = b" ".join(words)
     if len(words) <= shingle:
-        hashes = [xxhash.xxh64_intdigest(line, SEED)]
-    else:
-        lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
-        ends = np.cumsum(lengths)
-        starts, stops = (ends - lengths).tolist(), (ends - 1).tolist()
-        h = xxhash.xxh64_intdigest
-        hashes = [h(line[a:b], SEED) for a, b in zip(starts, stops[shingle - 1 :], strict=False)]
+        return [xxhash.xxh64_intdigest(line, SEED)]
+    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    ends = np.cumsum(lengths)
+    starts, stops = (ends - lengths).tolist(), (ends - 1).tolist()
+    h = xxhash.xxh64_intdigest
+    return [h(line[a:b], SEED) for a, b in zip(starts, stops[shingle - 1 :], strict=False)]
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """64 bits, each set if over half of the shingles' hashes have it; as a signed integer."""
+    hashes = shingle_hashes(text, shingle)
+    if not hashes:
+        return 0
     bits = np.unpackbits(np.array(hashes, ">u8").view(np.uint8).reshape(-1, 8), axis=1)
     ones = bits.sum(0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes)).view(">i8")[0])
 
 
-def _fingerprints(text: pd.Series) -> pd.Series:
-    return pd.Series([fingerprint(t) for t in text], dtype="int64")
-
-
 def masks(radius: int = RADIUS, bits: int = BITS, seed: int = 7) -> list[int]:
     """2 ** (radius + 1) - 1 covering masks, as signed 64-bit integers."""
     rng = random.Random(seed)
@@ -118,36 +122,39 @@ def links(prints: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFr
     return rows.groupBy("task").applyInPandas(compare, "a long, b long").distinct()
 
 
-def _components(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """rows (id, fp, ...), written, and (fp, component_id) of its distinct fingerprints."""
-    prints, _ = materialise(rows, "prints")
-    nodes, _ = materialise(prints.groupBy("fp").agg(F.min("id").alias("id")), "nodes")
-    roots = components(links(nodes.select("fp")))
+def _rooted(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """(fp, component_id, root) of nodes (fp, id), from the links found."""
+    roots = components(found)
     rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
-    return prints, rooted.select("fp", "root").join(least, "root").select("fp", "component_id", "root")
+    return rooted.select("fp", "root").join(least, "root").select("fp", "component_id", "root")
 
 
-def _print(text: str) -> Column:
-    return F.pandas_udf(_fingerprints, "long")(F.col(f"`{text}`"))
-
-
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: list[str] | None = None, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """keep columns of docs under ``row``, ``fp`` and ``component_id``, the smallest id of the component."""
     row = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)])
-    prints, found = _components(docs.select(row.alias("row"), F.col(f"`{doc_id}`").alias("id"), _print(text).alias("fp")))
-    return prints.join(found, "fp").select("row", "fp", "component_id")
+    made = F.pandas_udf(lambda x: pd.Series([fingerprint(t, shingle) for t in x], dtype="int64"), "long")(F.col(f"`{text}`"))
+    prints, _ = materialise(docs.select(row.alias("row"), F.col(f"`{doc_id}`").alias("id"), made.alias("fp")), "prints")
+    nodes, _ = materialise(prints.groupBy("fp").agg(F.min("id").alias("id")), "nodes")
+    return prints.join(_rooted(nodes, links(nodes.select("fp"), radius)), "fp").select("row", "fp", "component_id")
 
 
-def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row of each component: that with the smallest id (null last), of several rows with it the one with the smallest key.
+def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = STAGE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """One row of each component of documents whose shingle sets have a Jaccard similarity of at least ``similarity``: that
+    with the smallest id (null last), of several rows with it the one with the smallest key.
 
-    Rows are chosen by a 128-bit key of all their columns; texts move once, to meet the chosen keys."""
+    Rows are chosen by a 128-bit key of all their columns; texts move once, to meet the chosen keys, and once more if they
+    may have a near copy."""
     key = row_key(*[f"`{c}`" for c in docs.columns])
     rows = docs.withColumns({"_key_a": key["a"], "_key_b": key["b"]})  # plain numbers: the join and the grouping share one exchange
-    prints, found = _components(rows.select(F.struct("_key_a", "_key_b").alias("key"), F.col(f"`{doc_id}`").alias("id"), _print(text).alias("fp")))
+    keyed = rows.select(F.struct("_key_a", "_key_b").alias("key"), F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"))
+    prints, _ = materialise(jaccard.sets_of(keyed, shingle, similarity), "prints")
+    nodes, _ = materialise(prints.groupBy("fp").agg(F.min("id").alias("id"), F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"), F.min("key").alias("key")), "nodes")
+    # one text for each set is enough
+    texts = keyed.select("key", "text").join(nodes.select("fp", "key"), "key").select("fp", "text")
+    found = _rooted(nodes.select("fp", "id"), jaccard.links(nodes, texts, shingle, similarity))
     first = F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("m")
-    chosen, _ = materialise(prints.join(found, "fp").groupBy("root").agg(first).select("m.key.*"), "chosen")
+    chosen, _ = materialise(prints.select("id", "key", "fp").join(found, "fp").groupBy("root").agg(first).select("m.key.*"), "chosen")
     # rows equal in every column share a key; the join has dealt them by it already
     return rows.join(chosen, ["_key_a", "_key_b"], "left_semi").dropDuplicates(["_key_a", "_key_b"]).drop("_key_a", "_key_b")
 
@@ -164,5 +171,5 @@ def op6(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component: that with the smallest id."""
+    """One document of each group of near copies (five-word shingles, Jaccard similarity 0.8 or more): that with the smallest id."""
     return deduplicated(docs)

@@ -116,6 +116,51 @@ def test_simhash_documents(spark, docs, none, small):
     assert simhash.stage(spark, none, "").count() == 0
 
 
+def jaccard_brute(texts, k=5):
+    """Component of each text: sets of k-word shingles with a Jaccard similarity of at least 0.8, transitively."""
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set())
+    parent = list(range(len(texts)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(texts))]
+
+
+@pytest.mark.parametrize("ahead", [4, 0])
+def test_stage_finds_all_near_copies(spark, monkeypatch, ahead):
+    from pelagia.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "SLACK", 100_000 if ahead else 0)
+    monkeypatch.setattr(jaccard, "AHEAD", ahead)
+    r = random.Random(8)
+    prose = lambda n: [f"w{r.randint(0, 400)}" for _ in range(n)]
+    common, texts = prose(40), ["", None, " \n", "one two", "one two three four", "one two three four five six seven"]
+    for _ in range(25):  # copies with several words changed, on both sides of 0.8, and chains of them
+        words = prose(r.choice([8, 30, 150, 400]))
+        texts.append(" ".join(words))
+        for _ in range(6):
+            words = list(words)
+            for _ in range(r.randint(0, max(1, len(words) // 45))):
+                words[r.randrange(len(words))] = "x%d" % r.randint(0, 999)
+            texts.append(" ".join(words))
+    texts += [" ".join(prose(30) + common) for _ in range(40)]  # a common passage links nothing
+    comps = jaccard_brute(texts)
+    assert len(set(comps)) < len(texts) - 60
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert sorted(x.doc_id for x in simhash.stage(spark, df, "").collect()) == sorted(set(comps))
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(120)] + [(1000, 1000 + i) for i in range(1, 80)] + [(5000, 5000)]
     got = {x.node: x.root for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
