@@ -7,7 +7,7 @@ they agree. Where an overlap has no such position (one pre-token covers it), the
 Texts of at most one chunk are encoded where they are read. Decoding joins the tokens' raw bytes.
 
 Defined cases: null text is the empty text (no tokens, the hashes of nothing); special-token strings in a text are
-ordinary text; equal rows give equal results, each once per row; an empty table gives an empty result; columns other
+ordinary text (encode_added, for op7, takes them as tokens); equal rows give equal results, each once per row; an empty table gives an empty result; columns other
 than the id and the text are not read; null ids are kept.
 """
 
@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -52,6 +53,25 @@ def encoding(path: str):
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks(path), special_tokens={})
 
 
+@lru_cache(maxsize=4)
+def added(path: str) -> tuple[re.Pattern | None, dict[str, int]]:
+    """The added tokens of a tokenizers .json, which that library matches in a text before all else, and a pattern for them."""
+    with open(path) as f:
+        found = json.load(f)["added_tokens"]
+    if any(x[flag] for x in found for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError(f"added tokens of {path} need more than a plain match")
+    ids = {x["content"]: x["id"] for x in found}
+    return re.compile("(" + "|".join(map(re.escape, sorted(ids, key=len, reverse=True))) + ")") if ids else None, ids
+
+
+def encode_added(path: str, text: str) -> list[int]:
+    """The ids that tokenizers gives with add_special_tokens=False: added tokens in the text are tokens, the rest is ordinary."""
+    enc, (pattern, ids) = encoding(path), added(path)
+    if pattern is None or not pattern.search(text):
+        return enc.encode_ordinary(text)
+    return [i for part in pattern.split(text) for i in ([ids[part]] if part in ids else enc.encode_ordinary(part))]
+
+
 @lru_cache(maxsize=2)
 def tokens(path: str) -> tuple[list[bytes], list[bytes]]:
     """By id: the token's raw bytes, and its id in decimal digits."""

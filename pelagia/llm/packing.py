@@ -6,7 +6,8 @@ pieces of a length at once into bins of equal content, then a local search moves
 two for one between underfull bins, each time increasing the squared fill, until bins empty. The result is at most a
 few thousand kinds of bins with a multiplicity; pieces find their places by their rank among pieces of their length.
 
-Defined cases: null text is empty and packs as its end token alone; repeated rows are packed once each; null ids are
+Defined cases: null text is empty and packs as its end token alone; added tokens of the vocabulary's file that stand in a
+text are tokens, as in ``tokenizers``; repeated rows are packed once each; null ids are
 kept; an empty table gives an empty result; columns other than the id and the text are not read.
 """
 
@@ -22,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pelagia.llm.bpe import encoding
+from pelagia.llm.bpe import encode_added
 from pelagia.llm.shared import materialise
 
 SIZE = 2048
@@ -158,11 +159,10 @@ def pack(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id",
     rows = docs.select(F.col(f"`{doc_id}`").cast("string").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoding(path)
         for b in batches:
             out = []
             for d, t in zip(b["doc_id"], b["text"], strict=True):
-                ids = np.array([*enc.encode_ordinary(t), end], "<u4")
+                ids = np.array([*encode_added(path, t), end], "<u4")
                 out += [(d, i, s, n, zlib.crc32(ids[s : s + n].tobytes())) for i, (s, n) in enumerate(cut(len(ids), size))]
             yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 

@@ -192,6 +192,19 @@ def test_packing_places_every_token_once(docs, none, small):
     assert packing.pack(none, JSON).count() == 0
 
 
+def test_packing_takes_added_tokens_as_tokenizers_does(spark, small):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(JSON)
+    texts = ["hello <|endoftext|> world", "<|endoftext|>", "a  <|endoftext|><|endoftext|>\n b", "x<|endoftext|", " <|endoftext|> 's <|ENDOFTEXT|>", "<|endoftext|>é" * 3000, *[x for _, x, _ in small if x]]
+    want = []
+    for i, x in enumerate(texts):
+        ids = [*t.encode(x, add_special_tokens=False).ids, 0]
+        want += [(i, k, s, n, zlib.crc32(np.array(ids[s : s + n], "<u4").tobytes())) for k, (s, n) in enumerate(packing.cut(len(ids)))]
+    out = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), JSON).collect()
+    assert sorted(want) == sorted(tuple(r)[:5] for r in out)
+
+
 def test_cut_only_the_first_piece_is_shorter():
     for n in (1, 2047, 2048, 2049, 4096, 5000):
         got = packing.cut(n)
