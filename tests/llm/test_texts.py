@@ -191,6 +191,30 @@ def test_language_id(spark, docs, none):
     assert language_id.stage(spark, docs, "").columns == docs.columns and language_id.stage(spark, none, "").count() == 0
 
 
+def test_language_id_rejects_an_unlearned_language():
+    import random
+
+    shared = "museum radio hotel taxi metro opera program central national animal capital material general digital music photo".split()
+    words = {
+        "en": "the of and to in is was that for with on are this from they have were which their there would about when",
+        "fr": "le la les des une dans est que pour avec sur sont cette par ils ont qui leur nous elle mais plus comme",
+        "es": "el los las una en es que para con sobre son esta por ellos han cual nos ella pero muy como todo desde",
+        "de": "der die das und ein nicht ist mit auf von sind dieser aus sie haben waren welche ihr wir aber mehr wie",
+    }
+    r = random.Random(4)
+    prose = lambda x: " ".join(r.choice(words[x].split() if r.random() < 0.35 else shared) for _ in range(r.randint(40, 120)))
+    rows = [(x, prose(x)) for x in sorted(words) * 90]
+    learned, held = rows[:240], rows[240:]
+    lost = let_in = 0
+    for out in words:
+        use = [(x, t) for x, t in learned if x != out]
+        model = language_id.fit([language_id.counts(t) for _, t in use], [x for x, _ in use])
+        got = language_id.predict(model, [t for _, t in held])["rejected"].tolist()
+        let_in += sum(not g for g, (x, _) in zip(got, held) if x == out)
+        lost += sum(g for g, (x, _) in zip(got, held) if x != out)
+    assert let_in <= 0.1 * len(held) and lost <= 0.03 * 3 * len(held), (let_in, lost)
+
+
 # --- op10 ----------------------------------------------------------------------------------------------------------
 
 
