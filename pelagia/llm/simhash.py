@@ -144,15 +144,13 @@ def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sh
     with the smallest id (null last), of several rows with it the one with the smallest key.
 
     Rows are chosen by a 128-bit key of all their columns; texts move once, to meet the chosen keys, and once more if they
-    may have a near copy."""
+    share much with another."""
     key = row_key(*[f"`{c}`" for c in docs.columns])
     rows = docs.withColumns({"_key_a": key["a"], "_key_b": key["b"]})  # plain numbers: the join and the grouping share one exchange
     keyed = rows.select(F.struct("_key_a", "_key_b").alias("key"), F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"))
     prints, _ = materialise(jaccard.sets_of(keyed, shingle, similarity), "prints")
-    nodes, _ = materialise(prints.groupBy("fp").agg(F.min("id").alias("id"), F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"), F.min("key").alias("key")), "nodes")
-    # one text for each set is enough
-    texts = keyed.select("key", "text").join(nodes.select("fp", "key"), "key").select("fp", "text")
-    found = _rooted(nodes.select("fp", "id"), jaccard.links(nodes, texts, shingle, similarity))
+    nodes, _ = materialise(prints.groupBy("fp").agg(F.min("id").alias("id")), "nodes")
+    found = _rooted(nodes, jaccard.links(prints.select("key", "fp", "n", "prefix"), keyed.select("key", "text"), shingle, similarity))
     first = F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("m")
     chosen, _ = materialise(prints.select("id", "key", "fp").join(found, "fp").groupBy("root").agg(first).select("m.key.*"), "chosen")
     # rows equal in every column share a key; the join has dealt them by it already
