@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pelagia.llm.shared import bounded
+
 CHUNK, OVERLAP = 1 << 16, 1 << 10
 #: A match that ends closer than this to the end of a chunk may end elsewhere in the whole text ("'r" before "e").
 MARGIN = 2
@@ -134,6 +136,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id
 
 
 def _encoded(docs: DataFrame, path: str, text: str, doc_id: str, chunk: int, overlap: int, finish, kind: str) -> DataFrame:
+    bounded(docs.sparkSession)
     id_type = docs.schema[doc_id].dataType
     rows = docs.select(F.col(f"`{doc_id}`").cast("string").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
 

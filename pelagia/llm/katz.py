@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pelagia.llm.shared import crc_mod, materialise
+from pelagia.llm.shared import bounded, crc_mod, materialise
 
 K = 5
 BLOCK, PART = 2_000_000, 2_000_000  # tokens of a block; tokens for each part of the word and history space
@@ -296,6 +296,7 @@ def _score(words: Words, parts: int, hot: int, d: np.ndarray, hot_sums: dict[int
 def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", block: int = BLOCK, part: int = PART) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
+    bounded(docs.sparkSession)
     id_type = docs.schema[doc_id].dataType
     rows = docs.select(F.col(f"`{doc_id}`").cast("string").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"), (crc_mod(doc_id, 7) == 2).alias("held"))
     made = rows.mapInPandas(_blocks(block), "block string, n long, ids array<string>, held array<boolean>, lengths array<int>, vocab binary, ranks binary, train binary, tokens binary")

@@ -22,27 +22,29 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pelagia.llm.shared import crc_mod
+from pelagia.llm.shared import bounded, crc_mod, fresh, table
 
 DIMS, GRAMS, CENTROIDS, SAMPLE = 1 << 12, (1, 2, 3), 4, 500
 #: Share of the cosine that the sample's documents of a length reach at least, below which a text is rejected. Set by fits
 #: that leave one language out (README).
 MARGIN = 0.8
 UNKNOWN = "und"
+SLICE = 1 << 18  # characters whose n-grams are held at once
 
 
 def counts(text: str | None) -> np.ndarray | None:
-    """Hashed n-gram counts of a whole text; None without a letter."""
+    """Hashed n-gram counts of a whole text, taken slice by slice; None without a letter."""
     if not text or not any(map(str.isalpha, text)):
         return None
-    chars = np.frombuffer((" " + text.lower() + " ").encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    chars = np.where(chars < 65, np.uint64(32), chars)  # digits, signs and white space separate words alike
-    out = np.zeros(DIMS, np.int64)
-    mixed = np.zeros_like(chars)
-    for n in range(1, max(GRAMS) + 1):
-        mixed = (mixed[: len(chars) - n + 1] + chars[n - 1 :]) * np.uint64(0x9E3779B97F4A7C15)
-        if n in GRAMS:
-            out += np.bincount(((mixed ^ np.uint64(n)) >> np.uint64(64 - 12)).astype(np.int64), minlength=DIMS)
+    whole, out = " " + text.lower() + " ", np.zeros(DIMS, np.int64)
+    for a in range(0, len(whole), SLICE):
+        chars = np.frombuffer(whole[a : a + SLICE + max(GRAMS) - 1].encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        chars = np.where(chars < 65, np.uint64(32), chars)  # digits, signs and white space separate words alike
+        mixed = np.zeros_like(chars)
+        for n in range(1, max(GRAMS) + 1):
+            mixed = (mixed[: len(chars) - n + 1] + chars[n - 1 :]) * np.uint64(0x9E3779B97F4A7C15)
+            if n in GRAMS:  # those that begin in this slice
+                out += np.bincount(((mixed[:SLICE] ^ np.uint64(n)) >> np.uint64(64 - 12)).astype(np.int64), minlength=DIMS)
     return out
 
 
@@ -120,6 +122,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
     """Fit on documents outside the held-out fold with a label: at most ``sample`` of each language.
 
     Hashes choose them without moving a text; what comes to the driver is the chosen texts' counts, DIMS numbers each."""
+    bounded(docs.sparkSession)
     rows = docs.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{doc_id}`").alias("id"))
     rows = rows.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & (crc_mod("id", 3) != 1)).withColumn("h", F.xxhash64("id", "text"))
     sizes = rows.groupBy("lang").count().collect()  # a row per language
@@ -139,23 +142,30 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
     return fit([np.frombuffer(zlib.decompress(c), "<i8") for _, _, c in found], [x for x, _, _ in found])
 
 
-def identify(docs: DataFrame, model: dict | None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """keep columns of docs under ``row``, lang_pred, score and rejected."""
-    row = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)])
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # DIMS * CENTROIDS floats a language
+def _predicted(spark, model: dict | None):
+    sent = bounded(spark).sparkContext.broadcast(model)  # DIMS * CENTROIDS floats a language
 
     def apply(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield predict(sent.value, b.tolist())
 
     apply.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    found = F.pandas_udf(apply, "lang_pred string, score double, rejected boolean")
-    return docs.select(row.alias("row"), found(F.col(f"`{text}`")).alias("p")).select("row", "p.*")
+    return F.pandas_udf(apply, "lang_pred string, score double, rejected boolean")
 
 
-def op4(spark, sf_dir: str) -> DataFrame:
-    from pelagia.llm.shared import table
+def identify(docs: DataFrame, model: dict | None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """keep columns of docs under ``row``, lang_pred, score and rejected."""
+    row = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)])
+    return docs.select(row.alias("row"), _predicted(docs.sparkSession, model)(F.col(f"`{text}`")).alias("p")).select("row", "p.*")
+
+
+def near(docs: DataFrame, model: dict | None, text: str = "text") -> DataFrame:
+    """The documents that are not rejected, with their own columns."""
+    p = fresh(docs, "_predicted")
+    return docs.withColumn(p, _predicted(docs.sparkSession, model)(F.col(f"`{text}`"))).filter(~F.col(f"{p}.rejected")).drop(p)
 
+
+def op4(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = identify(docs, train(docs), keep=["doc_id"])
     return out.select("row.doc_id", (crc_mod("row.doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "rejected")
@@ -163,4 +173,4 @@ def op4(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents near enough to a learned language, with their own columns."""
-    return identify(docs, train(docs)).filter(~F.col("rejected")).select("row.*")
+    return near(docs, train(docs))

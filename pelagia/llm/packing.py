@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pelagia.llm.bpe import encode_added
-from pelagia.llm.shared import materialise
+from pelagia.llm.shared import bounded, materialise
 
 SIZE = 2048
 #: Pieces of one length that are numbered in one task.
@@ -155,6 +155,7 @@ def cut(n: int, size: int = SIZE) -> list[tuple[int, int]]:
 
 def pack(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id", size: int = SIZE, end: int = 0, moves: int = 2000) -> DataFrame:
     """A row per piece with its sequence and offset."""
+    bounded(docs.sparkSession)
     id_type = docs.schema[doc_id].dataType
     rows = docs.select(F.col(f"`{doc_id}`").cast("string").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from pelagia.llm import jaccard
 from pelagia.llm.components import components
-from pelagia.llm.shared import materialise, row_key
+from pelagia.llm.shared import bounded, materialise, row_key, segments, table
 
 SHINGLE, RADIUS, BITS, SEED = 3, 3, 64, 42  # the contract of op6
 STAGE_SHINGLE, SIMILARITY = 5, 0.8  # the rule of the pipeline's stage
@@ -31,30 +31,36 @@ STAGE_SHINGLE, SIMILARITY = 5, 0.8  # the rule of the pipeline's stage
 BLOCK = 1024
 
 
-def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> list[int]:
-    """Hashes of the text's shingles in order; none without a word."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """Hashes of the text's shingles in order, as unsigned numbers; none without a word. Words are held a segment at a time."""
     import xxhash
 
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return []
-    line = b" ".join(words)
-    if len(words) <= shingle:
-        return [xxhash.xxh64_intdigest(line, SEED)]
-    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    ends = np.cumsum(lengths)
-    starts, stops = (ends - lengths).tolist(), (ends - 1).tolist()
-    h = xxhash.xxh64_intdigest
-    return [h(line[a:b], SEED) for a, b in zip(starts, stops[shingle - 1 :], strict=False)]
+    h, out, carried, any_ = xxhash.xxh64_intdigest, [], [], False
+    for part in segments((text or "").encode("utf-8", "surrogatepass").lower()):
+        words = carried + part.split()
+        if len(words) < shingle:
+            carried = words
+            continue
+        any_, carried = True, words[len(words) - shingle + 1 :] if shingle > 1 else []
+        line = b" ".join(words)
+        lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        ends = np.cumsum(lengths)
+        starts, stops = (ends - lengths).tolist(), (ends - 1).tolist()[shingle - 1 :]
+        out.append(np.fromiter((h(line[a:b], SEED) for a, b in zip(starts, stops, strict=False)), np.uint64, len(stops)))
+    if not any_:
+        return np.array([h(b" ".join(carried), SEED)] if carried else [], np.uint64)
+    return np.concatenate(out)
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """64 bits, each set if over half of the shingles' hashes have it; as a signed integer."""
     hashes = shingle_hashes(text, shingle)
-    if not hashes:
+    if not len(hashes):
         return 0
-    bits = np.unpackbits(np.array(hashes, ">u8").view(np.uint8).reshape(-1, 8), axis=1)
-    ones = bits.sum(0, dtype=np.int64)
+    ones = np.zeros(BITS, np.int64)
+    for a in range(0, len(hashes), 1 << 16):
+        some = np.unpackbits(hashes[a : a + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        ones += some.sum(0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes)).view(">i8")[0])
 
 
@@ -132,6 +138,7 @@ def _rooted(nodes: DataFrame, found: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: list[str] | None = None, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """keep columns of docs under ``row``, ``fp`` and ``component_id``, the smallest id of the component."""
+    bounded(docs.sparkSession)
     row = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)])
     made = F.pandas_udf(lambda x: pd.Series([fingerprint(t, shingle) for t in x], dtype="int64"), "long")(F.col(f"`{text}`"))
     prints, _ = materialise(docs.select(row.alias("row"), F.col(f"`{doc_id}`").alias("id"), made.alias("fp")), "prints")
@@ -145,6 +152,7 @@ def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sh
 
     Rows are chosen by a 128-bit key of all their columns; texts move once, to meet the chosen keys, and once more if they
     share much with another."""
+    bounded(docs.sparkSession)
     key = row_key(*[f"`{c}`" for c in docs.columns])
     rows = docs.withColumns({"_key_a": key["a"], "_key_b": key["b"]})  # plain numbers: the join and the grouping share one exchange
     keyed = rows.select(F.struct("_key_a", "_key_b").alias("key"), F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"))
@@ -162,8 +170,6 @@ def as_hex(fp: Column) -> Column:
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
-    from pelagia.llm.shared import table
-
     out = near_duplicates(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return out.select("row.doc_id", as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
