@@ -1,20 +1,20 @@
 """Exact top-k inner products by no-random-access aggregation.
 
-Every dimension is a list of candidates sorted by their component, read from the top for a positive weight of the
-query and from the bottom for a negative one. After a depth, what a list has shown is known exactly and what it has
-not is bounded by its frontier and its far end; that gives every candidate a lower and an upper bound of its score.
-Candidates whose upper bound is below the k-th best lower bound are out. When a block's outsiders cannot qualify,
-reading stops, and the scores of those left are resolved.
+Every dimension is a list of candidates sorted by their component. A query reads each list in the order of its
+contributions (from the top for a positive weight, from the bottom for a negative one), a step of rows at a time. What it
+has read adds to a candidate's score; what it has not is worth at most the list's frontier and at least its far end. So
+every candidate has a lower and an upper bound, and after each step those whose upper bound is below the k-th best lower
+bound are out. Reading stops when so few are left that no outsider can qualify, or when the lists end; the scores of
+those left are then resolved. No component is looked at before its list shows it.
 
 Queries and candidates are cut into blocks; each pair of blocks is a task of its own, whose lists are sorted once for all
-its queries. Candidates move once for every block of queries, so those are large; their bounds are made in slices, two
-matrix products each: a list read down to a value t shows max(x, t) at best.
+its queries. Candidates move once for every block of queries, so those are large. reading() reports how far lists are read.
 
-Scores are integers: components become floor(scale * x), below 2 ** 53 in sum, so float64 products are exact.
+Scores are integers: components become floor(scale * x), below 2 ** 53 in sum, so float64 sums are exact.
 
-Defined cases: vectors that are null or hold null or non-finite components take no part, as query or candidate; nor do those
-of another length than most; a query is not its own candidate (rows of its id are not); ties go to the smaller id;
-fewer candidates than k give all; an empty table gives an empty result; other columns are not read.
+Defined cases: vectors that are null or hold null or non-finite components take no part, as query or candidate; vectors of
+different lengths are searched apart, each among its own; a query is not its own candidate (rows of its id are not); ties
+go to the smaller id; fewer candidates than k give all; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,97 +26,90 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pelagia.llm.shared import materialise
+from pelagia.llm.shared import bounded, materialise, table
 
 K, SCALE, QUERY_MOD = 5, 256, 50
 QUERIES, CANDIDATES = 8192, 4096  # rows of a block
-SLICE = 1024  # queries whose bounds are held at once
-DEPTHS = (0.3, 0.6)  # share of the lists read before each test
-
-
-def nra(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int = K, depths: tuple[float, ...] = DEPTHS, slice_: int = SLICE) -> list[tuple[int, int, int]]:
-    """(query id, candidate id, score): per query at least its k best among x, by score and then smaller id."""
-    out = []
-    lists = np.sort(x, axis=0)  # every column read from either end
-    for a in range(0, len(q), slice_):
-        _sliced(out, q[a : a + slice_], q_ids[a : a + slice_], x, x_ids, lists, k, depths)
+STEPS, FEW = 24, 8  # tests on the way through a list; candidates for each of k that are few enough to resolve
+
+
+def nra(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int = K, steps: int = STEPS, few: int = FEW) -> list[tuple[int, int, int, int]]:
+    """(query id, candidate id, score, depth read): per query its k best among x, by score and then smaller id."""
+    out: list[tuple[int, int, int, int]] = []
+    if not len(x):
+        return out
+    order = np.argsort(x, axis=0, kind="stable")
+    lists = np.take_along_axis(x, order, 0)
+    unseen = np.empty(x.shape)
+    for weights, q_id in zip(q, q_ids, strict=True):
+        at, depth = _inside(weights, x_ids != q_id, order, lists, unseen, k, max(1, -(-len(x) // steps)), few * k)
+        scores = x[at] @ weights
+        best = np.lexsort((x_ids[at], -scores))[:k]
+        out += [(int(q_id), int(x_ids[at[i]]), int(scores[i]), depth) for i in best]
     return out
 
 
-def _sliced(out: list, q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, lists: np.ndarray, k: int, depths: tuple[float, ...]) -> None:
-    n = len(x)
-    if not n:
-        return
-    pos, neg = np.maximum(q, 0.0), np.minimum(q, 0.0)
-    low, high = lists[0], lists[-1]
-    alive = np.arange(len(q))
-    mine = q_ids[:, None] == x_ids[None, :]
-    if n > 4 * k:
-        for depth in depths:
-            h = min(n - 1, int(n * depth))
-            top, bottom = lists[n - 1 - h], lists[h]  # frontiers from above and from below
-            a, b = pos[alive], neg[alive]
-            upper = a @ np.maximum(x, top).T + b @ np.minimum(x, bottom).T
-            lower = a @ np.where(x >= top, x, low).T + b @ np.where(x <= bottom, x, high).T
-            lower[mine[alive]] = -np.inf
-            least = np.partition(lower, n - k, axis=1)[:, n - k]
-            inside = (upper >= least[:, None]) & ~mine[alive]
-            few = inside.sum(1) <= max(8 * k, n // 8)
-            for i in np.flatnonzero(few):
-                at = np.flatnonzero(inside[i])
-                _resolve(out, q[alive[i]], q_ids[alive[i]], x, x_ids, at, k)
-            alive = alive[~few]
-            if not len(alive):
-                return
-    scores = q[alive] @ x.T  # the lists are read to their ends
-    for s, i in zip(scores, alive, strict=True):
-        at = np.flatnonzero(~mine[i])
-        if len(at) > k:
-            at = at[s[at] >= np.partition(s[at], len(at) - k)[len(at) - k]]
-        _resolve(out, q[i], q_ids[i], x, x_ids, at, k)
-
-
-def _resolve(out: list, q: np.ndarray, q_id: int, x: np.ndarray, x_ids: np.ndarray, at: np.ndarray, k: int) -> None:
-    s = x[at] @ q
-    best = np.lexsort((x_ids[at], -s))[:k]
-    out += [(int(q_id), int(x_ids[at[i]]), int(s[i])) for i in best]
-
-
-def top_k(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", embedding: str = "embedding", k: int = K, scale: int = SCALE) -> DataFrame:
-    """query_id, rank, vec_id, score."""
+def _inside(weights: np.ndarray, allowed: np.ndarray, order: np.ndarray, lists: np.ndarray, unseen: np.ndarray, k: int, step: int, few: int) -> tuple[np.ndarray, int]:
+    """The candidates that can be among the k best, and the depth to which the lists were read to know."""
+    n = len(order)
+    up, down = np.flatnonzero(weights > 0), np.flatnonzero(weights < 0)
+    floor = np.where(weights > 0, lists[0], lists[-1]) * weights  # the far end's contribution
+    lower = np.full(n, floor.sum())
+    if allowed.sum() <= max(k, few):
+        return np.flatnonzero(allowed), 0
+    unseen[:] = 1.0
+    for begin in range(0, n, step):
+        end = min(begin + step, n)
+        for dims, rows in ((up, slice(n - end, n - begin)), (down, slice(begin, end))):
+            who = order[rows][:, dims]
+            gain = lists[rows][:, dims] * weights[dims] - floor[dims]
+            lower += np.bincount(who.ravel(), gain.ravel(), n)
+            unseen[who, dims] = 0.0
+        frontier = np.where(weights > 0, lists[n - end], lists[end - 1]) * weights - floor
+        upper = lower + unseen @ frontier
+        least = np.partition(lower[allowed], -k)[-k]
+        inside = np.flatnonzero(allowed & (upper >= least))
+        if len(inside) <= few:
+            break
+    return inside, end
+
+
+def _found(vectors: DataFrame, is_query: Column, vec_id: str, embedding: str, k: int, scale: int) -> DataFrame:
+    """query_id, vec_id, score, depth and n (candidates) of each pair of blocks."""
+    bounded(vectors.sparkSession)
     e = F.col(f"`{embedding}`").cast("array<double>")
     usable = vectors.select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), is_query.alias("q"), e.alias("e"))
     finite = F.forall("e", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    usable = usable.filter(F.col("vec_id").isNotNull() & F.col("e").isNotNull() & finite).select("vec_id", "q", F.transform("e", lambda v: F.floor(v * scale).cast("double")).alias("e"))
-    usable, _ = materialise(usable, "vectors")
-    sizes = usable.groupBy("q", F.size("e").alias("dims")).count().collect()  # a row per length
-    if not sizes:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    by_dims = {}
-    for r in sizes:
-        by_dims[r["dims"]] = by_dims.get(r["dims"], 0) + r["count"]
-    dims = max(by_dims, key=lambda d: (by_dims[d], d))
-    n_q = sum(r["count"] for r in sizes if r["q"] and r["dims"] == dims)
-    rows, cols = max(1, ceil(n_q / QUERIES)), max(1, ceil(by_dims[dims] / CANDIDATES))
-    usable = usable.filter(F.size("e") == dims)
+    usable = usable.filter(F.col("vec_id").isNotNull() & F.col("e").isNotNull() & finite)
+    usable, _ = materialise(usable.select("vec_id", "q", F.transform("e", lambda v: F.floor(v * scale).cast("double")).alias("e"), F.size("e").alias("dims")), "vectors")
+    n_q, n = usable.agg(F.count_if("q"), F.count("*")).first()
+    rows, cols = max(1, ceil(n_q / QUERIES)), max(1, ceil(n / CANDIDATES))
     h = F.xxhash64("vec_id", "e")
-    asked = usable.filter("q").select(F.pmod(h, F.lit(rows)).alias("row"), F.explode(F.sequence(F.lit(0), F.lit(cols - 1))).alias("col"), "vec_id", "e", F.lit(True).alias("q"))
-    given = usable.select(F.pmod(h, F.lit(cols)).alias("col"), F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("row"), "vec_id", "e", F.lit(False).alias("q"))
-    grid = asked.select("row", F.col("col").cast("long").alias("col"), "vec_id", "e", "q").unionByName(given.select(F.col("row").cast("long").alias("row"), "col", "vec_id", "e", "q"))
+    numbers = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)).cast("array<long>"))
+    asked = usable.filter("q").select("dims", F.pmod(h, F.lit(rows)).alias("row"), numbers(cols).alias("col"), "vec_id", "e", F.lit(True).alias("q"))
+    given = usable.select("dims", numbers(rows).alias("row"), F.pmod(h, F.lit(cols)).alias("col"), "vec_id", "e", F.lit(False).alias("q"))
 
     def block(g: pd.DataFrame) -> pd.DataFrame:
         q, x = g[g["q"]], g[~g["q"]]
         got = nra(np.stack(q["e"].to_numpy()), q["vec_id"].to_numpy(), np.stack(x["e"].to_numpy()), x["vec_id"].to_numpy(), k) if len(q) and len(x) else []
-        return pd.DataFrame(got, columns=["query_id", "vec_id", "score"]).astype("int64")
+        return pd.DataFrame(got, columns=["query_id", "vec_id", "score", "depth"]).astype("int64").assign(n=len(x))
+
+    return asked.unionByName(given).groupBy("dims", "row", "col").applyInPandas(block, "query_id long, vec_id long, score long, depth long, n long")
 
-    found = grid.groupBy("row", "col").applyInPandas(block, "query_id long, vec_id long, score long")
+
+def top_k(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", embedding: str = "embedding", k: int = K, scale: int = SCALE) -> DataFrame:
+    """query_id, rank, vec_id, score."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = _found(vectors, is_query, vec_id, embedding, k, scale).select("query_id", "vec_id", "score")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def op5(spark, sf_dir: str) -> DataFrame:
-    from pelagia.llm.shared import table
+def reading(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", embedding: str = "embedding", k: int = K, scale: int = SCALE) -> DataFrame:
+    """query_id, n and depth: how long its lists are in each block of candidates, and how far they were read."""
+    return _found(vectors, is_query, vec_id, embedding, k, scale).select("query_id", "n", "depth").distinct()
+
 
+def op5(spark, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % QUERY_MOD == 0)
 
 
@@ -125,7 +118,7 @@ with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::dou
            where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x::double))) = 0),
 s as (select q.vec_id as query_id, c.vec_id as vec_id,
              list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i]))::bigint as score
-      from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0),
+      from v q join v c on q.vec_id <> c.vec_id and len(q.e) = len(c.e) where q.vec_id % 50 = 0),
 r as (select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score from s)
 select query_id, rank, vec_id, score from r where rank <= 5
 """
