@@ -1,10 +1,11 @@
 """Byte-level BPE encoding and decoding by overlapping chunks.
 
-A long text is cut into chunks that overlap. Every chunk is pre-tokenised and its pieces encoded in a task of its
-own; the first pieces of a chunk may be wrong, because it can start inside a pre-token. Two neighbours are stitched at
-the first position in their overlap at which both start a pre-token: the pattern looks only forward, so from there on
-they agree. Where an overlap has no such position (one pre-token covers it), the document is joined and encoded as one.
-Texts of at most one chunk are encoded where they are read. Decoding joins the tokens' raw bytes.
+A text is cut into chunks that overlap. Every chunk is pre-tokenised and its pieces encoded; the first pieces of a chunk may
+be wrong, because it can start inside a pre-token. Two neighbours are stitched at the first position in their overlap at
+which both start a pre-token: the pattern looks only forward, so from there on they agree. Where an overlap has no such
+position (one pre-token covers it), the document is pre-tokenised as one. The chunks of a text of more than ``spread``
+chunks are dealt out to tasks, and stitched in one, which then holds that text's ids; those of others are done where the
+text is read. Decoding joins the tokens' raw bytes.
 
 Defined cases: null text is the empty text (no tokens, the hashes of nothing); special-token strings in a text are
 ordinary text (encode_added, for op7, takes them as tokens); equal rows give equal results, each once per row; an empty table gives an empty result; columns other
@@ -19,15 +20,18 @@ import json
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pelagia.llm.shared import bounded
+from pelagia.llm.shared import bounded, table
 
-CHUNK, OVERLAP = 1 << 16, 1 << 10
+CHUNK, OVERLAP, SPREAD = 1 << 14, 1 << 10, 4
+#: Different pieces whose ids are remembered.
+KNOWN = 1 << 17
 #: A match that ends closer than this to the end of a chunk may end elsewhere in the whole text ("'r" before "e").
 MARGIN = 2
 
@@ -100,15 +104,39 @@ def digest(path: str, ids: list[int]) -> tuple[int, str, str]:
     return len(ids), hashlib.sha256(digits).hexdigest(), hashlib.sha256(decode(path, ids)).hexdigest()
 
 
+class Known(dict):
+    """Ids of the pieces met so far."""
+
+    def __init__(self, path: str) -> None:
+        enc = encoding(path)
+        self.encode = enc.encode_single_piece if hasattr(enc, "encode_single_piece") else enc._encode_single_piece
+
+    def __missing__(self, piece: str) -> list[int]:
+        if len(self) >= KNOWN:
+            self.clear()
+        ids = self[piece] = self.encode(piece)
+        return ids
+
+
+@lru_cache(maxsize=2)
+def known(path: str) -> Known:
+    return Known(path)
+
+
 def pieces(path: str, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts of the pre-tokens of a chunk, the number of ids of each, and all ids. The last start is the chunk's length."""
-    enc, starts, counts, ids = encoding(path), [], [], []
-    for m in pretokens().finditer(text):
-        got = enc.encode_single_piece(m[0].encode()) if hasattr(enc, "encode_single_piece") else enc._encode_single_piece(m[0])
-        starts.append(m.start())
-        counts.append(len(got))
-        ids += got
-    return np.array([*starts, len(text)], np.int64), np.array(counts, np.int64), np.array(ids, np.int64)
+    found = pretokens().findall(text)
+    got = list(map(known(path).__getitem__, found))
+    starts = np.zeros(len(found) + 1, np.int64)
+    np.cumsum(np.fromiter(map(len, found), np.int64, len(found)), out=starts[1:])
+    counts = np.fromiter(map(len, got), np.int64, len(got))
+    return starts, counts, np.fromiter(chain.from_iterable(got), np.int64, int(counts.sum()))
+
+
+def encode_text(path: str, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> np.ndarray:
+    """Ids of a text by its chunks."""
+    ids = stitch([pieces(path, text[i : i + chunk + overlap]) for i in range(0, len(text), chunk)], chunk)
+    return pieces(path, text)[2] if ids is None else ids
 
 
 def stitch(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], chunk: int) -> np.ndarray | None:
@@ -130,20 +158,19 @@ def stitch(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], chunk: int) -
     return np.concatenate(out) if out else np.empty(0, np.int64)
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+def encode(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id", chunk: int = CHUNK, overlap: int = OVERLAP, spread: int = SPREAD) -> DataFrame:
     """doc_id, ids (array<int>) of every text."""
-    return _encoded(docs, path, text, doc_id, chunk, overlap, lambda ids: list(map(int, ids)), "array<int>").select("doc_id", F.col("value").alias("ids"))
+    return _encoded(docs, path, text, doc_id, chunk, overlap, spread, lambda ids: list(map(int, ids)), "array<int>").select("doc_id", F.col("value").alias("ids"))
 
 
-def _encoded(docs: DataFrame, path: str, text: str, doc_id: str, chunk: int, overlap: int, finish, kind: str) -> DataFrame:
+def _encoded(docs: DataFrame, path: str, text: str, doc_id: str, chunk: int, overlap: int, spread: int, finish, kind: str) -> DataFrame:
     bounded(docs.sparkSession)
     id_type = docs.schema[doc_id].dataType
     rows = docs.select(F.col(f"`{doc_id}`").cast("string").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
 
-    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoding(path)
+    def here(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "value": [finish(enc.encode_ordinary(t)) for t in b["text"]]})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "value": [finish(encode_text(path, t, chunk, overlap).tolist()) for t in b["text"]]})
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -157,26 +184,25 @@ def _encoded(docs: DataFrame, path: str, text: str, doc_id: str, chunk: int, ove
         once = group.drop_duplicates("chunk_no")
         ids = stitch([tuple(np.frombuffer(r[c], "<i4").astype(np.int64) for c in ("starts", "counts", "ids")) for _, r in once.iterrows()], chunk)
         if ids is None:
-            ids = encoding(path).encode_ordinary("".join(t[:chunk] for t in once["chunk_text"]))
-        return pd.DataFrame({"doc_id": group["doc_id"].iloc[:1].repeat(copies), "value": [finish(list(map(int, ids)))] * copies})
+            ids = pieces(path, "".join(t[:chunk] for t in once["chunk_text"]))[2]
+        return pd.DataFrame({"doc_id": group["doc_id"].iloc[:1].repeat(copies), "value": [finish(ids.tolist())] * copies})
 
     schema = f"doc_id string, value {kind}"
-    short = rows.filter(F.length("text") <= chunk).mapInPandas(whole, schema)
+    few = rows.filter(F.length("text") <= chunk * spread).mapInPandas(here, schema)
     numbers = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / chunk).cast("int"))
-    long = rows.filter(F.length("text") > chunk).withColumn("k1", F.xxhash64("doc_id", "text")).withColumn("k2", F.xxhash64(F.lit(7), "text", "doc_id"))
+    long = rows.filter(F.length("text") > chunk * spread).withColumn("k1", F.xxhash64("doc_id", "text")).withColumn("k2", F.xxhash64(F.lit(7), "text", "doc_id"))
     chunks = long.select("doc_id", "k1", "k2", "text", F.explode(numbers).alias("chunk_no")).select("doc_id", "k1", "k2", "chunk_no", F.expr(f"substring(text, chunk_no * {chunk} + 1, {chunk + overlap})").alias("chunk_text"))
     # chunks of one document go to different tasks: that is where the parallel work is
     chunks = chunks.repartition(F.xxhash64("k1", "chunk_no"))
     done = chunks.mapInPandas(cut, "doc_id string, k1 long, k2 long, chunk_no int, chunk_text string, starts binary, counts binary, ids binary")
-    out = short.unionByName(done.groupBy("k1", "k2").applyInPandas(join, schema))
+    out = few.unionByName(done.groupBy("k1", "k2").applyInPandas(join, schema))
     return out.withColumn("doc_id", F.col("doc_id").cast(id_type))
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from pelagia.llm.shared import table
-
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    out = _encoded(table(spark, sf_dir, "documents"), path, "text", "doc_id", CHUNK, OVERLAP, lambda ids: dict(zip(("n_tokens", "ids_sha256", "decoded_sha256"), digest(path, ids), strict=True)), "struct<n_tokens: bigint, ids_sha256: string, decoded_sha256: string>")
+    finish = lambda ids: dict(zip(("n_tokens", "ids_sha256", "decoded_sha256"), digest(path, ids), strict=True))
+    out = _encoded(table(spark, sf_dir, "documents"), path, "text", "doc_id", CHUNK, OVERLAP, SPREAD, finish, "struct<n_tokens: bigint, ids_sha256: string, decoded_sha256: string>")
     return out.select("doc_id", "value.*")
