@@ -16,7 +16,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, islice
 
 import numpy as np
 import pandas as pd
@@ -24,11 +24,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pelagia.llm.bpe import encode_added
-from pelagia.llm.shared import bounded, materialise
+from pelagia.llm.shared import bounded, materialise, table
 
 SIZE = 2048
 #: Pieces of one length that are numbered in one task.
 RANKED = 200_000
+#: Bins that the local search fails to empty, one after the other, before it ends.
+PATIENCE = 200
+#: Kinds of bins with the same room that it looks at for an exchange.
+PARTNERS = 64
 
 Bin = tuple[tuple[int, int], ...]  # (length, how many), longest first
 
@@ -97,38 +101,69 @@ def _exchange(a: Bin, b: Bin, room: int) -> tuple[tuple[int, ...], tuple[int, ..
     return found
 
 
-def local_search(bins: dict[Bin, int], size: int = SIZE, moves: int = 2000) -> dict[Bin, int]:
-    """Empty the emptiest bins into the others. Every step increases the sum of squared fills, so it ends; at most ``moves`` steps."""
+def local_search(bins: dict[Bin, int], size: int = SIZE, patience: int = PATIENCE) -> dict[Bin, int]:
+    """Empty the emptiest bins into others at least as full, by the largest exchanges there are. Every exchange increases
+    the sum of squared fills. Ends at the least number of bins there can be, when no bin is left to try, or when
+    ``patience`` bins one after the other could not be emptied."""
     bins = Counter(bins)
     least = -(-sum(fill(b) * n for b, n in bins.items()) // size)
-    stuck: set[Bin] = set()
-    for _ in range(moves):
-        if sum(bins.values()) <= least:
-            break
-        open_bins = sorted((b for b in bins if fill(b) < size), key=lambda b: (fill(b), b))
-        a = next((b for b in open_bins if b not in stuck), None)
+    total = sum(bins.values())
+    by_room: dict[int, dict[Bin, None]] = defaultdict(dict)
+    for b in sorted(bins):
+        by_room[size - fill(b)][b] = None
+    tried: set[Bin] = set()
+
+    def put(b: Bin, n: int) -> None:
+        bins[b] += n
+        if bins[b]:
+            by_room[size - fill(b)][b] = None
+        else:
+            del bins[b], by_room[size - fill(b)][b]
+
+    def exchange(a: Bin) -> tuple[Bin, tuple[int, ...], tuple[int, ...]] | None:
+        best, found = 0, None
+        for room in range(size - fill(a), 0, -1):
+            if best >= room:
+                break
+            for b in islice(by_room.get(room, ()), PARTNERS):
+                if (b != a or bins[a] > 1) and (got := _exchange(a, b, room)) and sum(got[0]) - sum(got[1]) > best:
+                    best, found = sum(got[0]) - sum(got[1]), (b, *got)
+                    if best == room:
+                        break
+        return found
+
+    failed, moved = 0, False
+    while total > least and failed < patience:
+        a = next((b for r in range(size - 1, 0, -1) for b in by_room.get(r, ()) if b not in tried), None)
         if a is None:
-            break
-        for b in reversed(open_bins):
-            if (b == a and bins[a] < 2) or fill(b) < fill(a) or not (found := _exchange(a, b, size - fill(b))):
-                continue
-            n = bins[a] // 2 if a == b else min(bins[a], bins[b])
-            new_a, new_b = a, b
-            for x in found[0]:
+            if not moved:
+                break
+            moved = False
+            tried.clear()
+            continue
+        tried.add(a)
+        at, n = a, bins[a]
+        while at and (found := exchange(at)):
+            moved = True
+            b, give, take = found
+            n = min(n, bins[at] // 2) if at == b else min(n, bins[b])
+            new_a, new_b = at, b
+            for x in give:
                 new_a, new_b = _add(new_a, x, -1), _add(new_b, x, 1)
-            for y in found[1]:
+            for y in take:
                 new_a, new_b = _add(new_a, y, 1), _add(new_b, y, -1)
-            for old in (a, b):
-                bins[old] -= n
-                if not bins[old]:
-                    del bins[old]
-            for new in (new_a, new_b):
-                if new:
-                    bins[new] += n
-            stuck.clear()
-            break
-        else:
-            stuck.add(a)
+            put(at, -n)
+            put(b, -n)
+            put(new_b, n)
+            if new_a:
+                put(new_a, n)
+                tried.add(new_a)
+            at = new_a
+        failed += 1
+        if not at:
+            total -= n
+            failed = 0
+            tried.discard(a)
     return dict(bins)
 
 
@@ -153,7 +188,7 @@ def cut(n: int, size: int = SIZE) -> list[tuple[int, int]]:
     return [(0, first), *((s, size) for s in range(first, n, size))]
 
 
-def pack(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id", size: int = SIZE, end: int = 0, moves: int = 2000) -> DataFrame:
+def pack(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id", size: int = SIZE, end: int = 0) -> DataFrame:
     """A row per piece with its sequence and offset."""
     bounded(docs.sparkSession)
     id_type = docs.schema[doc_id].dataType
@@ -171,7 +206,7 @@ def pack(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id",
     # equal rows differ in the hash, which is written with them
     made, _ = materialise(made.withColumn("hash", F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id())), "pieces")
     totals = {r["length"]: r["count"] for r in made.groupBy("length").count().collect()}  # at most ``size`` rows
-    where = places(local_search(best_fit(totals, size), size, moves))
+    where = places(local_search(best_fit(totals, size), size))
     salts = max(16, -(-sum(totals.values()) // RANKED))
     salted = made.withColumn("salt", F.pmod("hash", F.lit(salts))).drop("hash")
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
@@ -194,8 +229,6 @@ def pack(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id",
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
-    from pelagia.llm.shared import table
-
     return stage(spark, table(spark, sf_dir, "documents"), sf_dir)
 
 
