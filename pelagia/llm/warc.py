@@ -26,9 +26,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pelagia.llm.shared import materialise, shared_dir
+from pelagia.llm.shared import bounded, materialise, shared_dir, table
 
 LEAST, VOLUME, READ = 1000, 32 << 20, 1 << 20
+#: Bytes of a record's block and of its headers at most, for the reader.
+LARGEST, HEADERS = 1 << 31, 1 << 16
 VERSION = b"WARC/1.1"
 _VERSION_LINE = re.compile(rb"WARC/1\.[01]\r?\n")
 _MAGIC = b"\x1f\x8b\x08"
@@ -38,6 +40,14 @@ class Damaged(Exception):
     """A record fails a check."""
 
 
+class Short(Damaged):
+    """The bytes at hand end before the record does; ``need`` would do."""
+
+    def __init__(self, what: str, need: int) -> None:
+        super().__init__(what)
+        self.need = need
+
+
 def record(headers: dict[str, str], block: bytes) -> bytes:
     lines = [VERSION, *(f"{k}: {v}".encode() for k, v in headers.items()), b"Content-Length: %d" % len(block)]
     return b"\r\n".join(lines) + b"\r\n\r\n" + block + b"\r\n\r\n"
@@ -49,11 +59,13 @@ def member(data: bytes, level: int = 1) -> bytes:
 
 
 def parse(data: bytes) -> tuple[dict[str, str], bytes, int]:
-    """Headers, block and length of the record that data begins with. Raises Damaged."""
+    """Headers, block and length of the record that data begins with. Raises Damaged; Short if more data may help."""
     if not (m := _VERSION_LINE.match(data)):
         raise Damaged("no version line")
-    end = data.find(b"\r\n\r\n", m.end() - 2)
+    end = data.find(b"\r\n\r\n", m.end() - 2, HEADERS)
     if end < 0:
+        if len(data) < HEADERS:
+            raise Short("headers do not end", HEADERS)
         raise Damaged("headers do not end")
     headers = {}
     for line in data[m.end() : end].split(b"\r\n") if end > m.end() else []:
@@ -62,12 +74,12 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes, int]:
             raise Damaged("malformed header")
         headers[k.decode("utf-8", "replace").strip().lower()] = v.decode("utf-8", "replace").strip()
     n = headers.get("content-length", "")
-    if not n.isdigit():
+    if not (n.isascii() and n.isdigit()) or len(n) > 15:
         raise Damaged("no length")
     start, stop = end + 4, end + 4 + int(n)
+    if len(data) < stop + 4:
+        raise Short("block is cut short", stop + 4)
     block = data[start:stop]
-    if len(block) < int(n):
-        raise Damaged("block is cut short")
     if data[stop : stop + 4] != b"\r\n\r\n":
         raise Damaged("record does not end where its length says")
     want = headers.get("warc-payload-digest", "")
@@ -77,39 +89,73 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes, int]:
 
 
 class _Source:
-    """A window on a byte stream, so that an archive is never held as a whole."""
+    """A window on a byte stream, so that an archive is never held as a whole: ``data`` begins ``at`` bytes into it, and the
+    bytes before ``lo`` are done with."""
 
     def __init__(self, stream) -> None:
-        self.stream, self.at, self.data, self.over = stream, 0, b"", False
-
-    def need(self, n: int) -> bytes:
-        while len(self.data) < n and not self.over:
-            got = self.stream.read(max(READ, n - len(self.data)))
-            self.over = not got
-            self.data += got
-        return self.data
+        self.stream, self.at, self.data, self.lo, self.over = stream, 0, b"", 0, False
+
+    def need(self, n: int) -> memoryview:
+        """The window from ``lo`` on, of at least n bytes unless the stream ends."""
+        if len(self.data) - self.lo < n and not self.over:
+            parts, have = [self.data[self.lo :]], len(self.data) - self.lo
+            self.at, self.lo = self.at + self.lo, 0
+            while have < n and not self.over:
+                got = self.stream.read(max(READ, n - have))
+                self.over = not got
+                parts.append(got)
+                have += len(got)
+            self.data = b"".join(parts)
+        return memoryview(self.data)[self.lo :]
+
+    @property
+    def place(self) -> int:
+        return self.at + self.lo
 
     def skip(self, n: int) -> None:
-        self.data, self.at = self.data[n:], self.at + n
+        self.lo += n
+
+    def find(self, what: bytes | re.Pattern, begin: int) -> int:
+        """Where it next stands in the window, ``begin`` bytes on or later; -1 if nowhere."""
+        i = self.data.find(what, self.lo + begin) if isinstance(what, bytes) else (m.start() if (m := what.search(self.data, self.lo + begin)) else -1)
+        return i - self.lo if i >= 0 else -1
 
 
-def _member(src: _Source) -> tuple[bytes, int]:
+def _member(src: _Source, largest: int) -> tuple[bytes, int]:
     """The unpacked member at the source's place, and its packed length."""
-    d, out, used = zlib.decompressobj(31), [], 0
+    d, out, used, n = zlib.decompressobj(31), [], 0, 0
     try:
         while not d.eof:
-            if used >= len(src.data):
-                src.need(used + READ)
-                if used >= len(src.data):
-                    raise Damaged("member is cut short")
-            out.append(d.decompress(src.data[used : used + READ]))
-            used += min(READ, len(src.data) - used)
+            part = src.need(used + 1)[used : used + READ]
+            if not part:
+                raise Damaged("member is cut short")
+            out.append(d.decompress(part))
+            n += len(out[-1])
+            if n > largest + HEADERS:
+                raise Damaged("longer than a record may be")
+            used += len(part)
         used -= len(d.unused_data)
     except zlib.error as e:
         raise Damaged(str(e)) from None
     return b"".join(out), used
 
 
+def _plain(src: _Source, largest: int) -> tuple[dict[str, str], bytes, int]:
+    """The uncompressed record at the source's place: its headers, then as much as they announce. Only what ends too early
+    is read again with more; every other fault is final."""
+    n = 4096
+    while True:
+        data = src.need(n)
+        try:
+            return parse(bytes(data[:n]))
+        except Short as e:
+            if e.need > largest + HEADERS:
+                raise Damaged("longer than a record may be") from None
+            if src.over and len(data) <= n:
+                raise
+            n = max(e.need, n + 1)
+
+
 def _begins(src: _Source, i: int) -> bool:
     """A member begins i bytes on, and its first bytes are a version line."""
     try:
@@ -118,57 +164,53 @@ def _begins(src: _Source, i: int) -> bool:
         return False
 
 
-def read(stream) -> Iterator[tuple[str, int, int, object]]:
-    """("record", begin, end, (headers, block)) and ("gap", begin, end, reason), in order."""
+def _next(src: _Source) -> None:
+    """Go to the next place after this one where a record can begin, or to the end."""
+    step = 1
+    while True:
+        src.need(step + READ)
+        places = [i for i in (src.find(_MAGIC, step), src.find(_VERSION_LINE, step)) if i >= 0]
+        if places:
+            i = min(places)
+            if src.data[src.lo + i : src.lo + i + 1] == b"W" or _begins(src, i):
+                return src.skip(i)
+            step = i + 1
+            if step > READ:  # what has been searched need not be held
+                src.skip(step - 1)
+                step = 1
+            continue
+        there = len(src.data) - src.lo
+        if src.over:
+            return src.skip(there)
+        src.skip(max(0, there - 16))  # a line or a magic may stand across the window's end
+        step = 1 if there <= 16 else 0
+
+
+def read(stream, largest: int = LARGEST) -> Iterator[tuple[str, int, int, object]]:
+    """("record", begin, end, (headers, block)) and ("gap", begin, end, reason), in order. What is held at once is a record
+    of at most ``largest`` bytes and a few reads; longer ones are gaps."""
     src, reason, gap = _Source(stream), "", None
-    while src.need(1):
-        packed = src.data[:1] == b"\x1f" or (src.data[:1] != b"W" and gap is None and src.need(3)[:3] == _MAGIC)
+    while len(head := src.need(3)):
         try:
-            if packed:
-                data, used = _member(src)
+            if bytes(head[:3]) == _MAGIC or head[0] == 0x1F:
+                data, used = _member(src, largest)
                 headers, block, length = parse(data)
                 if length != len(data):
                     raise Damaged("bytes after the record")
             else:
-                # headers first, then as much as they announce
-                n = READ
-                while True:
-                    try:
-                        headers, block, used = parse(src.need(n))
-                        break
-                    except Damaged:
-                        if src.over or n > 1 << 34 or not _VERSION_LINE.match(src.data):
-                            raise
-                        n *= 4
+                headers, block, used = _plain(src, largest)
         except Damaged as e:
             if gap is None:
-                gap, reason = src.at, str(e)
-            step = 1
-            while True:  # the next place where a record can begin
-                src.need(step + READ)
-                line = _VERSION_LINE.search(src.data, step)
-                places = [i for i in (src.data.find(_MAGIC, step), line.start() if line else -1) if i >= 0]
-                if places:
-                    i = min(places)
-                    if src.data[i : i + 1] == b"W" or _begins(src, i):
-                        src.skip(i)
-                        break
-                    step = i + 1
-                elif src.over:
-                    src.skip(len(src.data))
-                    break
-                else:
-                    keep = max(1, len(src.data) - 16)
-                    src.skip(keep)
-                    step = 0
+                gap, reason = src.place, str(e)
+            _next(src)
             continue
         if gap is not None:
-            yield "gap", gap, src.at, reason
+            yield "gap", gap, src.place, reason
             gap = None
-        yield "record", src.at, src.at + used, (headers, block)
+        yield "record", src.place, src.place + used, (headers, block)
         src.skip(used)
     if gap is not None:
-        yield "gap", gap, src.at, reason
+        yield "gap", gap, src.place, reason
 
 
 def _open(uri: str):
@@ -221,7 +263,7 @@ def scan(archives: DataFrame) -> DataFrame:
         for b in batches:
             for name in b["archive"]:
                 store, at = _open(name)
-                rows = []
+                rows: list[tuple] = []
                 with store.open_input_stream(at, compression=None) as f:
                     for kind, begin, end, what in read(f):
                         if kind == "gap":
@@ -240,6 +282,7 @@ def scan(archives: DataFrame) -> DataFrame:
 
 def archive(pages: DataFrame, folder: str, payload: str = "html", page_id: str = "page_id", least: int = LEAST) -> DataFrame:
     """Write a record per page; the table of archives."""
+    bounded(pages.sparkSession)
     rows = pages.select(F.col(f"`{page_id}`").alias("id"), F.coalesce(F.col(f"`{payload}`").cast("binary"), F.lit(b"")).alias("payload"))
     keys = pages.select(F.col(f"`{page_id}`").alias("id"), F.coalesce(F.col(f"`{payload}`").cast("binary"), F.lit(b"")).alias("p")).filter(F.octet_length("p") >= least).select("id", F.sha1("p").alias("digest"))
     # only digests that come more than once are joined: payloads stay where they are read where that list is short
@@ -252,8 +295,6 @@ def archive(pages: DataFrame, folder: str, payload: str = "html", page_id: str =
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
-    from pelagia.llm.shared import table
-
     pages = table(spark, sf_dir, "pages")
     id_type = pages.schema["page_id"].dataType
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}")
