@@ -158,7 +158,7 @@ def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sh
     keyed = rows.select(F.struct("_key_a", "_key_b").alias("key"), F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"))
     prints, _ = materialise(jaccard.sets_of(keyed, shingle, similarity), "prints")
     nodes, _ = materialise(prints.groupBy("fp").agg(F.min("id").alias("id")), "nodes")
-    found = _rooted(nodes, jaccard.links(prints.select("key", "fp", "n", "prefix"), keyed.select("key", "text"), shingle, similarity))
+    found = _rooted(nodes, jaccard.links(prints.select("key", "fp", "n", "prefix", "sketch"), keyed.select("key", "text"), shingle, similarity))
     first = F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("m")
     chosen, _ = materialise(prints.select("id", "key", "fp").join(found, "fp").groupBy("root").agg(first).select("m.key.*"), "chosen")
     # rows equal in every column share a key; the join has dealt them by it already

@@ -40,15 +40,37 @@ def test_topk_against_all_pairs(spark):
     assert topk.top_k(df.filter("vec_id in (50, 51, 52)"), F.col("vec_id") == 50).count() == 2
 
 
-@pytest.mark.parametrize(("depths", "size"), [((0.05, 0.2, 0.5), 1024), ((0.9,), 1024), ((0.3, 0.6), 7)])
-def test_nra_bounds_lose_nothing(depths, size):
+@pytest.mark.parametrize(("steps", "few"), [(1, 1), (7, 2), (24, 8), (400, 1)])
+def test_nra_bounds_lose_nothing(steps, few):
     rng = np.random.default_rng(4)
     x = np.round(rng.standard_cauchy((400, 5)) * 20)
-    got = topk.nra(x[:20], np.arange(20), x, np.arange(400), 5, depths, size)
+    x[:, 4] = 0
+    x[5] = 0  # a query of zeros: every candidate ties
+    got = topk.nra(x[:20], np.arange(20), x, np.arange(400), 5, steps, few)
     for q in range(20):
         s = x @ x[q]
         want = sorted((-int(s[i]), i) for i in range(400) if i != q)[:5]
-        assert [(-s, i) for a, i, s in got if a == q][:5] == want
+        assert [(-s, i) for a, i, s, _ in got if a == q] == want
+
+
+def test_nra_stops_early_and_reads_no_more():
+    """One candidate stands out: its lists are read a step, and nothing else is looked at."""
+    rng = np.random.default_rng(1)
+    x = rng.integers(-9, 9, (1000, 6)).astype(float)
+    x[:5] = 500
+    got = topk.nra(np.ones((1, 6)), np.array([-1]), x, np.arange(1000), 5)
+    assert [i for _, i, _, _ in got] == [0, 1, 2, 3, 4] and {d for *_, d in got} == {-(-1000 // topk.STEPS)}
+    allowed, order = np.ones(1000, bool), np.argsort(x, axis=0, kind="stable")
+    lists = np.take_along_axis(x, order, 0)
+    lists[:900] = -9  # what lies deeper than is read does not matter but for the far end
+    inside, depth = topk._inside(np.ones(6), allowed, order, lists, np.empty(x.shape), 5, 42, 40)
+    assert depth == 42 and set(range(5)) <= set(inside.tolist())
+
+
+def test_topk_of_several_lengths(spark):
+    rows = [(0, [1.0, 2.0]), (1, [1.0]), (2, [3.0, 1.0]), (3, [2.0]), (50, [5.0]), (100, []), (101, []), (150, [0.1] * 3)]
+    got = rows_of(topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0))
+    assert got == sorted([(0, 1, 2, 5 * 65536), (50, 1, 3, 10 * 65536), (50, 2, 1, 5 * 65536), (100, 1, 101, 0)], key=repr)
 
 
 # --- op6 -----------------------------------------------------------------------------------------------------------
@@ -137,12 +159,13 @@ def jaccard_brute(texts, k=5):
     return [find(i) for i in range(len(texts))]
 
 
-@pytest.mark.parametrize("ahead", [4, 0])
-def test_stage_finds_all_near_copies(spark, monkeypatch, ahead):
+@pytest.mark.parametrize(("hot", "block"), [(256, 1024), (5, 4)])
+def test_stage_finds_all_near_copies(spark, monkeypatch, hot, block):
+    from functools import partial
+
     from pelagia.llm import jaccard
 
-    monkeypatch.setattr(jaccard, "SLACK", 100_000 if ahead else 0)
-    monkeypatch.setattr(jaccard, "AHEAD", ahead)
+    monkeypatch.setattr(jaccard, "links", partial(jaccard.links, hot=hot, block=block))  # small and large buckets
     r = random.Random(8)
     prose = lambda n: [f"w{r.randint(0, 400)}" for _ in range(n)]
     common, texts = prose(40), ["", None, " \n", "one two", "one two three four", "one two three four five six seven"]
@@ -155,6 +178,12 @@ def test_stage_finds_all_near_copies(spark, monkeypatch, ahead):
                 words[r.randrange(len(words))] = "x%d" % r.randint(0, 999)
             texts.append(" ".join(words))
     texts += [" ".join(prose(30) + common) for _ in range(40)]  # a common passage links nothing
+    base = prose(120)
+    for _ in range(40):  # a group around one text, its members on both sides of 0.8
+        words = list(base)
+        for _ in range(r.randint(0, 8)):
+            words[r.randrange(120)] = "y%d" % r.randint(0, 99999)
+        texts.append(" ".join(words))
     comps = jaccard_brute(texts)
     assert len(set(comps)) < len(texts) - 60
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
@@ -227,6 +256,8 @@ def test_local_search_improves_and_loses_nothing():
         assert got == counts and sum(done.values()) <= sum(bfd.values())
         better += sum(done.values()) < sum(bfd.values())
     assert better
+    flat = packing.local_search(packing.best_fit(Counter({700: 1000})))
+    assert flat == {((700, 2),): 500}
 
 
 # --- op8 -----------------------------------------------------------------------------------------------------------
@@ -262,7 +293,7 @@ def test_url_rules(spark):
 def test_warc_round_trip(spark, tmp_path):
     big, other = "é" * 800, "y" * 1000
     rows = [(1, big, 1), (2, big, 1), (3, big, 1), (4, "small", 1), (5, "small", 1), (6, None, 1), (7, "", 1), (8, other, 1), (9, "y" * 999, 1), (10, "y" * 999, 1), (None, other, 1), (11, "z" * 300000, 1)]
-    df = spark.createDataFrame(rows, "page_id long, html string, digest int").repartition(3)
+    df = spark.createDataFrame([(*x, 1, "p", "r", "n") for x in rows], "page_id long, html string, digest int, id int, payload string, refers_to string, last string").repartition(3)
     (tmp_path / "w").mkdir()
     names = warc.archive(df, f"file://{tmp_path}/w")
     out = warc.scan(names.repartition(3, "archive"))
@@ -298,6 +329,32 @@ def test_warc_salvage(packed):
     assert covered[0][0] == 0 and covered[-1][1] == len(data) and all(x[1] == y[0] for x, y in zip(covered, covered[1:]))
 
 
+def test_warc_reads_a_bounded_window():
+    """A wrong digest or trailer is final: the window never grows beyond the record and a read."""
+    rec = [warc.record({"WARC-Type": "response", "X-Page-ID": str(i), "WARC-Payload-Digest": "sha1:" + hashlib.sha1(bytes([i]) * 300_000).hexdigest()}, bytes([i]) * 300_000) for i in range(40)]
+    rec[3] = rec[3].replace(b"\x03\x03", b"\x03\x09", 1)
+    rec[9] = rec[9][:-4] + b"\r\nxx"
+    rec[15] = rec[15].replace(b"Content-Length: 300000", b"Content-Length: 3000000000", 1)
+    most = []
+
+    class Watched(warc._Source):
+        def need(self, n):
+            out = super().need(n)
+            most.append(len(self.data))
+            return out
+
+    whole, found = warc._Source, []
+    warc._Source = Watched
+    try:
+        found = list(warc.read(io.BytesIO(b"".join(rec)), largest=1 << 20))
+    finally:
+        warc._Source = whole
+    assert [int(x[0]["x-page-id"]) for k, _, _, x in found if k == "record"] == [i for i in range(40) if i not in (3, 9, 15)]
+    assert max(most) <= (1 << 20) + 3 * warc.READ
+    spans = sorted((a, z) for _, a, z, _ in found)
+    assert spans[0][0] == 0 and spans[-1][1] == sum(map(len, rec)) and all(x[1] == y[0] for x, y in zip(spans, spans[1:]))
+
+
 def test_warc_members_are_plain_gzip():
     data = b"".join(map(warc.member, records(3)))
     assert gzip.decompress(data) == b"".join(records(3))
