@@ -1,28 +1,29 @@
 """PII by information-theoretic sanitisation, in DataFrame expressions only.
 
 Personal data found by pattern (emails, IPv4 addresses, payment cards, phone numbers) are protected entities. A term is
-a run of at least three letters, in lower case. Over the whole corpus, df(c) documents hold entity c, df(t) hold term t
-and co(c, t) have t within ``window`` code points of c. The share of c's information that t discloses is
+a run of at least three letters, in lower case. Over the whole corpus of n rows, df(c) hold entity c, df(t) hold term t
+and co(c, t) have t within ``window`` code points of c: co is at most what whole texts would give, so a share is never
+overstated. The share of c's information that t discloses is
 
     PMI(c; t) / IC(c) = log2(n * co / (df(c) * df(t))) / log2(n / df(c)).
 
 Terms with at least ``support`` different surroundings beside c and a share of at least ``generalise`` are spans of kind
-``term`` wherever they stand outside base spans; from ``remove`` on their kind is ``secret``. sanitise() replaces base
+``term`` wherever they stand outside base spans; from ``remove`` on their kind is ``secret``. sanitised() replaces base
 spans by their kind, terms by a placeholder and removes secrets.
 
 Defined cases: null text is the empty text; of base spans, kinds may overlap each other, spans of one kind never do;
-repeated rows get repeated results, and count as documents of their own but not as surroundings; null ids
-are kept; an empty table gives an empty result; other columns are not read (sanitise keeps them).
+repeated rows get repeated results, and each counts in n, df and co but not as surroundings; null ids
+are kept; a text's size bounds the work: spans are cut from blocks of the text, not each from its beginning; an empty table gives an empty result; other columns are not read (stage keeps them).
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pelagia.llm.shared import materialise, row_key
+from pelagia.llm.shared import materialise, row_key, table
 
 #: In the order of the contract. Possessive where a match cannot end earlier; (?:\G|...) starts a run only where it begins.
 PATTERNS = {
@@ -33,13 +34,48 @@ PATTERNS = {
 }
 KINDS = list(PATTERNS)
 TERM = r"\p{L}{3,}"
-WINDOW, SUPPORT, GENERALISE, REMOVE = 120, 3, 0.8, 0.95
+WINDOW, SUPPORT, GENERALISE, REMOVE = 120, 2, 0.8, 0.95
 #: Terms that go into a plan as a literal; more of them are joined.
 LITERAL = 5000
 #: Matches whose positions are summed in one go.
 RUN = 256
 
 
+#: Code points of a block of a text.
+BLOCK = 256
+
+
+def blocks(text: Column) -> Column:
+    """The text in blocks, from which parts are cut without reading it from its beginning."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def cut(parts: Column, begin: Column, end: Column) -> Column:
+    """Code points begin to end (exclusive) of a text in blocks."""
+    first = F.floor(begin / BLOCK).cast("int")
+    some = F.array_join(F.slice(parts, first + 1, F.floor((end - 1) / BLOCK).cast("int") - first + 1), "")
+    return F.when(end > begin, F.substring(some, begin - first * BLOCK + 1, end - begin)).otherwise(F.lit(""))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of the value, which is made once, also where body uses it for every element of an array."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def reached(spans: Column, end: Callable[[Column], Column]) -> Column:
+    """For each of the spans, the largest ``end`` of those before it, 0 for the first: by runs, so that it costs no square."""
+    some = lambda ends, begin, n: F.coalesce(F.array_max(F.slice(ends, begin, n)), F.lit(0))
+    numbers = F.when(F.size(spans) > 0, F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / RUN).cast("int"))).otherwise(F.array().cast("array<int>"))
+
+    def each(ends: Column, before: Column) -> Column:
+        run = lambda i: F.floor(i / RUN).cast("int")
+        return F.transform(ends, lambda _, i: F.greatest(F.get(before, run(i)), some(ends, run(i) * RUN + 1, i % RUN)))
+
+    tops = lambda ends: F.transform(numbers, lambda r: some(ends, r * RUN + 1, F.lit(RUN)))
+    upto = lambda t: F.transform(t, lambda _, r: some(t, F.lit(1), r))
+    return let(F.transform(spans, end), lambda ends: let(tops(ends), lambda t: let(upto(t), lambda before: each(ends, before))))
+
+
 def _luhn(digits: Column) -> Column:
     """Whether the digits pass: from the right, every second doubled, digits of the products summed."""
     each = F.transform(F.split(F.reverse(digits), ""), lambda d, i: F.when(i % 2 == 0, d.cast("int")).otherwise((d.cast("int") * 2).try_cast("int")))
@@ -99,16 +135,18 @@ def terms_of(text: Column) -> Column:
 
 
 def _surroundings(found: DataFrame, window: int) -> DataFrame:
-    """(entity, key, around, term): a row for each term near an entity, once for each document."""
-    s = F.col("s")
-    begin = F.greatest(s["start"] - window, F.lit(0))
-    left = F.substring(F.col("text"), begin + 1, s["start"] - begin)
-    left = F.when(begin > 0, F.regexp_replace(left, r"^\p{L}+", "")).otherwise(left)
-    right = F.substring(F.col("text"), s["end"] + 1, F.lit(window))
-    right = F.when(F.length("text") > s["end"] + window, F.regexp_replace(right, r"\p{L}+$", "")).otherwise(right)
-    around = F.lower(F.concat_ws("\n", left, right))
-    near = found.select("key", "text", F.explode("base").alias("s")).select("key", F.concat_ws(":", s["kind"], F.lower(s["value"])).alias("entity"), around.alias("around"))
-    return near.select("key", "entity", F.xxhash64("around").alias("around"), F.explode(terms_of(F.col("around"))).alias("term"))
+    """(entity, uid, around, term): a row for each term near an entity, once for each row of found (uid, text, base)."""
+
+    def near(b: Column, n: Column, s: Column) -> Column:
+        begin, end = F.greatest(s["start"] - window, F.lit(0)), F.least(s["end"] + window, n)
+        left, right = cut(b, begin, s["start"]), cut(b, s["end"], end)
+        # a word that the window cuts is left out
+        left = F.when(begin > 0, F.regexp_replace(left, r"^\p{L}+", "")).otherwise(left)
+        right = F.when(end < n, F.regexp_replace(right, r"\p{L}+$", "")).otherwise(right)
+        return F.struct(F.concat_ws(":", s["kind"], F.lower(s["value"])).alias("entity"), F.lower(F.concat_ws("\n", left, right)).alias("around"))
+
+    rows = found.select("uid", F.explode(let(blocks(F.col("text")), lambda b: let(F.length("text"), lambda n: F.transform("base", lambda s: near(b, n, s))))).alias("s"))
+    return rows.select("uid", "s.entity", F.xxhash64("s.around").alias("around"), F.explode(terms_of(F.col("s.around"))).alias("term"))
 
 
 def _holding(rows: DataFrame, terms: DataFrame, literal: int) -> DataFrame:
@@ -127,14 +165,14 @@ def disclosing(rows: DataFrame, window: int = WINDOW, support: int = SUPPORT, ge
     rows: key, text, base."""
     n = rows.count()
     # exploding an array of none or one keeps the same rows as a filter, but a filter would move below and find the spans twice
-    one = F.explode(F.when(F.size("base") > 0, F.array(F.struct("key", "text", "base")))).alias("r")
-    found, _ = materialise(rows.select(one).select("r.*"), "entities")
+    one = F.explode(F.when(F.size("base") > 0, F.array(F.struct("text", "base")))).alias("r")
+    found, _ = materialise(rows.select(one).select("r.*").withColumn("uid", F.monotonically_increasing_id()), "entities")
     near = _surroundings(found, window)
     often = near.groupBy("entity", "term").agg(F.count("*").alias("mentions")).filter(F.col("mentions") >= support)
     likely = near.join(often.select("entity", "term"), ["entity", "term"], "left_semi")
-    # distinct surroundings and documents, each by an aggregate of its own, so that a common pair is summed before it moves
+    # distinct surroundings and rows, each by an aggregate of its own, so that a common pair is summed before it moves
     different = likely.select("entity", "term", "around").distinct().groupBy("entity", "term").agg(F.count("*").alias("different")).filter(F.col("different") >= support)
-    co = likely.select("entity", "term", "key").distinct().groupBy("entity", "term").agg(F.count("*").alias("co"))
+    co = likely.select("entity", "term", "uid").distinct().groupBy("entity", "term").agg(F.count("*").alias("co"))
     pairs, _ = materialise(different.join(co, ["entity", "term"]), "pairs")
     if not pairs.head(1):
         return pairs.select("term", F.lit(0.0).alias("share"))
@@ -170,9 +208,14 @@ def find(docs: DataFrame, text: str = "text", window: int = WINDOW, support: int
     either = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("_terms", "|"), F.lit(r")(?!\p{L})"))
     pattern = F.when(F.size("_terms") > 0, either).otherwise(F.lit(r"(?!)"))
     rows = _located(rows, "text", pattern, "term", len(KINDS), "_found", F.size("_terms") > 0)
-    clear = F.filter("_found", lambda t: F.array_contains("_terms", F.lower(t["value"])) & ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    named = F.transform(clear, lambda t: F.when(F.array_contains("_secret", F.lower(t["value"])), t.withField("kind", F.lit("secret"))).otherwise(t))
-    return rows.select("row", "text", "base", F.array_sort(F.concat("base", named)).alias("spans"))
+    # in order of start, a term is clear of base spans if none before it reaches it and the next one begins after it
+    both = F.array_sort(F.concat("base", F.filter("_found", lambda t: F.array_contains("_terms", F.lower(t["value"])))))
+    kind = lambda s: F.when(s["kind"] == "term", 0).otherwise(s["end"])
+    clear = lambda both, before, s, i: (s["kind"] != "term") | ((F.get(before, i) <= s["start"]) & (F.coalesce(F.get(both, i + 1)["start"], s["end"]) >= s["end"]))
+    told = lambda both, before: F.transform(both, lambda s, i: F.when(clear(both, before, s, i), s))
+    left = let(both, lambda x: let(reached(x, kind), lambda before: F.array_compact(told(x, before))))
+    named = F.transform(left, lambda s: F.when((s["kind"] == "term") & F.array_contains("_secret", F.lower(s["value"])), s.withField("kind", F.lit("secret"))).otherwise(s))
+    return rows.select("row", "text", "base", F.when(F.size("_terms") > 0, named).otherwise(F.col("base")).alias("spans"))
 
 
 def joined(spans: Column) -> Column:
@@ -180,28 +223,25 @@ def joined(spans: Column) -> Column:
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
-    from pelagia.llm.shared import table
-
     out = find(table(spark, sf_dir, "documents"), keep=["doc_id"])
     of = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
     counts = [of(k).alias(f"n_{k}") for k in KINDS]
     return out.select("row.doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
-def sanitise(text: Column, spans: Column) -> Column:
-    """The text with every span replaced; overlapping spans are replaced as one, by the first one's kind."""
+def sanitised(df: DataFrame, out: str = "clean") -> DataFrame:
+    """Add ``out``: ``text`` with every one of ``spans`` replaced; overlapping spans are replaced as one, by the first one's kind."""
     token = lambda s: F.when(s["kind"] == "secret", F.lit("")).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    step = lambda a, s: F.struct(
-        F.when(s["start"] >= a["at"], F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), token(s))).otherwise(a["out"]).alias("out"),
-        F.greatest(a["at"], s["end"]).alias("at"),
-    )
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text)))))
+    part = lambda b, at, s, i: F.when(s["start"] >= F.get(at, i), F.concat(cut(b, F.get(at, i), s["start"]), token(s))).otherwise(F.lit(""))
+    rest = lambda b, spans: cut(b, F.array_max(F.transform(spans, lambda s: s["end"])), F.length("text"))
+    whole = lambda b, spans, at: F.concat(F.array_join(F.transform(spans, lambda s, i: part(b, at, s, i)), ""), rest(b, spans))
+    clean = let(F.col("spans"), lambda spans: let(blocks(F.col("text")), lambda b: let(reached(spans, lambda s: s["end"]), lambda at: whole(b, spans, at))))
+    return df.withColumn(out, F.when(F.size("spans") > 0, clean).otherwise(F.col("text")))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their texts sanitised and n_chars counted again where a text changed; null texts stay null."""
-    found = find(docs).withColumn("clean", sanitise(F.col("text"), F.col("spans")))
+    found = sanitised(find(docs))
     changed = F.size("spans") > 0
     new = {"text": F.when(changed, F.col("clean")).otherwise(F.col("row.text")), "n_chars": F.when(changed, F.length("clean").cast("long")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None}
     return found.select(*[new[c].cast(docs.schema[c].dataType).alias(c) if new.get(c) is not None else F.col(f"row.`{c}`") for c in docs.columns])
