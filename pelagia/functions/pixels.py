@@ -324,10 +324,9 @@ def inverse_anscombe(y: np.ndarray) -> np.ndarray:
 
 
 def denoise_anscombe_wiener(x: np.ndarray, scale: float = 255.0, size: tuple[int, int] = (5, 5), sigma: float = 1.0, compat: bool = False) -> np.ndarray:
-    """Variance stabilisation around an unclipped Wiener filter. compat gives what clipping inside it leaves: zeros."""
-    if compat:
-        return np.zeros_like(np.asarray(x, float))
-    return np.clip(inverse_anscombe(_wiener(anscombe(clean(x) * scale), size, sigma**2)) / scale, 0, 1)
+    """Variance stabilisation around a Wiener filter. compat clips the filter's result to [0, 1], which the inverse maps to 0."""
+    y = _wiener(anscombe(clean(x) * scale), size, sigma**2)
+    return np.clip(inverse_anscombe(np.clip(y, 0, 1) if compat else y) / scale, 0, 1)
 
 
 def denoise_adaptive_median(x: np.ndarray, max_window_size: int = 7) -> np.ndarray:
@@ -343,8 +342,8 @@ def denoise_adaptive_median(x: np.ndarray, max_window_size: int = 7) -> np.ndarr
 
 
 def denoise_kuan(x: np.ndarray, window_size: int = 7, noise_var: float = 0.04, damping: float = 1.0) -> np.ndarray:
-    x = clean(x)
-    w = windows(x, _odd(window_size), "symmetric")
+    x, noise_var = clean(x), max(noise_var, 1e-8)
+    w = windows(x, _checked(window_size), "symmetric")
     m = w.mean(-1)
     s2 = np.maximum((w * w).mean(-1) - m * m, 1e-8)
     k = np.clip((1 - noise_var * m * m / s2) / (1 + noise_var), 0, 1)

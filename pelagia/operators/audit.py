@@ -15,11 +15,13 @@ DECODED = ["sharpened_image_path", "noisy_image_path", "denoised_image_path"]
 SAMPLE = 10
 
 
-def _check(name: str, bad: DataFrame, value: Column | str, samples: int = SAMPLE) -> DataFrame:
-    """Count violations and sample the smallest distinct values: a bounded partial sort, not a collected list."""
-    bad = bad.select((F.col(value) if isinstance(value, str) else value).cast("string").alias("v"))
-    some = bad.filter("v is not null").distinct().orderBy("v").limit(samples).agg(F.array_sort(F.collect_list("v")).alias("samples"))
-    one = bad.agg(F.count("*").alias("violations"))
+def _check(name: str, bad: DataFrame, value: Column | str, samples: int = SAMPLE, times: str | None = None) -> DataFrame:
+    """Count violations (``times`` for each row, if given) and sample the smallest distinct values: a bounded partial sort,
+    not a collected list."""
+    number = F.col(times) if times else F.lit(1)
+    bad = bad.select((F.col(value) if isinstance(value, str) else value).cast("string").alias("v"), number.cast("long").alias("times"))
+    some = bad.filter("v is not null").select("v").distinct().orderBy("v").limit(samples).agg(F.array_sort(F.collect_list("v")).alias("samples"))
+    one = bad.agg(F.coalesce(F.sum("times"), F.lit(0)).alias("violations"))
     return one.crossJoin(some).select(F.lit(name).alias("check"), (F.col("violations") == 0).alias("passed"), "violations", "samples")  # one row and one row
 
 
@@ -68,7 +70,7 @@ def dimensions_valid(df: DataFrame, decoded: DataFrame, height: int = 512, width
 def unique_outputs(df: DataFrame) -> DataFrame:
     path = first_of(F.col("denoised_image_path"), F.col("sharpened_image_path"))
     more = df.select(path.alias("path")).groupBy("path").agg((F.count("*") - 1).alias("extra")).filter("extra > 0")
-    return _check("no_duplicate_output_paths", more.select(F.explode(F.sequence(F.lit(1), F.col("extra"))), "path"), "path")
+    return _check("no_duplicate_output_paths", more, "path", times="extra")
 
 
 def run_checks(df: DataFrame, files: DataFrame, decoded: DataFrame, validated: DataFrame | None = None, size: tuple[int, int] = (512, 512)) -> DataFrame:

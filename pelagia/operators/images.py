@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pelagia.functions import pixels
 
 IMAGE = "struct<height: int, width: int, data: array<double>>"
+#: Pixels of a stack, if it has more than one image: a 9 x 9 neighbourhood of each, in doubles, takes 40 MB.
+PIXELS = 1 << 16
 
 #: name -> (kernel, default parameters): point and neighbourhood operators on one image.
 KERNELS: dict[str, tuple[Callable, dict]] = {
@@ -56,12 +58,14 @@ def pack(data: Column, height: Column | int, width: Column | int) -> Column:
 
 
 def stacks(images: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(row numbers, stack) for each shape in a batch; rows without pixels are left out."""
+    """(row numbers, stack) for each shape in a batch, of about PIXELS pixels; rows without pixels are left out."""
     ok = np.array([d is not None and len(d) > 0 for d in images["data"]], bool)
     shape = pd.Series(list(zip(images["height"], images["width"], strict=True)))
     for (h, w), rows in shape[ok].groupby(shape[ok]).groups.items():
-        at = np.asarray(rows)
-        yield at, np.stack([np.asarray(images["data"].iloc[i], float) for i in at]).reshape(len(at), int(h), int(w))
+        each = max(1, PIXELS // max(1, int(h) * int(w)))
+        for a in range(0, len(rows), each):
+            at = np.asarray(rows[a : a + each])
+            yield at, np.stack([np.asarray(images["data"].iloc[i], float) for i in at]).reshape(len(at), int(h), int(w))
 
 
 def _table(out: list) -> pd.DataFrame:

@@ -223,8 +223,12 @@ def path_columns_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- audit
 
 
+_BAD: dict[str, str] = {}
+
+
 def _audit(name: str, make, bad: str, value: str) -> None:
     """bad: SQL for the violating rows with their value."""
+    _BAD[name] = bad
     sql = f"""with {CATALOG}, bad as ({bad}), s as (select coalesce(array_to_string(list_sort(list(v)), ','), '') as samples from (select distinct {value}::varchar as v from bad where {value} is not null order by v limit 10))
 select (select count(*) from bad) = 0 as passed, (select count(*) from bad) as violations, samples from s"""
 
@@ -252,7 +256,13 @@ _audit("audit_dimensions", lambda df: audit.dimensions_valid(df, _sizes(df)), f"
 _audit("audit_unique_outputs", audit.unique_outputs, "select path from (select *, row_number() over (partition by path) as rn from (select coalesce(nullif(trim(denoised_image_path), ''), nullif(trim(sharpened_image_path), ''), '') as path from cat)) where rn > 1", "path")
 
 
-@query("audit_all")
+_CHECKS = {
+    "audit_files_exist": "every_referenced_file_exists", "audit_raw_untouched": "no_raw_files_modified", "audit_no_leakage": "no_train_test_patient_leakage", "audit_pathology_present": "pathology_is_not_missing",
+    "audit_label_matches": "label_matches_pathology", "audit_dimensions": "image_dimensions_are_valid", "audit_unique_outputs": "no_duplicate_output_paths",
+}
+
+
+@query("audit_all", f"with {CATALOG} " + " union all ".join(f"select '{check}' as \"check\", count(*) = 0 as passed, count(*) as violations from ({_BAD[name]})" for name, check in _CHECKS.items()))
 def audit_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = catalog_table(spark, sf_dir)
     return audit.run_checks(df, _files(df), _sizes(df)).select("check", "passed", "violations")
