@@ -34,9 +34,11 @@ PATTERNS = {
 }
 KINDS = list(PATTERNS)
 TERM = r"\p{L}{3,}"
-WINDOW, SUPPORT, GENERALISE, REMOVE = 120, 2, 0.8, 0.95
+WINDOW, SUPPORT, GENERALISE, REMOVE = 120, 3, 0.8, 0.95
 #: Terms that go into a plan as a literal; more of them are joined.
 LITERAL = 5000
+#: Terms that are broadcast: a few megabytes.
+SENT = 200_000
 #: Matches whose positions are summed in one go.
 RUN = 256
 
@@ -150,13 +152,14 @@ def _surroundings(found: DataFrame, window: int) -> DataFrame:
 
 
 def _holding(rows: DataFrame, terms: DataFrame, literal: int) -> DataFrame:
-    """(key, term) for the terms that the texts of rows (key, text) hold. A few terms are a literal in the plan; more are
-    joined, the texts' terms being dealt out by term and document."""
+    """(key, term) for the terms that the texts of rows (key, text) hold. A few terms are a literal in the plan; more, up to
+    SENT of them, are broadcast; beyond that the texts' terms are dealt out by term."""
     n = terms.count()
     if n <= literal:
         some = F.array(*[F.lit(r["term"]) for r in terms.select("term").collect()]) if n else F.array().cast("array<string>")
         return rows.select("key", F.explode(F.array_intersect(terms_of(F.col("text")), some)).alias("term"))
-    return rows.select("key", F.explode(terms_of(F.col("text"))).alias("term")).join(terms.select("term"), "term", "left_semi")
+    some = terms.select("term")
+    return rows.select("key", F.explode(terms_of(F.col("text"))).alias("term")).join(F.broadcast(some) if n <= SENT else some, "term", "left_semi")
 
 
 def disclosing(rows: DataFrame, window: int = WINDOW, support: int = SUPPORT, generalise: float = GENERALISE, literal: int = LITERAL) -> DataFrame:
@@ -201,7 +204,7 @@ def find(docs: DataFrame, text: str = "text", window: int = WINDOW, support: int
         secret = F.array(*[F.lit(r["term"]) for r in chosen if r["share"] >= remove]).cast("array<string>")
         rows = rows.withColumn("_terms", F.array_intersect(terms_of(F.col("text")), some)).withColumn("_secret", F.array_intersect("_terms", secret))
     else:
-        held = _holding(rows.select("key", "text").distinct(), terms, literal).join(terms, "term")
+        held = _holding(rows.select("key", "text"), terms, literal).distinct().join(terms, "term")
         held = held.groupBy("key").agg(F.collect_set("term").alias("_terms"), F.collect_set(F.when(F.col("share") >= remove, F.col("term"))).alias("_secret"))
         rows = rows.join(held, "key", "left")
         rows = rows.withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in ("_terms", "_secret")})

@@ -64,7 +64,7 @@ def test_pii_discloses_terms(spark, literal):
     assert texts[5] == ("", plain[5][1])
 
 
-def pii_brute(rows, window=120, support=2, generalise=0.8, remove=0.95):
+def pii_brute(rows, window=pii.WINDOW, support=pii.SUPPORT, generalise=0.8, remove=0.95):
     """Per row its spans and its sanitised text, by loops over everything."""
     term = re.compile(r"[^\W\d_]{3,}")
     texts = [t or "" for _, t in rows]
@@ -181,6 +181,47 @@ def test_quality_em_finds_the_bad_class():
     assert quality_rules.fit(np.empty((0, 9), int), np.empty(0))["prior"] == 0.5
 
 
+def em_brute(votes, rounds=400):
+    """P(good) of each document, by loops over documents: three outcomes of a rule for each class."""
+    q = [0.98 if v.count(-1) == 0 else 0.3 if v.count(-1) == 1 else 0.05 for v in votes]
+    for _ in range(rounds):
+        p = [[{x: 0.5 for x in (-1, 0, 1)} for _ in range(9)] for _ in range(2)]
+        for v, g in zip(votes, q):
+            for j, x in enumerate(v):
+                p[1][j][x] += g
+                p[0][j][x] += 1 - g
+        prior = min(max(sum(q) / len(q), 1e-3), 1 - 1e-3)
+        new = []
+        for v in votes:
+            like = [prior if y else 1 - prior for y in (0, 1)]
+            for y in (0, 1):
+                for j, x in enumerate(v):
+                    like[y] *= p[y][j][x] / sum(p[y][j].values())
+            new.append(like[1] / (like[0] + like[1]))
+        moved, q = max(abs(a - b) for a, b in zip(q, new)), new
+        if moved < 1e-9:
+            break
+    return q
+
+
+def test_quality_verdict_against_brute_force(spark, docs, none, small):
+    import random
+
+    r = random.Random(6)
+    prose = lambda n: " ".join(r.choice("sea tide reef krill mund alpha beta gamma delta".split()) + r.choice("abcdefg") * r.randint(0, 3) for _ in range(n)) + ".\nEnd."
+    texts = [prose(r.randint(1, 200)) for _ in range(150)] + ["BUY NOW!! " * r.randint(3, 40) for _ in range(15)] + ["# $ | <a> 12 | " * r.randint(2, 30) for _ in range(15)]
+    rows = [(i, t) for i, t in enumerate(texts + texts[:30])] + [(i, t) for i, t, _ in small]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    votes = quality_rules.judge(df).select("row.doc_id", "row.text", "base_failed", "kept", "posterior", *[v.alias(k) for k, v in quality_rules.rules().items()]).collect()
+    want = em_brute([[x[k] for k in quality_rules.RULES] for x in votes])
+    assert np.allclose([x.posterior for x in votes], want, atol=1e-6)
+    assert all(x.kept == (not x.base_failed and w >= 0.5) for x, w in zip(votes, want) if abs(w - 0.5) > 1e-6)
+    assert {x.kept for x in votes} == {True, False}
+    kept = sorted(repr((x.doc_id, x.text)) for x in votes if x.kept)
+    assert sorted(repr(tuple(x)) for x in quality_rules.stage(spark, df, "").collect()) == kept
+    assert quality_rules.stage(spark, none, "").count() == 0
+
+
 # --- op3 -----------------------------------------------------------------------------------------------------------
 
 
