@@ -14,7 +14,7 @@ import pytest
 from pelagia.llm import bpe, packing, simhash, topk, url_filters, warc
 from pelagia.llm.components import components
 from pyspark.sql import functions as F
-from tests.llm.conftest import SCHEMA, rows_of
+from tests.llm.conftest import rows_of
 
 JSON = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -389,4 +389,16 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
     assert all(texts[i] == rows[i][1] for i in range(2, 120))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "language_id", "simhash_dedup", "pii", "packing"]
     assert quality_rules.RULES == tuple(quality_rules.rules())
-    assert spark.createDataFrame([], SCHEMA).count() == 0
+
+
+def test_pipeline_on_awkward_tables(spark, docs, none, small, tmp_path):
+    """Nulls, repeated rows, a very long text and columns with clashing names; and no rows at all."""
+    import corpus_pipeline
+
+    docs.unionByName(docs).write.parquet(f"{tmp_path}/two/documents.parquet")
+    none.write.parquet(f"{tmp_path}/no/documents.parquet")
+    out = corpus_pipeline.run(spark, f"{tmp_path}/two")
+    assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    got = Counter((r.doc_id, r.piece) for r in out.collect())
+    assert got and max(got.values()) == 1 and {i for i, _ in got} <= {i for i, *_ in small}  # repeated rows are copies
+    assert corpus_pipeline.run(spark, f"{tmp_path}/no").collect() == []
