@@ -64,7 +64,7 @@ def test_pii_discloses_terms(spark, literal):
     assert texts[5] == ("", plain[5][1])
 
 
-def pii_brute(rows, window=pii.WINDOW, support=pii.SUPPORT, generalise=0.8, remove=0.95):
+def pii_brute(rows, window=pii.WINDOW, support=2, generalise=0.8, remove=0.95):
     """Per row its spans and its sanitised text, by loops over everything."""
     term = re.compile(r"[^\W\d_]{3,}")
     texts = [t or "" for _, t in rows]
