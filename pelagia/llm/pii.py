@@ -35,8 +35,8 @@ PATTERNS = {
 KINDS = list(PATTERNS)
 TERM = r"\p{L}{3,}"
 WINDOW, SUPPORT, GENERALISE, REMOVE = 120, 2, 0.8, 0.95
-#: Terms that go into a plan as a literal; more of them are joined.
-LITERAL = 5000
+#: Terms that go into a plan as a literal, about half a megabyte; more of them are joined.
+LITERAL = 50_000
 #: Terms that are broadcast: a few megabytes.
 SENT = 200_000
 #: Matches whose positions are summed in one go.
@@ -151,13 +151,23 @@ def _surroundings(found: DataFrame, window: int) -> DataFrame:
     return rows.select("uid", "s.entity", F.xxhash64("s.around").alias("around"), F.explode(terms_of(F.col("s.around"))).alias("term"))
 
 
+def _among(terms: DataFrame, n: int) -> Callable[[Column], Column]:
+    """Whether a term is one of the n ``term`` of terms, which go into the plan as one string, cut into buckets by hash. A look
+    costs the same however many terms there are, and no text moves. Terms are letters only, so blanks part them."""
+    size = 1 << max(n - 1, 0).bit_length()
+    bucket = lambda t: F.pmod(F.xxhash64(t), F.lit(size)).cast("int")
+    held = terms.groupBy(bucket(F.col("term")).alias("b")).agg(F.concat_ws(" ", F.collect_list("term")).alias("terms"))
+    found = {r["b"]: r["terms"] for r in held.collect()}
+    buckets = F.split(F.lit("\n".join(f" {found.get(b, '')} " for b in range(size))), "\n")
+    return lambda t: F.contains(F.get(buckets, bucket(t)), F.concat(F.lit(" "), t, F.lit(" ")))
+
+
 def _holding(rows: DataFrame, terms: DataFrame, literal: int) -> DataFrame:
-    """(key, term) for the terms that the texts of rows (key, text) hold. A few terms are a literal in the plan; more, up to
+    """(key, term) for the terms that the texts of rows (key, text) hold. Up to ``literal`` terms are in the plan; more, up to
     SENT of them, are broadcast; beyond that the texts' terms are dealt out by term."""
     n = terms.count()
     if n <= literal:
-        some = F.array(*[F.lit(r["term"]) for r in terms.select("term").collect()]) if n else F.array().cast("array<string>")
-        return rows.select("key", F.explode(F.array_intersect(terms_of(F.col("text")), some)).alias("term"))
+        return rows.select("key", F.explode(F.filter(terms_of(F.col("text")), _among(terms, n))).alias("term"))
     some = terms.select("term")
     return rows.select("key", F.explode(terms_of(F.col("text"))).alias("term")).join(F.broadcast(some) if n <= SENT else some, "term", "left_semi")
 
@@ -199,10 +209,8 @@ def find(docs: DataFrame, text: str = "text", window: int = WINDOW, support: int
     if not n:
         return rows.select("row", "text", "base", F.col("base").alias("spans"))
     if n <= literal:
-        chosen = terms.collect()
-        some = F.array(*[F.lit(r["term"]) for r in chosen])
-        secret = F.array(*[F.lit(r["term"]) for r in chosen if r["share"] >= remove]).cast("array<string>")
-        rows = rows.withColumn("_terms", F.array_intersect(terms_of(F.col("text")), some)).withColumn("_secret", F.array_intersect("_terms", secret))
+        secret = terms.filter(F.col("share") >= remove)
+        rows = rows.withColumn("_terms", F.filter(terms_of(F.col("text")), _among(terms, n))).withColumn("_secret", F.filter("_terms", _among(secret, n)))
     else:
         held = _holding(rows.select("key", "text"), terms, literal).distinct().join(terms, "term")
         held = held.groupBy("key").agg(F.collect_set("term").alias("_terms"), F.collect_set(F.when(F.col("share") >= remove, F.col("term"))).alias("_secret"))
