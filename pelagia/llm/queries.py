@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pelagia.llm import bpe, centroids, katz, language_id, packing, pii, quality_rules, simhash, topk, url_filters, warc
+from pelagia.llm import bpe, centroids, katz, language_id, packing, pii, quality_rules, simhash, spelling, topk, url_filters, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": pii.op1,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filters": url_filters.op8,
     "op9_warc": warc.op9,
     "op10_bpe": bpe.op10,
+    "op11_spelling": spelling.op11,
     "op12_centroids": centroids.op12,
 }
 
@@ -26,5 +27,6 @@ ORACLE_SQL: dict[str, str] = {
     "op5_topk_search": topk.OP5_SQL,
     "op8_url_filters": url_filters.OP8_SQL,
     "op9_warc": warc.OP9_SQL,
+    "op11_spelling": spelling.OP11_SQL,
     "op12_centroids": centroids.OP12_SQL,
 }
