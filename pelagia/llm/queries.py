@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pelagia.llm import bpe, centroids, katz, language_id, packing, pii, quality_rules, simhash, spelling, topk, url_filters, warc
+from pelagia.llm import bpe, centroids, katz, language_id, packing, pii, quality_rules, setjoin, simhash, spelling, topk, url_filters, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": pii.op1,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bpe": bpe.op10,
     "op11_spelling": spelling.op11,
     "op12_centroids": centroids.op12,
+    "op13_jaccard_join": setjoin.op13,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -29,4 +30,5 @@ ORACLE_SQL: dict[str, str] = {
     "op9_warc": warc.OP9_SQL,
     "op11_spelling": spelling.OP11_SQL,
     "op12_centroids": centroids.OP12_SQL,
+    "op13_jaccard_join": setjoin.OP13_SQL,
 }
