@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pelagia.operators import images, noise
+from pelagia.operators import images, noise, store
 from pelagia.operators.catalog import grouped_statistics
+from pelagia.sources.sinks import write_images
 
 KEYS = ["image_id", "noise_type", "denoising_method"]
 #: One filter and seven metrics a second, and an average image's size, as the reference estimates them.
@@ -34,16 +35,22 @@ def remaining(wanted: DataFrame, done: DataFrame, files: DataFrame | None = None
     return wanted.join(done.select(*KEYS).distinct(), KEYS, "left_anti")
 
 
-def run(df: DataFrame, seed: int = 42, todo: DataFrame | None = None, methods: list[str] | None = None) -> DataFrame:
+def run(df: DataFrame, seed: int = 42, todo: DataFrame | None = None, methods: list[str] | None = None, noise_types: list[str] | None = None, noisy_path: str | None = None, keep_image: bool = False) -> DataFrame:
     """df (image_id, image in [0, 1], other columns): a row with the seven metrics for each key (each in todo, if given).
 
     An image makes its 40 results in one task. Nothing is shuffled unless todo is joined or the table has fewer
-    partitions than there are cores."""
+    partitions than there are cores. noisy_path: a store of noisy images that is used, and filled with those it lacks;
+    keep_image adds the filtered image as ``denoised``."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < cores:  # a small table of costly rows; a large one is left where it is
         df = df.repartition(cores)
-    noisy = df.withColumn("n", F.explode(noise.all_models(F.col("image"), F.col("image_id"), seed)))
-    noisy = noisy.select(*df.columns, F.col("n.noise_type").alias("noise_type"), F.col("n.image").alias("noisy"))
+    if noisy_path is not None:
+        some = df if todo is None else df.join(todo.select("image_id").distinct(), "image_id", "left_semi")
+        models = {k: noise.MODELS[k] for k in noise_types or noise.MODELS}
+        noisy = df.join(store.noisy_images(some.select("image_id", "image"), noisy_path, seed, models).drop("image"), "image_id")
+    else:
+        noisy = df.withColumn("n", F.explode(noise.all_models(F.col("image"), F.col("image_id"), seed, noise_types)))
+        noisy = noisy.select(*df.columns, F.col("n.noise_type").alias("noise_type"), F.col("n.image").alias("noisy"))
     if todo is not None:
         by = todo.groupBy("image_id", "noise_type").agg(F.collect_set("denoising_method").alias("wanted"))
         noisy = noisy.join(by, ["image_id", "noise_type"])
@@ -51,7 +58,9 @@ def run(df: DataFrame, seed: int = 42, todo: DataFrame | None = None, methods: l
     if todo is not None:
         done = done.filter(F.array_contains("wanted", F.col("denoising_method")))
     rest = [c for c in df.columns if c not in ("image", "image_id")]
-    return done.select(*rest, *KEYS, images.metrics(F.col("image"), F.col("f.image")).alias("m")).select(*rest, *KEYS, *[f"m.{m}" for m in images.METRICS])
+    kept = [F.col("f.image").alias("denoised")] if keep_image else []
+    out = done.select(*rest, *KEYS, *kept, images.metrics(F.col("image"), F.col("f.image")).alias("m"))
+    return out.select(*rest, *KEYS, *[c for c in ("denoised",) if keep_image], *[f"m.{m}" for m in images.METRICS])
 
 
 def summary(metrics: DataFrame) -> DataFrame:
@@ -59,10 +68,15 @@ def summary(metrics: DataFrame) -> DataFrame:
     return grouped_statistics(metrics, ["noise_type", "denoising_method"], images.METRICS)
 
 
-def checkpointed(df: DataFrame, path: str, confirm: bool, seed: int = 42, mode: str = "full", head: int = 10) -> DataFrame | None:
-    """Run what the table at path does not have yet and append it; a full run needs confirmation; mode estimate only counts.
+BY = ["noise_type", "denoising_method", "batch"]
 
-    Spark's commit makes the append whole or absent, so a lost run repeats nothing that is there."""
+
+def checkpointed(df: DataFrame, path: str, confirm: bool, seed: int = 42, mode: str = "full", head: int = 10, batches: int = 64, methods: list[str] | None = None, noise_types: list[str] | None = None, noisy_path: str | None = None, folder: str | None = None) -> DataFrame | None:
+    """Run what the table at path does not have yet; a full run needs confirmation; mode estimate only counts.
+
+    The table is partitioned by noise, filter and a batch of images. Every batch with something to do is replaced as a
+    whole (store.replace), by its rows that still count and the new ones. folder: filtered images are written there, their
+    paths are kept as ``denoised_image``, and a row counts as done only while its file is there."""
     spark = df.sparkSession
     if mode == "estimate":
         return spark.createDataFrame([tuple(float(v) for v in estimate(df.count()).values())], ", ".join(f"{k} double" for k in estimate(0)))
@@ -70,9 +84,20 @@ def checkpointed(df: DataFrame, path: str, confirm: bool, seed: int = 42, mode:
         return None
     if mode == "test":
         df = df.orderBy("image_id").limit(head)
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    exists = target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
-    wanted = keys(df)
-    todo = remaining(wanted, spark.read.parquet(path)) if exists else None
-    run(df, seed, todo).write.mode("append").partitionBy("noise_type", "denoising_method").parquet(path)
+    old = spark.read.parquet(path) if store.exists(spark, path) else None
+    todo = keys(df, noise_types, methods).withColumn("batch", store.batch_of(batches=batches))
+    if old is not None:
+        files = None
+        if folder is not None:
+            found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.png").load(folder)
+            files = found.select(F.element_at(F.split("path", "/"), -1).alias("path"))
+        have = old if files is None else old.withColumn("file", F.element_at(F.split("denoised_image", "/"), -1))
+        todo = remaining(todo, have, files, "file")
+    new = run(df, seed, todo if old is not None else None, methods, noise_types, noisy_path, folder is not None)
+    new = new.withColumn("batch", store.batch_of(batches=batches))
+    if folder is not None:
+        name = F.concat_ws("_", "denoising_method", "noise_type", F.col("image_id").cast("string"))
+        new = write_images(new.withColumn("name", F.concat(name, F.lit(".png"))), folder, image="denoised", keep=[c for c in new.columns if c != "denoised"])
+        new = new.withColumnRenamed("path", "denoised_image").drop("name")
+    store.replace(store.replaced(old, new, todo, KEYS, BY), path, BY)
     return spark.read.parquet(path)

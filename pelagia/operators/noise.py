@@ -83,9 +83,9 @@ ADD = {
 }
 
 
-def all_models(image: Column, image_id: Column, seed: int = 42) -> Column:
-    """array<struct<noise_type, image>> of the five models, all with the same seed."""
-    return F.array(*[F.struct(F.lit(k).alias("noise_type"), ADD[k](image, image_id, **p, seed=seed).alias("image")) for k, p in MODELS.items()])
+def all_models(image: Column, image_id: Column, seed: int = 42, models: list[str] | None = None) -> Column:
+    """array<struct<noise_type, image>> of the five models (or those named), all with the same seed."""
+    return F.array(*[F.struct(F.lit(k).alias("noise_type"), ADD[k](image, image_id, **MODELS[k], seed=seed).alias("image")) for k in models or MODELS])
 
 
 def realism(clean: Column, noisy: Column, noise_type: Column) -> Column:

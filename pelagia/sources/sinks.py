@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from pelagia.sources.files import encode_png
 
@@ -49,16 +50,16 @@ def load_json(path: str) -> object:
         return json.loads(f.read())
 
 
-def write_images(df: DataFrame, folder: str, name: str = "name", image: str = "image", scaled: bool = True) -> DataFrame:
-    """Write packed images as PNG files named by a column, by the executors; (name, path) of what was written.
+def write_images(df: DataFrame, folder: str, name: str = "name", image: str = "image", scaled: bool = True, keep: list[str] | None = None) -> DataFrame:
+    """Write packed images as PNG files named by a column, by the executors; (name, path) of what was written, and the columns to keep.
 
     Values in [0, 1] (scaled) are rounded half to even to 8 bits, others clipped. A file gets its name when it is whole."""
     guarded(folder + "/")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            done = []
-            for n, h, w, d in zip(b["name"], b["height"], b["width"], b["data"], strict=True):
+            done, at_row = [], []
+            for row, (n, h, w, d) in enumerate(zip(b["name"], b["_h"], b["_w"], b["_d"], strict=True)):
                 if d is None:
                     continue
                 x = np.nan_to_num(np.asarray(d, float)).reshape(int(h), int(w))
@@ -70,9 +71,14 @@ def write_images(df: DataFrame, folder: str, name: str = "name", image: str = "i
                     f.write(encode_png(x))
                 store.move(at + ".part", at)
                 done.append((n, path))
-            yield pd.DataFrame(done, columns=["name", "path"])
-
-    return df.select(F.col(name).alias("name"), f"{image}.height", f"{image}.width", f"{image}.data").mapInPandas(run, "name string, path string")
+                at_row.append(row)
+            out = b[rest].iloc[at_row].reset_index(drop=True)
+            yield pd.concat([pd.DataFrame(done, columns=["name", "path"], dtype=object), out], axis=1)
+
+    rest = list(keep or [])
+    rows = df.select(F.col(name).alias("name"), *[F.col(f"{image}.{c}").alias(f"_{c[0]}") for c in ("height", "width", "data")], *rest)
+    schema = StructType([StructField("name", StringType()), StructField("path", StringType()), *[rows.schema[c] for c in rest]])
+    return rows.mapInPandas(run, schema)
 
 
 def class_folder(pathology: str = "standardized_pathology"):
