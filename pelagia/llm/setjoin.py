@@ -5,15 +5,17 @@ by hash, so that what many share comes last (the sample decides the work, never
 n - ceil(t * n) + 1 are its prefix; two sets with a similarity of t or more share a shingle of both prefixes.
 
 1. Lists. Every prefix shingle has an index list of (node, size, position). A node takes as its leader the node it most
-   often meets at the head of its lists; nodes of one leader are a group. Nodes that are alone in all lists are done.
-2. Relations. A set is kept as its difference from its group's reference set: the intersection of two sets of a group
-   follows from the reference's size, the two sizes, and what the two differences share. A node farther than half from
-   the reference is a group of its own.
-3. Skipping. Lists are sorted by size and position and cut into blocks; pairs of blocks whose sizes or positions leave too
+   often meets at the head of its lists, if their odd sketches allow it; nodes of one leader are a group. Nodes that are
+   alone in all lists are done. An odd sketch has one bit, of at least two for each shingle, for an odd number of shingles
+   with that hash: two sketches differ in no more bits than the sets differ in shingles.
+2. Skipping. Lists are sorted by size and position and cut into blocks; pairs of blocks whose sizes or positions leave too
    few shingles for a similar pair, or that hold one group only, are skipped. What remains gives visits: a node of the
-   smaller group visits the larger one. No list gives a row for each of its pairs.
-4. Answers. A visitor too far from the reference for any member (Jaccard distance obeys the triangle inequality) is
-   dropped. A group's members and visitors are compared in blocks by their differences: each answer of the reference is
+   smaller group visits the larger one. No list gives a row for each of its pairs. A visitor whose sketch is too far from
+   the leader's for any member (differing bits obey the triangle inequality) is dropped.
+3. Relations. Only now sets are made again, of groups and visitors. Each is kept as its difference from the reference, the
+   set of the group's leader: the intersection of two sets follows from the reference's size, what the two lack of it and what
+   their differences share.
+4. Answers. A group's members and visitors are compared in blocks by their differences: each answer of the reference is
    corrected by the few shingles in which a set differs. Tasks return for each node how many documents it links to there
    and one node it is connected with: never all pairs.
 
@@ -32,7 +34,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from fractions import Fraction
 from itertools import chain
-from math import ceil, log
+from math import ceil, log, log2
 
 import numpy as np
 import pandas as pd
@@ -98,6 +100,26 @@ def digest(s: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(s.tobytes(), 7)).view(np.int64))
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """The odd sketch of a set: a power of two of bits, at least two for each element."""
+    bits = max(64, 1 << (2 * len(s) - 1).bit_length()) if len(s) else 64
+    return np.packbits(np.bincount(s & (bits - 1), minlength=bits) & 1, bitorder="little").tobytes()
+
+
+def differing_bits(x: bytes, of: bytes, t: Fraction) -> int:
+    """Bits in which a sketch differs from a leader's, both folded to a size that every set has that may be similar to a
+    member of the leader's group, so that all distances of a group obey the triangle inequality."""
+    size = max(1, 8 * len(of) >> ceil(2 * log2(1 / t)))
+    differ = 0
+    for raw in (x, of):
+        v, bits = int.from_bytes(raw, "little"), 8 * len(raw)
+        while bits > size:
+            bits //= 2
+            v = (v >> bits) ^ (v & ((1 << bits) - 1))
+        differ ^= v
+    return differ.bit_count()
+
+
 def prefix(s: np.ndarray, t: Fraction, often: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """often: the sample's frequent shingles, ascending; counts: of each."""
     n = len(s)
@@ -118,16 +140,16 @@ def _frequent(docs: DataFrame, text: str, shingle: int) -> tuple[np.ndarray, np.
 
 
 def sets_of(rows: DataFrame, shingle: int, similarity: str) -> DataFrame:
-    """rows with a column ``text`` in place of which come fp (of the set), n (its size) and prefix (array<long>)."""
+    """rows with a column ``text`` in place of which come fp (of the set), n (its size), prefix (array<long>) and sketch."""
     t = Fraction(similarity)
     sent = rows.sparkSession.sparkContext.broadcast(_frequent(rows, "text", shingle))
 
     def made(x: pd.Series) -> pd.DataFrame:
         sets = [shingle_set(v, shingle) for v in x]
-        return pd.DataFrame({"fp": np.array([digest(s) for s in sets], np.int64), "n": np.array([len(s) for s in sets], np.int32), "prefix": [prefix(s, t, *sent.value) for s in sets]})
+        return pd.DataFrame({"fp": np.array([digest(s) for s in sets], np.int64), "n": np.array([len(s) for s in sets], np.int32), "prefix": [prefix(s, t, *sent.value) for s in sets], "sketch": [sketch(s) for s in sets]})
 
     made.__annotations__ = {"x": pd.Series, "return": pd.DataFrame}
-    found = F.pandas_udf(made, "fp long, n int, prefix array<long>")
+    found = F.pandas_udf(made, "fp long, n int, prefix array<long>, sketch binary")
     return rows.withColumn("_p", found(F.col("text"))).select(*[c for c in rows.columns if c != "text"], "_p.*")
 
 
@@ -294,49 +316,40 @@ def equals(prints: DataFrame) -> DataFrame:
 
 def links(prints: DataFrame, texts: DataFrame, shingle: int, similarity: str, hot: int = HOT, rows: int = ROWS) -> DataFrame:
     """(a, b, links): rows that connect all similar sets, transitively; the sum of a node's links is the number of documents
-    of other sets that it links to. prints: (key, fp, n, prefix), a row for each document; texts: (key, text)."""
+    of other sets that it links to. prints: (key, fp, n, prefix, sketch), a row for each document; texts: (key, text)."""
     t, spark = Fraction(similarity), prints.sparkSession
-    nodes = prints.filter("n > 0").groupBy("fp").agg(F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"), F.min("key").alias("key"), F.count("*").alias("copies"))
+    any_ = [F.any_value(c).alias(c) for c in ("n", "prefix", "sketch")]
+    nodes = prints.filter("n > 0").groupBy("fp").agg(*any_, F.min("key").alias("key"), F.count("*").alias("copies"))
     nodes, nodes_at = materialise(nodes, "nodes")
+    bits = F.pandas_udf(lambda x, of: pd.Series([differing_bits(bytes(a), bytes(b), t) for a, b in zip(x, of, strict=True)], dtype="int64"), "long")
+
+    def allowed(n: Column, m: Column) -> Column:
+        """The shingles in which two similar sets of these sizes can differ."""
+        return F.floor((n + m) * (t.denominator - t.numerator) / (t.denominator + t.numerator) + 1e-9)
+
+    def sketched(df: DataFrame, fp: str, suffix: str) -> DataFrame:
+        return df.join(nodes.select(F.col("fp").alias(fp), F.col("n").alias(f"n{suffix}"), F.col("sketch").alias(f"sketch{suffix}")), fp)
 
     # 1: leaders, from the heads of the lists
     listed = nodes.select("n", "fp", F.explode("prefix").alias("s")).repartition("s").sortWithinPartitions("s", "n", "fp")
     met = listed.select("s", "n", "fp").mapInArrow(_heads(t, hot), "fp long, leader long, list long").groupBy("fp", "leader", "list").count()
-    met = met.groupBy("fp", "list").agg(F.max(F.struct("count", "leader")).alias("m")).select("fp", "list", F.col("m.leader").alias("g"))
-    met, met_at = materialise(met, "leaders")
-    best, large = met.filter("fp is not null").select("fp", "g"), met.filter("list is not null").select(F.col("list").alias("s"), F.col("g").alias("many"))
-
-    # 2: sets of the nodes that met another, as differences from their group's reference
-    wanted, wanted_at = materialise(nodes.select("fp", "n", "copies", "key").join(best, "fp"), "wanted")
-    udf = F.pandas_udf(lambda x: pd.Series([shingle_set(v, shingle) for v in x]), "array<long>")
-    keyed = wanted.select("key", "fp", "n", "copies", "g")
-    fetched = texts.join(F.broadcast(keyed) if keyed.count() <= FETCH else keyed, "key").dropDuplicates(["fp"])
-    sets, sets_at = materialise(fetched.select("fp", "n", "copies", "g", udf(F.col("text")).alias("set")), "sets")
-
-    def salted(df: DataFrame, sizes: DataFrame) -> DataFrame:
-        """With its part of its group: a large group's reference meets it in several tasks."""
-        parts = F.ceil(F.coalesce("size", F.lit(1)) / rows).cast("int")
-        return df.join(sizes, "g", "left").withColumn("part", F.pmod(F.xxhash64("fp"), parts).cast("int"))
-
-    def referred(sizes: DataFrame) -> DataFrame:
-        parts = F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / rows).cast("int") - 1)).alias("part")
-        return sets.select(F.col("fp").alias("g"), F.col("set").alias("reference")).join(sizes, "g").select("g", "reference", parts)
-
-    def differing(df: DataFrame) -> DataFrame:
-        gone, new = F.array_except("reference", "set"), F.array_except("set", "reference")
-        return df.withColumns({"gone": F.size(gone), "diff": F.concat(gone, new), "ref": F.size("reference")}).drop("reference", "set", "part", "size")
-
-    sizes = sets.groupBy("g").agg(F.count("*").alias("size"))
-    placed = differing(salted(sets, sizes).join(referred(sizes), ["g", "part"]))
-    far = 2 * F.size("diff") > F.col("ref") + F.col("n")
-    own = {"g": F.when(far, F.col("fp")).otherwise(F.col("g")), "gone": F.when(far, 0).otherwise(F.col("gone")), "ref": F.when(far, F.col("n")).otherwise(F.col("ref")), "diff": F.when(far, F.array().cast("array<long>")).otherwise(F.col("diff"))}
-    placed, placed_at = materialise(placed.withColumns(own).select("fp", "n", "copies", "g", "gone", "ref", "diff"), "placed")
-    radius = F.max(F.size("diff") / (F.col("ref") + F.col("n") + F.size("diff")) * 2).alias("radius")
-    sizes, sizes_at = materialise(placed.groupBy("g").agg(F.count("*").alias("size"), radius), "groups")
-
-    # 3: visits, from the lists in blocks
-    grouped = placed.select("fp", "g").join(sizes.select("g", "size"), "g")
-    listed = nodes.select("fp", "n", F.posexplode("prefix").alias("pos", "s")).join(grouped, "fp")
+    met, met_at = materialise(met, "met")
+    large = met.filter("list is not null").select(F.col("list").alias("s"), F.col("leader").alias("many"))
+    pairs = sketched(sketched(met.filter("fp <> leader").select("fp", "leader", "count"), "fp", "x"), "leader", "y")
+    fit = pairs.filter(bits("sketchx", "sketchy") <= 2 * allowed(F.col("nx"), F.col("ny"))).select("fp", "leader", "count")
+    own = met.filter("fp is not null").select("fp", F.col("fp").alias("leader"), F.when(F.col("leader") == F.col("fp"), F.col("count")).otherwise(0).alias("count"))
+    best = fit.unionByName(own).groupBy("fp").agg(F.max(F.struct("count", "leader")).alias("m")).select("fp", F.col("m.leader").alias("g"))
+    best, best_at = materialise(best, "leaders")
+    # a node that is alone with another's leader is its own
+    alone = best.groupBy("g").agg(F.count("*").alias("size")).filter("size = 1").select("g", F.lit(True).alias("alone"))
+    best, grouped_at = materialise(best.join(alone, "g", "left").select("fp", F.when(F.col("alone"), F.col("fp")).otherwise(F.col("g")).alias("g")), "grouped")
+    leads = sketched(sketched(best.filter("fp <> g"), "fp", "x"), "g", "y").select("g", F.col("nx").alias("n"), bits("sketchx", "sketchy").alias("away"))
+    members = leads.unionByName(sketched(best.filter("fp = g"), "fp", "x").select("g", F.col("nx").alias("n"), F.lit(0).cast("long").alias("away")))
+    sizes, sizes_at = materialise(members.groupBy("g").agg(F.count("*").alias("size"), F.max("away").alias("away"), F.max("n").alias("most")), "groups")
+
+    # 2: visits, from the lists in blocks
+    grouped = best.join(sizes.select("g", "size"), "g")
+    listed = nodes.select("fp", "n", "prefix").join(grouped, "fp").select("fp", "n", "g", "size", F.posexplode("prefix").alias("pos", "s"))
     one = {"i": F.lit(0), "j": F.lit(0), "side": F.lit(0)}
     if large.head(1):
         cut = listed.join(large, "s").withColumn("blocks", F.ceil(2 * F.col("many") / hot).cast("int"))
@@ -348,23 +361,32 @@ def links(prints: DataFrame, texts: DataFrame, shingle: int, similarity: str, ho
         listed = listed.withColumns(one)
     order = ["s", "i", "j", "side", "n", "pos", "fp", "g", "size"]
     visits = listed.select(*order).repartition("s", "i", "j").sortWithinPartitions("s", "i", "j", "n", "pos")
-    visits, visits_at = materialise(visits.mapInArrow(_visits(t), "g long, fp long").distinct(), "visits")
-
-    # 4: answers, from the groups' references and differences
-    guests = salted(visits.join(sets.select("fp", "n", "copies", "set"), "fp"), sizes.select("g", "size"))
-    guests = differing(guests.join(referred(sizes.join(visits.select("g").distinct(), "g", "left_semi")), ["g", "part"]))
-    distance = F.size("diff") / (F.col("ref") + F.col("n") + F.size("diff")) * 2
-    guests = guests.join(sizes, "g").filter(distance - F.col("radius") <= float(1 - t) + 1e-9)
-    guests, guests_at = materialise(guests.select("fp", "n", "copies", "g", "gone", "ref", "diff", "size", "radius"), "guests")
-    # where a group is its reference alone, a visitor's difference is the answer
-    alone = guests.filter("size = 1 and radius = 0").filter((F.col("ref") - F.col("gone")) * (t.denominator + t.numerator) >= (F.col("ref") + F.col("n")) * t.numerator)
-    alone = alone.select(F.col("fp").alias("a"), F.col("g").alias("b"), "copies").join(sets.select(F.col("fp").alias("b"), F.col("copies").alias("theirs")), "b")
+    visits = visits.mapInArrow(_visits(t), "g long, fp long").distinct().join(sizes, "g")
+    near = bits("sketchx", "sketchy") <= F.col("away") + allowed(F.col("nx"), F.col("most"))
+    visits, visits_at = materialise(sketched(sketched(visits, "fp", "x"), "g", "y").filter(near).select("g", "fp", "size"), "visits")
+
+    # 3: sets of groups and visitors, as differences from the group's reference
+    several = grouped.filter("size > 1").select("fp", "g", F.lit(True).alias("member")).unionByName(visits.select("fp", "g", F.lit(False).alias("member")))
+    needed = several.select("fp").unionByName(several.select(F.col("g").alias("fp"))).distinct()
+    wanted, wanted_at = materialise(nodes.select("fp", "n", "copies", "key").join(needed, "fp"), "wanted")
+    fetched = texts.join(F.broadcast(wanted) if wanted.count() <= FETCH else wanted, "key").dropDuplicates(["fp"])
+    udf = F.pandas_udf(lambda x: pd.Series([shingle_set(v, shingle) for v in x]), "array<long>")
+    sets, sets_at = materialise(fetched.select("fp", "n", "copies", udf(F.col("text")).alias("set")), "sets")
+    # a reference that many meet is there in several parts
+    counts = several.groupBy("g").agg(F.ceil(F.count("*") / rows).cast("int").alias("parts"))
+    meets = several.join(counts, "g").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")).drop("parts").join(sets, "fp")
+    refs = sets.select(F.col("fp").alias("g"), F.col("set").alias("reference")).join(counts, "g").select("g", "reference", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    gone, new = F.array_except("reference", "set"), F.array_except("set", "reference")
+    placed = meets.join(refs, ["g", "part"]).withColumns({"gone": F.size(gone), "diff": F.concat(gone, new), "ref": F.size("reference")})
+    placed, placed_at = materialise(placed.join(sizes.select("g", "size"), "g").select("fp", "n", "copies", "g", "size", "member", "gone", "ref", "diff"), "placed")
+
+    # 4: answers; a group of one node is its reference, so a visitor's difference is the answer
+    single = placed.filter("size = 1").filter((F.col("ref") - F.col("gone")) * (t.denominator + t.numerator) >= (F.col("ref") + F.col("n")) * t.numerator)
+    single = single.select(F.col("fp").alias("a"), F.col("g").alias("b"), "copies").join(nodes.select(F.col("fp").alias("b"), F.col("copies").alias("theirs")), "b")
     direct = F.inline(F.array(F.struct(F.col("a"), F.col("b"), F.col("theirs").alias("links")), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), F.col("copies").alias("links"))))
-    several = placed.join(sizes.filter("size > 1 or radius > 0").select("g"), "g", "left_semi").withColumn("member", F.lit(True))
-    several = several.unionByName(guests.filter("size > 1 or radius > 0").drop("size", "radius").withColumn("member", F.lit(False)))
-    several = several.withColumn("bytes", 8 * F.size("diff") + 64)
-    of = several.groupBy("g").agg(F.greatest(F.ceil(F.count("*") / rows), F.ceil(F.sum("bytes") / BYTES)).cast("int").alias("blocks"))
-    cut = several.join(of, "g").withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    compared = placed.filter("size > 1").withColumn("bytes", 8 * F.size("diff") + 64)
+    of = compared.groupBy("g").agg(F.greatest(F.ceil(F.count("*") / rows), F.ceil(F.sum("bytes") / BYTES)).cast("int").alias("blocks"))
+    cut = compared.join(of, "g").withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cut = cut.withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other"), "left": F.col("mine") <= F.col("other")})
     tasks = max(1, ceil((cut.agg(F.sum("bytes")).first()[0] or 0) / TASK))
 
@@ -372,10 +394,10 @@ def links(prints: DataFrame, texts: DataFrame, shingle: int, similarity: str, ho
         none = pd.DataFrame({"a": [], "b": [], "links": []}, dtype="int64")
         return pd.concat([none, *(answers(x, t) for _, x in task.groupby(["g", "i", "j"], sort=False) if len(x) > 1)])
 
-    compared = cut.select("g", "i", "j", "left", "member", "fp", "n", "gone", "ref", "copies", "diff", F.pmod(F.xxhash64("g", "i", "j"), F.lit(tasks)).alias("task"))
-    found = compared.groupBy("task").applyInPandas(answer, "a long, b long, links long").unionByName(alone.select(direct))
+    cut = cut.select("g", "i", "j", "left", "member", "fp", "n", "gone", "ref", "copies", "diff", F.pmod(F.xxhash64("g", "i", "j"), F.lit(tasks)).alias("task"))
+    found = cut.groupBy("task").applyInPandas(answer, "a long, b long, links long").unionByName(single.select(direct))
     found, _ = materialise(found, "links")
-    drop(spark, nodes_at, met_at, wanted_at, sets_at, placed_at, sizes_at, visits_at, guests_at)
+    drop(spark, nodes_at, met_at, best_at, grouped_at, sizes_at, visits_at, wanted_at, sets_at, placed_at)
     return found
 
 
