@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pelagia.llm import jaccard
+from pelagia.llm import setjoin
 from pelagia.llm.components import components
 from pelagia.llm.shared import bounded, materialise, row_key, segments, table
 
@@ -151,16 +151,18 @@ def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sh
     with the smallest id (null last), of several rows with it the one with the smallest key.
 
     Rows are chosen by a 128-bit key of all their columns; texts move once, to meet the chosen keys, and once more if they
-    share much with another."""
+    share much with another. Null and blank texts are the empty set, and empty sets are equal."""
     bounded(docs.sparkSession)
     key = row_key(*[f"`{c}`" for c in docs.columns])
     rows = docs.withColumns({"_key_a": key["a"], "_key_b": key["b"]})  # plain numbers: the join and the grouping share one exchange
     keyed = rows.select(F.struct("_key_a", "_key_b").alias("key"), F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"))
-    prints, _ = materialise(jaccard.sets_of(keyed, shingle, similarity), "prints")
-    nodes, _ = materialise(prints.groupBy("fp").agg(F.min("id").alias("id")), "nodes")
-    found = _rooted(nodes, jaccard.links(prints.select("key", "fp", "n", "prefix", "sketch"), keyed.select("key", "text"), shingle, similarity))
-    first = F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("m")
-    chosen, _ = materialise(prints.select("id", "key", "fp").join(found, "fp").groupBy("root").agg(first).select("m.key.*"), "chosen")
+    prints, _ = materialise(setjoin.sets_of(keyed, shingle, str(similarity)), "prints")
+    found = setjoin.links(prints, keyed.select("key", "text"), shingle, str(similarity))
+    roots = setjoin.classes(prints.select("fp", "n", "id"), found).select("fp", "root")
+    # rows of one set are reduced before they move; empty sets are equal
+    least = F.min(F.struct(F.col("id").isNull(), "id", "key"))
+    chosen = prints.groupBy("fp").agg(least.alias("m")).join(roots, "fp").groupBy("root").agg(F.min("m").alias("m")).select("m.key.*")
+    chosen, _ = materialise(chosen, "chosen")
     # rows equal in every column share a key; the join has dealt them by it already
     return rows.join(chosen, ["_key_a", "_key_b"], "left_semi").dropDuplicates(["_key_a", "_key_b"]).drop("_key_a", "_key_b")
 

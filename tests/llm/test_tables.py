@@ -163,9 +163,9 @@ def jaccard_brute(texts, k=5):
 def test_stage_finds_all_near_copies(spark, monkeypatch, hot, block):
     from functools import partial
 
-    from pelagia.llm import jaccard
+    from pelagia.llm import setjoin
 
-    monkeypatch.setattr(jaccard, "links", partial(jaccard.links, hot=hot, block=block))  # small and large buckets
+    monkeypatch.setattr(setjoin, "links", partial(setjoin.links, hot=hot, rows=block))  # small and large lists and groups
     r = random.Random(8)
     prose = lambda n: [f"w{r.randint(0, 400)}" for _ in range(n)]
     common, texts = prose(40), ["", None, " \n", "one two", "one two three four", "one two three four five six seven"]
