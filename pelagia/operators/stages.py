@@ -1,5 +1,9 @@
 """The image stages as DataFrame steps. Each adds or replaces an ``image`` column; write_stage puts images in files and
-paths in the table. A row whose image is missing or cannot be decoded is dropped, and counted by ``observe``."""
+paths in the table.
+
+A table with a column ``error`` (errors.channel) is on the error channel: a row whose image is missing, damaged or too much
+for a kernel keeps its first reason, and errors.settle sets it aside and counts it by an Observation. Off the channel, rows
+without an image are dropped by ``basic``, and a kernel that raises fails the task."""
 
 from __future__ import annotations
 
@@ -7,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pelagia.functions import pixels
+from pelagia.operators import errors, noise
 from pelagia.operators import images as im
-from pelagia.operators import noise
 from pelagia.operators.catalog import hardware, int_or, keep_first, output_name, text_or
 
 ATTRIBUTES = ["patient_id", "abnormality_category", "breast_side", "image_view", "pathology"]
@@ -23,26 +27,36 @@ def attributes(df: DataFrame) -> DataFrame:
     return df.withColumns(new | {"label": int_or(there("label")), "dataset_split": text_or(there("dataset_split"), "train")})
 
 
-def basic(master: DataFrame, decoded: DataFrame, order: list[str], path: str = "image_path", size: tuple[int, int] = (512, 512), head: int | None = None) -> DataFrame:
+def basic(master: DataFrame, decoded: DataFrame, order: list[str], path: str = "image_path", size: tuple[int, int] = (512, 512), head: int | None = None, channel: bool = False) -> DataFrame:
     """Normalised, resized images of the distinct source files, the first record of each. decoded: path, image (8-bit values).
+    channel puts the result on the error channel; files that decoded lacks are there, too, with the reason "no image".
 
     head is the stage's test mode."""
     rows = keep_first(master.filter(F.col(path).isNotNull()), [path], order)
     if head is not None:
         rows = rows.orderBy(*order).limit(head)
-    rows = attributes(rows).join(decoded.select(F.col("path").alias("_path"), "image"), F.col(path) == F.col("_path")).drop("_path")
-    scaled = im.apply(F.col("image"), lambda x: pixels.resize(pixels.normalize_image(x), *size))
-    rows = rows.filter("image.data is not null").withColumn("image", scaled)
+    rows = attributes(rows).join(decoded.select(F.col("path").alias("_path"), "image"), F.col(path) == F.col("_path"), "left" if channel else "inner").drop("_path")
+    scaled = lambda x: pixels.resize(pixels.normalize_image(x), *size)
+    if channel:
+        rows = errors.step(errors.channel(rows), "basic", scaled)
+    else:
+        rows = rows.filter("image.data is not null").withColumn("image", im.apply(F.col("image"), scaled))
     name = output_name(*[F.col(c) for c in ATTRIBUTES[:4]], path=F.col(path))
-    return rows.select(*ATTRIBUTES, "label", "dataset_split", F.col(path).alias("original_image_path"), name.alias("name"), F.lit(size[0]).alias("width"), F.lit(size[1]).alias("height"), "image")
+    return rows.select(*ATTRIBUTES, "label", "dataset_split", F.col(path).alias("original_image_path"), name.alias("name"), F.lit(size[0]).alias("width"), F.lit(size[1]).alias("height"), "image", *[c for c in ("error",) if channel])
+
+
+def _step(df: DataFrame, stage: str, name: str, **params) -> DataFrame:
+    if errors.on_channel(df):
+        return errors.step(df, stage, name, **params)
+    return df.withColumn("image", im.apply_named(F.col("image"), name, **params))
 
 
 def contrast(df: DataFrame, lower: float = 2.0, upper: float = 98.0) -> DataFrame:
-    return df.withColumn("image", im.apply_named(F.col("image"), "stretch_contrast", lower=lower, upper=upper))
+    return _step(df, "contrast", "stretch_contrast", lower=lower, upper=upper)
 
 
 def sharpen(df: DataFrame, amount: float = 1.0, sigma: float = 1.0, kernel_size: tuple[int, int] = (5, 5)) -> DataFrame:
-    return df.withColumn("image", im.apply_named(F.col("image"), "unsharp_mask", amount=amount, sigma=sigma, kernel_size=kernel_size))
+    return _step(df, "sharpen", "unsharp_mask", amount=amount, sigma=sigma, kernel_size=kernel_size)
 
 
 def add_noise(df: DataFrame, key: str = "name", seed: int = 42) -> DataFrame:
@@ -55,12 +69,18 @@ def add_noise(df: DataFrame, key: str = "name", seed: int = 42) -> DataFrame:
 
 
 def denoise(df: DataFrame, methods: list[str] | None = None) -> DataFrame:
-    """A row for each filter: denoising_method, hardware_architecture, status, image."""
-    rest = [c for c in df.columns if c != "image"]
-    out = df.select(*rest, F.explode(im.apply_filters(F.col("image"), methods)).alias("f"))
+    """A row for each filter: denoising_method, hardware_architecture, status (FAILED on the error channel), image."""
+    on = errors.on_channel(df)
+    rest = [c for c in df.columns if c not in ("image", "error")]
+    made = errors.attempt_filters(F.when(F.col("error").isNull(), F.col("image")), methods) if on else im.apply_filters(F.col("image"), methods)
+    out = df.select(*rest, *[c for c in ("error",) if on], F.explode(made).alias("f"))
     m = F.col("f.method")
     same = (F.col("f.image.height") == F.col("clean.height")) & (F.col("f.image.width") == F.col("clean.width"))
-    return out.select(*rest, m.alias("denoising_method"), hardware(m).alias("hardware_architecture"), F.when(same, "SUCCESS").otherwise("SHAPE_MISMATCH").alias("status"), F.col("f.image").alias("image"))
+    status = F.when(same, "SUCCESS").otherwise("SHAPE_MISMATCH")
+    if on:
+        status = F.when(F.col("f.error").isNotNull(), "FAILED").otherwise(status)
+        rest = [*rest, F.coalesce("error", F.concat(m, F.lit(": "), F.col("f.error"))).alias("error")]
+    return out.select(*rest, m.alias("denoising_method"), hardware(m).alias("hardware_architecture"), status.alias("status"), F.col("f.image").alias("image"))
 
 
 def full_pipeline(df: DataFrame, size: tuple[int, int] = (512, 512)) -> DataFrame:
