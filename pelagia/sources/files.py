@@ -89,12 +89,56 @@ def encode_png(x: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw, 6)) + chunk(b"IEND", b"")
 
 
+#: First column and row, and steps, of the seven passes of an interlaced PNG: fixed values of the format.
+PASSES = [(0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2)]
+
+
+def _lines(raw: np.ndarray, h: int, size: int, step: int) -> np.ndarray:
+    """h lines of size bytes without their filters; step is the distance of a byte's left neighbour."""
+    raw = raw[: h * (size + 1)].reshape(h, size + 1)
+    out, above = np.zeros((h, size), np.uint8), np.zeros(size, np.int64)
+    for y in range(h):
+        kind, line = raw[y, 0], raw[y, 1:].astype(np.int64)
+        if kind == 1:
+            padded = np.zeros(-(-size // step) * step, np.int64)
+            padded[:size] = line
+            line = np.cumsum(padded.reshape(-1, step), 0).ravel()[:size]
+        elif kind == 2:
+            line = line + above
+        elif kind in (3, 4):
+            done = np.zeros_like(line)
+            for i in range(size):
+                left = done[i - step] if i >= step else 0
+                if kind == 3:
+                    guess = (left + above[i]) // 2
+                else:
+                    up, corner = above[i], above[i - step] if i >= step else 0
+                    p = left + up - corner
+                    guess = min((abs(p - left), 0, left), (abs(p - up), 1, up), (abs(p - corner), 2, corner))[2]
+                done[i] = (line[i] + guess) & 255
+            line = done
+        elif kind:
+            raise ValueError("unknown filter")
+        above = line & 255
+        out[y] = above
+    return out
+
+
+def _samples(lines: np.ndarray, w: int, channels: int, depth: int) -> np.ndarray:
+    """(h, w, channels) values of depth bits; of 16, the upper 8."""
+    if depth >= 8:
+        return lines.reshape(len(lines), w, channels, depth // 8)[..., 0]
+    bits = np.unpackbits(lines, axis=1).reshape(len(lines), -1, depth)
+    return (bits @ (1 << np.arange(depth)[::-1]))[:, : w * channels].reshape(len(lines), w, channels).astype(np.uint8)
+
+
 def decode_png(data: bytes) -> np.ndarray | None:
-    """8-bit gray values of a PNG (gray, gray with alpha, RGB, RGBA or palette; not interlaced); None if it is damaged."""
+    """8-bit gray values of a PNG (any colour type, 1 to 16 bits, interlaced or not); None if it is damaged. Of 16 bits the
+    upper 8 count, and fewer than 8 are scaled to 255; alpha is left out."""
     try:
         if data[:8] != b"\x89PNG\r\n\x1a\n":
             return None
-        at, body, palette, head = 8, b"", None, None
+        at, body, palette, head = 8, [], None, None
         while at < len(data):
             n, kind = struct.unpack(">I4s", data[at : at + 8])
             part = data[at + 8 : at + 8 + n]
@@ -105,43 +149,28 @@ def decode_png(data: bytes) -> np.ndarray | None:
             elif kind == b"PLTE":
                 palette = np.frombuffer(part, np.uint8).reshape(-1, 3)
             elif kind == b"IDAT":
-                body += part
+                body.append(part)
             at += 12 + n
         w, h, depth, color, _, _, interlaced = head
-        if depth != 8 or interlaced:
-            return None
         channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[color]
-        raw = np.frombuffer(zlib.decompress(body), np.uint8).reshape(h, w * channels + 1)
-        out = np.zeros((h, w * channels), np.uint8)
-        above = np.zeros(w * channels, np.int64)
-        for y in range(h):
-            kind, line = raw[y, 0], raw[y, 1:].astype(np.int64)
-            if kind == 1:
-                line = np.cumsum(line.reshape(w, channels), 0).ravel()
-            elif kind == 2:
-                line = line + above
-            elif kind in (3, 4):
-                done = np.zeros_like(line)
-                for i in range(len(line)):
-                    a = done[i - channels] if i >= channels else 0
-                    if kind == 3:
-                        guess = (a + above[i]) // 2
-                    else:
-                        b, c = above[i], above[i - channels] if i >= channels else 0
-                        p = a + b - c
-                        pa, pb, pc = abs(p - a), abs(p - b), abs(p - c)
-                        guess = a if pa <= pb and pa <= pc else b if pb <= pc else c
-                    done[i] = (line[i] + guess) & 255
-                line = done
-            above = line & 255
-            out[y] = above
-        x = out.reshape(h, w, channels)
+        if depth not in (1, 2, 4, 8, 16) or not w or not h:
+            return None
+        raw, at = np.frombuffer(zlib.decompress(b"".join(body)), np.uint8), 0
+        x = np.zeros((h, w, channels), np.uint8)
+        for x0, y0, dx, dy in PASSES if interlaced else [(0, 0, 1, 1)]:
+            pw, ph = max(0, -(-(w - x0) // dx)), max(0, -(-(h - y0) // dy))
+            if pw and ph:
+                size = -(-pw * channels * depth // 8)
+                x[y0::dy, x0::dx] = _samples(_lines(raw[at:], ph, size, max(1, channels * depth // 8)), pw, channels, depth)
+                at += ph * (size + 1)
         if color == 3:
             x = palette[x[..., 0]]
+        elif depth < 8:
+            x = (x.astype(int) * 255 // ((1 << depth) - 1)).astype(np.uint8)
         if x.shape[2] >= 3:  # luma weights of ITU-R BT.601
             return np.rint(x[..., :3] @ np.array([0.299, 0.587, 0.114])).astype(np.uint8)
         return x[..., 0]
-    except (KeyError, ValueError, TypeError, struct.error, zlib.error):
+    except (KeyError, ValueError, TypeError, IndexError, struct.error, zlib.error):
         return None
 
 
@@ -157,7 +186,10 @@ def decode(content: Column) -> Column:
 
 def read_images(spark: SparkSession, path: str, pattern: str = "*.png", invalid: str = "keep") -> DataFrame:
     """path, image. invalid: keep (null image), drop, or fail."""
-    out = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path).select("path", decode(F.col("content")).alias("image"))
+    return _judged(spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path).select("path", decode(F.col("content")).alias("image")), invalid)
+
+
+def _judged(out: DataFrame, invalid: str) -> DataFrame:
     if invalid == "drop":
         return out.filter("image.data is not null")
     if invalid == "fail":
@@ -165,10 +197,10 @@ def read_images(spark: SparkSession, path: str, pattern: str = "*.png", invalid:
     return out
 
 
-def read_image_source(spark: SparkSession, path: str) -> DataFrame:
+def read_image_source(spark: SparkSession, path: str, pattern: str = IMAGES) -> DataFrame:
     """path, image by Spark's image source (PNG and JPEG); colour becomes gray."""
     i = F.col("image")
-    found = spark.read.format("image").option("recursiveFileLookup", True).load(path)
+    found = spark.read.format("image").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
 
     def gray(height: pd.Series, width: pd.Series, channels: pd.Series, data: pd.Series) -> pd.DataFrame:
         out = []
@@ -180,6 +212,19 @@ def read_image_source(spark: SparkSession, path: str) -> DataFrame:
     return found.select(i["origin"].alias("path"), F.pandas_udf(gray, IMAGE)(i["height"], i["width"], i["nChannels"], i["data"]).alias("image"))
 
 
+def read_folder(spark: SparkSession, path: str, invalid: str = "keep") -> DataFrame:
+    """path, image of all PNG and JPEG files below path, each by the reader that knows it; invalid as in read_images.
+    Files of no bytes are left out, as Spark's own readers do."""
+    png = read_images(spark, path, "*.{png,PNG}", invalid)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{jpg,jpeg,JPG,JPEG}").load(path).select("path")
+    if not files.head(1):
+        return png
+    found = read_image_source(spark, path, "*.{jpg,jpeg,JPG,JPEG}")
+    name = lambda c: F.regexp_replace(c, "^file:/+", "/")  # noqa: E731  the two readers write local paths in two ways
+    jpeg = files.withColumn("_at", name("path")).join(found.select(name("path").alias("_at"), "image"), "_at", "left").select("path", "image")
+    return png.unionByName(_judged(jpeg, invalid))
+
+
 def load_config(path: str, missing_ok: bool = False) -> dict:
     if not Path(path).exists():
         if missing_ok:
