@@ -14,6 +14,9 @@ from math import pi
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pelagia.functions.points import let
+from pelagia.functions.points import with_data as _with
+
 
 def draw(key: Column, seed: int, epoch: Column | int, stream: str) -> Column:
     """In [0, 1): the first 32 bits of md5(seed-epoch-key-stream)."""
@@ -22,15 +25,6 @@ def draw(key: Column, seed: int, epoch: Column | int, stream: str) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / 4294967296.0
 
 
-def let(body, **values: Column) -> Column:
-    """body of a struct of the values, each of which is evaluated once and not for every pixel."""
-    return F.element_at(F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), body), 1)
-
-
-def _with(image: Column, data: Column) -> Column:
-    return F.when(image["data"].isNotNull(), F.struct(image["height"].alias("height"), image["width"].alias("width"), data.alias("data")))
-
-
 def flip(image: Column, across: Column, down: Column) -> Column:
     """across: left to right; down: upside down."""
 

@@ -125,27 +125,32 @@ def crop(image: Column, mask: Column, margin: int = 10) -> Column:
 METRICS = ["MSE", "PSNR", "SSIM", "SNR", "CNR", "CII", "Entropy"]
 
 
-def metrics(clean: Column, other: Column) -> Column:
-    """struct of METRICS and MAE for a pair of images. Regions are each image's own, by Otsu."""
+def metric_values(x: np.ndarray, y: np.ndarray, names: list[str]) -> dict[str, np.ndarray | list[float]]:
+    """The named metrics of two stacks of images, no others."""
+    made = {"MSE": lambda: pixels.mse(x, y), "PSNR": lambda: pixels.psnr(x, y), "SSIM": lambda: pixels.ssim(x, y), "SNR": lambda: pixels.snr(x, y), "Entropy": lambda: pixels.entropy(y), "MAE": lambda: pixels.mae(x, y)}
+    found: dict = {k: made[k]() for k in names if k in made}
+    if "CNR" in names or "CII" in names:
+        pairs = [(u, v, pixels.otsu_regions(u) if "CII" in names else None, pixels.otsu_regions(v)) for u, v in zip(x, y, strict=True)]
+        found |= {"CNR": [pixels.cnr(v[r], v[b]) for _, v, _, (r, b) in pairs]} if "CNR" in names else {}
+        found |= {"CII": [pixels.cii(v[r], v[b], u[q], u[c]) for u, v, (q, c), (r, b) in pairs]} if "CII" in names else {}
+    return found
+
+
+def metrics(clean: Column, other: Column, names: list[str] | None = None) -> Column:
+    """struct of METRICS and MAE (or of those named) for a pair of images. Regions are each image's own, by Otsu."""
+    names = names or [*METRICS, "MAE"]
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame(np.nan, index=range(len(a)), columns=[*METRICS, "MAE"])
+        out = pd.DataFrame(np.nan, index=range(len(a)), columns=names)
         for at, x in stacks(a):
             y = np.stack([np.asarray(b["data"].iloc[i], float) for i in at])
             if y[0].size != x[0].size:
                 raise ValueError("images differ in shape")
-            y = y.reshape(x.shape)
-            found = {"MSE": pixels.mse(x, y), "PSNR": pixels.psnr(x, y), "SSIM": pixels.ssim(x, y), "SNR": pixels.snr(x, y), "Entropy": pixels.entropy(y), "MAE": pixels.mae(x, y)}
-            contrasts, improved = [], []
-            for u, v in zip(x, y, strict=True):
-                (r0, b0), (r1, b1) = pixels.otsu_regions(u), pixels.otsu_regions(v)
-                contrasts.append(pixels.cnr(v[r1], v[b1]))
-                improved.append(pixels.cii(v[r1], v[b1], u[r0], u[b0]))
-            for k, v in (found | {"CNR": contrasts, "CII": improved}).items():
+            for k, v in metric_values(x, y.reshape(x.shape), names).items():
                 out.loc[at, k] = v
         return out
 
-    return F.pandas_udf(run, ", ".join(f"{m} double" for m in [*METRICS, "MAE"]))(clean, other)
+    return F.pandas_udf(run, ", ".join(f"{m} double" for m in names))(clean, other)
 
 
 def statistics(image: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pelagia.functions import pixels as px
+from pelagia.functions import points
 from pelagia.operators import experiment, noise
 from pelagia.operators import images as im
 from pelagia.plans.standins import PX, images, near, pixels
@@ -31,13 +32,13 @@ Q = "round_even(v * 255, 0)"
 
 # --- intensity and geometry
 
-_pixel_query("normalize_minmax", _kernel("normalize_minmax", target_min=0.1, target_max=0.9), f"with {PX}, r as (select image_id, min(v) as lo, max(v) as hi from px group by 1) select image_id, pos, round(0.1 + (v - lo) / (hi - lo) * (0.9 - 0.1), 6) as v from px join r using (image_id)")
-_pixel_query("min_max", _kernel("min_max"), _select("v"))
-_pixel_query("normalize_robust", _kernel("normalize_robust"), f"with {PX}, r as (select image_id, quantile_cont(v, 0.01) as lo, quantile_cont(v, 0.99) as hi from px group by 1) select image_id, pos, round((least(greatest(v, lo), hi) - lo) / (hi - lo), 6) as v from px join r using (image_id)")
-_pixel_query("normalize_zscore", _kernel("normalize_zscore"), f"with {PX}, r as (select image_id, avg(v) as m, stddev_pop(v) as s from px group by 1) select image_id, pos, round((v - m) / s, 6) as v from px join r using (image_id)")
-_pixel_query("stretch_contrast", _kernel("stretch_contrast"), f"with {PX}, r as (select image_id, quantile_cont(v, 0.02) as lo, quantile_cont(v, 0.98) as hi from px group by 1) select image_id, pos, round((least(greatest(v, lo), hi) - lo) / (hi - lo), 6) as v from px join r using (image_id)")
-_pixel_query("quantize_u8", _kernel("quantize_u8"), _select(Q))
-_pixel_query("truncate_u8", _kernel("truncate_u8"), _select("floor(v * 255)"))
+_pixel_query("normalize_minmax", lambda df: points.normalize_image(df["image"], 0.1, 0.9), f"with {PX}, r as (select image_id, min(v) as lo, max(v) as hi from px group by 1) select image_id, pos, round(0.1 + (v - lo) / (hi - lo) * (0.9 - 0.1), 6) as v from px join r using (image_id)")
+_pixel_query("min_max", lambda df: points.min_max_normalize(df["image"]), _select("v"))
+_pixel_query("normalize_robust", lambda df: points.robust_min_max_normalize(df["image"]), f"with {PX}, r as (select image_id, quantile_cont(v, 0.01) as lo, quantile_cont(v, 0.99) as hi from px group by 1) select image_id, pos, round((least(greatest(v, lo), hi) - lo) / (hi - lo), 6) as v from px join r using (image_id)")
+_pixel_query("normalize_zscore", lambda df: points.z_score_normalize(df["image"]), f"with {PX}, r as (select image_id, avg(v) as m, stddev_pop(v) as s from px group by 1) select image_id, pos, round((v - m) / s, 6) as v from px join r using (image_id)")
+_pixel_query("stretch_contrast", lambda df: points.stretch_contrast(df["image"]), f"with {PX}, r as (select image_id, quantile_cont(v, 0.02) as lo, quantile_cont(v, 0.98) as hi from px group by 1) select image_id, pos, round((least(greatest(v, lo), hi) - lo) / (hi - lo), 6) as v from px join r using (image_id)")
+_pixel_query("quantize_u8", lambda df: points.quantize(df["image"]), _select(Q))
+_pixel_query("truncate_u8", lambda df: points.truncate(df["image"]), _select("floor(v * 255)"))
 _pixel_query("hist_equalize", _kernel("hist_equalize"), f"""with {PX}, q as (select image_id, pos, {Q} as q from px),
 c as (select a.image_id, a.pos, count(*) as cdf from q a join q b on a.image_id = b.image_id and b.q <= a.q group by 1, 2),
 f as (select image_id, min(cdf) as first from c group by 1)
@@ -48,7 +49,7 @@ s as (select ty, tx, least(greatest((ty + 0.5) * 0.5 - 0.5, 0), 7)::double as fy
 w as (select *, least(floor(fy), 6)::int as y0, least(floor(fx), 6)::int as x0 from s)
 select a.image_id, (ty * 16 + tx)::int as pos, round(sum(a.v * (case when a.y = y0 then 1 - (fy - y0) else fy - y0 end) * (case when a.x = x0 then 1 - (fx - x0) else fx - x0 end)), 6) as v
 from w join px a on a.y in (y0, y0 + 1) and a.x in (x0, x0 + 1) group by 1, 2""")
-_pixel_query("corner_suppress", _kernel("corner_suppress"), _select("case when x * 3 + y * 3 <= 9 then 0 else v end"))
+_pixel_query("corner_suppress", lambda df: points.suppress_corner(df["image"]), _select("case when x * 3 + y * 3 <= 9 then 0 else v end"))
 _pixel_query("unsharp_mask", _kernel("unsharp_mask"), f"with {PX}, {near('n', 'px', 5, 'reflect')} select image_id, pos, round(least(greatest(any_value(c) + (any_value(c) - sum(v * exp(-(dy * dy + dx * dx) / 2.0)) / sum(exp(-(dy * dy + dx * dx) / 2.0))), 0), 1), 6) as v from n group by 1, 2")
 _pixel_query("laplacian_sharpen", _kernel("laplacian_sharpen"), f"with {PX}, {near('n', 'px', 3, 'reflect')} select image_id, pos, round(least(greatest(any_value(c) + 0.5 * sum(v * case when dy = 0 and dx = 0 then 4 when dy = 0 or dx = 0 then -1 else 0 end), 0), 1), 6) as v from n group by 1, 2")
 _pixel_query("clahe", _kernel("clahe", tiles=(2, 2)), None)
@@ -122,8 +123,7 @@ select image_id, pos, round(least(greatest(greatest(t * t / 4 - 0.375::double, 0
 @query("anscombe_transform", f"with {PX} select image_id, pos, round(2 * sqrt(greatest(v * 255, 0) + 0.375::double), 6) as t, round(greatest(power(sqrt(greatest(v * 255, 0) + 0.375::double), 2) - 0.375::double, 0) / 255, 6) as back from px")
 def anscombe_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = images(spark, sf_dir)
-    t = im.apply(F.col("image"), lambda x: px.anscombe(x * 255))
-    df = df.select("image_id", t.alias("t")).withColumn("b", im.apply(F.col("t"), lambda y: px.inverse_anscombe(y) / 255))
+    df = df.select("image_id", points.anscombe(F.col("image"), 255.0).alias("t")).withColumn("b", points.inverse_anscombe(F.col("t"), 255.0))
     both = F.posexplode(F.arrays_zip(F.col("t.data").alias("t"), F.col("b.data").alias("b"))).alias("pos", "z")
     return df.select("image_id", both).select("image_id", "pos", F.round("z.t", 6).alias("t"), F.round("z.b", 6).alias("back"))
 
@@ -133,10 +133,18 @@ def anscombe_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
 PAIR = f"{PX}, p as (select px.image_id, px.pos, px.y, px.x, px.v as a, ns.v as b from px join ns using (image_id, pos))"
 
 
+#: Pair metrics in built-in functions.
+POINTS = {"MSE": points.mse, "MAE": points.mae, "PSNR": points.psnr, "SNR": points.snr}
+
+
 def _metric(name: str, field: str, sql: str, digits: int = 6) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        m = images(spark, sf_dir).select("image_id", im.metrics(F.col("image"), F.col("noisy")).alias("m"))
-        value = F.col(f"m.{field}")
+        pair = F.col("image"), F.col("noisy")
+        if field in POINTS:
+            m = images(spark, sf_dir).select("image_id", POINTS[field](*pair).alias("value"))
+        else:
+            m = images(spark, sf_dir).select("image_id", im.metrics(*pair, [field]).alias("m")).select("image_id", F.col(f"m.{field}").alias("value"))
+        value = F.col("value")
         return m.select("image_id", F.round(F.when(F.abs(value) < float("inf"), value), digits).alias("value"))  # equal images have no finite ratio
 
     query(name, sql)(run)
@@ -249,8 +257,8 @@ s as (select image_id, avg((px.v - d.v) * (px.v - d.v)) as e from px join d usin
 def median_psnr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean quality of median-filtered images."""
     df = images(spark, sf_dir)
-    m = df.withColumn("d", im.apply_named(F.col("noisy"), "median")).select(im.metrics(F.col("image"), F.col("d")).alias("m"))
-    return m.agg(F.count("*").alias("images"), F.round(F.avg("m.PSNR"), 6).alias("mean_psnr"), F.round(F.avg("m.MSE"), 6).alias("mean_mse"))
+    m = df.withColumn("d", im.apply_named(F.col("noisy"), "median")).select(points.psnr(F.col("image"), F.col("d")).alias("psnr"), points.mse(F.col("image"), F.col("d")).alias("mse"))
+    return m.agg(F.count("*").alias("images"), F.round(F.avg("psnr"), 6).alias("mean_psnr"), F.round(F.avg("mse"), 6).alias("mean_mse"))
 
 
 @query("stage_chain")

@@ -24,6 +24,11 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def registered_sql(name: str) -> str:
+    """The SQL of a query that is registered already."""
+    return _sql[name]
+
+
 def _load() -> None:
     from pelagia import plans
 
