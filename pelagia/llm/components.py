@@ -17,7 +17,11 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     spark = links.sparkSession
     a, b = F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")
     edges, at = materialise(links.filter("a <> b").select(a, b).distinct(), "edges")
-    before = None
+
+    def state(edges: DataFrame) -> tuple:
+        return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first())
+
+    before = state(edges)
     for _ in range(rounds):
         # large star: a node's larger neighbours go to the smallest of its neighbourhood
         both = edges.select(F.col("lo").alias("n"), F.col("hi").alias("m")).unionByName(edges.select(F.col("hi").alias("n"), F.col("lo").alias("m")))
@@ -30,10 +34,10 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         new, new_at = materialise(small, "edges")
         drop(spark, at)
         edges, at = new, new_at
-        now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)")).alias("h")).first()
-        if (now["n"], now["h"]) == before:
+        now = state(edges)
+        if now == before:
             break
-        before = (now["n"], now["h"])
+        before = now
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = edges.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct()

@@ -154,21 +154,20 @@ def sets_of(rows: DataFrame, shingle: int, similarity: str) -> DataFrame:
 
 
 def _heads(t: Fraction, hot: int):
-    """From rows (s, n, fp), sorted so: (fp, leader) of those with another node of fitting size in their list, and (list,
-    leader) for the length of each list above hot."""
+    """From rows (s, n, fp, pos), sorted so: those with another node of fitting size in their list, with the list's head of
+    their band of sizes as leader; and for each list above hot a row without fp, whose leader is the list's length."""
     width = -log(t)
-    none = lambda n: pa.nulls(n, pa.int64())
-    names = ["fp", "leader", "list"]
+    names = ["s", "n", "pos", "fp", "leader"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # the last row, not yet decided, and the length of its list so far
-        s, n, fp, lead, mate, length = (*(np.empty(0, np.int64) for _ in range(4)), np.empty(0, bool), 0)
+        s, n, fp, pos, lead, mate, length = (*(np.empty(0, np.int64) for _ in range(5)), np.empty(0, bool), 0)
         for b in chain(batches, [None]):
             kept = len(s)
             if b is not None:
                 if not b.num_rows:
                     continue
-                s, n, fp = (np.concatenate([old, b.column(c).to_numpy(zero_copy_only=False).astype(np.int64)]) for old, c in ((s, "s"), (n, "n"), (fp, "fp")))
+                s, n, fp, pos = (np.concatenate([old, b.column(c).to_numpy(zero_copy_only=False).astype(np.int64)]) for old, c in ((s, "s"), (n, "n"), (fp, "fp"), (pos, "pos")))
                 band = np.floor(np.log(n) / width)
                 start = np.r_[True, (s[1:] != s[:-1]) | (band[1:] != band[:-1])]
                 at = np.maximum.accumulate(np.where(start, np.arange(len(s)), 0))
@@ -186,10 +185,11 @@ def _heads(t: Fraction, hot: int):
                 last = slice(kept, kept)
             some, long_ = np.flatnonzero(mate[: last.start]), np.flatnonzero(lengths > hot)
             if len(some):
-                yield pa.RecordBatch.from_arrays([pa.array(fp[some]), pa.array(lead[some]), none(len(some))], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(s[some]), pa.array(n[some].astype(np.int32)), pa.array(pos[some].astype(np.int32)), pa.array(fp[some]), pa.array(lead[some])], names=names)
             if len(long_):
-                yield pa.RecordBatch.from_arrays([none(len(long_)), pa.array(lengths[long_]), pa.array(ended[long_])], names=names)
-            s, n, fp, lead, mate = s[last], n[last], fp[last], lead[last], mate[last]
+                none = lambda kind, k=len(long_): pa.nulls(k, kind)
+                yield pa.RecordBatch.from_arrays([pa.array(ended[long_]), none(pa.int32()), none(pa.int32()), none(pa.int64()), pa.array(lengths[long_])], names=names)
+            s, n, fp, pos, lead, mate = s[last], n[last], fp[last], pos[last], lead[last], mate[last]
 
     return run
 
@@ -291,6 +291,7 @@ def shared_counts(diffs: list[np.ndarray], often: int = 128) -> np.ndarray:
 
 def answers(x: pd.DataFrame, t: Fraction) -> pd.DataFrame:
     """(a, b, links) of the nodes of two blocks of a group (or of one): fp, n, gone, ref (sizes), diff, copies, member, left."""
+    x = x.sort_values("fp", ignore_index=True)  # of those connected, all name the smallest
     fp, n, gone, ref, copies = (x[c].to_numpy(np.int64) for c in ("fp", "n", "gone", "ref", "copies"))
     member, left = x["member"].to_numpy(bool), x["left"].to_numpy(bool)
     both = ref[:, None] - gone[:, None] - gone[None] + shared_counts([np.asarray(d, np.int64) for d in x["diff"]])
@@ -330,26 +331,25 @@ def links(prints: DataFrame, texts: DataFrame, shingle: int, similarity: str, ho
     def sketched(df: DataFrame, fp: str, suffix: str) -> DataFrame:
         return df.join(nodes.select(F.col("fp").alias(fp), F.col("n").alias(f"n{suffix}"), F.col("sketch").alias(f"sketch{suffix}")), fp)
 
-    # 1: leaders, from the heads of the lists
-    listed = nodes.select("n", "fp", F.explode("prefix").alias("s")).repartition("s").sortWithinPartitions("s", "n", "fp")
-    met = listed.select("s", "n", "fp").mapInArrow(_heads(t, hot), "fp long, leader long, list long").groupBy("fp", "leader", "list").count()
-    met, met_at = materialise(met, "met")
-    large = met.filter("list is not null").select(F.col("list").alias("s"), F.col("leader").alias("many"))
-    pairs = sketched(sketched(met.filter("fp <> leader").select("fp", "leader", "count"), "fp", "x"), "leader", "y")
-    fit = pairs.filter(bits("sketchx", "sketchy") <= 2 * allowed(F.col("nx"), F.col("ny"))).select("fp", "leader", "count")
-    own = met.filter("fp is not null").select("fp", F.col("fp").alias("leader"), F.when(F.col("leader") == F.col("fp"), F.col("count")).otherwise(0).alias("count"))
-    best = fit.unionByName(own).groupBy("fp").agg(F.max(F.struct("count", "leader")).alias("m")).select("fp", F.col("m.leader").alias("g"))
-    best, best_at = materialise(best, "leaders")
+    # 1: leaders, from the heads of the lists; only rows that meet another go on
+    listed = nodes.select("n", "fp", F.posexplode("prefix").alias("pos", "s")).repartition("s").sortWithinPartitions("s", "n", "fp")
+    mates, mates_at = materialise(listed.select("s", "n", "fp", "pos").mapInArrow(_heads(t, hot), "s long, n int, pos int, fp long, leader long"), "mates")
+    large, mates = mates.filter("fp is null").select("s", F.col("leader").alias("many")), mates.filter("fp is not null")
+    met, met_at = materialise(mates.groupBy("fp", "leader").agg(F.count("*").alias("count"), F.max("n").alias("n")), "met")
+    pairs = sketched(sketched(met.filter("fp <> leader"), "fp", "x"), "leader", "y").withColumn("away", bits("sketchx", "sketchy"))
+    fit = pairs.filter(F.col("away") <= 2 * allowed(F.col("nx"), F.col("ny"))).select("fp", "leader", "count", "n", "away")
+    own = met.select("fp", F.col("fp").alias("leader"), F.when(F.col("leader") == F.col("fp"), F.col("count")).otherwise(0).alias("count"), "n", F.lit(0).cast("long").alias("away"))
+    best = fit.unionByName(own).groupBy("fp").agg(F.max(F.struct("count", "leader", "away")).alias("m"), F.max("n").alias("n"))
+    best, best_at = materialise(best.select("fp", "n", F.col("m.leader").alias("g"), F.col("m.away").alias("away")), "leaders")
     # a node that is alone with another's leader is its own
     alone = best.groupBy("g").agg(F.count("*").alias("size")).filter("size = 1").select("g", F.lit(True).alias("alone"))
-    best, grouped_at = materialise(best.join(alone, "g", "left").select("fp", F.when(F.col("alone"), F.col("fp")).otherwise(F.col("g")).alias("g")), "grouped")
-    leads = sketched(sketched(best.filter("fp <> g"), "fp", "x"), "g", "y").select("g", F.col("nx").alias("n"), bits("sketchx", "sketchy").alias("away"))
-    members = leads.unionByName(sketched(best.filter("fp = g"), "fp", "x").select("g", F.col("nx").alias("n"), F.lit(0).cast("long").alias("away")))
-    sizes, sizes_at = materialise(members.groupBy("g").agg(F.count("*").alias("size"), F.max("away").alias("away"), F.max("n").alias("most")), "groups")
+    best = best.join(alone, "g", "left").select("fp", "n", F.when(F.col("alone"), F.col("fp")).otherwise(F.col("g")).alias("g"), F.when(F.col("alone"), 0).otherwise(F.col("away")).alias("away"))
+    best, grouped_at = materialise(best, "grouped")
+    sizes, sizes_at = materialise(best.groupBy("g").agg(F.count("*").alias("size"), F.max("away").alias("away"), F.max("n").alias("most")), "groups")
 
     # 2: visits, from the lists in blocks
-    grouped = best.join(sizes.select("g", "size"), "g")
-    listed = nodes.select("fp", "n", "prefix").join(grouped, "fp").select("fp", "n", "g", "size", F.posexplode("prefix").alias("pos", "s"))
+    grouped = best.select("fp", "n", "g").join(sizes.select("g", "size"), "g")
+    listed = mates.select("s", "n", "pos", "fp").join(grouped.select("fp", "g", "size"), "fp")
     one = {"i": F.lit(0), "j": F.lit(0), "side": F.lit(0)}
     if large.head(1):
         cut = listed.join(large, "s").withColumn("blocks", F.ceil(2 * F.col("many") / hot).cast("int"))
@@ -363,32 +363,31 @@ def links(prints: DataFrame, texts: DataFrame, shingle: int, similarity: str, ho
     visits = listed.select(*order).repartition("s", "i", "j").sortWithinPartitions("s", "i", "j", "n", "pos")
     visits = visits.mapInArrow(_visits(t), "g long, fp long").distinct().join(sizes, "g")
     near = bits("sketchx", "sketchy") <= F.col("away") + allowed(F.col("nx"), F.col("most"))
-    visits, visits_at = materialise(sketched(sketched(visits, "fp", "x"), "g", "y").filter(near).select("g", "fp", "size"), "visits")
+    visits = sketched(sketched(visits, "fp", "x"), "g", "y").filter(near).select("fp", F.col("nx").alias("n"), "g", "size", F.lit(False).alias("member"))
+    visits, visits_at = materialise(visits, "visits")
 
-    # 3: sets of groups and visitors, as differences from the group's reference
-    several = grouped.filter("size > 1").select("fp", "g", F.lit(True).alias("member")).unionByName(visits.select("fp", "g", F.lit(False).alias("member")))
+    # 3: sets of groups and visitors, as differences from the group's reference, which is there once for each of its blocks
+    several, several_at = materialise(grouped.filter("size > 1").select("fp", "n", "g", "size", F.lit(True).alias("member")).unionByName(visits), "several")
     needed = several.select("fp").unionByName(several.select(F.col("g").alias("fp"))).distinct()
     wanted, wanted_at = materialise(nodes.select("fp", "n", "copies", "key").join(needed, "fp"), "wanted")
     fetched = texts.join(F.broadcast(wanted) if wanted.count() <= FETCH else wanted, "key").dropDuplicates(["fp"])
     udf = F.pandas_udf(lambda x: pd.Series([shingle_set(v, shingle) for v in x]), "array<long>")
-    sets, sets_at = materialise(fetched.select("fp", "n", "copies", udf(F.col("text")).alias("set")), "sets")
-    # a reference that many meet is there in several parts
-    counts = several.groupBy("g").agg(F.ceil(F.count("*") / rows).cast("int").alias("parts"))
-    meets = several.join(counts, "g").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")).drop("parts").join(sets, "fp")
-    refs = sets.select(F.col("fp").alias("g"), F.col("set").alias("reference")).join(counts, "g").select("g", "reference", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    sets, sets_at = materialise(fetched.select("fp", "copies", udf(F.col("text")).alias("set")), "sets")
+    blocks = several.groupBy("g").agg(F.greatest(F.ceil(F.count("*") / rows), F.ceil(F.sum(4 * F.col("n") + 64) / BYTES)).cast("int").alias("blocks"))
+    meets = several.join(blocks, "g").withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")).join(sets, "fp")
+    refs = sets.select(F.col("fp").alias("g"), F.col("set").alias("reference")).join(blocks, "g").select("g", "reference", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("mine"))
     gone, new = F.array_except("reference", "set"), F.array_except("set", "reference")
-    placed = meets.join(refs, ["g", "part"]).withColumns({"gone": F.size(gone), "diff": F.concat(gone, new), "ref": F.size("reference")})
-    placed, placed_at = materialise(placed.join(sizes.select("g", "size"), "g").select("fp", "n", "copies", "g", "size", "member", "gone", "ref", "diff"), "placed")
+    placed = meets.join(refs, ["g", "mine"]).withColumns({"gone": F.size(gone), "diff": F.concat(gone, new), "ref": F.size("reference")})
+    placed, placed_at = materialise(placed.drop("reference", "set"), "placed")
 
     # 4: answers; a group of one node is its reference, so a visitor's difference is the answer
     single = placed.filter("size = 1").filter((F.col("ref") - F.col("gone")) * (t.denominator + t.numerator) >= (F.col("ref") + F.col("n")) * t.numerator)
     single = single.select(F.col("fp").alias("a"), F.col("g").alias("b"), "copies").join(nodes.select(F.col("fp").alias("b"), F.col("copies").alias("theirs")), "b")
     direct = F.inline(F.array(F.struct(F.col("a"), F.col("b"), F.col("theirs").alias("links")), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), F.col("copies").alias("links"))))
-    compared = placed.filter("size > 1").withColumn("bytes", 8 * F.size("diff") + 64)
-    of = compared.groupBy("g").agg(F.greatest(F.ceil(F.count("*") / rows), F.ceil(F.sum("bytes") / BYTES)).cast("int").alias("blocks"))
-    cut = compared.join(of, "g").withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cut = placed.filter("size > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cut = cut.withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other"), "left": F.col("mine") <= F.col("other")})
-    tasks = max(1, ceil((cut.agg(F.sum("bytes")).first()[0] or 0) / TASK))
+    total = cut.agg(F.sum(8 * F.size("diff") + 64), F.count("*")).first()
+    tasks = max(1, ceil((total[0] or 0) / TASK), ceil(total[1] / (4 * rows)))
 
     def answer(task: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"a": [], "b": [], "links": []}, dtype="int64")
@@ -397,7 +396,7 @@ def links(prints: DataFrame, texts: DataFrame, shingle: int, similarity: str, ho
     cut = cut.select("g", "i", "j", "left", "member", "fp", "n", "gone", "ref", "copies", "diff", F.pmod(F.xxhash64("g", "i", "j"), F.lit(tasks)).alias("task"))
     found = cut.groupBy("task").applyInPandas(answer, "a long, b long, links long").unionByName(single.select(direct))
     found, _ = materialise(found, "links")
-    drop(spark, nodes_at, met_at, best_at, grouped_at, sizes_at, visits_at, wanted_at, sets_at, placed_at)
+    drop(spark, nodes_at, mates_at, met_at, best_at, grouped_at, sizes_at, visits_at, several_at, wanted_at, sets_at, placed_at)
     return found
 
 

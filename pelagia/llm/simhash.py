@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from pelagia.llm import setjoin
 from pelagia.llm.components import components
-from pelagia.llm.shared import bounded, materialise, row_key, segments, table
+from pelagia.llm.shared import bounded, drop, materialise, row_key, segments, table
 
 SHINGLE, RADIUS, BITS, SEED = 3, 3, 64, 42  # the contract of op6
 STAGE_SHINGLE, SIMILARITY = 5, 0.8  # the rule of the pipeline's stage
@@ -156,13 +156,14 @@ def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sh
     key = row_key(*[f"`{c}`" for c in docs.columns])
     rows = docs.withColumns({"_key_a": key["a"], "_key_b": key["b"]})  # plain numbers: the join and the grouping share one exchange
     keyed = rows.select(F.struct("_key_a", "_key_b").alias("key"), F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"))
-    prints, _ = materialise(setjoin.sets_of(keyed, shingle, str(similarity)), "prints")
+    prints, prints_at = materialise(setjoin.sets_of(keyed, shingle, str(similarity)), "prints")
     found = setjoin.links(prints, keyed.select("key", "text"), shingle, str(similarity))
     roots = setjoin.classes(prints.select("fp", "n", "id"), found).select("fp", "root")
     # rows of one set are reduced before they move; empty sets are equal
     least = F.min(F.struct(F.col("id").isNull(), "id", "key"))
     chosen = prints.groupBy("fp").agg(least.alias("m")).join(roots, "fp").groupBy("root").agg(F.min("m").alias("m")).select("m.key.*")
     chosen, _ = materialise(chosen, "chosen")
+    drop(docs.sparkSession, prints_at)
     # rows equal in every column share a key; the join has dealt them by it already
     return rows.join(chosen, ["_key_a", "_key_b"], "left_semi").dropDuplicates(["_key_a", "_key_b"]).drop("_key_a", "_key_b")
 
