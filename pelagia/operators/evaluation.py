@@ -1,4 +1,4 @@
-"""Classification metrics, curves, losses and the trainable stand-in for the convolutional models."""
+"""Classification metrics, curves, losses, rates and features of images; trainer.py fits models."""
 
 from __future__ import annotations
 
@@ -105,49 +105,9 @@ def cosine_rate(step: int, steps: int, top: float = 1e-4, low: float = 1e-6) ->
     return low + (top - low) * (1 + cos(pi * step / steps)) / 2
 
 
-ARCHITECTURES = ("resnet18", "resnet50", "densenet121", "efficientnet_b0")
-
-
-def build_model(arch: str, features: int, classes: int = 2, seed: int = 42):
-    """An estimator for the named architecture. Neither Spark nor this package has convolutional networks: a multilayer
-    perceptron on pooled pixels stands in for each, and logistic regression for "logistic"."""
-    from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
-
-    name = arch.lower()
-    if "logistic" in name:
-        return LogisticRegression(maxIter=50)
-    if not any(x in name for x in ("resnet", "densenet", "efficientnet")):
-        raise ValueError(f"unknown architecture: {arch}")
-    return MultilayerPerceptronClassifier(layers=[features, 16 if "18" in name else 32, classes], maxIter=60, seed=seed)
-
-
-def load_model(path: str):
-    """A model that train() saved."""
-    from pyspark.ml.classification import LogisticRegressionModel, MultilayerPerceptronClassificationModel
-    from pyspark.ml.util import DefaultParamsReader
-    from pyspark.sql import SparkSession
-
-    kind = DefaultParamsReader.loadMetadata(path, SparkSession.active())["class"]
-    return (LogisticRegressionModel if kind.endswith("LogisticRegressionModel") else MultilayerPerceptronClassificationModel).load(path)
-
-
 def features(df: DataFrame, image: str = "image", side: int = 8) -> DataFrame:
-    """Add ``features``: the image resized to side x side, as a vector scaled to [-1, 1]."""
-    from pyspark.ml.functions import array_to_vector
-
+    """Add ``features``: the pixels of the image resized to side x side, scaled to [-1, 1]."""
     from pelagia.operators.images import apply_named
 
     small = apply_named(F.col(image), "resize", width=side, height=side)
-    return df.withColumn("features", array_to_vector(F.transform(small["data"], lambda v: (v - 0.5) / 0.5)))
-
-
-def train(df: DataFrame, arch: str = "resnet50", side: int = 8, seed: int = 42, path: str | None = None):
-    """Fit on rows of dataset_split train, measure on the others (a 20 % sample if a side is empty); the fitted model and its rates."""
-    rows = features(df.dropna(subset=["label"]), side=side).select("features", F.col("label").cast("double").alias("label"), "dataset_split")
-    fit, held = rows.filter("dataset_split = 'train'"), rows.filter("dataset_split in ('test', 'val')")
-    if not fit.head(1) or not held.head(1):
-        fit, held = rows.randomSplit([0.8, 0.2], seed)
-    model = build_model(arch, side * side, seed=seed).fit(fit)
-    if path:
-        model.write().overwrite().save(path)
-    return model, rates(confusion(model.transform(held), "label", "prediction"))
+    return df.withColumn("features", F.transform(small["data"], lambda v: (v - 0.5) / 0.5))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from math import pi
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pelagia.functions import augment
-from pelagia.operators import batches
+from pelagia.operators import batches, trainer
 from pelagia.plans.standins import PX, images, pixels, table
 from pelagia.registry import query
 
@@ -65,3 +66,21 @@ def augment_train_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
 def augment_val(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = images(spark, sf_dir)
     return pixels(df, augment.val(df["image"]))
+
+
+_LABEL = "case when vec_id % 3 = 0 then 1 else 0 end"
+
+
+@query("trainer_gradient", f"""with x as (select {_LABEL} as y, list_transform(embedding, lambda v: v::double) as a from embeddings),
+z as (select y, a, list_sum(list_transform(range(64), lambda j: a[j + 1] * ((j % 5) - 2) / 10.0::double)) as z from x),
+p as (select y, a, 1 / (1 + exp(-z)) as p, case when y = 1 then 2.0::double else 0.5::double end as w from z),
+g as (select j, sum(w * (p - y) * (case when j < 64 then a[j + 1] else 1 end)) / sum(w) as g from p, range(65) r(j) group by j)
+select j::int as feature, round(g, 6) as gradient from g""")
+def trainer_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean gradient of a class-weighted loss at given weights over all embeddings; feature 64 is the bias."""
+    e = table(spark, sf_dir, "embeddings")
+    rows = e.select(F.col("embedding").cast("array<double>").alias("features"), F.when(F.col("vec_id") % 3 == 0, 1).otherwise(0).alias("label"))
+    w = np.stack([np.zeros(64), (np.arange(64) % 5 - 2) / 10])
+    _, weight, grad = trainer.gradient(rows, trainer.Model([(w, np.zeros(2))]), trainer.Loss("weighted_ce", weights=(0.5, 2.0)))
+    of_one = np.r_[grad[64:128], grad[129]] / max(weight, 1e-300)
+    return spark.createDataFrame([(j, float(g)) for j, g in enumerate(of_one)], "feature int, gradient double").select("feature", F.round("gradient", 6).alias("gradient"))

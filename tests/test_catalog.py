@@ -140,14 +140,6 @@ def test_evaluation(spark, tmp_path):
     assert evaluation.auc(df.limit(0), "t", "s").first().auc is None and evaluation.roc_points(df.limit(0), "t", "s").count() == 0
     assert evaluation.rates(evaluation.confusion(df.limit(0), "t", "p")).first().f1 == 0
     assert evaluation.cosine_rate(0, 10) == pytest.approx(1e-4) and evaluation.cosine_rate(10, 10) == pytest.approx(1e-6)
-    with pytest.raises(ValueError):
-        evaluation.build_model("vgg", 4)
-    rng = np.random.default_rng(1)
-    stack = [np.clip(rng.normal(0.3 + 0.4 * (i % 2), 0.05, (16, 16)), 0, 1) for i in range(40)]
-    data = frame(spark, *stack).withColumn("label", (F.col("image_id") % 2).cast("int")).withColumn("dataset_split", F.when(F.col("image_id") < 30, "train").otherwise("test"))
-    model, found = evaluation.train(data, "resnet18", side=2, path=f"{tmp_path}/model")
-    assert found.first().accuracy > 0.9
-    assert evaluation.load_model(f"{tmp_path}/model").weights == model.weights
 
 
 def test_curves_over_many_scores_match_brute_force(spark):
