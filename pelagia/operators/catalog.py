@@ -274,8 +274,32 @@ def pivoted(df: DataFrame, index: str, columns: str, value: str, values: list[st
     return df.groupBy(index).pivot(columns, sorted(values)).agg(F.first(value))
 
 
-def build_master(tables: dict[str, DataFrame], folders: DataFrame, files: DataFrame, root: str = "", seed: int = 42) -> dict[str, DataFrame]:
-    """master, statistics, split and split_report from the four case tables and the image index."""
+#: Records that the validation table of a build looks at.
+VALIDATED = 200
+
+
+def validation(df: DataFrame, decoded: DataFrame | None = None, n: int = VALIDATED) -> DataFrame:
+    """patient_id, image_path, is_valid, height, width, min_intensity, max_intensity and pathology of the first n records with
+    a file, in the order of their tables. decoded: path, image (8-bit values; null where damaged); without it nothing is
+    valid. A record whose path is not in decoded is not valid."""
+    from pelagia.sources.files import PLACE, head
+
+    rows = head(df.filter("file_exists"), n).select(PLACE, "patient_id", "image_path", F.col("standardized_pathology").alias("pathology"))
+    if decoded is None:
+        rows = rows.withColumn("image", F.lit(None).cast("struct<height: int, width: int, data: array<double>>"))
+    else:
+        rows = rows.join(decoded.groupBy(F.col("path").alias("image_path")).agg(F.any_value("image").alias("image")), "image_path", "left")
+    d = F.col("image.data")
+    valid = F.coalesce(F.size(d) > 0, F.lit(False))
+    some = lambda c: F.when(valid, c)
+    return rows.orderBy(PLACE).select("patient_id", "image_path", valid.alias("is_valid"), some(F.col("image.height")).alias("height"), some(F.col("image.width")).alias("width"), some(F.array_min(d).cast("int")).alias("min_intensity"), some(F.array_max(d).cast("int")).alias("max_intensity"), "pathology")
+
+
+def build_master(tables: dict[str, DataFrame], folders: DataFrame, files: DataFrame, root: str = "", seed: int = 42, decoded: DataFrame | None = None) -> dict[str, DataFrame]:
+    """master, validation (of tables with a PLACE, as read_bundle gives them), statistics, split and split_report from the
+    four case tables and the image index."""
+    from pelagia.sources.files import PLACE
+
     tag = {"mass_train": ("mass", "train"), "mass_test": ("mass", "test"), "calc_train": ("calcification", "train"), "calc_test": ("calcification", "test")}
     missing = [k for k in tag if k not in tables]
     if missing:
@@ -288,4 +312,6 @@ def build_master(tables: dict[str, DataFrame], folders: DataFrame, files: DataFr
     df = df.withColumn("image_path", F.coalesce("resolved_full_mammogram_path", "resolved_cropped_path")).withColumn("file_exists", F.col("image_path").isNotNull())
     split = stratified_split(patient_mode(df), seed=seed)
     df = df.join(split.select("patient_id", "split"), "patient_id", "left")
-    return {"master": df, "statistics": dataset_statistics(df), "split": split, "split_report": split_summary(df.drop("split"), split)}
+    checked = {"validation": validation(df, decoded)} if PLACE in df.columns else {}
+    df = df.drop(PLACE)
+    return {"master": df, **checked, "statistics": dataset_statistics(df), "split": split, "split_report": split_summary(df.drop("split"), split)}

@@ -9,6 +9,7 @@ from pelagia.operators import audit, catalog, evaluation
 from pelagia.plans.standins import CATALOG, table
 from pelagia.plans.standins import catalog as catalog_table
 from pelagia.registry import query
+from pelagia.sources import files
 
 
 @query("catalog_union_tagged", """select o_orderkey as record_id, 'mass' as abnormality_category, 'train' as dataset_split, null::varchar as extra from orders where o_orderstatus = 'F'
@@ -129,6 +130,32 @@ def head_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority").orderBy("o_orderkey").limit(10)
 
 
+def in_file_order(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return files.placed(table(spark, sf_dir, name))
+
+
+@query("head_in_file_order", "select l_orderkey, l_linenumber, l_suppkey, rn as ordinal from (select *, row_number() over () - 1 as rn from lineitem) order by rn limit 200")
+def head_in_file_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 200 rows as they stand in the files, by no column: the limit is the feature."""
+    rows = files.numbered(in_file_order(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", files.PLACE))
+    return rows.orderBy("ordinal").limit(200).select("l_orderkey", "l_linenumber", "l_suppkey", "ordinal")
+
+
+@query("keep_first_in_file", "select l_suppkey, arg_min(l_orderkey, rn) as l_orderkey, arg_min(l_linenumber, rn) as l_linenumber from (select *, row_number() over () as rn from lineitem) group by l_suppkey")
+def keep_first_in_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every supplier the row that stands first in the files."""
+    rows = in_file_order(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", files.PLACE)
+    return files.first_of_each(rows, ["l_suppkey"]).select("l_suppkey", "l_orderkey", "l_linenumber")
+
+
+@query("file_ordinals", "select count(*) as n, count(distinct rn) as distinct_ordinals, min(rn) as least, max(rn) as most, sum(rn * l_orderkey % 1000003)::bigint as digest from (select *, row_number() over () - 1 as rn from lineitem)")
+def file_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number of every row, in one digest."""
+    rows = files.numbered(in_file_order(spark, sf_dir, "lineitem").select("l_orderkey", files.PLACE))
+    o = F.col("ordinal")
+    return rows.agg(F.count("*").alias("n"), F.count_distinct("ordinal").alias("distinct_ordinals"), F.min(o).alias("least"), F.max(o).alias("most"), F.sum(o * F.col("l_orderkey") % 1000003).alias("digest"))
+
+
 RECORDS = "records as (select o_orderkey, 'P_' || o_custkey as patient_id, case o_orderstatus when 'F' then 'MALIGNANT' when 'O' then 'BENIGN' else 'UNKNOWN' end as standardized_pathology, (case o_orderstatus when 'F' then 1 when 'O' then 0 end)::int as label, case when o_orderkey % 2 = 0 then 'mass' else 'calcification' end as abnormality_category, o_orderkey % 10 > 0 as file_exists from orders)"
 
 

@@ -8,7 +8,7 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pelagia.operators.images import IMAGE, _table
@@ -40,6 +40,45 @@ def read_csv(spark: SparkSession, path: str, schema=None) -> DataFrame:
     return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
 
 
+#: The columns of a row's place in its files.
+PLACE = "_place"
+
+
+def placed(df: DataFrame, table: int = 0) -> DataFrame:
+    """df, as read from files, with where each row stands: PLACE, a struct that sorts in the order of the table's number, the
+    files' names, the blocks and the rows. Only the order of its last field has a meaning: within a block rows are
+    counted by the task that reads the block, so that partitions of other sizes give the same order.
+
+    Must be called on a table straight from its files, before any shuffle."""
+    m = F.col("_metadata")
+    return df.withColumn(PLACE, F.struct(F.lit(table).alias("table"), m["file_path"].alias("file"), m["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("row")))
+
+
+def head(df: DataFrame, n: int) -> DataFrame:
+    """The first n rows of a placed() table in the order of its files: each task keeps n."""
+    return df.orderBy(PLACE).limit(n)
+
+
+def numbered(df: DataFrame, out: str = "ordinal") -> DataFrame:
+    """A placed() table with each row's number, from 0, in the order of its files. Blocks are counted and added up (a number
+    for each block of a file meets in one task); rows are ranked within their block."""
+    block = [F.col(f"{PLACE}.{c}") for c in ("table", "file", "block")]
+    rows = df.withColumn("_block", F.struct(*block))
+    counts = rows.groupBy("_block").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    within = Window.partitionBy("_block").orderBy(F.col(f"{PLACE}.row"))
+    found = rows.withColumn("_in", F.row_number().over(within)).join(offsets, "_block")
+    return found.withColumn(out, F.col("_before") + F.col("_in") - 1).drop("_block", "_in", "_before")
+
+
+def first_of_each(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The first row of each key of a placed() table, in the order of its files; tasks reduce before rows move."""
+    rest = [c for c in df.columns if c not in (*keys, PLACE)]
+    firsts = df.groupBy(*keys).agg(F.min_by(F.struct(PLACE, *rest), PLACE).alias("_f"))
+    return firsts.select(*keys, F.col(f"_f.{PLACE}").alias(PLACE), *[F.col("_f")[c].alias(c) for c in rest])
+
+
 def find_csv_dir(spark: SparkSession, target: str, others: tuple[str, ...] = ()) -> str:
     """The first of target, its csv folder and others that holds the first table of the bundle, else target."""
     for d in (target, f"{target}/csv", *others):
@@ -49,11 +88,12 @@ def find_csv_dir(spark: SparkSession, target: str, others: tuple[str, ...] = ())
 
 
 def read_bundle(spark: SparkSession, target: str) -> dict[str, DataFrame]:
+    """The six tables, each row with its PLACE."""
     d = find_csv_dir(spark, target)
     missing = [f for f in BUNDLE.values() if not exists(spark, f"{d}/{f}")]
     if missing:
         raise FileNotFoundError(f"{d} lacks {', '.join(missing)}")
-    return {k: read_csv(spark, f"{d}/{f}") for k, f in BUNDLE.items()}
+    return {k: placed(read_csv(spark, f"{d}/{f}"), i) for i, (k, f) in enumerate(BUNDLE.items())}
 
 
 def inventory(spark: SparkSession, root: str, pattern: str = IMAGES) -> DataFrame:

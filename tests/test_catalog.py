@@ -29,7 +29,9 @@ def test_master(spark, tmp_path):
     folders = spark.createDataFrame([(f"uid{i}", f"/jpeg/uid{i}/1-1.jpg") for i in range(0, 20, 2)], "folder string, path string")
     out = catalog.build_master(bundle, folders, spark.createDataFrame([], "path string"))
     m = out["master"]
-    assert m.count() == 80 and m.filter("file_exists").count() == 76
+    v = out["validation"].collect()  # as the tables stand: mass before calcification, train before test
+    assert [r.patient_id for r in v] == [f"P_{i:05d}" for _ in range(4) for i in range(19)] and not any(r.is_valid for r in v)
+    assert files.PLACE not in m.columns and m.count() == 80 and m.filter("file_exists").count() == 76
     assert m.filter("resolved_full_mammogram_path is not null").count() == 40
     stats = {r.metric: r.value for r in out["statistics"].collect()}
     assert (stats["total_records"], stats["unique_patients"], stats["malignant_cases"], stats["mass_cases"]) == (80, 20, 28, 40)
@@ -39,6 +41,38 @@ def test_master(spark, tmp_path):
         files.read_bundle(spark, str(tmp_path))
 
 
+def test_validation_reads_the_first_records_in_file_order(spark, tmp_path):
+    rows = spark.createDataFrame([(f"P{9 - i}", f"f{i}.png", "BENIGN", i != 2) for i in range(10)], "patient_id string, image_path string, standardized_pathology string, file_exists boolean")
+    rows.coalesce(1).write.option("header", True).csv(f"{tmp_path}/t")
+    df = files.placed(files.read_csv(spark, f"{tmp_path}/t")).repartition(4)
+    image = "struct<height: int, width: int, data: array<double>>"
+    decoded = spark.createDataFrame([("f0.png", (1, 2, [3.0, 9.0])), ("f1.png", None), ("f0.png", (1, 2, [3.0, 9.0]))], f"path string, image {image}")
+    got = [tuple(r) for r in catalog.validation(df, decoded, 4).collect()]
+    assert got == [("P9", "f0.png", True, 1, 2, 3, 9, "BENIGN"), ("P8", "f1.png", False, None, None, None, None, "BENIGN"), ("P6", "f3.png", False, None, None, None, None, "BENIGN"), ("P5", "f4.png", False, None, None, None, None, "BENIGN")]
+
+
+def test_ordinals_follow_the_files_under_any_partitioning(spark, tmp_path):
+    (tmp_path / "t").mkdir()
+    want = []
+    for part in range(3):
+        lines = [f"{(7919 * (i + 100 * part)) % 1009},{'x' * (i % 40)}" for i in range(400)]
+        want += [int(x.split(",")[0]) for x in lines]
+        (tmp_path / "t" / f"part-{part}.csv").write_text("\n".join(["k,v", *lines]) + "\n")
+    for size in ("128m", "2k", "700"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        try:
+            df = files.placed(spark.read.option("header", True).schema("k int, v string").csv(f"{tmp_path}/t"))
+            assert [r.k for r in files.numbered(df).orderBy("ordinal").collect()] == want, size
+            assert [r.ordinal for r in files.numbered(df).orderBy("ordinal").select("ordinal").collect()] == list(range(1200))
+            assert [r.k for r in files.head(df, 500).collect()] == want[:500]
+            first = {r.v: r.k for r in files.first_of_each(df, ["v"]).collect()}
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+        assert first == {(None if not i else "x" * i): want[i] for i in range(40)}
+
+
 def test_split_sizes_of_the_published_corpus(spark):
     df = spark.range(1566).select(F.col("id").cast("string").alias("patient_id"), (F.col("id") % 5 < 2).cast("int").alias("label"))
     out = catalog.stratified_split(df)
