@@ -35,12 +35,13 @@ def remaining(wanted: DataFrame, done: DataFrame, files: DataFrame | None = None
     return wanted.join(done.select(*KEYS).distinct(), KEYS, "left_anti")
 
 
-def run(df: DataFrame, seed: int = 42, todo: DataFrame | None = None, methods: list[str] | None = None, noise_types: list[str] | None = None, noisy_path: str | None = None, keep_image: bool = False) -> DataFrame:
+def run(df: DataFrame, seed: int = 42, todo: DataFrame | None = None, methods: list[str] | None = None, noise_types: list[str] | None = None, noisy_path: str | None = None, keep_image: bool = False, mask: str | None = None, radius: int = 15) -> DataFrame:
     """df (image_id, image in [0, 1], other columns): a row with the seven metrics for each key (each in todo, if given).
 
     An image makes its 40 results in one task. Nothing is shuffled unless todo is joined or the table has fewer
     partitions than there are cores. noisy_path: a store of noisy images that is used, and filled with those it lacks;
-    keep_image adds the filtered image as ``denoised``."""
+    keep_image adds the filtered image as ``denoised``. mask: a column of packed lesion masks; CNR and CII of all 40 results
+    of an image are then those of the same pixels, which the mask and the clean image fix (images.metric_values)."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < cores:  # a small table of costly rows; a large one is left where it is
         df = df.repartition(cores)
@@ -57,9 +58,10 @@ def run(df: DataFrame, seed: int = 42, todo: DataFrame | None = None, methods: l
     done = noisy.withColumn("f", F.explode(images.apply_filters(F.col("noisy"), methods))).withColumn("denoising_method", F.col("f.method"))
     if todo is not None:
         done = done.filter(F.array_contains("wanted", F.col("denoising_method")))
-    rest = [c for c in df.columns if c not in ("image", "image_id")]
+    rest = [c for c in df.columns if c not in ("image", "image_id", mask)]
+    of = images.metrics(F.col("image"), F.col("f.image"), mask=F.col(mask) if mask else None, radius=radius)
     kept = [F.col("f.image").alias("denoised")] if keep_image else []
-    out = done.select(*rest, *KEYS, *kept, images.metrics(F.col("image"), F.col("f.image")).alias("m"))
+    out = done.select(*rest, *KEYS, *kept, of.alias("m"))
     return out.select(*rest, *KEYS, *[c for c in ("denoised",) if keep_image], *[f"m.{m}" for m in images.METRICS])
 
 

@@ -125,32 +125,69 @@ def crop(image: Column, mask: Column, margin: int = 10) -> Column:
 METRICS = ["MSE", "PSNR", "SSIM", "SNR", "CNR", "CII", "Entropy"]
 
 
-def metric_values(x: np.ndarray, y: np.ndarray, names: list[str]) -> dict[str, np.ndarray | list[float]]:
-    """The named metrics of two stacks of images, no others."""
+def metric_values(x: np.ndarray, y: np.ndarray, names: list[str], masks: list[np.ndarray | None] | None = None, radius: int = 15) -> dict[str, np.ndarray | list[float]]:
+    """The named metrics of two stacks of images, no others.
+
+    Regions of CNR and CII are each image's own, by Otsu; with masks (one or None for each pair) they are the same pixels
+    of both images, fixed by the clean one: the lesion and the tissue in a ring around it, or the clean image's own
+    regions where a mask is missing or empty."""
     made = {"MSE": lambda: pixels.mse(x, y), "PSNR": lambda: pixels.psnr(x, y), "SSIM": lambda: pixels.ssim(x, y), "SNR": lambda: pixels.snr(x, y), "Entropy": lambda: pixels.entropy(y), "MAE": lambda: pixels.mae(x, y)}
     found: dict = {k: made[k]() for k in names if k in made}
     if "CNR" in names or "CII" in names:
-        pairs = [(u, v, pixels.otsu_regions(u) if "CII" in names else None, pixels.otsu_regions(v)) for u, v in zip(x, y, strict=True)]
-        found |= {"CNR": [pixels.cnr(v[r], v[b]) for _, v, _, (r, b) in pairs]} if "CNR" in names else {}
-        found |= {"CII": [pixels.cii(v[r], v[b], u[q], u[c]) for u, v, (q, c), (r, b) in pairs]} if "CII" in names else {}
+        contrasts, improved = [], []
+        for i, (u, v) in enumerate(zip(x, y, strict=True)):
+            if masks is None:
+                (r1, b1), (r0, b0) = pixels.otsu_regions(v), pixels.otsu_regions(u) if "CII" in names else (None, None)
+            else:
+                r1, b1 = r0, b0 = pixels.ring_regions(u, masks[i], radius=radius) if masks[i] is not None and masks[i].any() else pixels.otsu_regions(u)
+            contrasts.append(pixels.cnr(v[r1], v[b1]))
+            improved.append(pixels.cii(v[r1], v[b1], u[r0], u[b0]) if "CII" in names else None)
+        found |= {k: v for k, v in (("CNR", contrasts), ("CII", improved)) if k in names}
     return found
 
 
-def metrics(clean: Column, other: Column, names: list[str] | None = None) -> Column:
-    """struct of METRICS and MAE (or of those named) for a pair of images. Regions are each image's own, by Otsu."""
+def metrics(clean: Column, other: Column, names: list[str] | None = None, mask: Column | None = None, radius: int = 15) -> Column:
+    """struct of METRICS and MAE (or of those named) for a pair of images; regions as metric_values says. mask: packed images
+    of the clean image's shape, a lesion's pixels above 0; null where there is none."""
     names = names or [*METRICS, "MAE"]
 
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    def run(a: pd.DataFrame, b: pd.DataFrame, m: pd.DataFrame | None = None) -> pd.DataFrame:
         out = pd.DataFrame(np.nan, index=range(len(a)), columns=names)
         for at, x in stacks(a):
             y = np.stack([np.asarray(b["data"].iloc[i], float) for i in at])
             if y[0].size != x[0].size:
                 raise ValueError("images differ in shape")
-            for k, v in metric_values(x, y.reshape(x.shape), names).items():
+            masks = None if m is None else [_mask(m.iloc[i], x.shape[1:]) for i in at]
+            for k, v in metric_values(x, y.reshape(x.shape), names, masks, radius).items():
                 out.loc[at, k] = v
         return out
 
-    return F.pandas_udf(run, ", ".join(f"{m} double" for m in names))(clean, other)
+    schema = ", ".join(f"{n} double" for n in names)
+    if mask is None:
+
+        def two(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            return run(a, b)
+
+        return F.pandas_udf(two, schema)(clean, other)
+
+    def three(a: pd.DataFrame, b: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
+        return run(a, b, m)
+
+    return F.pandas_udf(three, schema)(clean, other, mask)
+
+
+def _mask(row: pd.Series, shape: tuple[int, int]) -> np.ndarray | None:
+    if row["data"] is None:
+        return None
+    if (row["height"], row["width"]) != shape:
+        raise ValueError(f"a mask of {row['height']} x {row['width']} for an image of {shape[0]} x {shape[1]}")
+    return np.asarray(row["data"], float).reshape(shape) > 0
+
+
+def with_masks(df: DataFrame, masks: DataFrame, path: str = "resolved_roi_mask_path", out: str = "mask") -> DataFrame:
+    """df with the decoded mask of each record's path; null where there is none. masks: path, image; of a repeated path one."""
+    one = masks.groupBy(F.col("path").alias(path)).agg(F.any_value("image").alias(out))
+    return df.join(one, path, "left")
 
 
 def statistics(image: Column) -> Column:

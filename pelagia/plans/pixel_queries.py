@@ -215,6 +215,39 @@ def roi_ring_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("image_id", "r.n", F.round("r.mean", 6).alias("mean"))
 
 
+# --- regions by lesion masks: pixels above 0.8 of the clean image, on every image whose id 5 does not divide
+
+_MASKED = f"""{PX}, roi as (select image_id, pos, y, x from px where v > 0.8 and image_id % 5 <> 0),
+ring as (select distinct p.image_id, p.pos from px p join roi r on p.image_id = r.image_id and abs(p.y - r.y) + abs(p.x - r.x) <= 1 where p.v > 0.02 and p.v <= 0.8),
+{_otsu('px', 'oa')}, own as (select px.image_id, px.pos, px.v >= t as roi from px join oay using (image_id) where px.v > 0.02 and image_id % 5 = 0),
+g as (select image_id, pos, true as roi from roi union all select image_id, pos, false from ring union all select image_id, pos, roi from own)"""
+
+
+def _mask_of(df: DataFrame) -> DataFrame:
+    data = F.transform("image.data", lambda v: (v > 0.8).cast("double"))
+    return df.withColumn("mask", F.when(F.col("image_id") % 5 != 0, im.pack(data, 8, 8)))
+
+
+@query("metric_regions_masked", f"""with {_MASKED},
+mm as (select image_id, avg(ns.v) filter (where roi) as m1, avg(ns.v) filter (where not roi) as m0, var_pop(ns.v) filter (where roi) as v1, var_pop(ns.v) filter (where not roi) as v0,
+  avg(px.v) filter (where roi) as c1, avg(px.v) filter (where not roi) as c0 from g join ns using (image_id, pos) join px using (image_id, pos) group by 1)
+select image_id, round(case when sqrt(v1 + v0) <= 1e-12 then 0 else abs(m1 - m0) / sqrt(v1 + v0) end, 6) as cnr, round((abs(m1 - m0) / (m1 + m0 + 1e-7)) / (abs(c1 - c0) / (c1 + c0 + 1e-7)), 6) as cii from mm""")
+def metric_regions_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CNR and CII in the lesion and the ring around it; without a mask in the clean image's own regions."""
+    m = im.metrics(F.col("image"), F.col("noisy"), ["CNR", "CII"], F.col("mask"), 1)
+    return _mask_of(images(spark, sf_dir)).select("image_id", m.alias("m")).select("image_id", F.round("m.CNR", 6).alias("cnr"), F.round("m.CII", 6).alias("cii"))
+
+
+@query("experiment_masked", f"""with {_MASKED}, {near('n', 'ns', 5, 'reflect')}, d as (select image_id, pos, sum(v * exp(-(dy * dy + dx * dx) / 2.0)) / sum(exp(-(dy * dy + dx * dx) / 2.0)) as v from n group by 1, 2),
+mm as (select image_id, avg(d.v) filter (where roi) as m1, avg(d.v) filter (where not roi) as m0, var_pop(d.v) filter (where roi) as v1, var_pop(d.v) filter (where not roi) as v0 from g join d using (image_id, pos) group by 1)
+select image_id, 'salt_pepper' as noise_type, 'gaussian' as denoising_method, round(case when sqrt(v1 + v0) <= 1e-12 then 0 else abs(m1 - m0) / sqrt(v1 + v0) end, 6) as cnr from mm""")
+def experiment_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The experiment's CNR by masks, for one noise and one filter."""
+    df = _mask_of(images(spark, sf_dir).select("image_id", "image"))
+    out = experiment.run(df, methods=["gaussian"], noise_types=["salt_pepper"], mask="mask", radius=1)
+    return out.select(*experiment.KEYS, F.round("CNR", 6).alias("cnr"))
+
+
 # --- experiment
 
 KEYS_SQL = "k as (select vec_id as image_id, n.t as noise_type, f.m as denoising_method from embeddings, (values ('gaussian'), ('salt_pepper'), ('speckle'), ('poisson'), ('mixed_poisson_gaussian')) n(t), (values ('median'), ('gaussian'), ('wiener'), ('bilateral'), ('non_local_means'), ('anscombe_wiener'), ('adaptive_median'), ('kuan')) f(m))"

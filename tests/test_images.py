@@ -172,3 +172,27 @@ def test_png_round_trip(spark, tmp_path):
         sinks.write_images(df, "/x/data/raw/y")
     found = files.inventory(spark, f"{tmp_path}/out")
     assert {r.key for r in files.recursive_index(found).collect()} >= {"i0.png", "benign", "out"}
+
+
+def test_regions_by_masks(spark):
+    from pelagia.operators import experiment, images
+
+    rng = np.random.default_rng(3)
+    clean = [np.clip(rng.normal(0.5, 0.1, (24, 20)), 0.05, 1) for _ in range(4)]
+    lesion = np.zeros((24, 20))
+    lesion[8:14, 6:12] = 1
+    masks = [lesion, lesion * 0, None, np.ones((24, 20))]
+    rows = [(i, [float(v) for v in x.ravel()], None if m is None else [float(v) for v in m.ravel()]) for i, (x, m) in enumerate(zip(clean, masks, strict=True))]
+    df = spark.createDataFrame(rows, "image_id long, d array<double>, m array<double>").select("image_id", images.pack(F.col("d"), 24, 20).alias("image"), F.when(F.col("m").isNotNull(), images.pack(F.col("m"), 24, 20)).alias("mask"))
+    out = experiment.run(df, mask="mask", radius=3, keep_image=True, methods=["median", "gaussian"]).collect()
+    assert len(out) == 4 * 5 * 2
+    for r in out:
+        x, y, m = clean[r.image_id], np.array(r.denoised.data).reshape(24, 20), masks[r.image_id]
+        roi, bg = px.ring_regions(x, m > 0, radius=3) if m is not None and m.any() else px.otsu_regions(x)
+        assert r.CNR == pytest.approx(px.cnr(y[roi], y[bg])) and r.CII == pytest.approx(px.cii(y[roi], y[bg], x[roi], x[bg]))
+    path = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "resolved_roi_mask_path string, k int")
+    known = df.filter("image_id = 0").select(F.lit("a").alias("path"), F.col("mask").alias("image"))
+    got = {r.k: r.mask for r in images.with_masks(path, known.unionByName(known)).collect()}
+    assert got[1].height == 24 and got[2] is None and got[3] is None
+    with pytest.raises(Exception, match="a mask of"):
+        df.withColumn("mask", images.pack(F.array(F.lit(1.0)), 1, 1)).select(images.metrics(F.col("image"), F.col("image"), mask=F.col("mask"))).collect()
