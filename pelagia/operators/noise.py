@@ -1,8 +1,8 @@
 """Five noise models on packed images.
 
 Uniform numbers are a function of seed, image and pixel (an md5 counter), so a result does not depend on partitions,
-retries or engine. Gaussian, impulse and speckle noise are built-in expressions; Poisson counts come from a
-counter-based generator keyed by seed and image.
+retries or engine. Gaussian, impulse and speckle noise are built-in expressions; Poisson counts invert the distribution at
+such numbers.
 """
 
 from __future__ import annotations
@@ -58,8 +58,41 @@ def add_speckle_noise(image: Column, image_id: Column, var: float = 0.04, seed:
     return _each(image, lambda v, i: v + v * var**0.5 * normal(image_id, i, seed))
 
 
+#: Largest mean whose distribution is inverted from 0 on: e ** -700 is still a normal number.
+INVERTED = 700
+
+
+def poisson_counts(mean: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """The smallest count of each pixel whose cumulative probability is above u: work for as many counts as there are."""
+    counts = np.zeros(mean.size)
+    left = np.arange(mean.size)
+    m, u = mean.ravel(), u.ravel()
+    p = np.exp(-m)
+    total, k = p.copy(), 0
+    while True:
+        on = (u[left] >= total) & (p > 0)
+        left, p, total = left[on], p[on], total[on]
+        if not len(left):
+            return counts.reshape(mean.shape)
+        k += 1
+        p = p * m[left] / k
+        total = total + p
+        counts[left] = k
+
+
 def add_poisson_noise(image: Column, image_id: Column, scale: float = 255.0, seed: int = 42) -> Column:
-    def run(images: pd.DataFrame, ids: pd.Series) -> pd.DataFrame:
+    """Counts of mean value * scale, over scale. Up to a scale of INVERTED they come from the distribution and the counter's
+    uniform numbers, so that any engine can make them; above, from a generator keyed by seed and image."""
+
+    def inverted(images: pd.DataFrame, uniforms: pd.Series) -> pd.DataFrame:
+        out: list = [None] * len(images)
+        for at, x in stacks(images):
+            u = np.stack([np.asarray(uniforms.iloc[i], float) for i in at]).reshape(x.shape)
+            for i, y in zip(at, np.clip(poisson_counts(np.maximum(x * scale, 0), u) / scale, 0, 1), strict=True):
+                out[i] = y
+        return _table(out)
+
+    def drawn(images: pd.DataFrame, ids: pd.Series) -> pd.DataFrame:
         out: list = [None] * len(images)
         for at, x in stacks(images):
             for i, y in zip(at, x, strict=True):
@@ -67,7 +100,9 @@ def add_poisson_noise(image: Column, image_id: Column, scale: float = 255.0, see
                 out[i] = np.clip(r.poisson(np.maximum(y * scale, 0)) / scale, 0, 1)
         return _table(out)
 
-    return F.pandas_udf(run, IMAGE)(image, F.xxhash64(image_id))
+    if scale > INVERTED:
+        return F.pandas_udf(drawn, IMAGE)(image, F.xxhash64(image_id))
+    return F.pandas_udf(inverted, IMAGE)(image, F.transform(image["data"], lambda _, i: uniform(image_id, i, seed, "p")))
 
 
 def add_mixed_noise(image: Column, image_id: Column, poisson_scale: float = 255.0, gaussian_var: float = 0.005, seed: int = 42) -> Column:

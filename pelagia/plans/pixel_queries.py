@@ -83,8 +83,14 @@ CLIP = "least(greatest({}, 0), 1)"
 _pixel_query("noise_salt_pepper", lambda df: df["noisy"], _select("v", "ns"))
 _pixel_query("noise_gaussian", lambda df: noise.add_gaussian_noise(df["image"], df["image_id"]), _select(CLIP.format(f"v + 0.1::double * {NORMAL}"), "us"))
 _pixel_query("noise_speckle", lambda df: noise.add_speckle_noise(df["image"], df["image_id"]), _select(CLIP.format(f"v + v * 0.2::double * {NORMAL}"), "us"))
-_pixel_query("noise_poisson", lambda df: noise.add_poisson_noise(df["image"], df["image_id"]), None)
-_pixel_query("noise_mixed", lambda df: noise.add_mixed_noise(df["image"], df["image_id"]), None)
+#: The smallest count whose cumulative probability is above u, by a list reduction over counts; ps has the noisy pixels.
+POISSON = """pu as (select *, ('0x' || substr(md5('42-' || image_id || '-' || pos || 'p'), 1, 8))::ubigint / 4294967296.0::double as up, greatest(v * 255, 0)::double as l from us),
+pc as (select *, list_reduce(list_prepend({k: 0.0::double, p: exp(-l), c: exp(-l)}, list_transform(range(1, 401), lambda i: {k: i::double, p: 0.0::double, c: 0.0::double})),
+  lambda acc, nxt: case when acc.c > up then acc else {k: nxt.k, p: acc.p * l / nxt.k, c: acc.c + acc.p * l / nxt.k} end).k as k from pu),
+ps as (select image_id, pos, y, x, ua, ub, least(greatest(k / 255, 0), 1) as v from pc)"""
+_pixel_query("noise_poisson", lambda df: noise.add_poisson_noise(df["image"], df["image_id"]), f"with {PX}, {POISSON} select image_id, pos, round(v, 6) as v from ps")
+MIXED = CLIP.format(f"v + sqrt(0.005::double) * {NORMAL}")
+_pixel_query("noise_mixed", lambda df: noise.add_mixed_noise(df["image"], df["image_id"]), f"with {PX}, {POISSON} select image_id, pos, round({MIXED}, 6) as v from ps")
 
 
 @query("noise_realism", f"""with {PX}, p as (select px.image_id, px.v as c, ns.v as v from px join ns using (image_id, pos))
