@@ -9,6 +9,8 @@ import numpy as np
 from numpy.lib.stride_tricks import sliding_window_view
 
 EPS = 1e-7
+#: A value this close below the edge of a bin or a threshold is on it: sums in another order give the same regions.
+EDGE = 1e-9
 
 
 def clean(x: np.ndarray) -> np.ndarray:
@@ -413,7 +415,7 @@ def entropy(x: np.ndarray, bins: int = 256) -> np.ndarray:
         if lo == hi:
             out.append(0.0)
             continue
-        n = np.bincount(np.minimum(np.floor((v - lo) / (hi - lo) * bins), bins - 1).astype(int).ravel())
+        n = np.bincount(np.minimum(np.floor((v - lo) / (hi - lo) * bins + EDGE), bins - 1).astype(int).ravel())
         p = n[n > 0] / v.size
         out.append(float(-(p * np.log2(p)).sum()))
     return np.array(out)
@@ -438,11 +440,11 @@ def otsu_regions(x: np.ndarray, air: float = 0.02) -> tuple[np.ndarray, np.ndarr
     tissue = x > air
     if not tissue.any():
         return np.ones(x.shape, bool), np.ones(x.shape, bool)
-    t = otsu(np.floor(np.clip(x[tissue], 0, 1) * 255)) / 255
+    t = otsu(np.floor(np.clip(x[tissue], 0, 1) * 255 + EDGE)) / 255
     lo, hi = x[tissue].min(), x[tissue].max()
-    if not lo < t < hi or not (tissue & (x >= t)).any() or not (tissue & (x < t)).any():
+    if not lo + EDGE < t < hi - EDGE or not (tissue & (x >= t - EDGE)).any() or not (tissue & (x < t - EDGE)).any():
         t = (lo + hi) / 2
-    return tissue & (x >= t), tissue & (x < t)
+    return tissue & (x >= t - EDGE), tissue & (x < t - EDGE)
 
 
 def cnr(roi: np.ndarray, background: np.ndarray, definition: str = "standard") -> float:

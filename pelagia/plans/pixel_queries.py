@@ -165,20 +165,20 @@ s as (select image_id, y0, x0, avg(a) as ma, avg(b) as mb, var_samp(a) as va, va
 t as (select image_id, avg((2 * ma * mb + 0.0001::double) * (2 * ab + 0.0009::double) / ((ma * ma + mb * mb + 0.0001::double) * (va + vb + 0.0009::double))) as value from s group by 1)
 select image_id, round(least(greatest(value, -1), 1), 5) as value from t""", 5)
 _metric("metric_entropy", "Entropy", f"""with {PX}, r as (select image_id, min(v) as lo, max(v) as hi from ns group by 1),
-h as (select image_id, least(floor((v - lo) / (hi - lo) * 256), 255) as bin, count(*) / 64.0::double as p from ns join r using (image_id) group by 1, 2) select image_id, round(-sum(p * log2(p)), 6) as value from h group by 1""")
+h as (select image_id, least(floor((v - lo) / (hi - lo) * 256 + 1e-9), 255) as bin, count(*) / 64.0::double as p from ns join r using (image_id) group by 1, 2) select image_id, round(-sum(p * log2(p)), 6) as value from h group by 1""")
 
 
 def _otsu(source: str, n: str) -> str:
     """CTEs that end in {n}r: image_id, v, roi (whether tissue is at or above the threshold)."""
     return f"""
-{n}t as (select image_id, v, floor(v * 255) as q from {source} where v > 0.02),
+{n}t as (select image_id, v, floor(v * 255 + 1e-9) as q from {source} where v > 0.02),
 {n}h as (select image_id, q, count(*) as k from {n}t group by 1, 2),
 {n}c as (select image_id, q, sum(k) over w as n, sum(k * q) over w as s, sum(k) over (partition by image_id) as alln, sum(k * q) over (partition by image_id) as alls from {n}h window w as (partition by image_id order by q)),
 {n}b as (select image_id, q, power(alls * n::double - s * alln::double, 2) / (n * (alln - n)::double) as b from {n}c where n < alln),
 {n}o as (select image_id, arg_max(q, {{'b': b, 'q': -q}}) / 255.0::double as t from {n}b group by 1),
 {n}x as (select image_id, min(v) as lo, max(v) as hi from {n}t group by 1),
-{n}y as (select image_id, case when lo < t and t < hi then t else (lo + hi) / 2 end as t from {n}o join {n}x using (image_id)),
-{n}r as (select image_id, v, v >= t as roi from {n}t join {n}y using (image_id))"""
+{n}y as (select image_id, case when lo + 1e-9 < t and t < hi - 1e-9 then t else (lo + hi) / 2 end as t from {n}o join {n}x using (image_id)),
+{n}r as (select image_id, v, v >= t - 1e-9 as roi from {n}t join {n}y using (image_id))"""
 
 
 def _means(n: str) -> str:
@@ -225,7 +225,7 @@ def roi_ring_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _MASKED = f"""{PX}, roi as (select image_id, pos, y, x from px where v > 0.8 and image_id % 5 <> 0),
 ring as (select distinct p.image_id, p.pos from px p join roi r on p.image_id = r.image_id and abs(p.y - r.y) + abs(p.x - r.x) <= 1 where p.v > 0.02 and p.v <= 0.8),
-{_otsu('px', 'oa')}, own as (select px.image_id, px.pos, px.v >= t as roi from px join oay using (image_id) where px.v > 0.02 and image_id % 5 = 0),
+{_otsu('px', 'oa')}, own as (select px.image_id, px.pos, px.v >= t - 1e-9 as roi from px join oay using (image_id) where px.v > 0.02 and image_id % 5 = 0),
 g as (select image_id, pos, true as roi from roi union all select image_id, pos, false from ring union all select image_id, pos, roi from own)"""
 
 

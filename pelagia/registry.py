@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-FLAGSHIP = "noise_method_summary"
+FLAGSHIP = "noise_method_summary_closed"
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
 
