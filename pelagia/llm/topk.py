@@ -5,7 +5,8 @@ contributions (from the top for a positive weight, from the bottom for a negativ
 has read adds to a candidate's score; what it has not is worth at most the list's frontier and at least its far end. So
 every candidate has a lower and an upper bound, and after each step those whose upper bound is below the k-th best lower
 bound are out. Reading stops when so few are left that no outsider can qualify, or when the lists end; the scores of
-those left are then resolved. No component is looked at before its list shows it.
+those left are then resolved. But for the two ends of each list, whose values bound what is not read, no component is
+looked at before its list shows it.
 
 Queries and candidates are cut into blocks; each pair of blocks is a task of its own, whose lists are sorted once for all
 its queries. Candidates move once for every block of queries, so those are large. reading() reports how far lists are read.
@@ -13,8 +14,9 @@ its queries. Candidates move once for every block of queries, so those are large
 Scores are integers: components become floor(scale * x), below 2 ** 53 in sum, so float64 sums are exact.
 
 Defined cases: vectors that are null or hold null or non-finite components take no part, as query or candidate; vectors of
-different lengths are searched apart, each among its own; a query is not its own candidate (rows of its id are not); ties
-go to the smaller id; fewer candidates than k give all; an empty table gives an empty result; other columns are not read.
+different lengths are searched apart, each among its own; a query is not its own candidate (rows of its id are not);
+repeated rows of a query (id and vector) are one query, different vectors of one id are queries of their own, ranked apart
+under that id; repeated candidate rows are candidates each; ties go to the smaller id; fewer candidates than k give all; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -75,7 +77,7 @@ def _inside(weights: np.ndarray, allowed: np.ndarray, order: np.ndarray, lists:
 
 
 def _found(vectors: DataFrame, is_query: Column, vec_id: str, embedding: str, k: int, scale: int) -> DataFrame:
-    """query_id, vec_id, score, depth and n (candidates) of each pair of blocks."""
+    """query_id, version, vec_id, score, depth and n (candidates) of each pair of blocks."""
     bounded(vectors.sparkSession)
     e = F.col(f"`{embedding}`").cast("array<double>")
     usable = vectors.select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), is_query.alias("q"), e.alias("e"))
@@ -86,21 +88,26 @@ def _found(vectors: DataFrame, is_query: Column, vec_id: str, embedding: str, k:
     rows, cols = max(1, ceil(n_q / QUERIES)), max(1, ceil(n / CANDIDATES))
     h = F.xxhash64("vec_id", "e")
     numbers = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)).cast("array<long>"))
-    asked = usable.filter("q").select("dims", F.pmod(h, F.lit(rows)).alias("row"), numbers(cols).alias("col"), "vec_id", "e", F.lit(True).alias("q"))
-    given = usable.select("dims", numbers(rows).alias("row"), F.pmod(h, F.lit(cols)).alias("col"), "vec_id", "e", F.lit(False).alias("q"))
+    # repeated query rows are one query; different vectors of one id are queries of their own
+    asked = usable.filter("q").select("dims", "vec_id", "e").distinct().withColumn("version", F.row_number().over(Window.partitionBy("vec_id").orderBy("dims", "e")))
+    asked = asked.select("dims", "version", F.pmod(h, F.lit(rows)).alias("row"), numbers(cols).alias("col"), "vec_id", "e", F.lit(True).alias("q"))
+    given = usable.select("dims", F.lit(None).cast("int").alias("version"), numbers(rows).alias("row"), F.pmod(h, F.lit(cols)).alias("col"), "vec_id", "e", F.lit(False).alias("q"))
 
     def block(g: pd.DataFrame) -> pd.DataFrame:
         q, x = g[g["q"]], g[~g["q"]]
-        got = nra(np.stack(q["e"].to_numpy()), q["vec_id"].to_numpy(), np.stack(x["e"].to_numpy()), x["vec_id"].to_numpy(), k) if len(q) and len(x) else []
-        return pd.DataFrame(got, columns=["query_id", "vec_id", "score", "depth"]).astype("int64").assign(n=len(x))
+        out = [pd.DataFrame([], columns=["query_id", "vec_id", "score", "depth", "version"])]
+        for version, some in q.groupby("version") if len(x) else ():
+            got = nra(np.stack(some["e"].to_numpy()), some["vec_id"].to_numpy(), np.stack(x["e"].to_numpy()), x["vec_id"].to_numpy(), k)
+            out.append(pd.DataFrame(got, columns=["query_id", "vec_id", "score", "depth"]).assign(version=int(version)))
+        return pd.concat(out).astype("int64").assign(n=len(x))
 
-    return asked.unionByName(given).groupBy("dims", "row", "col").applyInPandas(block, "query_id long, vec_id long, score long, depth long, n long")
+    return asked.unionByName(given).groupBy("dims", "row", "col").applyInPandas(block, "query_id long, vec_id long, score long, depth long, version long, n long")
 
 
 def top_k(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", embedding: str = "embedding", k: int = K, scale: int = SCALE) -> DataFrame:
     """query_id, rank, vec_id, score."""
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    found = _found(vectors, is_query, vec_id, embedding, k, scale).select("query_id", "vec_id", "score")
+    order = Window.partitionBy("query_id", "version").orderBy(F.desc("score"), "vec_id")
+    found = _found(vectors, is_query, vec_id, embedding, k, scale).select("query_id", "version", "vec_id", "score")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -116,9 +123,10 @@ def op5(spark, sf_dir: str) -> DataFrame:
 OP5_SQL = """
 with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as e from embeddings
            where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x::double))) = 0),
-s as (select q.vec_id as query_id, c.vec_id as vec_id,
+q as (select distinct vec_id, e from v where vec_id % 50 = 0),
+s as (select q.vec_id as query_id, q.e as e, c.vec_id as vec_id,
              list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i]))::bigint as score
-      from v q join v c on q.vec_id <> c.vec_id and len(q.e) = len(c.e) where q.vec_id % 50 = 0),
-r as (select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score from s)
+      from q join v c on q.vec_id <> c.vec_id and len(q.e) = len(c.e)),
+r as (select query_id, row_number() over (partition by query_id, e order by score desc, vec_id)::int as rank, vec_id, score from s)
 select query_id, rank, vec_id, score from r where rank <= 5
 """

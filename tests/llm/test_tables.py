@@ -73,6 +73,17 @@ def test_topk_of_several_lengths(spark):
     assert got == sorted([(0, 1, 2, 5 * 65536), (50, 1, 3, 10 * 65536), (50, 2, 1, 5 * 65536), (100, 1, 101, 0)], key=repr)
 
 
+def test_topk_of_repeated_rows_and_clashing_columns(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [0.5, 0.5]), (1, [0.5, 0.5]), (2, [2.0, 0.0]), (3, [0.0, 1.0]), (50, [0.0, 2.0]), (50, [1.0, 1.0])]
+    df = spark.createDataFrame([(i, e, 9, "x", 1, 2, 3, 4) for i, e in rows], "vec_id long, embedding array<double>, rank int, query_id string, score int, version int, q int, dims int")
+    got = rows_of(topk.top_k(df, F.col("vec_id") % 50 == 0))
+    want = []
+    for q, e in {(i, tuple(e)) for i, e in rows if i % 50 == 0}:
+        best = sorted((-int(sum(256 * a * 256 * b for a, b in zip(e, v))), i) for i, v in rows if i != q)[:5]
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    assert got == sorted(want, key=repr)
+
+
 # --- op6 -----------------------------------------------------------------------------------------------------------
 
 
