@@ -82,20 +82,96 @@ def run_checks(df: DataFrame, files: DataFrame, decoded: DataFrame, validated: D
     return out
 
 
-def report(df: DataFrame, checks: DataFrame, seconds: float = 0.0) -> str:
-    """The text of the final report, from values as they are."""
-    n = df.agg(F.count("*").alias("total"), F.count_if(F.col("noise_type").isNull()).alias("baseline"), F.count_if(F.col("label") == 0).alias("benign"), F.count_if(F.col("label") == 1).alias("malignant")).first()
+#: Columns whose values a report counts, by section.
+COUNTED = {"cohort": ["dataset_split", "pathology", "label", "abnormality_category", "breast_side", "image_view"], "noise": ["noise_type"], "denoising": ["denoising_method"]}
+AVERAGED = ["PSNR", "SSIM", "MSE", "CNR"]
+
+
+def composition(df: DataFrame) -> DataFrame:
+    """section, item, value, n: how often each value of the counted columns stands in the table, in one pass; nulls are left out."""
+    items = [F.struct(F.lit(s).alias("section"), F.lit(c).alias("item"), F.col(c).cast("string").alias("value")) for s, cs in COUNTED.items() for c in cs if c in df.columns]
+    return df.select(F.explode(F.array(*items)).alias("i")).select("i.*").filter("value is not null").groupBy("section", "item", "value").agg(F.count("*").alias("n"))
+
+
+def totals(df: DataFrame, checks: DataFrame) -> DataFrame:
+    """section records: total, clean, experiment, missing, failed (missing and of wrong size) and successful records."""
+    one = df.agg(F.count("*").alias("total"), F.count_if(F.col("noise_type").isNull()).alias("clean"))
+    bad = checks.agg(*[F.coalesce(F.sum(F.when(F.col("check") == c, F.col("violations"))), F.lit(0)).alias(k) for k, c in (("missing", "every_referenced_file_exists"), ("sizes", "image_dimensions_are_valid"))])
+    row = one.crossJoin(bad)  # one row and one row
+    failed = F.least(F.col("missing") + F.col("sizes"), F.col("total"))
+    values = {"total": F.col("total"), "clean": F.col("clean"), "experiment": F.col("total") - F.col("clean"), "missing": F.col("missing"), "failed": failed, "successful": F.col("total") - failed}
+    return row.select(F.explode(F.array(*[F.struct(F.lit("records").alias("section"), F.lit(k).alias("item"), F.lit(None).cast("string").alias("value"), v.cast("long").alias("n")) for k, v in values.items()])).alias("i")).select("i.*")
+
+
+def averages(metrics: DataFrame) -> DataFrame:
+    """denoising_method and the means of AVERAGED."""
+    return metrics.groupBy("denoising_method").agg(*[F.avg(m).alias(m) for m in AVERAGED if m in metrics.columns])
+
+
+def device(spark) -> dict[str, str]:
+    """What the session runs on."""
+    conf = spark.sparkContext.getConf()
+    return {"Master": spark.sparkContext.master, "Spark": spark.version, "Cores": str(spark.sparkContext.defaultParallelism), "Executor memory": conf.get("spark.executor.memory", "1g"), "Driver memory": conf.get("spark.driver.memory", "1g")}
+
+
+def report(df: DataFrame, checks: DataFrame, seconds: float = 0.0, metrics: DataFrame | None = None) -> str:
+    """The text of the final report, in seven sections, from values as they are: what is counted, not what is expected.
+
+    The driver gets one row for each value of a counted column (split, diagnosis, side, ...: a few dozen), seven checks and
+    eight methods."""
     found = checks.collect()  # seven rows
-    failed = sum(r["violations"] for r in found if r["check"] in ("every_referenced_file_exists", "image_dimensions_are_valid"))
-    lines = ["FINAL PREPROCESSING REPORT", f"Total records: {n['total']}", f"Baseline records: {n['baseline']}", f"Experiment records: {n['total'] - n['baseline']}"]
-    lines += [f"Benign / malignant: {n['benign']} / {n['malignant']}", f"Failed: {min(failed, n['total'])}", f"Seconds: {seconds:.2f}", "Checks:"]
-    lines += [f"  {r['check']}: {'PASSED' if r['passed'] else 'FAILED'} ({r['violations']})" for r in found]
+    n = {r["item"]: r["n"] for r in totals(df, checks).collect()}
+    counts = sorted(composition(df).collect(), key=lambda r: (r["item"], -r["n"], r["value"]))
+    passed = all(r["passed"] for r in found)
+    lines: list[str] = []
+
+    def section(title: str) -> None:
+        lines.extend(["", "-" * 72, f"{1 + sum(x.startswith('-') for x in lines)}. {title}", ""])
+
+    def values(of: str, unit: str) -> None:
+        for item in COUNTED[of]:
+            lines.append(f"{item}:")
+            lines.extend(f"  {r['value']:<26} {r['n']} {unit}" for r in counts if r["item"] == item)
+
+    lines += ["FINAL PREPROCESSING REPORT", f"Integrity: {'PASSED' if passed else 'FAILED'}"]
+    section("Records")
+    lines += [f"Total records: {n['total']}", f"Baseline records: {n['clean']}", f"Experiment records: {n['experiment']}", f"Successful: {n['successful']}", f"Failed: {n['failed']}", f"Missing outputs: {n['missing']}", f"Seconds: {seconds:.2f}"]
+    section("Compute")
+    lines += [f"{k}: {v}" for k, v in device(df.sparkSession).items()]
+    section("Cohort")
+    values("cohort", "records")
+    section("Noise")
+    values("noise", "records")
+    section("Denoising")
+    values("denoising", "runs")
+    if metrics is not None:
+        lines += ["Means:", "  " + f"{'method':<22}" + "".join(f"{m:>12}" for m in AVERAGED)]
+        lines += [f"  {r['denoising_method']:<22}" + "".join(f"{r[m]:>12.4f}" if m in metrics.columns and r[m] is not None else f"{'-':>12}" for m in AVERAGED) for r in sorted(averages(metrics).collect(), key=lambda r: r["denoising_method"] or "")]
+    section("Checks")
+    for r in found:
+        lines.append(f"  {r['check']}: {'PASSED' if r['passed'] else 'FAILED'} ({r['violations']})")
+        lines.extend(f"    {v}" for v in r["samples"] or [])
+    section("Sign-off")
+    lines.append("All checks passed." if passed else f"Failed checks: {', '.join(sorted(r['check'] for r in found if not r['passed']))}")
     return "\n".join(lines) + "\n"
 
 
-def finalize(df: DataFrame, checks: DataFrame, report_path: str | None = None, seconds: float = 0.0) -> str:
+def inspection(df: DataFrame, key: str = "path", image: str = "image") -> DataFrame:
+    """A row for each image: size, range, mean, deviation, quartiles, share of zeros and whether it is valid."""
+    from pelagia.functions.points import let, percentile
+    from pelagia.operators.images import statistics, validity
+
+    d = F.col(f"{image}.data")
+    quartiles = let(lambda o: F.array(*[percentile(o["o"], p) for p in (25.0, 50.0, 75.0)]), o=F.array_sort(d))
+    zeros = F.try_divide(F.size(F.filter(d, lambda v: v == 0)), F.size(d))
+    some = F.coalesce(F.size(d) > 0, F.lit(False))
+    rows = df.select(key, F.when(some, statistics(F.col(image))).alias("s"), F.when(some, quartiles).alias("q"), F.when(some, zeros).alias("zeros"), validity(F.col(image))["is_valid"].alias("is_valid"))
+    return rows.select(key, "s.*", *[F.col("q")[i].alias(f"q{25 * (i + 1)}") for i in range(3)], "zeros", "is_valid")
+
+
+def finalize(df: DataFrame, checks: DataFrame, report_path: str | None = None, seconds: float = 0.0, metrics: DataFrame | None = None) -> str:
     """Write the report, then raise if a check failed."""
-    text = report(df, checks, seconds)
+    text = report(df, checks, seconds, metrics)
     if report_path:
         from pelagia.sources.sinks import write_text
 

@@ -129,6 +129,45 @@ def resolve_candidates(df: DataFrame, path: str, files: DataFrame, out: str = "r
     return df.join(found, F.col(path) == F.col("_p"), "left").drop("_p")
 
 
+def last_two(path: Column) -> Column:
+    """The last two segments of a path, in lower case; null for fewer."""
+    parts = F.split(F.replace(F.trim(path), F.lit("\\"), F.lit("/")), "/")
+    return F.when(F.size(parts) >= 2, F.lower(F.concat_ws("/", F.try_element_at(parts, F.lit(-2)), F.try_element_at(parts, F.lit(-1)))))
+
+
+def validation_lookup(df: DataFrame, records: DataFrame, value: str, order: str, path: str = "image_path", patient: str = "patient_id", out: str = "validated") -> DataFrame:
+    """df with the value of the record that has the last two segments of its path, else of the one that has its patient and
+    file name. Of several records of a key the last one by ``order`` counts; null keys match nothing."""
+    name = F.lower(basename(F.col(path)))
+    by_path = records.groupBy(last_two(F.col(path)).alias("_k")).agg(F.max_by(value, order).alias("_a"))
+    by_name = records.groupBy(F.col(patient).alias("_p"), name.alias("_n")).agg(F.max_by(value, order).alias("_b"))
+    asked = df.withColumns({"_k": last_two(F.col(path)), "_p": F.col(patient), "_n": name})
+    found = asked.join(by_path, "_k", "left").join(by_name, ["_p", "_n"], "left")
+    return found.withColumn(out, F.coalesce("_a", "_b")).select(*df.columns, out)
+
+
+def matching_or_head(df: DataFrame, column: str, pattern: str, order: list[str], n: int = 10) -> DataFrame:
+    """The rows whose column holds the pattern, in any case (null does not); the first n by ``order`` if there are none.
+
+    Both are one plan: the fallback is n rows, anti-joined with whether there is a match."""
+    hits = df.filter(F.coalesce(F.col(column).rlike(f"(?i){pattern}"), F.lit(False)))
+    none = df.orderBy(*order).limit(n).join(F.broadcast(hits.limit(1).select(F.lit(True).alias("_any"))), F.col("_any"), "left_anti")
+    return hits.unionByName(none)
+
+
+def hash_share(key: Column, seed: int = 42) -> Column:
+    """In [0, 1), from md5 of seed and key: the same for a key wherever its row is."""
+    text = F.concat(F.lit(f"{seed}-"), F.coalesce(key.cast("string"), F.lit("")))
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / 4294967296.0
+
+
+def random_split(df: DataFrame, key: str, share: float = 0.2, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """About 1 - share of the keys, and the others: a row's side depends on its key and the seed alone, so that retries,
+    partitions and other rows do not matter, and all rows of a key are on one side."""
+    held = hash_share(F.col(key), seed) < share
+    return df.filter(~held), df.filter(held)
+
+
 # --- dedup, lineage ------------------------------------------------------------------------------------------------
 
 

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pelagia.operators.batches import permuted, ranked
+from pelagia.operators.catalog import random_split
 from pelagia.operators.evaluation import cosine_rate, plateau_rates
 from pelagia.sources.sinks import load_json, save_json
 from pelagia.sources.work import work_dir
@@ -231,6 +232,5 @@ def split(df: DataFrame, split_column: str = "dataset_split", seed: int = 42) ->
     side = F.lower(F.trim(F.col(split_column).cast("string")))
     one, two = df.filter(side == "train"), df.filter(side.isin("val", "validation", "test"))
     if not one.head(1) or not two.head(1):
-        share = F.pmod(F.xxhash64(F.lit(seed), F.col("key")), F.lit(5)) == 0
-        one, two = df.filter(~share), df.filter(share)
+        one, two = random_split(df, "key", 0.2, seed)
     return one.drop(split_column), two.drop(split_column)

@@ -117,11 +117,35 @@ def validation_lookup_two_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("o_orderkey", "o_custkey").join(a, "o_orderkey", "left").join(b, "o_custkey", "left").select("o_orderkey", F.coalesce("va", "vb").alias("found"))
 
 
+_FALLBACK = "(with f as (select c_custkey, c_mktsegment from customer where {0}) select '{1}' as asked, * from f union all (select '{1}', c_custkey, c_mktsegment from customer where not exists (select 1 from f) order by c_custkey limit 10))"
+
+
 @query("filter_in_regex_fallback", "select c_custkey, c_mktsegment from customer where regexp_matches(c_mktsegment, '(?i)build') and c_nationkey in (1, 3, 5, 7, 9, 11)")
 def filter_in_regex_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_nationkey")
-    found = c.filter(F.coalesce(F.col("c_mktsegment").rlike("(?i)build"), F.lit(False)) & F.col("c_nationkey").isin(1, 3, 5, 7, 9, 11)).drop("c_nationkey")
-    return found if found.head(1) else c.orderBy("c_custkey").limit(10).drop("c_nationkey")
+    some = c.filter(F.col("c_nationkey").isin(1, 3, 5, 7, 9, 11)).drop("c_nationkey")
+    return catalog.matching_or_head(some, "c_mktsegment", "build", ["c_custkey"])
+
+
+@query("regex_or_head", " union all ".join([_FALLBACK.format("regexp_matches(c_mktsegment, '(?i)^house')", "house"), _FALLBACK.format("regexp_matches(c_mktsegment, '(?i)no such segment')", "none")]))
+def regex_or_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pattern that matches, and one that does not: then the first ten, which is the feature."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    one, two = (catalog.matching_or_head(c, "c_mktsegment", p, ["c_custkey"]).select(F.lit(name).alias("asked"), "*") for p, name in (("^house", "house"), ("no such segment", "none")))
+    return one.unionByName(two)
+
+
+_TWO = "lower(case when len(string_split(trim(url), '/')) >= 2 then string_split(trim(url), '/')[-2] || '/' || string_split(trim(url), '/')[-1] end)"
+
+
+@query("validation_lookup_paths", f"""with p as (select page_id, page_id % 40 as patient, url, {_TWO} as k, lower(string_split(url, '/')[-1]) as n from pages), r as (select * from p where page_id % 3 > 0),
+a as (select k, max(page_id) as v from r where k is not null group by 1), b as (select patient, n, max(page_id) as v from r group by 1, 2)
+select page_id, coalesce(a.v, b.v) as validated from p left join a using (k) left join b using (patient, n)""")
+def validation_lookup_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last validated record by two path segments, else by patient and file name."""
+    p = table(spark, sf_dir, "pages").select("page_id", (F.col("page_id") % 40).alias("patient_id"), F.col("url").alias("image_path"))
+    r = p.filter("page_id % 3 > 0").withColumn("value", F.col("page_id"))
+    return catalog.validation_lookup(p, r, "value", "page_id").select("page_id", "validated")
 
 
 @query("head_in_order", "select o_orderkey, o_orderpriority from orders order by o_orderkey limit 10")
@@ -198,11 +222,14 @@ def split_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.split_summary(records(spark, sf_dir), patient_stratified_split(spark, sf_dir))
 
 
-@query("random_split_sizes")
+_SHARE = "('0x' || substr(md5('42-' || o_orderkey), 1, 8))::ubigint / 4294967296.0::double"
+
+
+@query("random_split_sizes", f"select case when {_SHARE} < 0.2 then 'val' else 'train' end as side, count(*) as n, sum(o_orderkey)::bigint as keys from orders group by 1")
 def random_split_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A seeded 80 / 20 split and its complement."""
-    a, b = records(spark, sf_dir).select("o_orderkey").randomSplit([0.8, 0.2], 42)
-    return a.withColumn("side", F.lit("train")).unionByName(b.withColumn("side", F.lit("val"))).groupBy("side").agg(F.count("*").alias("n"))
+    a, b = catalog.random_split(records(spark, sf_dir).select("o_orderkey"), "o_orderkey")
+    return a.withColumn("side", F.lit("train")).unionByName(b.withColumn("side", F.lit("val"))).groupBy("side").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"))
 
 
 @query("value_counts", "select 'o_orderstatus' as column_name, o_orderstatus as value, count(*) as n from orders where o_orderstatus is not null group by 2 union all select 'o_orderpriority', o_orderpriority, count(*) from orders where o_orderpriority is not null group by 2")
@@ -295,6 +322,21 @@ def audit_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.run_checks(df, _files(df), _sizes(df)).select("check", "passed", "violations")
 
 
+@query("report_composition", f"with {CATALOG} " + " union all ".join(f"select '{section}' as section, '{c}' as item, {c}::varchar as value, count(*) as n from cat where {c} is not null group by 3" for section, cs in audit.COUNTED.items() for c in cs))
+def report_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the report's cohort, noise and filter sections count."""
+    return audit.composition(catalog_table(spark, sf_dir))
+
+
+@query("report_totals", f"""with {CATALOG}, m as (select count(*) as missing from ({_BAD['audit_files_exist']})), w as (select count(*) as wrong from ({_BAD['audit_dimensions']})),
+t as (select count(*) as total, count(*) filter (where noise_type is null) as clean, any_value(missing) as missing, least(any_value(missing) + any_value(wrong), count(*)) as failed from cat, m, w)
+select unnest(['total', 'clean', 'experiment', 'missing', 'failed', 'successful']) as item, unnest([total, clean, total - clean, missing, failed, total - failed])::bigint as n from t""")
+def report_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the report's first section says of the records."""
+    df = catalog_table(spark, sf_dir)
+    return audit.totals(df, audit.run_checks(df, _files(df), _sizes(df))).select("item", "n")
+
+
 _FINAL = ", ".join(c if c != "label" else "label::varchar as label" for c in catalog.FINAL_COLUMNS)
 
 

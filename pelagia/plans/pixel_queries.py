@@ -71,6 +71,16 @@ def image_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("image_id", "s.width", "s.height", "s.channels", *[F.round(f"s.{c}", 6).alias(c) for c in ("min", "max", "mean", "std")])
 
 
+@query("image_inspection", f"""with {PX} select image_id, 8 as width, 8 as height, 1 as channels, round(min(v), 6) as min, round(max(v), 6) as max, round(avg(v), 6) as mean, round(stddev_pop(v), 6) as std, round(quantile_cont(v, 0.25), 6) as q25,
+round(quantile_cont(v, 0.5), 6) as q50, round(quantile_cont(v, 0.75), 6) as q75, round(avg((v = 0)::int), 6) as zeros, min(v) < max(v) as is_valid from ns group by 1""")
+def image_inspection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the console's inspection of an image shows, a row for each."""
+    from pelagia.operators import audit
+
+    rows = audit.inspection(images(spark, sf_dir), "image_id", "noisy")
+    return rows.select("image_id", "width", "height", "channels", *[F.round(c, 6).alias(c) for c in ("min", "max", "mean", "std", "q25", "q50", "q75", "zeros")], "is_valid")
+
+
 @query("image_validity", f"with {PX} select image_id, count(*) > 0 as filled, bool_and(isfinite(v)) as finite, min(v) < max(v) as varied, bool_and(isfinite(v)) and min(v) < max(v) as is_valid from px group by 1")
 def image_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return images(spark, sf_dir).select("image_id", im.validity(F.col("image")).alias("s")).select("image_id", "s.*")

@@ -142,6 +142,56 @@ def test_audit_passes_and_each_mutation_fails_one_check(spark, final, tmp_path):
     assert "Total records: 410" in (tmp_path / "r/report.txt").read_text()
 
 
+def test_report_sections_hold_measured_values(spark, final, tmp_path):
+    df, _ = final
+    n = df.count()
+    metrics = spark.createDataFrame([("median", 20.0, 0.5, 0.01, 1.0), ("median", 30.0, 0.7, 0.03, 3.0), ("kuan", 10.0, None, 0.2, 0.5)], "denoising_method string, PSNR double, SSIM double, MSE double, CNR double")
+    paths = audit.unpivoted(df, audit.PATHS).select("path").distinct()
+    good = audit.run_checks(df, paths, paths.withColumn("height", F.lit(512)).withColumn("width", F.lit(512)))
+    text = audit.finalize(df, good, seconds=1.5, metrics=metrics)
+    heads = [x[3:] for x in text.splitlines() if x[:1].isdigit() and x[1:3] == ". "]
+    assert heads == ["Records", "Compute", "Cohort", "Noise", "Denoising", "Checks", "Sign-off"]
+    assert "All checks passed." in text and "Failed: 0" in text and f"Successful: {n}" in text and "Master: local" in text
+    for c in ("dataset_split", "pathology", "noise_type", "denoising_method"):
+        for r in df.filter(F.col(c).isNotNull()).groupBy(c).count().collect():
+            assert any(x.split()[:2] == [str(r[0]), str(r["count"])] for x in text.splitlines()), (c, r)
+    assert ["median", "25.0000", "0.6000", "0.0200", "2.0000"] in [x.split() for x in text.splitlines()]
+    missing = audit.report(df, audit.run_checks(df, paths.filter("path <> 's/3.png'"), paths.withColumn("height", F.lit(512)).withColumn("width", F.lit(512))))
+    assert "Integrity: FAILED" in missing and "s/3.png" in missing and "Failed checks: every_referenced_file_exists" in missing
+    empty = audit.report(df.limit(0), good)
+    assert "Total records: 0" in empty and "Failed: 0" in empty
+
+
+def test_validation_lookup_prefers_paths_and_the_last(spark):
+    df = spark.createDataFrame([(1, "a/b/x.png", "P1"), (2, "other/x.png", "P1"), (3, "y.png", "P2"), (4, None, "P1"), (5, "q\\B\\X.png", None)], "k int, image_path string, patient_id string")
+    records = spark.createDataFrame([("b/x.png", "P9", "one", 1), ("z/b/X.png", "P9", "two", 2), ("r/x.png", "P1", "three", 3), ("s/y.png", "P2", "four", 1), (None, None, "five", 9)], "image_path string, patient_id string, v string, o int")
+    got = {r.k: r.validated for r in catalog.validation_lookup(df, records, "v", "o").collect()}
+    assert got == {1: "two", 2: "three", 3: "four", 4: None, 5: "two"}
+
+
+def test_matching_or_head(spark):
+    df = spark.createDataFrame([(3, "Abc"), (1, "xABCx"), (2, None), (4, "d")], "k int, t string")
+    assert sorted(r.k for r in catalog.matching_or_head(df, "t", "abc", ["k"]).collect()) == [1, 3]
+    assert [r.k for r in catalog.matching_or_head(df, "t", "nothing", ["k"], 2).orderBy("k").collect()] == [1, 2]
+    assert catalog.matching_or_head(df.limit(0), "t", "a", ["k"]).collect() == []
+
+
+def test_random_split_does_not_depend_on_partitions(spark):
+    df = spark.range(3000).withColumnRenamed("id", "k")
+    one = [sorted(r.k for r in side.collect()) for side in catalog.random_split(df.repartition(7), "k")]
+    two = [sorted(r.k for r in side.collect()) for side in catalog.random_split(df.coalesce(1).orderBy(F.desc("k")), "k")]
+    assert one == two and sorted(one[0] + one[1]) == list(range(3000)) and 500 < len(one[1]) < 700
+    assert [len(s.collect()) for s in catalog.random_split(df, "k", seed=7)] != [len(x) for x in one]
+    assert sum(s.count() for s in catalog.random_split(spark.createDataFrame([(None,), (None,)], "k long"), "k")) == 2
+
+
+def test_inspection(spark):
+    df = frame(spark, np.array([[0.0, 0.5], [1.0, 0.5]]), np.full((2, 2), 0.3)).unionByName(frame(spark, np.ones((1, 1))).select(F.lit(9).cast("long").alias("image_id"), F.lit(None).cast("struct<height:int,width:int,data:array<double>>").alias("image")))
+    got = {r.image_id: r for r in audit.inspection(df, "image_id").collect()}
+    assert (got[0].q25, got[0].q50, got[0].q75, got[0].zeros, got[0].is_valid, got[0].max) == (0.375, 0.5, 0.625, 0.25, True, 1.0)
+    assert not got[1].is_valid and got[9].mean is None and not got[9].is_valid
+
+
 def test_estimate():
     e = experiment.estimate(10)
     assert [e[k] for k in ("experiments", "noise_operations", "denoise_operations", "metric_evaluations", "total_operations", "files")] == [400, 50, 400, 2800, 3250, 450]
