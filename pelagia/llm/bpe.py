@@ -30,8 +30,10 @@ from pyspark.sql import functions as F
 from pelagia.llm.shared import bounded, table
 
 CHUNK, OVERLAP, SPREAD = 1 << 14, 1 << 10, 4
-#: Different pieces whose ids are remembered.
-KNOWN = 1 << 17
+#: Different pieces whose ids are remembered, of at most so many characters each.
+KNOWN, SHORT = 1 << 17, 64
+#: Chunks of a batch.
+BATCH = 64
 #: A match that ends closer than this to the end of a chunk may end elsewhere in the whole text ("'r" before "e").
 MARGIN = 2
 
@@ -112,9 +114,11 @@ class Known(dict):
         self.encode = enc.encode_single_piece if hasattr(enc, "encode_single_piece") else enc._encode_single_piece
 
     def __missing__(self, piece: str) -> list[int]:
-        if len(self) >= KNOWN:
-            self.clear()
-        ids = self[piece] = self.encode(piece)
+        ids = self.encode(piece)
+        if len(piece) <= SHORT:
+            if len(self) >= KNOWN:
+                self.clear()
+            self[piece] = ids
         return ids
 
 
@@ -134,7 +138,9 @@ def pieces(path: str, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def encode_text(path: str, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> np.ndarray:
-    """Ids of a text by its chunks."""
+    """Ids of a text by its chunks; one chunk has nothing to stitch."""
+    if len(text) <= chunk:
+        return np.fromiter(chain.from_iterable(map(known(path).__getitem__, pretokens().findall(text))), np.int64)
     ids = stitch([pieces(path, text[i : i + chunk + overlap]) for i in range(0, len(text), chunk)], chunk)
     return pieces(path, text)[2] if ids is None else ids
 
@@ -172,6 +178,14 @@ def _encoded(docs: DataFrame, path: str, text: str, doc_id: str, chunk: int, ove
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "value": [finish(encode_text(path, t, chunk, overlap).tolist()) for t in b["text"]]})
 
+    def chunked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # each text is cut in one way through it, and a batch holds a bounded number of its chunks
+        for b in batches:
+            for i, k1, k2, t in zip(b["doc_id"], b["k1"], b["k2"], b["text"], strict=True):
+                for a in range(0, len(t), chunk * BATCH):
+                    numbers = range(a // chunk, min(a // chunk + BATCH, -(-len(t) // chunk)))
+                    yield pd.DataFrame({"doc_id": i, "k1": k1, "k2": k2, "chunk_no": numbers, "chunk_text": [t[n * chunk : (n + 1) * chunk + overlap] for n in numbers]})
+
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             got = [pieces(path, t) for t in b["chunk_text"]]
@@ -179,23 +193,24 @@ def _encoded(docs: DataFrame, path: str, text: str, doc_id: str, chunk: int, ove
             yield out
 
     def join(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("chunk_no", kind="stable")
-        copies = int((group["chunk_no"] == 0).sum())  # equal rows come here together
-        once = group.drop_duplicates("chunk_no")
+        once = group.sort_values("chunk_no", kind="stable")
         ids = stitch([tuple(np.frombuffer(r[c], "<i4").astype(np.int64) for c in ("starts", "counts", "ids")) for _, r in once.iterrows()], chunk)
         if ids is None:
             ids = pieces(path, "".join(t[:chunk] for t in once["chunk_text"]))[2]
-        return pd.DataFrame({"doc_id": group["doc_id"].iloc[:1].repeat(copies), "value": [finish(ids.tolist())] * copies})
+        return pd.DataFrame({"k1": once["k1"].iloc[:1], "k2": once["k2"].iloc[:1], "doc_id": once["doc_id"].iloc[:1], "value": [finish(ids.tolist())]})
 
     schema = f"doc_id string, value {kind}"
     few = rows.filter(F.length("text") <= chunk * spread).mapInPandas(here, schema)
-    numbers = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / chunk).cast("int"))
     long = rows.filter(F.length("text") > chunk * spread).withColumn("k1", F.xxhash64("doc_id", "text")).withColumn("k2", F.xxhash64(F.lit(7), "text", "doc_id"))
-    chunks = long.select("doc_id", "k1", "k2", "text", F.explode(numbers).alias("chunk_no")).select("doc_id", "k1", "k2", "chunk_no", F.expr(f"substring(text, chunk_no * {chunk} + 1, {chunk + overlap})").alias("chunk_text"))
+    # equal rows are encoded once and counted
+    copies = long.groupBy("k1", "k2").agg(F.count("*").cast("int").alias("copies"))
+    chunks = long.dropDuplicates(["k1", "k2"]).select("doc_id", "k1", "k2", "text").mapInPandas(chunked, "doc_id string, k1 long, k2 long, chunk_no int, chunk_text string")
     # chunks of one document go to different tasks: that is where the parallel work is
     chunks = chunks.repartition(F.xxhash64("k1", "chunk_no"))
     done = chunks.mapInPandas(cut, "doc_id string, k1 long, k2 long, chunk_no int, chunk_text string, starts binary, counts binary, ids binary")
-    out = few.unionByName(done.groupBy("k1", "k2").applyInPandas(join, schema))
+    made = done.groupBy("k1", "k2").applyInPandas(join, f"k1 long, k2 long, {schema}").join(copies, ["k1", "k2"])
+    made = made.select("doc_id", "value", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).drop("copy")
+    out = few.unionByName(made)
     return out.withColumn("doc_id", F.col("doc_id").cast(id_type))
 
 

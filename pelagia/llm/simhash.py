@@ -9,12 +9,13 @@ give a spanning forest of their links, never all pairs, so a bucket may be of an
 
 Defined cases: null or blank text has the fingerprint zero, which links like any other; fewer words than a shingle
 make one shingle; repeated rows share a component; null ids get a fingerprint and the smallest non-null id reachable
-(null if there is none); an empty table gives an empty result; other columns are not read.
+(null if there is none); of texts of any length a segment's words and eight bytes for each shingle are held; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
 import random
+from math import ceil
 
 import numpy as np
 import pandas as pd
@@ -29,6 +30,8 @@ SHINGLE, RADIUS, BITS, SEED = 3, 3, 64, 42  # the contract of op6
 STAGE_SHINGLE, SIMILARITY = 5, 0.8  # the rule of the pipeline's stage
 #: Fingerprints of a bucket that are compared as one block.
 BLOCK = 1024
+#: Rows of the pairs of blocks that a task gathers.
+TASK = 50_000
 
 
 def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -107,14 +110,15 @@ def links(prints: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFr
     rows = prints.select("fp", table.alias("t")).select("fp", "t.table", "t.key")
     sizes = rows.groupBy("table", "key").count().filter("count > 1")
     # a bucket of n prints has ceil(n / block) blocks; each row goes to every pair of blocks that has its own
-    rows = rows.join(sizes, ["table", "key"]).withColumn("blocks", F.ceil(F.col("count") / block).cast("int"))
+    sizes, sizes_at = materialise(sizes.withColumn("blocks", F.ceil(F.col("count") / block).cast("int")), "sizes")
+    moved = sizes.agg(F.sum(F.col("count") * F.col("blocks"))).first()[0] or 0
+    rows = rows.join(sizes, ["table", "key"])
     rows = rows.withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     rows = rows.select("table", "key", "fp", "mine", other).select("table", "key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") <= F.col("other")).alias("left"), "fp")
 
-    # small buckets are gathered into one group per task, so that most groups are not a call each
-    spread = 4 * int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.withColumn("task", F.pmod(F.xxhash64("table", "key", "i", "j"), F.lit(spread)).cast("int"))
+    # small buckets are gathered into one group per task, so that most groups are not a call each; a group holds about TASK rows
+    rows = rows.withColumn("task", F.pmod(F.xxhash64("table", "key", "i", "j"), F.lit(max(1, ceil(moved / TASK)))).cast("int"))
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         a, b = [], []
@@ -125,7 +129,9 @@ def links(prints: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFr
             b.append(y)
         return pd.DataFrame({"a": np.concatenate(a).view(np.int64), "b": np.concatenate(b).view(np.int64)})
 
-    return rows.groupBy("task").applyInPandas(compare, "a long, b long").distinct()
+    found, _ = materialise(rows.groupBy("task").applyInPandas(compare, "a long, b long").distinct(), "found")
+    drop(prints.sparkSession, sizes_at)
+    return found
 
 
 def _rooted(nodes: DataFrame, found: DataFrame) -> DataFrame:

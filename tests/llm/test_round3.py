@@ -261,3 +261,46 @@ def test_templates_and_long_unrelated_texts_give_no_rows(spark):
     assert group_rows(spark, [" ".join(f"u{i}x{j}" for j in range(5)) + " " + shared for i in range(400)]).count() == 0
     r = random.Random(3)
     assert group_rows(spark, ["same start here now " + " ".join(str(r.randrange(10**9)) for _ in range(3000)) for i in range(40)]).count() == 0
+
+
+# --- op6, op10 -----------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("task", [50_000, 7])
+def test_simhash_groups_follow_the_rows(spark, monkeypatch, task):
+    from pelagia.llm import simhash
+
+    monkeypatch.setattr(simhash, "TASK", task)
+    r = random.Random(3)
+    base = [r.getrandbits(63) for _ in range(6)]
+    prints = sorted({b ^ sum(1 << k for k in r.sample(range(63), r.randint(0, 3))) for b in base for _ in range(25)})
+    found = simhash.links(spark.createDataFrame([(p,) for p in prints], "fp long"), block=8).collect()
+    root = {p: p for p in prints}
+
+    def find(p):
+        while root[p] != p:
+            p = root[p]
+        return p
+
+    for x in found:
+        assert (x.a ^ x.b).bit_count() <= 3
+        root[max(find(x.a), find(x.b))] = min(find(x.a), find(x.b))
+    for a in prints:
+        for b in prints:
+            assert (a ^ b).bit_count() > 3 or find(a) == find(b)
+
+
+def test_bpe_of_repeated_long_rows(spark):
+    import public_tokenizers
+
+    from pelagia.llm import bpe
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    r = random.Random(5)
+    long = " ".join(r.choice(["tide", "reef,", "Krill's", "12", "é漢", "\n\n"]) for _ in range(3000))
+    rows = [(1, long)] * 3 + [(2, long), (None, long), (3, "short"), (3, "short"), (4, "y" * 5000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter((x.doc_id, tuple(x.ids)) for x in bpe.encode(df, path, chunk=256, overlap=32, spread=2).collect())
+    enc = bpe.encoding(path)
+    assert got == Counter((i, tuple(enc.encode_ordinary(t))) for i, t in rows)
+    assert max(map(len, bpe.known(path))) <= bpe.SHORT
