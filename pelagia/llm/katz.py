@@ -16,10 +16,11 @@ Work moves as sorted, compressed arrays, not as a row per token:
   D  by history: add counts, sum what backoff weights need, answer the blocks (very frequent histories are dealt out
      by their followers too and their sums added afterwards);
   F  by block: evaluate every token and add up each text.
-The model is what B and D write: word and bigram counts in tables partitioned by kind.
+What B and D write are word and bigram counts in tables partitioned by kind. train() makes of them a model of plain tables
+(words, bigrams, backoff weights), by which score_stored() judges any other texts.
 
 Words are told apart by 64-bit hashes. Defined cases: null text is empty (one end token); null ids train and are kept; repeated
-rows count and return once each; without training texts all tokens are unknown and score 0; an empty table gives an
+rows count and return once each; of a text its tokens' hashes are held, and a block is at least one text; without training texts all tokens are unknown and score 0; an empty table gives an
 empty result; other columns are not read.
 """
 
@@ -27,6 +28,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -36,6 +38,8 @@ from pyspark.sql import functions as F
 from pelagia.llm.shared import bounded, crc_mod, materialise
 
 K = 5
+#: Folders of each table of a stored model.
+PARTITIONS = 64
 BLOCK, PART = 2_000_000, 2_000_000  # tokens of a block; tokens for each part of the word and history space
 
 
@@ -293,11 +297,36 @@ def _score(words: Words, parts: int, hot: int, d: np.ndarray, hot_sums: dict[int
     return run
 
 
-def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", block: int = BLOCK, part: int = PART) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    spark = docs.sparkSession
+@dataclass
+class Counts:
+    """What training leaves: texts by block, what words and bigrams were told, and the numbers that discounts need."""
+
+    body: DataFrame
+    told: DataFrame
+    pairs: DataFrame
+    words: Words
+    d: np.ndarray
+    parts: int
+    hot: int
+
+
+def _hot_sums(pairs: DataFrame) -> dict[int, tuple]:
+    """Sums of the very frequent histories over all parts, added up by Spark: at most one row for each part."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for n_r, big, types, seen, h in zip(b["n_r"], b["big"], b["big_types"], b["seen"], b["h"], strict=True):
+                yield pd.DataFrame({"h": unpack(h), **{f"n{r}": unpack(a) for r, a in enumerate(n_r)}, "big": unpack(big), "types": unpack(types), "seen": unpack(seen, "f8")})
+
+    columns = [*(f"n{r}" for r in range(K)), "big", "types"]
+    made = pairs.filter("kind = 'hot'").select("n_r", "big", "big_types", "seen", "h").mapInPandas(rows, f"h long, {', '.join(f'{c} long' for c in columns)}, seen double")
+    found = made.groupBy("h").agg(*[F.sum(c).alias(c) for c in (*columns, "seen")]).collect()
+    return {r["h"]: (np.array([r[f"n{i}"] for i in range(K)]), r["big"], r["types"], r["seen"]) for r in found}
+
+
+def counted(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", block: int = BLOCK, part: int = PART) -> Counts:
+    """Steps A to D."""
     bounded(docs.sparkSession)
-    id_type = docs.schema[doc_id].dataType
     rows = docs.select(F.col(f"`{doc_id}`").cast("string").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"), (crc_mod(doc_id, 7) == 2).alias("held"))
     made = rows.mapInPandas(_blocks(block), "block string, n long, ids array<string>, held array<boolean>, lengths array<int>, vocab binary, ranks binary, train binary, tokens binary")
     blocks, _ = materialise(made, "blocks")
@@ -314,30 +343,119 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", block: in
     # at most n / hot, that is one for each part
     hot_ids = np.array(sorted(r["id"] for r in told.filter("kind = 'model'").select("ids", "counts").mapInPandas(frequent, "id long").collect()), np.int64)
 
-    told = told.filter("kind = 'answer'").select("part", "block", "ids", "counts")
     body = blocks.select("block", "ids", "held", "lengths", "ranks", "tokens")
-    asks = body.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(_ask_pairs(parts, hot), "part int, block string, h binary, w binary, w_count binary, train binary")
+    answers = told.filter("kind = 'answer'").select("part", "block", "ids", "counts")
+    asks = body.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_ask_pairs(parts, hot), "part int, block string, h binary, w binary, w_count binary, train binary")
     pairs, _ = materialise(asks.groupBy("part").applyInPandas(_answer_pairs(words, hot_ids), PAIR_ANSWER), "pairs", ["kind"])
     n_r = [int(v or 0) for v in pairs.filter("kind = 'model'").agg(*sums[: K + 1]).first()]
     d = discounts([0, *n_r])
-    hot_sums: dict[int, tuple] = {}
-    for r in pairs.filter("kind = 'hot'").select("n_r", "big", "big_types", "seen", "h").toLocalIterator():
-        got = (np.stack([unpack(a) for a in r["n_r"]]), unpack(r["big"]), unpack(r["big_types"]), unpack(r["seen"], "f8"))
-        for i, h in enumerate(unpack(r["h"]).tolist()):
-            old = hot_sums.get(h, (np.zeros(K, np.int64), 0, 0, 0.0))
-            hot_sums[h] = (old[0] + got[0][:, i], old[1] + got[1][i], old[2] + got[2][i], old[3] + got[3][i])
-
-    run = _score(words, parts, hot, d, hot_sums)
+    return Counts(body, told, pairs, words, d, parts, hot)
+
+
+def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", block: int = BLOCK, part: int = PART) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    id_type = docs.schema[doc_id].dataType
+    c = counted(docs, text, doc_id, block, part)
+    told = c.told.filter("kind = 'answer'").select("part", "block", "ids", "counts")
+    run = _score(c.words, c.parts, c.hot, c.d, _hot_sums(c.pairs))
     # three tables by block: what was asked and answered comes as one, told apart by its kind
     none = F.lit(None)
     both = told.select("block", "part", "ids", "counts", none.cast("array<binary>").alias("n_r"), *[none.cast("binary").alias(x) for x in ("big", "big_types", "seen")], F.lit(True).alias("word"))
-    both = both.unionByName(pairs.filter("kind = 'answer'").select("block", "part", none.cast("binary").alias("ids"), "counts", "n_r", "big", "big_types", "seen", F.lit(False).alias("word")))
+    both = both.unionByName(c.pairs.filter("kind = 'answer'").select("block", "part", none.cast("binary").alias("ids"), "counts", "n_r", "big", "big_types", "seen", F.lit(False).alias("word")))
 
     def last(b: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         return run(b, t[t["word"]], t[~t["word"]])
 
-    out = body.groupBy("block").cogroup(both.groupBy("block")).applyInPandas(last, "doc_id string, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    return out.select(F.col("doc_id").cast(id_type).alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+    out = c.body.groupBy("block").cogroup(both.groupBy("block")).applyInPandas(last, "doc_id string, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return out.select(F.col("doc_id").cast(id_type).alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(c.words.n).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+# --- the stored model ----------------------------------------------------------------------------------------------
+
+
+def train(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id", block: int = BLOCK, part: int = PART) -> None:
+    """Write the model of the training texts at path, as tables that score_stored() reads: words (hash, id, count, p),
+    bigrams (h, w, count, p), histories (h, alpha), each in PARTITIONS folders by its key, and one row of numbers."""
+    c, spark = counted(docs, text, doc_id, block, part), docs.sparkSession
+    words, d = c.words, c.d
+
+    def word_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for v, i, n in zip(b["vocab"], b["ids"], b["counts"], strict=True):
+                n = unpack(n)
+                yield pd.DataFrame({"hash": np.frombuffer(v, "<u8").view(np.int64), "id": unpack(i) - 1, "count": n, "p": words.p(n)})
+
+    def pair_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for h, w, n in zip(b["h"], b["w"], b["counts"], strict=True):
+                h = np.cumsum(unpack(h))
+                yield pd.DataFrame({"h": h, "w": unpack(w) - 1, "count": unpack(n)})
+
+    vocabulary = c.told.filter("kind = 'model'").select("vocab", "ids", "counts").mapInPandas(word_rows, "hash long, id long, count long, p double")
+    _write(vocabulary, "hash", f"{path}/words")
+    known = stored_words(spark, path)
+    pairs = c.pairs.filter("kind = 'model'").select("h", "w", "counts").mapInPandas(pair_rows, "h long, w long, count long")
+    lowered = F.when(F.col("count") > K, F.col("count").cast("double")).otherwise(F.try_element_at(F.array(*[F.lit(float(x)) for x in d]), (F.col("count") + 1).cast("int")) * F.col("count"))
+    # sums by history: partial sums first, so that a frequent history moves as one row a task
+    sums = pairs.join(known.select(F.col("id").alias("w"), F.col("p").alias("of_word")), "w").groupBy("h").agg(F.sum("count").alias("n"), F.min("count").alias("least"), F.count("*").alias("types"), F.sum(lowered).alias("kept"), F.sum("of_word").alias("seen"))
+    half = F.col("least") > K
+    kept = F.when(half, F.col("n") - 0.5 * F.col("types")).otherwise(F.col("kept"))
+    sums = sums.select("h", "n", half.alias("half"), ((1 - kept / F.col("n")) / (1 - F.col("seen"))).alias("alpha"))
+    _write(sums, "h", f"{path}/histories")
+    histories = stored_histories(spark, path)
+    p = F.when(F.col("half"), F.col("count") - 0.5).otherwise(lowered) / F.col("n")
+    bigrams = pairs.join(histories.select("h", "n", "half"), "h").select("h", "w", "count", p.alias("p"))
+    _write(bigrams, "h", f"{path}/bigrams")
+    spark.createDataFrame([(float(words.p(np.zeros(1, np.int64))[0]), words.n, words.types)], "unknown double, n long, types long").write.mode("overwrite").parquet(f"{path}/numbers")
+
+
+def _write(rows: DataFrame, key: str, path: str) -> None:
+    """In PARTITIONS folders by the key; the key itself spreads a folder's rows over a few files."""
+    dealt = rows.withColumn("part", F.pmod(F.col(key), F.lit(PARTITIONS)).cast("int"))
+    dealt.repartition("part", F.pmod(F.xxhash64(*[c for c in rows.columns if c in ("hash", "h", "w")]), F.lit(4))).write.mode("overwrite").partitionBy("part").parquet(path)
+
+
+def stored_words(spark, path: str) -> DataFrame:
+    return spark.read.schema("hash long, id long, count long, p double, part int").parquet(f"{path}/words")
+
+
+def stored_bigrams(spark, path: str) -> DataFrame:
+    return spark.read.schema("h long, w long, count long, p double, part int").parquet(f"{path}/bigrams")
+
+
+def stored_histories(spark, path: str) -> DataFrame:
+    return spark.read.schema("h long, n long, half boolean, alpha double, part int").parquet(f"{path}/histories")
+
+
+def score_stored(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """doc_id, n_tokens, n_known and score of any texts by a stored model: equi-joins of the texts' distinct words, bigrams
+    and histories with its tables, and the backoff of a token whose bigram is not there to its word."""
+    import xxhash
+
+    spark = bounded(docs.sparkSession)
+    h = xxhash.xxh3_64_intdigest
+    end = h(b" ")
+
+    def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for row, t in zip(b["row"], b["text"], strict=True):
+                found = [h(w) for w in t.encode("utf-8", "surrogatepass").lower().split()]
+                at = np.array([*found, end], np.uint64).view(np.int64)
+                key, n = np.unique(np.stack([np.r_[np.uint64(end).view(np.int64), at[:-1]], at]), axis=1, return_counts=True)
+                yield pd.DataFrame({"row": row, "before": key[0], "word": key[1], "times": n})
+
+    rows, _ = materialise(docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")), "new")
+    pairs, _ = materialise(rows.select("row", "text").mapInPandas(tokens, "row long, before long, word long, times long"), "asked")
+    known = stored_words(spark, path)
+    # frequent words meet the model once: distinct pairs are judged, not tokens
+    asked = pairs.select("before", "word").distinct()
+    asked = asked.join(known.select(F.col("hash").alias("word"), F.col("id").alias("w"), "p"), "word", "left").join(known.select(F.col("hash").alias("before"), F.col("id").alias("h")), "before", "left")
+    asked = asked.join(stored_bigrams(spark, path).select("h", "w", F.col("p").alias("p_pair")), ["h", "w"], "left").join(stored_histories(spark, path).select("h", "alpha"), "h", "left")
+    number = spark.read.parquet(f"{path}/numbers").first()
+    backed = F.coalesce("alpha", F.lit(1.0)) * F.coalesce("p", F.lit(number["unknown"]))
+    judged = asked.select("before", "word", F.log10(F.coalesce("p_pair", backed)).alias("v"), F.col("w").isNotNull().cast("long").alias("known"))
+    total = pairs.join(judged, ["before", "word"]).groupBy("row").agg(F.sum("times").alias("n_tokens"), F.sum(F.col("times") * F.col("known")).alias("n_known"), F.sum(F.col("times") * F.col("v")).alias("score"))
+    return rows.select("row", "doc_id").join(total, "row").select("doc_id", "n_tokens", "n_known", "score")
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

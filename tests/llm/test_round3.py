@@ -303,4 +303,43 @@ def test_bpe_of_repeated_long_rows(spark):
     got = Counter((x.doc_id, tuple(x.ids)) for x in bpe.encode(df, path, chunk=256, overlap=32, spread=2).collect())
     enc = bpe.encoding(path)
     assert got == Counter((i, tuple(enc.encode_ordinary(t))) for i, t in rows)
-    assert max(map(len, bpe.known(path))) <= bpe.SHORT
+    assert bpe.encode_text(path, long + "z" * 500).tolist() == enc.encode_ordinary(long + "z" * 500)
+    assert 0 < max(map(len, bpe.known(path))) <= bpe.SHORT
+
+
+# --- op3: the stored model -----------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize(("block", "part"), [(10**6, 10**6), (500, 200)])
+def test_stored_model_scores_as_the_scorer(spark, docs, none, small, tmp_path, block, part):
+    from pelagia.llm import katz
+
+    path = f"{tmp_path}/model"
+    katz.train(docs, path, block=block, part=part)
+    key = lambda r: repr((r[0], r[1], round(r[3], 4)))
+    want = sorted(((r.doc_id, r.n_tokens, r.n_known, r.score) for r in katz.score(docs).collect()), key=key)
+    got = sorted(((r.doc_id, r.n_tokens, r.n_known, r.score) for r in katz.score_stored(docs, path).collect()), key=key)
+    assert [r[:3] for r in got] == [r[:3] for r in want]
+    assert np.allclose([r[3] for r in got], [r[3] for r in want], rtol=1e-9)
+    # of every history the probabilities of all known words and of one unknown word add up to 1
+    words = {r.id: r.p for r in katz.stored_words(spark, path).collect()}
+    unknown = 1 - math.fsum(words.values())
+    after = defaultdict(dict)
+    for r in katz.stored_bigrams(spark, path).collect():
+        after[r.h][r.w] = r.p
+    for r in katz.stored_histories(spark, path).collect():
+        left = 1 - math.fsum(words[w] for w in after[r.h])
+        assert math.fsum(after[r.h].values()) + r.alpha * left == pytest.approx(1)
+    assert 0 < unknown < 1 and len(after) > 10
+    assert katz.score_stored(none, path).collect() == []
+    new = spark.createDataFrame([(1, "alphaa never-seen betab"), (2, None), (2, None)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_tokens) for r in katz.score_stored(new, path).collect()) == [(1, 4), (2, 1), (2, 1)]
+
+
+def test_a_model_of_nothing(spark, none, tmp_path):
+    from pelagia.llm import katz
+
+    katz.train(none, f"{tmp_path}/model")
+    new = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    r = katz.score_stored(new, f"{tmp_path}/model").first()
+    assert (r.n_tokens, r.n_known, r.score) == (3, 0, 0.0)
