@@ -5,7 +5,7 @@ contributions (from the top for a positive weight, from the bottom for a negativ
 has read adds to a candidate's score; what it has not is worth at most the list's frontier and at least its far end. So
 every candidate has a lower and an upper bound, and after each step those whose upper bound is below the k-th best lower
 bound are out. Reading stops when so few are left that no outsider can qualify, or when the lists end; the scores of
-those left are then resolved. But for the two ends of each list, whose values bound what is not read, no component is
+those left are then resolved. Queries of a block read together, and each stops by itself. But for the two ends of each list, whose values bound what is not read, no component is
 looked at before its list shows it.
 
 Queries and candidates are cut into blocks; each pair of blocks is a task of its own, whose lists are sorted once for all
@@ -32,48 +32,69 @@ from pelagia.llm.shared import bounded, materialise, table
 
 K, SCALE, QUERY_MOD = 5, 256, 50
 QUERIES, CANDIDATES = 8192, 4096  # rows of a block
-STEPS, FEW = 24, 8  # tests on the way through a list; candidates for each of k that are few enough to resolve
+STEPS, FEW = 24, 8  # parts of a list that are read between tests; candidates for each of k that are few enough to resolve
+TOGETHER = 512  # queries of a block whose bounds are kept at once
+
+
+def depths(n: int, steps: int = STEPS) -> list[int]:
+    """How far lists of n rows are read before each test: more often towards the end, where most queries stop."""
+    step = max(1, -(-n // steps))
+    at = {1, steps // 6, steps // 2, 3 * steps // 4, *range(5 * steps // 6, steps + 1)}
+    return sorted({min(n, step * m) for m in at if m} | {n})
+
+
+def bounds(depth: int, rank: np.ndarray, lists: np.ndarray, x: np.ndarray, up: np.ndarray, down: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lower and upper bounds of every candidate (row) for every query (column), after depth rows of each list.
+
+    up and down: the queries' positive weights, whose lists are read from the top, and negative ones, from the bottom (dims
+    x queries, 0 elsewhere). What is not read counts as the list's far end below, and as its frontier above."""
+    n = len(x)
+    top, bottom = rank >= n - depth, rank < depth
+    lower = np.where(top, x, lists[0]) @ up + np.where(bottom, x, lists[-1]) @ down
+    upper = np.where(top, x, lists[n - depth]) @ up + np.where(bottom, x, lists[depth - 1]) @ down
+    return lower, upper
 
 
 def nra(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int = K, steps: int = STEPS, few: int = FEW) -> list[tuple[int, int, int, int]]:
-    """(query id, candidate id, score, depth read): per query its k best among x, by score and then smaller id."""
+    """(query id, candidate id, score, depth read): per query its k best among x, by score and then smaller id.
+
+    Bounds are of 32 bits, widened by what rounding can hide; the scores of those they leave are exact."""
     out: list[tuple[int, int, int, int]] = []
     if not len(x):
         return out
     order = np.argsort(x, axis=0, kind="stable")
-    lists = np.take_along_axis(x, order, 0)
-    unseen = np.empty(x.shape)
-    for weights, q_id in zip(q, q_ids, strict=True):
-        at, depth = _inside(weights, x_ids != q_id, order, lists, unseen, k, max(1, -(-len(x) // steps)), few * k)
-        scores = x[at] @ weights
-        best = np.lexsort((x_ids[at], -scores))[:k]
-        out += [(int(q_id), int(x_ids[at[i]]), int(scores[i]), depth) for i in best]
+    rank = np.empty(x.shape, np.int32)
+    np.put_along_axis(rank, order, np.arange(len(x), dtype=np.int32)[:, None], 0)
+    x32 = x.astype(np.float32)
+    lists = np.take_along_axis(x32, order, 0)
+    for a in range(0, len(q), TOGETHER):
+        _together(q[a : a + TOGETHER], q_ids[a : a + TOGETHER], x, x_ids, rank, lists, x32, k, steps, few, out)
     return out
 
 
-def _inside(weights: np.ndarray, allowed: np.ndarray, order: np.ndarray, lists: np.ndarray, unseen: np.ndarray, k: int, step: int, few: int) -> tuple[np.ndarray, int]:
-    """The candidates that can be among the k best, and the depth to which the lists were read to know."""
-    n = len(order)
-    up, down = np.flatnonzero(weights > 0), np.flatnonzero(weights < 0)
-    floor = np.where(weights > 0, lists[0], lists[-1]) * weights  # the far end's contribution
-    lower = np.full(n, floor.sum())
-    if allowed.sum() <= max(k, few):
-        return np.flatnonzero(allowed), 0
-    unseen[:] = 1.0
-    for begin in range(0, n, step):
-        end = min(begin + step, n)
-        for dims, rows in ((up, slice(n - end, n - begin)), (down, slice(begin, end))):
-            who = order[rows][:, dims]
-            gain = lists[rows][:, dims] * weights[dims] - floor[dims]
-            lower += np.bincount(who.ravel(), gain.ravel(), n)
-            unseen[who, dims] = 0.0
-        frontier = np.where(weights > 0, lists[n - end], lists[end - 1]) * weights - floor
-        upper = lower + unseen @ frontier
-        least = np.partition(lower[allowed], -k)[-k]
-        inside = np.flatnonzero(allowed & (upper >= least))
-        if len(inside) <= few:
-            break
-    return inside, end
+def _together(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, rank: np.ndarray, lists: np.ndarray, x32: np.ndarray, k: int, steps: int, few: int, out: list) -> None:
+    n, dims = x.shape
+    active = np.arange(len(q))
+    slack = 4.0 * dims * np.finfo(np.float32).eps * (np.abs(x).max(initial=0) * np.abs(q).sum(1)).astype(np.float32)
+    for depth in depths(n, steps):
+        w = q[active].T.astype(np.float32)
+        if dims:
+            lower, upper = bounds(depth, rank, lists, x32, np.maximum(w, 0), np.minimum(w, 0))
+        else:
+            lower = upper = np.zeros((n, len(active)), np.float32)
+        own = x_ids[:, None] == q_ids[active][None]
+        lower[own] = upper[own] = -np.inf
+        least = np.partition(lower, max(0, n - k), axis=0)[max(0, n - k)] - 2 * slack[active]
+        inside = (upper >= least) & ~own
+        ended = (inside.sum(0) <= few * k) | (depth == n)
+        for j in np.flatnonzero(ended):
+            at = np.flatnonzero(inside[:, j])
+            scores = x[at] @ q[active[j]]
+            best = np.lexsort((x_ids[at], -scores))[:k]
+            out += [(int(q_ids[active[j]]), int(x_ids[at[i]]), int(scores[i]), depth) for i in best]
+        active = active[~ended]
+        if not len(active):
+            return
 
 
 def _found(vectors: DataFrame, is_query: Column, vec_id: str, embedding: str, k: int, scale: int) -> DataFrame:

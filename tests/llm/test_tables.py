@@ -60,11 +60,15 @@ def test_nra_stops_early_and_reads_no_more():
     x[:5] = 500
     got = topk.nra(np.ones((1, 6)), np.array([-1]), x, np.arange(1000), 5)
     assert [i for _, i, _, _ in got] == [0, 1, 2, 3, 4] and {d for *_, d in got} == {-(-1000 // topk.STEPS)}
-    allowed, order = np.ones(1000, bool), np.argsort(x, axis=0, kind="stable")
-    lists = np.take_along_axis(x, order, 0)
-    lists[:900] = -9  # what lies deeper than is read does not matter but for the far end
-    inside, depth = topk._inside(np.ones(6), allowed, order, lists, np.empty(x.shape), 5, 42, 40)
-    assert depth == 42 and set(range(5)) <= set(inside.tolist())
+    deep = np.argsort(np.argsort(x, axis=0, kind="stable"), axis=0) < 1000 - 42
+    other = np.where(deep, -9.0, x)  # what lies deeper than is read does not matter but for the far end
+    again = topk.nra(np.ones((1, 6)), np.array([-1]), other, np.arange(1000), 5)
+    assert [i for _, i, _, _ in again] == [0, 1, 2, 3, 4] and {d for *_, d in again} == {42}
+    rank, lists = np.argsort(np.argsort(x, axis=0, kind="stable"), axis=0), np.sort(x, axis=0)
+    for depth in topk.depths(1000):
+        lower, upper = topk.bounds(depth, rank, lists, x, np.ones((6, 1)), np.zeros((6, 1)))
+        assert (lower[:, 0] <= x.sum(1)).all() and (x.sum(1) <= upper[:, 0]).all()
+    assert (lower == upper).all()
 
 
 def test_topk_of_several_lengths(spark):
