@@ -343,3 +343,125 @@ def test_a_model_of_nothing(spark, none, tmp_path):
     new = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     r = katz.score_stored(new, f"{tmp_path}/model").first()
     assert (r.n_tokens, r.n_known, r.score) == (3, 0, 0.0)
+
+
+# --- op4 -----------------------------------------------------------------------------------------------------------
+
+
+def language_brute(rows, k=4, rounds=15, margin=0.8):
+    """Every step in plain Python: hashed n-grams, TF-IDF, spherical k-means, cosines and rejection."""
+
+    def grams(text):
+        if not text or not any(c.isalpha() for c in text):
+            return None
+        chars, out = [ord(c) if ord(c) >= 65 else 32 for c in f" {text.lower()} "], Counter()
+        mixed = [0] * len(chars)
+        for n in (1, 2, 3):
+            mixed = [(m + c) * 0x9E3779B97F4A7C15 % 2**64 for m, c in zip(mixed, chars[n - 1 :])]
+            out.update((m ^ n) >> 52 for m in mixed)
+        return out
+
+    def unit(v):
+        norm = math.sqrt(math.fsum(x * x for x in v.values()))
+        return {i: x / norm for i, x in v.items()}
+
+    def dot(a, b):
+        return math.fsum(x * b[i] for i, x in a.items() if i in b)
+
+    def mean(vs):
+        out = defaultdict(float)
+        for v in vs:
+            for i, x in v.items():
+                out[i] += x / len(vs)
+        return unit(out)
+
+    learned = sorted(((x, t) for i, t, x in rows if t is not None and x is not None and zlib.crc32(("" if i is None else str(i)).encode()) % 3 != 1), key=lambda r: r[0])
+    counts = [(x, c) for x, c in ((x, grams(t)) for x, t in learned) if c is not None]
+    df = Counter(i for _, c in counts for i in c)
+    idf = lambda i: math.log((1 + len(counts)) / (1 + df[i])) + 1
+    vector = lambda c: unit({i: math.log1p(n) * idf(i) for i, n in c.items()})
+    of = defaultdict(list)
+    for x, c in counts:
+        of[x].append((c, vector(c)))
+    cents = []
+    for x in sorted(of):
+        m = [v for _, v in of[x]]
+        middle = mean(m)
+        at = [max(range(len(m)), key=lambda i: dot(m[i], middle))]
+        while len(at) < min(k, len(m)):
+            at.append(min(range(len(m)), key=lambda i: max(dot(m[i], m[j]) for j in at)))
+        c = [m[i] for i in at]
+        for _ in range(rounds):
+            near = [max(range(len(c)), key=lambda j: dot(v, c[j])) for v in m]
+            c = [mean([v for v, j in zip(m, near) if j == i]) if i in near else c[i] for i in range(len(c))]
+        cents += [(x, v) for v in c]
+    size = lambda c: min(int(math.log2(sum(c.values()) + 1)), 20)
+    by_size = defaultdict(list)
+    for x in of:
+        for c, v in of[x]:
+            by_size[size(c)].append(max(dot(v, w) for _, w in cents))
+
+    def quantile(v):
+        v, at = sorted(v), 0.02 * (len(v) - 1)
+        return v[int(at)] + (v[min(int(at) + 1, len(v) - 1)] - v[int(at)]) * (at - int(at))
+
+    low = [quantile(by_size[s]) if s in by_size else None for s in range(21)]
+    for s in range(1, 21):
+        low[s] = low[s - 1] if low[s] is None else low[s]
+    for s in range(19, -1, -1):
+        low[s] = low[s + 1] if low[s] is None else low[s]
+    least = [min(low[s:]) * margin for s in range(21)]
+    out = []
+    for i, t, _ in rows:
+        c = grams(t)
+        if c is None:
+            out.append((i, "und", 0.0, True))
+            continue
+        score, x = max(((dot(vector(c), w), x) for x, w in cents), key=lambda r: r[0])
+        out.append((i, x, min(max(score, 0), 1), score < least[size(c)]))
+    return out
+
+
+def test_language_against_brute_force(spark):
+    from pelagia.llm import language_id
+
+    r = random.Random(6)
+    letters = {"aa": "abcdeilmno", "bb": "xyzwqkuteö", "cc": "漢字文本語言学習日本"}
+    word = lambda x: "".join(r.choice(letters[x]) for _ in range(r.randint(2, 7)))
+    rows = [(i, " ".join(word(x) for _ in range(r.randint(3, 60))) + r.choice(["", ".", " 12!"]), x) for i, x in enumerate(r.choice(sorted(letters)) for _ in range(90))]
+    rows += [(200, None, "aa"), (201, "", "bb"), (202, "123 !", "cc"), (203, rows[0][1], None), (None, rows[1][1], "aa"), (4, rows[4][1], rows[4][2]), (204, "ξενη γλωσσα " * 20, None)]
+    df = spark.createDataFrame([(*x, "p", True) for x in rows], "doc_id long, text string, lang string, lang_pred string, rejected boolean").repartition(4)
+    out = language_id.identify(df, language_id.train(df), keep=["doc_id"]).select("row.doc_id", "lang_pred", "score", "rejected").collect()
+    key = lambda x: (repr(x[0]), x[1], round(x[2], 3))
+    got, want = sorted((tuple(x) for x in out), key=key), sorted(language_brute(rows), key=key)
+    assert [x[:2] for x in got] == [x[:2] for x in want]
+    assert np.allclose([x[2] for x in got], [x[2] for x in want], atol=1e-4)
+    assert sum(a[3] != b[3] for a, b in zip(got, want)) == 0 and {x[3] for x in got} == {True, False}
+
+
+# --- op7 -----------------------------------------------------------------------------------------------------------
+
+
+def test_a_packing_that_needs_the_search(spark):
+    """Best fit leaves a third bin open; the search exchanges pieces until it is empty."""
+    import public_tokenizers
+
+    from pelagia.llm import packing
+
+    lengths = [5, 4, 4, 3, 2, 2] * 7
+    first = packing.best_fit(Counter(lengths), 10)
+    least = -(-sum(lengths) // 10)
+    assert sum(first.values()) > least
+    rows = [(i, " ".join("a" for _ in range(n - 1))) for i, n in enumerate(lengths)]
+    out = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), public_tokenizers.path("byte_bpe_50k.json"), size=10).collect()
+    assert sorted(r.length for r in out) == sorted(lengths)
+    bins = defaultdict(list)
+    for r in out:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for places in bins.values():
+        ends = [0]
+        for offset, length in sorted(places):
+            assert offset == ends[-1]
+            ends.append(offset + length)
+        assert ends[-1] <= 10
+    assert len(bins) == least
