@@ -55,14 +55,16 @@ def run(df: DataFrame, seed: int = 42, todo: DataFrame | None = None, methods: l
     if todo is not None:
         by = todo.groupBy("image_id", "noise_type").agg(F.collect_set("denoising_method").alias("wanted"))
         noisy = noisy.join(by, ["image_id", "noise_type"])
-    done = noisy.withColumn("f", F.explode(images.apply_filters(F.col("noisy"), methods))).withColumn("denoising_method", F.col("f.method"))
+    lesion = F.col(mask) if mask else None
+    made = images.apply_filters(F.col("noisy"), methods) if keep_image else images.filter_metrics(F.col("image"), F.col("noisy"), methods, lesion, radius)
+    done = noisy.withColumn("f", F.explode(made)).withColumn("denoising_method", F.col("f.method"))
     if todo is not None:
         done = done.filter(F.array_contains("wanted", F.col("denoising_method")))
     rest = [c for c in df.columns if c not in ("image", "image_id", mask)]
-    of = images.metrics(F.col("image"), F.col("f.image"), mask=F.col(mask) if mask else None, radius=radius)
-    kept = [F.col("f.image").alias("denoised")] if keep_image else []
-    out = done.select(*rest, *KEYS, *kept, of.alias("m"))
-    return out.select(*rest, *KEYS, *[c for c in ("denoised",) if keep_image], *[f"m.{m}" for m in images.METRICS])
+    if not keep_image:
+        return done.select(*rest, *KEYS, *[F.col(f"f.{m}").alias(m) for m in images.METRICS])
+    out = done.select(*rest, *KEYS, F.col("f.image").alias("denoised"), images.metrics(F.col("image"), F.col("f.image"), mask=lesion, radius=radius).alias("m"))
+    return out.select(*rest, *KEYS, "denoised", *[f"m.{m}" for m in images.METRICS])
 
 
 def summary(metrics: DataFrame) -> DataFrame:

@@ -176,6 +176,37 @@ def metrics(clean: Column, other: Column, names: list[str] | None = None, mask:
     return F.pandas_udf(three, schema)(clean, other, mask)
 
 
+def filter_metrics(clean: Column, noisy: Column, filters: list[str] | None = None, mask: Column | None = None, radius: int = 15) -> Column:
+    """array<struct<method, METRICS>>: filters on a noisy image and the metrics of each result against the clean one, in one
+    pass; no filtered image leaves the worker."""
+    names = filters or list(FILTERS)
+
+    def run(a: pd.DataFrame, b: pd.DataFrame, m: pd.DataFrame | None) -> pd.Series:
+        out: list = [[] for _ in range(len(a))]
+        for at, x in stacks(a):
+            y = np.stack([np.asarray(b["data"].iloc[i], float) for i in at]).reshape(x.shape)
+            masks = None if m is None else [_mask(m.iloc[i], x.shape[1:]) for i in at]
+            for name in names:
+                kernel, params = FILTERS[name]
+                found = metric_values(x, kernel(y, **params), METRICS, masks, radius)
+                for j, i in enumerate(at):
+                    out[i].append({"method": name} | {k: float(found[k][j]) for k in METRICS})
+        return pd.Series(out)
+
+    schema = f"array<struct<method: string, {', '.join(f'{k}: double' for k in METRICS)}>>"
+    if mask is None:
+
+        def two(a: pd.DataFrame, b: pd.DataFrame) -> pd.Series:
+            return run(a, b, None)
+
+        return F.pandas_udf(two, schema)(clean, noisy)
+
+    def three(a: pd.DataFrame, b: pd.DataFrame, m: pd.DataFrame) -> pd.Series:
+        return run(a, b, m)
+
+    return F.pandas_udf(three, schema)(clean, noisy, mask)
+
+
 def _mask(row: pd.Series, shape: tuple[int, int]) -> np.ndarray | None:
     if row["data"] is None:
         return None
