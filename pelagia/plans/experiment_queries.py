@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pelagia import registry
 from pelagia.operators import experiment, noise
 from pelagia.operators import images as im
-from pelagia.plans.pixel_queries import CLIP, MIXED, NORMAL, POISSON
+from pelagia.plans.pixel_queries import NOISY, POISSON
 from pelagia.plans.standins import PX, images
 from pelagia.registry import query
 
@@ -39,8 +39,7 @@ def _metrics_sql() -> str:
     """An image's id goes through noise (times 5) and filter (times their number) and back."""
     before = PX.rpartition(",\nns as")[0]
     n, m = len(noise.MODELS), len(METHODS)
-    values = {"gaussian": ("us", CLIP.format(f"v + 0.1::double * {NORMAL}")), "salt_pepper": ("us", "case when u < 0.02 then 1.0::double when u > 0.98 then 0.0::double else v end"), "speckle": ("us", CLIP.format(f"v + v * 0.2::double * {NORMAL}")), "poisson": ("ps", "v"), "mixed_poisson_gaussian": ("ps", MIXED)}
-    noisy = " union all ".join(f"select image_id * {n} + {i} as image_id, pos, y, x, {values[k][1]} as v from {values[k][0]}" for i, k in enumerate(noise.MODELS))
+    noisy = " union all ".join(f"select image_id * {n} + {i} as image_id, pos, y, x, {NOISY[k][1]} as v from {NOISY[k][0]}" for i, k in enumerate(noise.MODELS))
     filtered = ", ".join(f"f{i} as materialized ({_unrounded(f'denoise_{k}')})" for i, k in enumerate(METHODS))
     made = " union all ".join(f"select image_id * {m} + {i} as image_id, pos, (pos // 8)::int as y, (pos % 8)::int as x, v from f{i}" for i in range(m))
     measured = ", ".join(f"m_{short} as materialized ({_nested(f'metric_{short}')})" for short in _SHORT.values())

@@ -321,7 +321,13 @@ def stage_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("name", "noise_type", "denoising_method", "hardware_architecture", "status", F.round(s["mean"], 6).alias("mean"), F.round(s["std"], 6).alias("std"))
 
 
-@query("noise_validation")
+#: Every noise model's pixels: the table they are made from, and their value.
+NOISY = {"gaussian": ("us", CLIP.format(f"v + 0.1::double * {NORMAL}")), "salt_pepper": ("us", "case when u < 0.02 then 1.0::double when u > 0.98 then 0.0::double else v end"), "speckle": ("us", CLIP.format(f"v + v * 0.2::double * {NORMAL}")), "poisson": ("ps", "v"), "mixed_poisson_gaussian": ("ps", MIXED)}
+
+
+@query("noise_validation", f"""with {PX}, {POISSON}, z as ({' union all '.join(f"select image_id, pos, '{k}' as k, {value} as v from {source}" for k, (source, value) in NOISY.items())}),
+r as (select z.image_id, k, min(z.v) >= 0 and max(z.v) <= 1 and avg((px.v - z.v) * (px.v - z.v)) >= 1e-6 and (k <> 'salt_pepper' or bool_or(z.v = 0 or z.v = 1)) as ok from z join px using (image_id, pos) group by 1, 2)
+select image_id::varchar as name, '{{' || string_agg('"' || k || '":' || ok::varchar, ',' order by k) || '}}' as models, bool_and(ok) as passed from r group by image_id""")
 def noise_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether every model's image is realistic."""
     from pelagia.operators import stages
