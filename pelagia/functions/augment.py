@@ -72,6 +72,12 @@ def normalize(image: Column, mean: float = 0.5, std: float = 0.5) -> Column:
     return _with(image, F.transform(image["data"], lambda v: (v - mean) / std))
 
 
+def repeated(image: Column, channels: int = 3) -> Column:
+    """struct<height, width, channels, data>: the image once for each channel, one after the other."""
+    data = F.flatten(F.array_repeat(image["data"], channels))
+    return F.when(image["data"].isNotNull(), F.struct(image["height"].alias("height"), image["width"].alias("width"), F.lit(channels).alias("channels"), data.alias("data")))
+
+
 def train(image: Column, key: Column, seed: int = 42, epoch: Column | int = 0, degrees: float = 15.0, bilinear: bool = False) -> Column:
     """Flips, rotation and normalisation of an image in [0, 1], drawn for its key and the epoch."""
     flipped = flip(image, draw(key, seed, epoch, "across") < 0.5, draw(key, seed, epoch, "down") < 0.5)
