@@ -52,7 +52,14 @@ from w join px a on a.y in (y0, y0 + 1) and a.x in (x0, x0 + 1) group by 1, 2"""
 _pixel_query("corner_suppress", lambda df: points.suppress_corner(df["image"]), _select("case when x * 3 + y * 3 <= 9 then 0 else v end"))
 _pixel_query("unsharp_mask", _kernel("unsharp_mask"), f"with {PX}, {near('n', 'px', 5, 'reflect')} select image_id, pos, round(least(greatest(any_value(c) + (any_value(c) - sum(v * exp(-(dy * dy + dx * dx) / 2.0)) / sum(exp(-(dy * dy + dx * dx) / 2.0))), 0), 1), 6) as v from n group by 1, 2")
 _pixel_query("laplacian_sharpen", _kernel("laplacian_sharpen"), f"with {PX}, {near('n', 'px', 3, 'reflect')} select image_id, pos, round(least(greatest(any_value(c) + 0.5 * sum(v * case when dy = 0 and dx = 0 then 4 when dy = 0 or dx = 0 then -1 else 0 end), 0), 1), 6) as v from n group by 1, 2")
-_pixel_query("clahe", _kernel("clahe", tiles=(2, 2)), None)
+#: Tiles of 16 pixels: histograms are cut at 1, and what is cut off goes to evenly spaced values.
+_pixel_query("clahe", _kernel("clahe", tiles=(2, 2)), f"""with {PX}, q as (select image_id, pos, y, x, {Q}::int as q from px),
+h as (select image_id, y // 4 as ty, x // 4 as tx, q, count(*) as n from q group by all), o as (select image_id, ty, tx, sum(n - 1)::int as rest from h group by all),
+c as (select q.image_id, q.pos, any_value(q.y) as y, any_value(q.x) as x, any_value(q.q) as q, h.ty, h.tx, count(*) filter (where h.q <= q.q) as below from q join h using (image_id) group by 1, 2, h.ty, h.tx),
+maps as (select c.image_id, pos, y, x, c.ty, c.tx, least(greatest(round_even((below + case when rest = 0 then 0 else least(q // greatest(256 // rest, 1) + 1, rest) end) * (255 / 16.0::double), 0), 0), 255) as g from c join o using (image_id, ty, tx)),
+w as (select *, (y / 4.0::double - 0.5) - floor(y / 4.0::double - 0.5) as ay, (x / 4.0::double - 0.5) - floor(x / 4.0::double - 0.5) as ax, floor(y / 4.0::double - 0.5) as y0, floor(x / 4.0::double - 0.5) as x0 from maps),
+v as (select image_id, pos, sum(g * ((case when ty = greatest(y0, 0) then 1 - ay else 0 end) + (case when ty = least(y0 + 1, 1) then ay else 0 end)) * ((case when tx = greatest(x0, 0) then 1 - ax else 0 end) + (case when tx = least(x0 + 1, 1) then ax else 0 end))) as v from w group by 1, 2)
+select image_id, pos, round(round_even(v, 0) / 255, 6) as v from v""")
 _pixel_query("segment_breast", _kernel("segment_breast"), None)
 
 
