@@ -83,7 +83,7 @@ def initial(whole: DataFrame, k: int = K, salt: str = SALT) -> np.ndarray:
     """The k vectors whose hashes are smallest, in that order: each task keeps k rows, the driver k."""
     h = F.sha2(F.concat(F.lit(salt), F.coalesce(F.col("vec_id").cast("string"), F.lit(""))), 256)
     first = whole.select(h.alias("h"), "e").orderBy("h", "e").limit(k).collect()
-    return np.array([r["e"] for r in first], np.int64).reshape(len(first), -1)
+    return np.array([r["e"] for r in first], np.int64).reshape(len(first), -1 if first else 0)
 
 
 def moved(whole: DataFrame, centroids: np.ndarray) -> np.ndarray:
@@ -122,6 +122,8 @@ def clusters(vectors: DataFrame, k: int = K, rounds: int = ROUNDS, vec_id: str =
     def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         annuli = Annuli(centroids)
         for b in batches:
+            if not b.num_rows:
+                continue
             at, d = annuli.nearest(_matrix(b, dims))
             yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(at.astype(np.int32)), pa.array(d)], names=["vec_id", "cluster", "distance"])
 
