@@ -1,7 +1,7 @@
 """Centroid clustering of integer vectors: Lloyd's rounds whose nearest-centroid step is an annulus search.
 
 A centroid at distance d from a vector has a norm that differs from the vector's by at most d. So the centroids are sorted
-by norm; the one whose norm is closest gives every vector an upper bound of its least distance; a binary search finds the
+by norm; a few whose norms are closest give every vector an upper bound of its least distance; a binary search finds the
 centroids in the annulus of that width, and only those are compared, in exact integers. The annulus is widened by what
 rounding of norms can hide, so a centroid on its edge (a tie) is always inside.
 
@@ -30,6 +30,8 @@ from pelagia.llm.shared import bounded, drop, materialise, table
 
 K, ROUNDS, DIMS, SCALE, SALT = 40, 5, 64, 256, "2:"
 LIMIT = 1 << 27
+#: Centroids around a vector's place in the order of norms that give it its upper bound.
+PROBES = (-2, -1, 0, 1)
 
 
 class Annuli:
@@ -44,11 +46,11 @@ class Annuli:
     def ranges(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each vector the first and the last + 1 place, in the order of norms, of the centroids in its annulus."""
         norm = np.sqrt((x.astype(np.float64) ** 2).sum(1))
-        right = np.clip(np.searchsorted(self.norms, norm), 1, max(1, len(self.norms) - 1))
-        left = right - 1
-        right = np.minimum(right, len(self.norms) - 1)
-        first = np.where(norm - self.norms[left] <= self.norms[right] - norm, left, right)
-        bound = np.sqrt(((x - self.centroids[self.order[first]]) ** 2).sum(1).astype(np.float64))
+        place = np.searchsorted(self.norms, norm)
+        bound = np.full(len(x), np.inf)
+        for probe in PROBES:
+            near = self.centroids[self.order[np.clip(place + probe, 0, len(self.norms) - 1)]]
+            bound = np.minimum(bound, np.sqrt(((x - near) ** 2).sum(1).astype(np.float64)))
         width = bound + 1e-9 * (bound + norm + self.norms[-1]) + 1e-9
         return np.searchsorted(self.norms, norm - width, "left"), np.searchsorted(self.norms, norm + width, "right")
 

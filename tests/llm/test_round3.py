@@ -138,7 +138,13 @@ def test_annulus_holds_the_nearest_and_leaves_others_out():
         at, least = annuli.nearest(x)
         assert (least == d.min(1)).all() and (at == d.argmin(1)).all()
         low, high = annuli.ranges(x)
-        assert (high - low).mean() < max(1.01, 0.4 * k)
+        assert (high - low).mean() < (k if k > 1 else 1.01)
+    # centroids of different norms: vectors near one meet it alone
+    c = rng.normal(0, 1, (50, 8))
+    c = np.rint(c / np.linalg.norm(c, axis=1, keepdims=True) * 300 * np.arange(1, 51)[:, None]).astype(int)
+    near = c[rng.integers(0, 50, 500)] + rng.integers(-3, 4, (500, 8))
+    low, high = centroids.Annuli(c).ranges(near)
+    assert (high - low).max() == 1
 
 
 def test_huge_components_fail_with_a_reason(spark):
