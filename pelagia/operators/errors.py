@@ -99,12 +99,13 @@ def step(df: DataFrame, stage: str, kernel: Callable | str, image: str = "image"
     return tried.withColumns({image: F.col("_r.value"), "error": new}).drop("_r")
 
 
-def settle(df: DataFrame, path: str, image: str = "image") -> tuple[DataFrame, DataFrame, dict[str, int]]:
+def settle(df: DataFrame, path: str, image: str | None = "image") -> tuple[DataFrame, DataFrame, dict[str, int]]:
     """Write a table on the channel at path: its good rows, its quarantine (without images) and how many rows each has."""
     seen, spark = Observation(), df.sparkSession
     bad = F.col("error").isNotNull()
-    rows = df.withColumns({image: F.when(~bad, F.col(image)), "_ok": ~bad})
+    cleared = {image: F.when(~bad, F.col(image))} if image else {}
+    rows = df.withColumns(cleared | {"_ok": ~bad})
     rows = rows.observe(seen, F.count_if(~bad).alias("succeeded"), F.count_if(bad).alias("failed"))
     rows.write.mode("overwrite").partitionBy("_ok").parquet(path)
     written = spark.read.schema(rows.schema).parquet(path)
-    return written.filter("_ok").drop("_ok", "error"), written.filter("not _ok").drop("_ok", image), seen.get
+    return written.filter("_ok").drop("_ok", "error"), written.filter("not _ok").drop("_ok", *[c for c in (image,) if c]), seen.get

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pelagia.operators import images, noise, store
+from pelagia.operators import errors, images, noise, store
 from pelagia.operators.catalog import grouped_statistics
 from pelagia.sources.sinks import write_images
 
@@ -35,7 +35,7 @@ def remaining(wanted: DataFrame, done: DataFrame, files: DataFrame | None = None
     return wanted.join(done.select(*KEYS).distinct(), KEYS, "left_anti")
 
 
-def run(df: DataFrame, seed: int = 42, todo: DataFrame | None = None, methods: list[str] | None = None, noise_types: list[str] | None = None, noisy_path: str | None = None, keep_image: bool = False, mask: str | None = None, radius: int = 15) -> DataFrame:
+def run(df: DataFrame, seed: int = 42, todo: DataFrame | None = None, methods: list[str] | None = None, noise_types: list[str] | None = None, noisy_path: str | None = None, keep_image: bool = False, mask: str | None = None, radius: int = 15, isolate: bool = False) -> DataFrame:
     """df (image_id, image in [0, 1], other columns): a row with the seven metrics for each key (each in todo, if given).
 
     An image makes its 40 results in one task. Nothing is shuffled unless todo is joined or the table has fewer
@@ -62,7 +62,14 @@ def run(df: DataFrame, seed: int = 42, todo: DataFrame | None = None, methods: l
         done = done.filter(F.array_contains("wanted", F.col("denoising_method")))
     rest = [c for c in df.columns if c not in ("image", "image_id", mask)]
     if not keep_image:
-        return done.select(*rest, *KEYS, *[F.col(f"f.{m}").alias(m) for m in images.METRICS])
+        of = [F.col(f"f.{m}").alias(m) for m in images.METRICS]
+        if isolate:
+            return done.select(*rest, *KEYS, *of, F.col("f.error").alias("error"))
+        reason = F.concat(F.col("denoising_method"), F.lit(" on "), F.col("image_id").cast("string"), F.lit(": "), F.col("f.error"))
+        first = F.when(F.col("f.error").isNotNull(), F.raise_error(reason).cast("double")).otherwise(F.col(f"f.{images.METRICS[0]}"))
+        return done.select(*rest, *KEYS, first.alias(images.METRICS[0]), *of[1:])
+    if isolate:
+        raise ValueError("errors are isolated where no image is kept")
     out = done.select(*rest, *KEYS, F.col("f.image").alias("denoised"), images.metrics(F.col("image"), F.col("f.image"), mask=lesion, radius=radius).alias("m"))
     return out.select(*rest, *KEYS, "denoised", *[f"m.{m}" for m in images.METRICS])
 
@@ -72,6 +79,12 @@ def summary(metrics: DataFrame) -> DataFrame:
     return grouped_statistics(metrics, ["noise_type", "denoising_method"], images.METRICS)
 
 
+def isolated(df: DataFrame, path: str, **how) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """run() with errors set aside: the good results, the quarantine and how many of each there are, from one table written
+    at path (errors.settle)."""
+    return errors.settle(run(df, isolate=True, **how), path, None)
+
+
 BY = ["noise_type", "denoising_method", "batch"]
 
 

@@ -177,23 +177,39 @@ def metrics(clean: Column, other: Column, names: list[str] | None = None, mask:
 
 
 def filter_metrics(clean: Column, noisy: Column, filters: list[str] | None = None, mask: Column | None = None, radius: int = 15) -> Column:
-    """array<struct<method, METRICS>>: filters on a noisy image and the metrics of each result against the clean one, in one
-    pass; no filtered image leaves the worker."""
+    """array<struct<method, error, METRICS>>: filters on a noisy image and the metrics of each result against the clean one,
+    in one pass; no filtered image leaves the worker. What raises on a stack is tried image by image; an image on which a
+    filter or its metrics raise has the reason as that method's error, and null metrics."""
     names = filters or list(FILTERS)
 
     def run(a: pd.DataFrame, b: pd.DataFrame, m: pd.DataFrame | None) -> pd.Series:
         out: list = [[] for _ in range(len(a))]
+
+        def tried(name: str, at: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+            kernel, params = FILTERS[name]
+            try:
+                masks = None if m is None else [_mask(m.iloc[i], x.shape[1:]) for i in at]
+                found = metric_values(x, kernel(y, **params), METRICS, masks, radius)
+                rows = [{"error": None} | {k: float(found[k][j]) for k in METRICS} for j in range(len(at))]
+            except Exception as e:  # whatever a kernel raises is an image's reason
+                if len(at) > 1:
+                    for j in range(len(at)):
+                        tried(name, at[j : j + 1], x[j : j + 1], y[j : j + 1])
+                    return
+                rows = [{"error": f"{type(e).__name__}: {e}"[:200]} | dict.fromkeys(METRICS)]
+            for i, row in zip(at, rows, strict=True):
+                out[i].append({"method": name} | row)
+
         for at, x in stacks(a):
+            sizes = [b["data"].iloc[i] is not None and len(b["data"].iloc[i]) == x[0].size for i in at]
+            if not all(sizes):
+                raise ValueError("images differ in shape")
             y = np.stack([np.asarray(b["data"].iloc[i], float) for i in at]).reshape(x.shape)
-            masks = None if m is None else [_mask(m.iloc[i], x.shape[1:]) for i in at]
             for name in names:
-                kernel, params = FILTERS[name]
-                found = metric_values(x, kernel(y, **params), METRICS, masks, radius)
-                for j, i in enumerate(at):
-                    out[i].append({"method": name} | {k: float(found[k][j]) for k in METRICS})
+                tried(name, at, x, y)
         return pd.Series(out)
 
-    schema = f"array<struct<method: string, {', '.join(f'{k}: double' for k in METRICS)}>>"
+    schema = f"array<struct<method: string, error: string, {', '.join(f'{k}: double' for k in METRICS)}>>"
     if mask is None:
 
         def two(a: pd.DataFrame, b: pd.DataFrame) -> pd.Series:

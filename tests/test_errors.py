@@ -81,3 +81,26 @@ def test_awkward_tables(spark, tmp_path):
     assert errors.reason(ValueError("x" * 500)) == ("ValueError: " + "x" * 500)[:200]
     with pytest.raises(KeyError):
         errors.step(frame(spark), "s", "no such kernel")
+
+
+def test_a_failed_result_of_the_experiment_costs_itself_alone(spark, monkeypatch, tmp_path):
+    from pelagia.operators import experiment
+
+    kernel, params = images.FILTERS["median"]
+
+    def picky(x, **how):
+        if (x[:, 0, 0] > 0.4).any():
+            raise ArithmeticError("bright corner")
+        return kernel(x, **how)
+
+    monkeypatch.setitem(images.FILTERS, "kuan", (picky, params))
+    data = F.transform("image.data", lambda v, i: F.when((i == 0) & (F.col("name") == "i4"), 1.0).when(i == 0, 0.1).otherwise(v))
+    df = frame(spark).drop("error").select(F.col("name").alias("image_id"), pack(data, 8, 8).alias("image")).coalesce(1)
+    good, bad, counts = experiment.isolated(df, f"{tmp_path}/t", methods=["median", "kuan"], noise_types=["speckle"])
+    assert counts == {"succeeded": 23, "failed": 1} and good.count() == 23
+    r = bad.first()
+    assert (r.image_id, r.denoising_method, r.error) == ("i4", "kuan", "ArithmeticError: bright corner")
+    plain = {(r.image_id, r.denoising_method): r.MSE for r in experiment.run(df, methods=["median"], noise_types=["speckle"]).collect()}
+    assert all(plain[r.image_id, "median"] == pytest.approx(r.MSE) for r in good.filter("denoising_method = 'median'").collect())
+    with pytest.raises(Exception, match="kuan on i4: ArithmeticError: bright corner"):
+        experiment.run(df, methods=["kuan"], noise_types=["speckle"]).collect()
