@@ -13,6 +13,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
 
     Alternating large-star and small-star steps: each sends every neighbour to the smallest one, by an aggregation
     and an equi-join, and is written to the shared folder. Ends when a round changes nothing; raises after ``rounds``.
+    Links with a null end and links of a node to itself are left out, repeated ones count once, no links give no rows.
     """
     spark = links.sparkSession
     a, b = F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")

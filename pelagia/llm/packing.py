@@ -8,7 +8,8 @@ few thousand kinds of bins with a multiplicity; pieces find their places by thei
 
 Defined cases: null text is empty and packs as its end token alone; added tokens of the vocabulary's file that stand in a
 text are tokens, as in ``tokenizers``; repeated rows are packed once each; null ids are
-kept; an empty table gives an empty result; columns other than the id and the text are not read.
+kept; an empty table gives an empty result; the ids of a text of any length are held in one task; columns other than the id and
+the text are not read.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ full digests confirm a match, and the longest rule wins (of equal lengths, block
 once. All steps are DataFrame expressions.
 
 Defined cases: null URLs and those without ``://`` have an empty host and path and get the default verdict; hosts
-compare in ASCII lower case; repeated rows get repeated results; no rules or an empty table are allowed; columns other
+compare in ASCII lower case; repeated rows get repeated results; a URL of any length gives
+only as many expressions as rules have lengths; no rules or an empty table are allowed; columns other
 than the id and the URL are not read.
 """
 
