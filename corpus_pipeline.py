@@ -1,4 +1,4 @@
-"""The corpus pipeline: quality rules, language ID, near-dedup by Jaccard similarity, PII, best-fit packing.
+"""The corpus pipeline: quality rules, language ID, near-dedup by SimHash and Jaccard similarity, PII, best-fit packing.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
 one's docs. All but the last return the columns of documents. Null texts and ids, repeated rows, empty tables and extra

@@ -315,9 +315,36 @@ def equals(prints: DataFrame) -> DataFrame:
     return prints.groupBy("fp").agg(F.any_value("n").alias("n"), F.min("id").alias("id"), F.count("*").alias("copies"))
 
 
-def links(prints: DataFrame, texts: DataFrame, shingle: int, similarity: str, hot: int = HOT, rows: int = ROWS) -> DataFrame:
+def fetched(wanted: DataFrame, texts: DataFrame, shingle: int, *more: str) -> DataFrame:
+    """fp, more and the set of every row of wanted (fp, key, more), from texts (key, text)."""
+    found = texts.join(F.broadcast(wanted) if wanted.count() <= FETCH else wanted, "key").dropDuplicates(["fp"])
+    udf = F.pandas_udf(lambda x: pd.Series([shingle_set(v, shingle) for v in x]), "array<long>")
+    return found.select("fp", *more, udf(F.col("text")).alias("set"))
+
+
+def confirmed(pairs: DataFrame, prints: DataFrame, texts: DataFrame, shingle: int, similarity: str, rows: int = ROWS) -> DataFrame:
+    """Those of the pairs (a, b) of nodes whose sets are similar. A set b of many pairs is there once for each ``rows`` of them."""
+    t, spark = Fraction(similarity), prints.sparkSession
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    wanted, wanted_at = materialise(prints.groupBy("fp").agg(F.min("key").alias("key")).join(needed, "fp"), "wanted")
+    sets, sets_at = materialise(fetched(wanted, texts, shingle), "sets")
+    parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / rows).cast("int").alias("parts"))
+    dealt = pairs.join(parts, "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int"))
+    refs = sets.select(F.col("fp").alias("b"), F.col("set").alias("y")).join(parts, "b").select("b", "y", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    met = dealt.join(sets.select(F.col("fp").alias("a"), F.col("set").alias("x")), "a").join(refs, ["b", "part"])
+    both = F.size(F.array_intersect("x", "y"))
+    good = met.filter(both * (t.denominator + t.numerator) >= (F.size("x") + F.size("y")) * t.numerator).select("a", "b")
+    good, _ = materialise(good, "confirmed")
+    drop(spark, wanted_at, sets_at)
+    return good
+
+
+def links(prints: DataFrame, texts: DataFrame, shingle: int, similarity: str, hot: int = HOT, rows: int = ROWS, *, known: DataFrame | None = None) -> DataFrame:
     """(a, b, links): rows that connect all similar sets, transitively; the sum of a node's links is the number of documents
-    of other sets that it links to. prints: (key, fp, n, prefix, sketch), a row for each document; texts: (key, text)."""
+    of other sets that it links to. prints: (key, fp, n, prefix, sketch), a row for each document; texts: (key, text).
+
+    known: (fp, root) of nodes that are connected already. A group that lies in one root with all its visitors is left out:
+    its rows could connect nothing more. The counts of links are then incomplete, the components are not."""
     t, spark = Fraction(similarity), prints.sparkSession
     any_ = [F.any_value(c).alias(c) for c in ("n", "prefix", "sketch")]
     nodes = prints.filter("n > 0").groupBy("fp").agg(*any_, F.min("key").alias("key"), F.count("*").alias("copies"))
@@ -368,11 +395,16 @@ def links(prints: DataFrame, texts: DataFrame, shingle: int, similarity: str, ho
 
     # 3: sets of groups and visitors, as differences from the group's reference, which is there once for each of its blocks
     several, several_at = materialise(grouped.filter("size > 1").select("fp", "n", "g", "size", F.lit(True).alias("member")).unionByName(visits), "several")
+    if known is not None:
+        placed_in = several.select("g", "fp").unionByName(several.select("g", F.col("g").alias("fp")).distinct()).join(known, "fp", "left")
+        root = F.coalesce("root", "fp")
+        unsettled = placed_in.groupBy("g").agg(F.min(root).alias("least"), F.max(root).alias("most")).filter("least <> most").select("g")
+        several, open_at = materialise(several.join(unsettled, "g", "left_semi"), "open")
+        drop(spark, several_at)
+        several_at = open_at
     needed = several.select("fp").unionByName(several.select(F.col("g").alias("fp"))).distinct()
     wanted, wanted_at = materialise(nodes.select("fp", "n", "copies", "key").join(needed, "fp"), "wanted")
-    fetched = texts.join(F.broadcast(wanted) if wanted.count() <= FETCH else wanted, "key").dropDuplicates(["fp"])
-    udf = F.pandas_udf(lambda x: pd.Series([shingle_set(v, shingle) for v in x]), "array<long>")
-    sets, sets_at = materialise(fetched.select("fp", "copies", udf(F.col("text")).alias("set")), "sets")
+    sets, sets_at = materialise(fetched(wanted, texts, shingle, "copies"), "sets")
     blocks = several.groupBy("g").agg(F.greatest(F.ceil(F.count("*") / rows), F.ceil(F.sum(4 * F.col("n") + 64) / BYTES)).cast("int").alias("blocks"))
     meets = several.join(blocks, "g").withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")).join(sets, "fp")
     refs = sets.select(F.col("fp").alias("g"), F.col("set").alias("reference")).join(blocks, "g").select("g", "reference", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("mine"))

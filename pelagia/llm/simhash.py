@@ -152,24 +152,46 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     return prints.join(_rooted(nodes, links(nodes.select("fp"), radius)), "fp").select("row", "fp", "component_id")
 
 
+def near_sets(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(a, b): pairs of sets (column ``fp``) whose fingerprints (column ``sim``) link: every set with the first one of its
+    fingerprint, and the first ones of fingerprints that the covering LSH links. Rows grow with the sets, not with their pairs."""
+    held, held_at = materialise(prints.filter("n > 0").select("sim", "fp").distinct(), "held")
+    first, first_at = materialise(held.groupBy("sim").agg(F.min("fp").alias("first")), "first")
+    same = held.join(first, "sim").select(F.col("fp").alias("a"), F.col("first").alias("b"))
+    of = lambda c: first.select(F.col("sim").alias(c), F.col("first").alias(f"{c}_set"))
+    found = links(first.select(F.col("sim").alias("fp")), radius)
+    across = found.join(of("a"), "a").join(of("b"), "b").select(F.col("a_set").alias("a"), F.col("b_set").alias("b"))
+    pairs, _ = materialise(same.unionByName(across).filter("a <> b").distinct(), "near")
+    drop(prints.sparkSession, held_at, first_at)
+    return pairs
+
+
 def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = STAGE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """One row of each component of documents whose shingle sets have a Jaccard similarity of at least ``similarity``: that
     with the smallest id (null last), of several rows with it the one with the smallest key.
 
+    Fingerprints come first: sets whose fingerprints the covering LSH finds within the radius are compared exactly. What has
+    a fingerprint further off is left to the exact join, which looks at no group that the fingerprints have connected.
+
     Rows are chosen by a 128-bit key of all their columns; texts move once, to meet the chosen keys, and once more if they
     share much with another. Null and blank texts are the empty set, and empty sets are equal."""
     bounded(docs.sparkSession)
     key = row_key(*[f"`{c}`" for c in docs.columns])
     rows = docs.withColumns({"_key_a": key["a"], "_key_b": key["b"]})  # plain numbers: the join and the grouping share one exchange
     keyed = rows.select(F.struct("_key_a", "_key_b").alias("key"), F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"))
-    prints, prints_at = materialise(setjoin.sets_of(keyed, shingle, str(similarity)), "prints")
-    found = setjoin.links(prints, keyed.select("key", "text"), shingle, str(similarity))
+    sim = F.pandas_udf(lambda x: pd.Series([fingerprint(t, shingle) for t in x], dtype="int64"), "long")(F.col("text"))
+    prints, prints_at = materialise(setjoin.sets_of(keyed.withColumn("sim", sim), shingle, str(similarity)), "prints")
+    texts = keyed.select("key", "text")
+    near = setjoin.confirmed(near_sets(prints), prints, texts, shingle, str(similarity))
+    known, known_at = materialise(components(near).withColumnRenamed("node", "fp"), "known")
+    rest = setjoin.links(prints, texts, shingle, str(similarity), known=known)
+    found = rest.unionByName(known.select(F.col("fp").alias("a"), F.col("root").alias("b"), F.lit(0).cast("long").alias("links")))
     roots = setjoin.classes(prints.select("fp", "n", "id"), found).select("fp", "root")
     # rows of one set are reduced before they move; empty sets are equal
     least = F.min(F.struct(F.col("id").isNull(), "id", "key"))
     chosen = prints.groupBy("fp").agg(least.alias("m")).join(roots, "fp").groupBy("root").agg(F.min("m").alias("m")).select("m.key.*")
     chosen, _ = materialise(chosen, "chosen")
-    drop(docs.sparkSession, prints_at)
+    drop(docs.sparkSession, prints_at, known_at)
     # rows equal in every column share a key; the join has dealt them by it already
     return rows.join(chosen, ["_key_a", "_key_b"], "left_semi").dropDuplicates(["_key_a", "_key_b"]).drop("_key_a", "_key_b")
 
