@@ -10,11 +10,12 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pelagia.session import BATCH_BYTES as BATCH_BYTES
+from pelagia.session import bounded as bounded
+
 #: Words of every contract: runs of anything but space, tab, \n, \v, \f and \r. ``bytes.split()`` cuts at exactly these.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: What a batch that goes to a Python worker holds at most; a longer text is a batch of its own.
-BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 #: Bytes of a text whose words are held at once.
 SEGMENT = 1 << 20
 _BREAK = re.compile(rb"[\x20\x09-\x0D]")
@@ -22,22 +23,6 @@ _BREAK = re.compile(rb"[\x20\x09-\x0D]")
 _own: dict[str, str] = {}
 
 
-def bounded(spark: SparkSession) -> SparkSession:
-    """Bound the batches that go to Python workers by bytes, and have workers give freed memory back. Settings that are
-    tighter already stay."""
-    batch = "spark.sql.execution.arrow.max{}PerBatch"
-    found = spark._jsparkSession.sessionState().conf()
-    if int(found.getConfString(batch.format("Records"))) > BATCH_ROWS:
-        spark.conf.set(batch.format("Records"), str(BATCH_ROWS))
-    now = found.getConfString(batch.format("Bytes")).rstrip("b")
-    if not now.isdigit() or int(now) > BATCH_BYTES:
-        spark.conf.set(batch.format("Bytes"), str(BATCH_BYTES))
-    env = spark.sparkContext.environment
-    env.setdefault("ARROW_DEFAULT_MEMORY_POOL", "system")
-    env.setdefault("MALLOC_ARENA_MAX", "2")
-    return spark
-
-
 def segments(raw: bytes, size: int = SEGMENT) -> Iterator[bytes]:
     """Parts of about ``size`` bytes that no word spans, so that a long text's words need not be held together."""
     at = 0

@@ -74,7 +74,7 @@ def attempt_filters(image: Column, filters: list[str] | None = None) -> Column:
 
     def run(images: pd.DataFrame) -> pd.Series:
         each = {name: _outcomes(images, *FILTERS[name]) for name in names}
-        item = lambda name, e, y: {"method": name, "error": e, "image": None if y is None else {"height": y.shape[0], "width": y.shape[1], "data": y.ravel().tolist()}}
+        item = lambda name, e, y: {"method": name, "error": e, "image": None if y is None else {"height": y.shape[0], "width": y.shape[1], "data": y.ravel()}}
         return pd.Series([[item(name, *each[name][i]) for name in names] for i in range(len(images))])
 
     return F.pandas_udf(run, f"array<struct<method: string, error: string, image: {IMAGE}>>")(image)

@@ -10,13 +10,33 @@ from pyspark.sql import SparkSession
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
+#: What a batch that goes to a Python worker holds at most; a larger row is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
+
+
+def bounded(spark: SparkSession) -> SparkSession:
+    """Bound the batches that go to Python workers by bytes, and have workers give freed memory back. Settings that are
+    tighter already stay."""
+    batch = "spark.sql.execution.arrow.max{}PerBatch"
+    found = spark._jsparkSession.sessionState().conf()
+    if int(found.getConfString(batch.format("Records"))) > BATCH_ROWS:
+        spark.conf.set(batch.format("Records"), str(BATCH_ROWS))
+    now = found.getConfString(batch.format("Bytes")).rstrip("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(batch.format("Bytes"), str(BATCH_BYTES))
+    env = spark.sparkContext.environment
+    env.setdefault("ARROW_DEFAULT_MEMORY_POOL", "system")
+    env.setdefault("MALLOC_ARENA_MAX", "2")
+    return spark
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Put the repository on the Python workers' path, however the session was made."""
+    """Put the repository on the Python workers' path, however the session was made, and bound what goes to them."""
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
-    return spark
+    return bounded(spark)
 
 
 def local_session(cpus: int = 8, name: str = "pelagia", memory: str = "8g", **conf: str) -> SparkSession:
