@@ -59,17 +59,21 @@ def head(df: DataFrame, n: int) -> DataFrame:
     return df.orderBy(PLACE).limit(n)
 
 
+#: Rows of a run, of which each is ranked on its own, are at most 2 ** RUN.
+RUN = 16
+
+
 def numbered(df: DataFrame, out: str = "ordinal") -> DataFrame:
-    """A placed() table with each row's number, from 0, in the order of its files. Blocks are counted and added up (a number
-    for each block of a file meets in one task); rows are ranked within their block."""
-    block = [F.col(f"{PLACE}.{c}") for c in ("table", "file", "block")]
-    rows = df.withColumn("_block", F.struct(*block))
-    counts = rows.groupBy("_block").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    within = Window.partitionBy("_block").orderBy(F.col(f"{PLACE}.row"))
-    found = rows.withColumn("_in", F.row_number().over(within)).join(offsets, "_block")
-    return found.withColumn(out, F.col("_before") + F.col("_in") - 1).drop("_block", "_in", "_before")
+    """A placed() table with each row's number, from 0, in the order of its files. Blocks are cut into runs of rows; runs are
+    counted and added up (a number for each run meets in one task), and rows are ranked within their run, however large a block is."""
+    run = [*[F.col(f"{PLACE}.{c}").alias(c) for c in ("table", "file", "block")], F.shiftright(F.col(f"{PLACE}.row"), RUN).alias("run")]
+    rows = df.withColumn("_run", F.struct(*run))
+    counts = rows.groupBy("_run").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_run", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    within = Window.partitionBy("_run").orderBy(F.col(f"{PLACE}.row"))
+    found = rows.withColumn("_in", F.row_number().over(within)).join(offsets, "_run")
+    return found.withColumn(out, F.col("_before") + F.col("_in") - 1).drop("_run", "_in", "_before")
 
 
 def first_of_each(df: DataFrame, keys: list[str]) -> DataFrame:

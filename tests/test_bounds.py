@@ -30,3 +30,23 @@ def test_filters_of_many_images_are_those_of_each(spark):
     for row in got:
         kernel, params = im.FILTERS[row.f.method]
         assert np.allclose(row.f.image.data, kernel(x[row.image_id][None], **params)[0].ravel(), atol=1e-12)
+
+
+def test_rows_of_one_block_are_numbered_in_many_tasks(spark, tmp_path, monkeypatch):
+    from pelagia.sources import files
+
+    monkeypatch.setattr(files, "RUN", 5, raising=False)
+    spark.range(0, 3000, 1, 1).select((F.col("id") * 7 % 3000).alias("k")).write.parquet(f"{tmp_path}/t")
+    rows = files.numbered(files.placed(spark.read.parquet(f"{tmp_path}/t")).filter("k % 3 > 0"))
+    got = rows.select("ordinal", "k").orderBy("ordinal").collect()
+    want = [k for k in (i * 7 % 3000 for i in range(3000)) if k % 3 > 0]
+    assert [x.k for x in got] == want
+    assert [x.ordinal for x in got] == list(range(len(want)))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for a large table
+    try:
+        many = files.numbered(files.placed(spark.read.parquet(f"{tmp_path}/t"))).groupBy(F.spark_partition_id()).agg(F.max("ordinal")).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(many) > 1
