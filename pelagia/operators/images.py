@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +19,9 @@ IMAGE = "struct<height: int, width: int, data: array<double>>"
 #: Pixels of a stack, if it has more than one image: a 9 x 9 neighbourhood of each, in doubles, takes 10 MB.
 PIXELS = 1 << 14
 
+#: Partitions for each core: a table of images with fewer is dealt out evenly before costly work.
+SPREAD = 4
+
 #: name -> (kernel, default parameters): point and neighbourhood operators on one image.
 KERNELS: dict[str, tuple[Callable, dict]] = {
     "normalize_minmax": (pixels.normalize_image, {}),
@@ -57,6 +61,12 @@ def pack(data: Column, height: Column | int, width: Column | int) -> Column:
     return F.struct(as_int(height).alias("height"), as_int(width).alias("width"), data.cast("array<double>").alias("data"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in at least SPREAD partitions for each core: its files and their row groups need not be even, or many."""
+    least = SPREAD * df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(least) if df.rdd.getNumPartitions() < least else df
+
+
 def stacks(images: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(row numbers, stack) for each shape in a batch, of about PIXELS pixels; rows without pixels are left out."""
     ok = np.array([d is not None and len(d) > 0 for d in images["data"]], bool)
@@ -125,27 +135,36 @@ def crop(image: Column, mask: Column, margin: int = 10) -> Column:
 METRICS = ["MSE", "PSNR", "SSIM", "SNR", "CNR", "CII", "Entropy"]
 
 
-def metric_values(x: np.ndarray, y: np.ndarray, names: list[str], masks: list[np.ndarray | None] | None = None, radius: int = 15) -> dict[str, np.ndarray | list[float]]:
+def metric_values(x: np.ndarray, y: np.ndarray, names: list[str], masks: list[np.ndarray | None] | None = None, radius: int = 15, known: dict | None = None) -> dict[str, np.ndarray]:
     """The named metrics of two stacks of images, no others.
 
     Regions of CNR and CII are each image's own, by Otsu; with masks (one or None for each pair) they are the same pixels
     of both images, fixed by the clean one: the lesion and the tissue in a ring around it, or the clean image's own
-    regions where a mask is missing or empty."""
+    regions where a mask is missing or empty. known: what is found out about x and its masks is kept there, for the next y."""
     made = {"MSE": lambda: pixels.mse(x, y), "PSNR": lambda: pixels.psnr(x, y), "SSIM": lambda: pixels.ssim(x, y), "SNR": lambda: pixels.snr(x, y), "Entropy": lambda: pixels.entropy(y), "MAE": lambda: pixels.mae(x, y)}
     found: dict = {k: made[k]() for k in names if k in made}
     if "CNR" in names or "CII" in names:
-        contrasts, improved = [], []
-        for i, (u, v) in enumerate(zip(x, y, strict=True)):
-            if masks is None:
-                (r1, b1), (r0, b0) = pixels.otsu_regions(v), pixels.otsu_regions(u) if "CII" in names else (None, None)
-            else:
-                r1, b1 = r0, b0 = pixels.ring_regions(u, masks[i], radius=radius) if masks[i] is not None and masks[i].any() else pixels.otsu_regions(u)
-            contrasts.append(pixels.cnr(v[r1], v[b1]))
-            improved.append(pixels.cii(v[r1], v[b1], u[r0], u[b0]) if "CII" in names else None)
-        found |= {k: v for k, v in (("CNR", contrasts), ("CII", improved)) if k in names}
+        known = {} if known is None else known
+        if "regions" not in known and (masks is not None or "CII" in names):
+            known["regions"] = _clean_regions(x, masks, radius)
+        regions = pixels.otsu_regions(y) if masks is None else known["regions"]
+        if "CNR" in names:
+            found["CNR"] = pixels.stack_cnr(y, *regions)
+        if "CII" in names:
+            if "contrast" not in known:
+                known["contrast"] = pixels.stack_contrast(x, *known["regions"])
+            found["CII"] = pixels.stack_cii(pixels.stack_contrast(y, *regions), known["contrast"])
     return found
 
 
+def _clean_regions(x: np.ndarray, masks: list[np.ndarray | None] | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    roi, bg = pixels.otsu_regions(x)
+    for i, m in enumerate(masks or []):
+        if m is not None and m.any():
+            roi[i], bg[i] = pixels.ring_regions(x[i], m, radius=radius)
+    return roi, bg
+
+
 def metrics(clean: Column, other: Column, names: list[str] | None = None, mask: Column | None = None, radius: int = 15) -> Column:
     """struct of METRICS and MAE (or of those named) for a pair of images; regions as metric_values says. mask: packed images
     of the clean image's shape, a lesion's pixels above 0; null where there is none."""
@@ -176,54 +195,85 @@ def metrics(clean: Column, other: Column, names: list[str] | None = None, mask:
     return F.pandas_udf(three, schema)(clean, other, mask)
 
 
+class Packed:
+    """A batch of packed images as Arrow gives them: shapes, and all pixels one after the other."""
+
+    def __init__(self, images: pa.StructArray):
+        fields = dict(zip((f.name for f in images.type), images.flatten(), strict=True))
+        self.shapes = np.stack([fields[k].fill_null(0).to_numpy(zero_copy_only=False) for k in ("height", "width")], 1).astype(int)
+        self.begin, end = (o.to_numpy() for o in (fields["data"].offsets[:-1], fields["data"].offsets[1:]))
+        self.sizes = np.where(fields["data"].is_valid().to_numpy(zero_copy_only=False), end - self.begin, 0)
+        self.flat = fields["data"].values.to_numpy(zero_copy_only=False).astype(float, copy=False)
+
+    def stack(self, rows: np.ndarray, height: int, width: int) -> np.ndarray:
+        """Images of one shape."""
+        if (self.sizes[rows] != height * width).any():
+            raise ValueError("images differ in shape")
+        return self.flat[self.begin[rows][:, None] + np.arange(height * width)].reshape(len(rows), height, width)
+
+    def stacks(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """As stacks()."""
+        ok = np.flatnonzero(self.sizes > 0)
+        shapes, which = np.unique(self.shapes[ok], axis=0, return_inverse=True)
+        for k, (h, w) in enumerate(shapes.tolist()):
+            rows, each = ok[which.ravel() == k], max(1, PIXELS // max(1, h * w))
+            for a in range(0, len(rows), each):
+                yield rows[a : a + each], self.stack(rows[a : a + each], h, w)
+
+    def mask(self, i: int, shape: tuple[int, int]) -> np.ndarray | None:
+        return _mask({"height": self.shapes[i][0], "width": self.shapes[i][1], "data": self.flat[self.begin[i] : self.begin[i] + self.sizes[i]] if self.sizes[i] else None}, shape)
+
+
 def filter_metrics(clean: Column, noisy: Column, filters: list[str] | None = None, mask: Column | None = None, radius: int = 15) -> Column:
     """array<struct<method, error, METRICS>>: filters on a noisy image and the metrics of each result against the clean one,
     in one pass; no filtered image leaves the worker. What raises on a stack is tried image by image; an image on which a
-    filter or its metrics raise has the reason as that method's error, and null metrics."""
+    filter or its metrics raise has the reason as that method's error, and null metrics. A metric that is NaN is null."""
     names = filters or list(FILTERS)
 
-    def run(a: pd.DataFrame, b: pd.DataFrame, m: pd.DataFrame | None) -> pd.Series:
-        out: list = [[] for _ in range(len(a))]
+    def run(a: pa.Array, b: pa.Array, m: pa.Array | None) -> pa.Array:
+        ours, theirs, given = Packed(a), Packed(b), None if m is None else Packed(m)
+        values, errors = np.full((len(METRICS), len(a), len(names)), np.nan), np.full((len(a), len(names)), None, object)
 
-        def tried(name: str, at: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
-            kernel, params = FILTERS[name]
+        def tried(method: int, at: np.ndarray, x: np.ndarray, y: np.ndarray, known: dict) -> None:
+            kernel, params = FILTERS[names[method]]
             try:
-                masks = None if m is None else [_mask(m.iloc[i], x.shape[1:]) for i in at]
-                found = metric_values(x, kernel(y, **params), METRICS, masks, radius)
-                rows = [{"error": None} | {k: float(found[k][j]) for k in METRICS} for j in range(len(at))]
+                masks = None if given is None else [given.mask(i, x.shape[1:]) for i in at]
+                found = metric_values(x, kernel(y, **params), METRICS, masks, radius, known)
+                for k, metric in enumerate(METRICS):
+                    values[k, at, method] = found[metric]
             except Exception as e:  # whatever a kernel raises is an image's reason
                 if len(at) > 1:
                     for j in range(len(at)):
-                        tried(name, at[j : j + 1], x[j : j + 1], y[j : j + 1])
+                        tried(method, at[j : j + 1], x[j : j + 1], y[j : j + 1], {})
                     return
-                rows = [{"error": f"{type(e).__name__}: {e}"[:200]} | dict.fromkeys(METRICS)]
-            for i, row in zip(at, rows, strict=True):
-                out[i].append({"method": name} | row)
-
-        for at, x in stacks(a):
-            sizes = [b["data"].iloc[i] is not None and len(b["data"].iloc[i]) == x[0].size for i in at]
-            if not all(sizes):
-                raise ValueError("images differ in shape")
-            y = np.stack([np.asarray(b["data"].iloc[i], float) for i in at]).reshape(x.shape)
-            for name in names:
-                tried(name, at, x, y)
-        return pd.Series(out)
+                values[:, at, method] = np.nan
+                errors[at, method] = f"{type(e).__name__}: {e}"[:200]
+
+        for at, x in ours.stacks():
+            y, known = theirs.stack(at, *x.shape[1:]), {}
+            for method in range(len(names)):
+                tried(method, at, x, y, known)
+        some = ours.sizes > 0
+        ends = np.concatenate([[0], np.cumsum(some * len(names))]).astype(np.int32)
+        columns = [pa.array(names * int(some.sum()), pa.string()), pa.array(errors[some].ravel(), pa.string())]
+        columns += [pa.array(v[some].ravel(), mask=np.isnan(v[some].ravel())) for v in values]
+        return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(columns, ["method", "error", *METRICS]))
 
     schema = f"array<struct<method: string, error: string, {', '.join(f'{k}: double' for k in METRICS)}>>"
     if mask is None:
 
-        def two(a: pd.DataFrame, b: pd.DataFrame) -> pd.Series:
+        def two(a: pa.Array, b: pa.Array) -> pa.Array:
             return run(a, b, None)
 
-        return F.pandas_udf(two, schema)(clean, noisy)
+        return F.arrow_udf(two, schema)(clean, noisy)
 
-    def three(a: pd.DataFrame, b: pd.DataFrame, m: pd.DataFrame) -> pd.Series:
+    def three(a: pa.Array, b: pa.Array, m: pa.Array) -> pa.Array:
         return run(a, b, m)
 
-    return F.pandas_udf(three, schema)(clean, noisy, mask)
+    return F.arrow_udf(three, schema)(clean, noisy, mask)
 
 
-def _mask(row: pd.Series, shape: tuple[int, int]) -> np.ndarray | None:
+def _mask(row: pd.Series | dict, shape: tuple[int, int]) -> np.ndarray | None:
     if row["data"] is None:
         return None
     if (row["height"], row["width"]) != shape:
