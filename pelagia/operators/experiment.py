@@ -39,12 +39,10 @@ def run(df: DataFrame, seed: int = 42, todo: DataFrame | None = None, methods: l
     """df (image_id, image in [0, 1], other columns): a row with the seven metrics for each key (each in todo, if given).
 
     An image makes its 40 results in one task. Nothing is shuffled unless todo is joined or the table has fewer
-    partitions than there are cores. noisy_path: a store of noisy images that is used, and filled with those it lacks;
+    than images.SPREAD partitions for each core. noisy_path: a store of noisy images that is used, and filled with those it lacks;
     keep_image adds the filtered image as ``denoised``. mask: a column of packed lesion masks; CNR and CII of all 40 results
     of an image are then those of the same pixels, which the mask and the clean image fix (images.metric_values)."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:  # a small table of costly rows; a large one is left where it is
-        df = df.repartition(cores)
+    df = images.spread(df)
     if noisy_path is not None:
         some = df if todo is None else df.join(todo.select("image_id").distinct(), "image_id", "left_semi")
         models = {k: noise.MODELS[k] for k in noise_types or noise.MODELS}

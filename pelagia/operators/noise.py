@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pelagia.functions.points import let
 from pelagia.operators.images import IMAGE, _table, stacks
 
 MODELS = {
@@ -42,20 +43,25 @@ def _each(image: Column, f) -> Column:
     return F.struct(image["height"].alias("height"), image["width"].alias("width"), F.transform(image["data"], lambda v, i: clip(f(v, i))).alias("data"))
 
 
-def add_gaussian_noise(image: Column, image_id: Column, mean: float = 0.0, var: float = 0.01, seed: int = 42) -> Column:
-    return _each(image, lambda v, i: v + mean + max(var, 0.0) ** 0.5 * normal(image_id, i, seed))
+def _draw(draws: Column | None, image_id: Column, i: Column, seed: int, of) -> Column:
+    return of(image_id, i, seed) if draws is None else F.get(draws, i)
 
 
-def add_salt_pepper_noise(image: Column, image_id: Column, amount: float = 0.04, salt_vs_pepper: float = 0.5, seed: int = 42) -> Column:
+def add_gaussian_noise(image: Column, image_id: Column, mean: float = 0.0, var: float = 0.01, seed: int = 42, draws: Column | None = None) -> Column:
+    """draws: the pixels' normal numbers (salt and pepper: uniform ones), where they have been made already."""
+    return _each(image, lambda v, i: v + mean + max(var, 0.0) ** 0.5 * _draw(draws, image_id, i, seed, normal))
+
+
+def add_salt_pepper_noise(image: Column, image_id: Column, amount: float = 0.04, salt_vs_pepper: float = 0.5, seed: int = 42, draws: Column | None = None) -> Column:
     def one(v: Column, i: Column) -> Column:
-        u = uniform(image_id, i, seed)
+        u = _draw(draws, image_id, i, seed, uniform)
         return F.when(u < amount * salt_vs_pepper, 1.0).when(u > 1 - amount * (1 - salt_vs_pepper), 0.0).otherwise(v)
 
     return _each(image, one)
 
 
-def add_speckle_noise(image: Column, image_id: Column, var: float = 0.04, seed: int = 42) -> Column:
-    return _each(image, lambda v, i: v + v * var**0.5 * normal(image_id, i, seed))
+def add_speckle_noise(image: Column, image_id: Column, var: float = 0.04, seed: int = 42, draws: Column | None = None) -> Column:
+    return _each(image, lambda v, i: v + v * var**0.5 * _draw(draws, image_id, i, seed, normal))
 
 
 #: Largest mean whose distribution is inverted from 0 on: e ** -700 is still a normal number.
@@ -119,8 +125,29 @@ ADD = {
 
 
 def all_models(image: Column, image_id: Column, seed: int = 42, models: list[str] | None = None) -> Column:
-    """array<struct<noise_type, image>> of the five models (or those named), all with the same seed."""
-    return F.array(*[F.struct(F.lit(k).alias("noise_type"), ADD[k](image, image_id, **MODELS[k], seed=seed).alias("image")) for k in models or MODELS])
+    """array<struct<noise_type, image>> of the five models (or those named), all with the same seed.
+
+    Models share their random numbers and their Poisson counts, so each is made once for an image and not for each model."""
+    models = list(models or MODELS)
+    over = lambda of: F.transform(image["data"], lambda _, i: of(image_id, i, seed))
+    draws = {"gaussian": "normals", "speckle": "normals", "salt_pepper": "uniforms"}
+    scales = {k: MODELS[k][p] for k, p in (("poisson", "scale"), ("mixed_poisson_gaussian", "poisson_scale")) if k in models}
+    once = {"image": image} | {f"counts_{s}": add_poisson_noise(image, image_id, s, seed) for s in dict.fromkeys(scales.values())}
+    if {"gaussian", "speckle", "mixed_poisson_gaussian"} & set(models):
+        once["normals"] = over(normal)
+    if "salt_pepper" in models:
+        once["uniforms"] = over(uniform)
+
+    def made(p: Column) -> Column:
+        def one(k: str) -> Column:
+            if k in draws:
+                return ADD[k](p["image"], image_id, **MODELS[k], seed=seed, draws=p[draws[k]])
+            counts = p[f"counts_{scales[k]}"]
+            return counts if k == "poisson" else add_gaussian_noise(counts, image_id, 0.0, MODELS[k]["gaussian_var"], seed, p["normals"])
+
+        return F.array(*[F.struct(F.lit(k).alias("noise_type"), one(k).alias("image")) for k in models])
+
+    return let(made, **once)
 
 
 def realism(clean: Column, noisy: Column, noise_type: Column) -> Column:

@@ -56,3 +56,24 @@ def test_non_local_means_are_those_of_all_patches():
         w = [np.exp(-((patch(n, y, z) - patch(n, y + dy, z + dx)) ** 2).sum() / 9 / (h * h)) for dy, dx in near]
         v = [p[n, y + dy + s + t, z + dx + s + t] for dy, dx in near]
         assert px.denoise_nlm(x, h, 3, 5)[n, y, z] == np.rint(np.dot(w, v) / np.sum(w)) / 255
+
+
+def test_random_numbers_are_made_once_for_all_models(spark):
+    from pelagia.operators import noise
+
+    df = images_of(spark)
+    out = df.select("image_id", noise.all_models(F.col("image"), F.col("image_id")).alias("n"))
+    assert plan(out).count("md5(") <= 4  # uniform, two for normal, Poisson's
+    assert plan(out).count("inverted(") == 1
+    got = {(r.image_id, r.noise_type): r.data for r in out.select("image_id", F.explode("n").alias("n")).select("image_id", "n.noise_type", "n.image.data").collect()}
+    for k, add in noise.ADD.items():
+        for r in df.select("image_id", add(F.col("image"), F.col("image_id"), **noise.MODELS[k], seed=42).alias("one")).collect():
+            assert got[r.image_id, k] == r.one["data"]
+
+
+def test_an_experiment_on_one_partition_is_dealt_out(spark):
+    from pelagia.operators import experiment
+
+    df = images_of(spark, 64)
+    for few in (df, df.repartition(spark.sparkContext.defaultParallelism)):
+        assert experiment.run(few, methods=["gaussian"]).rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
