@@ -77,3 +77,11 @@ def test_an_experiment_on_one_partition_is_dealt_out(spark):
     df = images_of(spark, 64)
     for few in (df, df.repartition(spark.sparkContext.defaultParallelism)):
         assert experiment.run(few, methods=["gaussian"]).rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+
+
+@pytest.mark.parametrize("bilinear", [False, True])
+def test_augmentation_evaluates_an_image_once(spark, bilinear):
+    from pelagia.functions import augment
+
+    out = images_of(spark).select("image_id", augment.train(F.col("image"), F.col("image_id"), bilinear=bilinear).alias("m"))
+    assert plan(out).count("md5(") <= 4  # across, down, turn for its cosine and its sine
