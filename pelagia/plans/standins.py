@@ -22,8 +22,8 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """image_id, image, noisy."""
     d = F.transform("embedding", lambda v: v.cast("double"))
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), d.alias("d"))
-    lo, hi = F.array_min("d"), F.array_max("d")
-    e = e.select("image_id", im.pack(F.transform("d", lambda v: F.coalesce(F.try_divide(v - lo, hi - lo), F.lit(0.0))), SIDE, SIDE).alias("image"))
+    e = e.select("image_id", "d", F.array_min("d").alias("lo"), F.array_max("d").alias("hi"))  # once, not for every pixel
+    e = e.select("image_id", im.pack(F.transform("d", lambda v: F.coalesce(F.try_divide(v - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0))), SIDE, SIDE).alias("image"))
     return e.withColumn("noisy", noise.add_salt_pepper_noise(F.col("image"), F.col("image_id")))
 
 

@@ -85,3 +85,11 @@ def test_augmentation_evaluates_an_image_once(spark, bilinear):
 
     out = images_of(spark).select("image_id", augment.train(F.col("image"), F.col("image_id"), bilinear=bilinear).alias("m"))
     assert plan(out).count("md5(") <= 4  # across, down, turn for its cosine and its sine
+
+
+def test_the_range_of_a_stand_in_is_found_once(spark):
+    from pelagia.plans.standins import images
+
+    text = plan(images(spark, "/root/testdata/sf0.001").select("image_id", "image"))
+    assert text.count("array_min(") == 1 and text.count("array_max(") == 1
+    assert not any("array_min(" in line for line in text.splitlines() if "try_divide" in line or " / " in line)
