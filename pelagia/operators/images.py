@@ -306,5 +306,8 @@ def validity(image: Column) -> Column:
 
 
 def long(df: DataFrame, image: str = "image", keys: tuple[str, ...] = ("image_id",)) -> DataFrame:
-    """A row per pixel: keys, pos, v."""
-    return df.select(*keys, F.posexplode(f"{image}.data").alias("pos", "v"))
+    """A row per pixel: keys, pos, v; none for an image that is null or has no pixels.
+
+    Outer, and then without the empty ones: before a plain posexplode Spark filters by the array's size, at the scan and in
+    terms of the scan's columns, so that a computed image is made twice, the first time before it is dealt out."""
+    return df.select(*keys, F.posexplode_outer(f"{image}.data").alias("pos", "v")).filter("pos is not null")

@@ -39,7 +39,7 @@ def basic_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     master = df.select(k, path.alias("image_path"), F.concat(F.lit("P"), (k % 7).cast("string")).alias("patient_id"), F.lit("mass").alias("abnormality_category"), F.lit("LEFT").alias("left_or_right_breast"), F.lit(" ").alias("image_view"), F.lit("BENIGN").alias("pathology"), (k % 2).alias("label"))
     twice = master.unionByName(master.withColumns({"image_id": k + 10**9, "patient_id": F.lit("later")}))
     out = stages.basic(twice, decoded, ["image_id"], size=(4, 4))
-    return out.select("original_image_path", "name", "label", "width", F.posexplode("image.data").alias("pos", "v")).withColumn("v", F.round("v", 6))
+    return im.long(out, keys=("original_image_path", "name", "label", "width")).withColumn("v", F.round("v", 6))
 
 
 @query("noise_stage", """select vec_id::varchar as name, unnest(['gaussian', 'salt_pepper', 'speckle', 'poisson', 'mixed_poisson_gaussian']) as noise_type,
@@ -70,7 +70,7 @@ def sample_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("image_channels", f"with {PX} select image_id, c::int as channel, count(*) as n, round(avg(v), 6) as mean from px, range(3) r(c) group by all")
 def image_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Images as three equal channels: what networks for colour images are fed."""
-    out = images(spark, sf_dir).select("image_id", augment.repeated(F.col("image"), 3).alias("i")).select("image_id", F.posexplode("i.data").alias("pos", "v"))
+    out = im.long(images(spark, sf_dir).select("image_id", augment.repeated(F.col("image"), 3).alias("i")), "i")
     return out.groupBy("image_id", F.floor(F.col("pos") / 64).cast("int").alias("channel")).agg(F.count("*").alias("n"), F.round(F.avg("v"), 6).alias("mean"))
 
 

@@ -18,10 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """image_id, image, noisy."""
-    d = F.transform("embedding", lambda v: v.cast("double"))
-    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), d.alias("d"))
+def images(spark: SparkSession, sf_dir: str, even: bool = False) -> DataFrame:
+    """image_id, image, noisy. even: the table is dealt out before anything is worked out, as a file may be one row group."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), "embedding")
+    if even:
+        e = im.spread(e)
+    e = e.select("image_id", F.transform("embedding", lambda v: v.cast("double")).alias("d"))
     e = e.select("image_id", "d", F.array_min("d").alias("lo"), F.array_max("d").alias("hi"))  # once, not for every pixel
     e = e.select("image_id", im.pack(F.transform("d", lambda v: F.coalesce(F.try_divide(v - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0))), SIDE, SIDE).alias("image"))
     return e.withColumn("noisy", noise.add_salt_pepper_noise(F.col("image"), F.col("image_id")))

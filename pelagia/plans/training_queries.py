@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from pelagia.functions import augment
 from pelagia.operators import batches, trainer
-from pelagia.operators import images as im
 from pelagia.plans.standins import PX, images, pixels, table
 from pelagia.registry import query
 
@@ -52,14 +51,14 @@ s as (select image_id, pos, 3.5 + (x - 3.5) * sin(a) + (y - 3.5) * cos(a) as sy,
 
 @query("augment_train", f"""{_TURNED} select s.image_id, s.pos, round((coalesce(f.v, 0) - 0.5) / 0.5, 6) as v from s left join f on f.image_id = s.image_id and f.y = floor(s.sy + 0.5) and f.x = floor(s.sx + 0.5)""")
 def augment_train(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = im.spread(images(spark, sf_dir))
+    df = images(spark, sf_dir, even=True)
     return pixels(df, augment.train(df["image"], df["image_id"]))
 
 
 @query("augment_train_bilinear", f"""{_TURNED}, o as (select s.image_id, pos, floor(sy) + i as ty, floor(sx) + j as tx, abs(1 - i - (sy - floor(sy))) * abs(1 - j - (sx - floor(sx))) as w from s, range(2) a(i), range(2) b(j))
 select o.image_id, o.pos, round((sum(o.w * coalesce(f.v, 0)) - 0.5) / 0.5, 5) as v from o left join f on f.image_id = o.image_id and f.y = o.ty and f.x = o.tx group by 1, 2""")
 def augment_train_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = im.spread(images(spark, sf_dir))
+    df = images(spark, sf_dir, even=True)
     return pixels(df, augment.train(df["image"], df["image_id"], bilinear=True), 5)
 
 

@@ -93,3 +93,22 @@ def test_the_range_of_a_stand_in_is_found_once(spark):
     text = plan(images(spark, "/root/testdata/sf0.001").select("image_id", "image"))
     assert text.count("array_min(") == 1 and text.count("array_max(") == 1
     assert not any("array_min(" in line for line in text.splitlines() if "try_divide" in line or " / " in line)
+
+
+@pytest.mark.parametrize("name", ["augment_train", "augment_train_bilinear"])
+def test_an_augmented_image_is_made_once_and_after_it_is_dealt_out(spark, name):
+    from pelagia.registry import queries
+
+    text = plan(queries()[name](spark, "/root/testdata/sf0.001"))
+    assert text.count("md5(") <= 4  # across, down, turn for its cosine and its sine
+    above, _, below = text.partition("Repartition")
+    assert "transform(" in above and below and "transform(" not in below
+
+
+def test_pixels_of_an_image_are_those_it_has(spark):
+    rows = [(1, (1, 2, [0.5, None])), (2, (0, 0, [])), (3, (1, 1, None)), (4, None), (5, (1, 1, [float("nan")]))]
+    df = spark.createDataFrame(rows, f"image_id int, image {im.IMAGE}")
+    doubled = df.withColumn("image", F.when(F.col("image").isNotNull(), im.pack(F.transform("image.data", lambda v: v * 2), 1, F.size("image.data"))))
+    out = im.long(doubled)
+    assert sorted(map(str, out.collect())) == ["Row(image_id=1, pos=0, v=1.0)", "Row(image_id=1, pos=1, v=None)", "Row(image_id=5, pos=0, v=nan)"]
+    assert plan(out).count("transform(") == 1  # in no filter before it
