@@ -299,7 +299,7 @@ def resource_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("experiment_metrics")
 def experiment_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row of seven metrics for each image, noise model and filter."""
-    return experiment.run(images(spark, sf_dir).select("image_id", "image"))
+    return experiment.run(images(spark, sf_dir, even=True).select("image_id", "image"))
 
 
 @query("noise_method_summary")

@@ -112,3 +112,11 @@ def test_pixels_of_an_image_are_those_it_has(spark):
     out = im.long(doubled)
     assert sorted(map(str, out.collect())) == ["Row(image_id=1, pos=0, v=1.0)", "Row(image_id=1, pos=1, v=None)", "Row(image_id=5, pos=0, v=nan)"]
     assert plan(out).count("transform(") == 1  # in no filter before it
+
+
+@pytest.mark.parametrize("name", ["experiment_closed", "experiment_metrics"])
+def test_the_experiment_scales_its_images_after_they_are_dealt_out(spark, name):
+    from pelagia.registry import queries
+
+    above, _, below = plan(queries()[name](spark, "/root/testdata/sf0.001")).partition("Repartition")
+    assert "array_min(" in above and below and "transform(" not in below and "array_min(" not in below
