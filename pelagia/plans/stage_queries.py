@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from pelagia.functions import augment, points
 from pelagia.operators import evaluation, stages
 from pelagia.operators import images as im
-from pelagia.plans.experiment_queries import METHODS
 from pelagia.plans.pixel_queries import Q
 from pelagia.plans.standins import PX, images, near, pixels, table
 from pelagia.registry import query
@@ -50,11 +49,11 @@ def noise_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("name", "noise_type", "noise_parameters", "is_synthetic", F.size("image.data").alias("pixels"))
 
 
-@query("denoise_stage_status", f"select m as denoising_method, case when m in ('gaussian', 'kuan') then 'GPU' else 'CPU' end as hardware_architecture, 'SUCCESS' as status, count(*) as n from embeddings, (select unnest([{', '.join(repr(m) for m in METHODS)}]) as m) group by all")
+@query("denoise_stage_status", f"select m as denoising_method, case when m in ('gaussian', 'kuan') then 'GPU' else 'CPU' end as hardware_architecture, 'SUCCESS' as status, count(*) as n from embeddings, (select unnest([{', '.join(repr(m) for m in im.FILTERS)}]) as m) group by all")
 def denoise_stage_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many images each filter of the denoising stage went through, and how it ended."""
-    df = images(spark, sf_dir).select("image_id", F.col("image").alias("clean"), F.col("noisy").alias("image"))
-    return stages.denoise(df, METHODS).groupBy("denoising_method", "hardware_architecture", "status").agg(F.count("*").alias("n"))
+    """How many images each of the denoising stage's eight filters went through, and how it ended."""
+    df = images(spark, sf_dir, even=True).select("image_id", F.col("image").alias("clean"), F.col("noisy").alias("image"))
+    return stages.denoise(df).groupBy("denoising_method", "hardware_architecture", "status").agg(F.count("*").alias("n"))
 
 
 @query("sample_checks", f"with {PX}, a as (select image_id, min(v) as lo, max(v) as hi from ns group by 1) select image_id, case when image_id % 10 = 3 or lo >= hi then 'FAILED' else 'PASSED' end as status, round(hi, 6) as original_max from a")

@@ -3,6 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from pelagia.operators import images as im
 from pelagia.operators import stages
 from pelagia.sources import files
 from tests.test_images import frame
@@ -35,3 +36,29 @@ def test_chain(spark, tmp_path):
     assert wrote.count() == 3 and files.read_images(spark, f"{tmp_path}/sharp", invalid="drop").count() == 3
     full = stages.full_pipeline(raw.withColumn("standardized_pathology", F.lit("BENIGN")), (32, 32)).collect()
     assert len(full) == 3 and all(len(r.image.data) == 1024 and r.bucket == "benign" and max(r.image.data) <= 1 for r in full)
+
+
+def test_the_denoising_stage_counts_all_eight_filters(spark):
+    import duckdb
+
+    from pelagia.registry import queries, registered_sql
+
+    df = queries()["denoise_stage_status"](spark, "/root/testdata/sf0.001")
+    got = sorted(map(tuple, df.collect()))
+    assert [m for m, *_ in got] == sorted(im.FILTERS) and len(got) == 8  # non-local means, too
+    con = duckdb.connect()
+    con.sql("create view embeddings as select * from '/root/testdata/sf0.001/embeddings.parquet'")
+    assert got == sorted(con.sql(registered_sql("denoise_stage_status")).fetchall())
+    above, _, below = df._jdf.queryExecution().optimizedPlan().toString().partition("Repartition")
+    assert "ArrowEvalPython" in above and "transform(" not in below  # images are dealt out before any work on them
+
+
+def test_each_row_of_the_denoising_stage_is_its_filter_s_image(spark):
+    rng = np.random.default_rng(1)
+    stack = [rng.random((9, 7)) for _ in range(2)]
+    df = frame(spark, *stack).withColumn("clean", F.col("image"))
+    rows = stages.denoise(df).collect()
+    assert len(rows) == 16
+    for r in rows:
+        kernel, params = im.FILTERS[r.denoising_method]
+        assert np.allclose(np.reshape(r.image.data, (9, 7)), kernel(stack[r.image_id][None], **params)[0])
